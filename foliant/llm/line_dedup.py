@@ -1,112 +1,48 @@
 """Line deduplication with two Bloom filters.
 
-Each task hashes its lines into a *once-seen* and a *twice-seen* filter. The
-filters merge associatively, ``(o1, t1) + (o2, t2) = (o1 | o2, t1 | t2 | o1 & o2)``,
-piece by piece, so that no task holds a whole one. Only lines that the merged
-twice-seen filter may hold are shuffled, with their whole keys: a partial
-minimum and maximum of the ids settles exactly which keys repeat and which
-document keeps its lines. The filter has a fixed greatest size
-(``max_filter_bytes``); a fuller one lets more lines through to the exact step
-and never changes a result.
+Each task hashes its lines into a *once-seen* and a *twice-seen* filter (see
+``repeat_filter``). Only lines that the merged twice-seen filter may hold are
+shuffled, with their whole keys: a partial minimum and maximum of the ids settles
+exactly which keys repeat and which document keeps its lines. A fuller filter
+lets more lines through to the exact step and never changes a result.
 
 A null or empty text is one empty line. Rows with the same id are one document.
-Rows with a null id never hold a first occurrence: they lose lines whose keys
-are in another document, and keep the others.
+A null id counts as the last document of all.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize, strings
+from foliant.llm.common import lower_table, materialize, strings
+from foliant.llm.repeat_filter import filter_bits, maybe_repeated, repeat_filter
 
-SPACES = " \t\n\r\x0b\x0c"
-_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Bytes of a piece of the filters, the unit of merging.
-PIECE = 1 << 13
-#: Tasks whose pieces meet in one group at the first of two levels of merging.
-FAN_IN = 64
+SPACES = b" \t\n\r\x0b\x0c"
+_LOWER = lower_table().tobytes()
+_CONTINUES = bytes(range(0x80, 0xC0))
 
 
-def line_key(line: str) -> str:
-    line = line.strip(SPACES)
-    return line.lower() if line.isascii() else line.translate(_LOWER)
+def line_key(line: bytes) -> bytes:
+    return line.strip(SPACES).translate(_LOWER)
 
 
-def first_lines(text: str, min_chars: int) -> dict[str, int]:
+def first_lines(text: str, min_chars: int) -> dict[bytes, int]:
     """Each key of a text that counts, with the number of its first line."""
-    out: dict[str, int] = {}
-    for i, line in enumerate(text.split("\n")):
+    out: dict[bytes, int] = {}
+    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         if len(line) >= min_chars:
             key = line_key(line)
-            if len(key) >= min_chars and key not in out:
-                out[key] = i
+            if len(key) >= 4 * min_chars or len(key.translate(None, _CONTINUES)) >= min_chars:
+                out.setdefault(key, i)
     return out
 
 
-def _places(keys, bits: int) -> np.ndarray:
-    """Two places for each key, in one piece of the filter."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64)
-    inner = np.uint64(PIECE * 8 - 1)
-    base = (h % np.uint64(bits // (PIECE * 8))) * np.uint64(PIECE * 8)
-    return np.stack([base + ((h >> np.uint64(20)) & inner), base + ((h >> np.uint64(42)) & inner)]).astype(np.int64)
-
-
-def _set(filter_: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(filter_, at.ravel() >> 3, np.left_shift(1, at.ravel() & 7).astype(np.uint8))
-
-
-def _has(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
-
-
-def repeat_filter(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The twice-seen filter over all documents, of bits / 8 bytes."""
-
-    def fill(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for text in strings(batch.column(1)):
-                keys = first_lines(text, min_chars)
-                if keys:
-                    at = _places(keys, bits)
-                    again = _has(once, at)
-                    if again.any():
-                        _set(twice, at[:, again])
-                    _set(once, at)
-        part = TaskContext.get().partitionId() // FAN_IN
-        rows = np.flatnonzero(once.reshape(-1, PIECE).any(1))
-        pack = lambda f, r: zlib.compress(f[r * PIECE : (r + 1) * PIECE].tobytes(), 1)
-        for lo in range(0, len(rows), 512):
-            some = rows[lo : lo + 512]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(some), pa.int64()), pa.array(some), pa.array([pack(once, r) for r in some], pa.binary()), pa.array([pack(twice, r) for r in some], pa.binary())],
-                ["part", "piece", "once", "twice"],
-            )
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(PIECE, np.uint8), np.zeros(PIECE, np.uint8)
-        for o, t in zip(pdf["once"], pdf["twice"]):
-            o = np.frombuffer(zlib.decompress(o), np.uint8)
-            twice |= np.frombuffer(zlib.decompress(t), np.uint8) | (once & o)
-            once |= o
-        return pd.DataFrame({"part": [0], "piece": [pdf["piece"].iloc[0]], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    shape = "part long, piece long, once binary, twice binary"
-    parts = texts.mapInArrow(fill, shape)
-    merged = parts.groupBy("part", "piece").applyInPandas(merge, shape).groupBy("piece").applyInPandas(merge, shape)
-    out = np.zeros(bits // 8, np.uint8)
-    for r in merged.select("piece", "twice").toLocalIterator():
-        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(r.twice), np.uint8)
-    return out
+def key_hashes(keys) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
 
 
 def drop_repeated_lines(
@@ -119,47 +55,53 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """id, kept text, n_lines, n_dropped of every row."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     n = texts.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    pieces = int(min(max_filter_bytes // PIECE, max(1, n * bits_per_line // (8 * PIECE))))
-    bits = (1 << (pieces.bit_length() - 1)) * PIECE * 8
-    twice = spark.sparkContext.broadcast(repeat_filter(texts, bits, min_chars))
+
+    def keys_of(batch):
+        return np.concatenate([np.zeros(0, np.uint64), *(key_hashes(first_lines(t, min_chars)) for t in strings(batch.column(1)))])
+
+    twice = spark.sparkContext.broadcast(repeat_filter(texts, keys_of, filter_bits(n, bits_per_line, max_filter_bytes)))
 
     def suspects(batches):
         for batch in batches:
-            ids, keys, at = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
+            row, keys, at = [], [], []
+            for i, text in enumerate(strings(batch.column(1))):
                 own = first_lines(text, min_chars)
-                if own:
-                    for (key, line), hit in zip(own.items(), _has(twice.value, _places(own, bits))):
-                        if hit:
-                            ids.append(i)
-                            keys.append(key)
-                            at.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(at, pa.int32())], ["id", "key", "line"])
-
-    found = texts.mapInArrow(suspects, "id long, key string, line int")
+                row += [i] * len(own)
+                keys += own.keys()
+                at += own.values()
+            hit = pa.array(np.flatnonzero(maybe_repeated(twice.value, key_hashes(keys))))
+            row, keys, at = (pa.array(c, t).take(hit) for c, t in ((row, pa.int64()), (keys, pa.binary()), (at, pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), keys, at], ["id", "th", "key", "line"])
+
+    found = materialize(texts.mapInArrow(suspects, "id long, th long, key binary, line int"), "suspect-lines")
     # A null id counts as the last document of all.
     order = F.coalesce("id", F.lit(2**63 - 1))
     repeated = found.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last").select("key", "first")
     repeated = materialize(repeated, "repeated-lines")
-    drops = found.join(repeated, "key").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("line").alias("lines"))
+    drops = found.join(repeated, "key").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
 
     def rebuild(batches):
         for batch in batches:
             kept, total, gone = [], [], []
             for text, lines in zip(strings(batch.column(1)), batch.column(2).to_pylist()):
-                all_ = text.split("\n")
-                rest = all_
-                if lines:
-                    bad = {line_key(all_[x]) for x in lines if x < len(all_)}
-                    rest = [x for x in all_ if line_key(x) not in bad]
-                kept.append("\n".join(rest))
-                total.append(len(all_))
-                gone.append(len(all_) - len(rest))
+                if not lines:
+                    kept.append(text)
+                    total.append(text.count("\n") + 1)
+                    gone.append(0)
+                    continue
+                whole = text.encode("utf-8", "surrogatepass").split(b"\n")
+                bad = {line_key(whole[x]) for x in lines if x < len(whole)}
+                rest = [x for x in whole if line_key(x) not in bad]
+                kept.append(b"\n".join(rest).decode("utf-8", "surrogatepass"))
+                total.append(len(whole))
+                gone.append(len(whole) - len(rest))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["id", "text", "n_lines", "n_dropped"])
 
-    both = texts.join(drops.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "lines")
+    drops = drops.withColumnsRenamed({"id": "of", "th": "of_text"})
+    both = texts.join(drops, F.col("id").eqNullSafe(F.col("of")) & F.col("th").eqNullSafe(F.col("of_text")), "left").select("id", "text", "lines")
     return both.mapInArrow(rebuild, "id long, text string, n_lines long, n_dropped long")
 
 
