@@ -32,3 +32,60 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM d GROUP BY doc_id
 """
+
+_DEAL = """{name} AS (
+  SELECT *, CASE WHEN is_full THEN cap ELSE ((budget - coalesce(sum(cap) FILTER (is_full) OVER g, 0)) * w) // sum(w) FILTER (NOT is_full) OVER g END AS share
+  FROM (SELECT *, cap * (sum(w) OVER g - coalesce(sum(w) OVER b, 0)) <= (budget - coalesce(sum(cap) OVER b, 0)) * w AS is_full
+    FROM ({nodes}) WINDOW g AS (PARTITION BY {parents}), b AS (PARTITION BY {parents} ORDER BY cap::DOUBLE / w::DOUBLE, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WINDOW g AS (PARTITION BY {parents})
+)"""
+
+
+def mixing_sql(weights: dict, budget_percent: int, max_epochs: int, seed: int) -> str:
+    def weight(level):
+        whens = "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.get(level, {}).items())
+        return f"(CASE {level}{whens} ELSE 1 END)::HUGEINT" if whens else "1::HUGEINT"
+
+    d = _DEAL.format(name="dd", parents="0", level="domain", nodes=f"SELECT domain, sum(cap) AS cap, {weight('domain')} AS w, (SELECT sum(tokens) * {budget_percent} // 100 FROM leaf) AS budget FROM leaf GROUP BY domain")
+    g = _DEAL.format(name="dl", parents="domain", level="lang", nodes=f"SELECT x.*, {weight('lang')} AS w, dd.share AS budget FROM (SELECT domain, lang, sum(cap) AS cap FROM leaf GROUP BY ALL) x JOIN dd USING (domain)")
+    s = _DEAL.format(name="ds", parents="domain, lang", level="source", nodes=f"SELECT x.*, {weight('source')} AS w, dl.share AS budget FROM (SELECT domain, lang, source, sum(cap) AS cap FROM leaf GROUP BY ALL) x JOIN dl USING (domain, lang)")
+    return f"""
+WITH base AS (
+  SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'und') AS lang, (octet_length(encode(coalesce(text, ''))) + 3) // 4 AS n_tokens,
+    CASE WHEN regexp_extract(coalesce(source, 'none'), '([0-9]{{1,9}})', 1) <> '' THEN 'domain' || (regexp_extract(source, '([0-9]{{1,9}})', 1)::BIGINT % 4) ELSE 'domain-other' END AS domain
+  FROM documents
+), leaf AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {max_epochs} AS cap FROM base GROUP BY ALL),
+{d}, {g}, {s},
+plan AS (SELECT leaf.domain, leaf.lang, leaf.source, CASE WHEN tokens = 0 THEN 1 ELSE share // tokens END AS whole, CASE WHEN tokens = 0 THEN 0 ELSE share % tokens END AS part
+  FROM leaf JOIN ds USING (domain, lang, source)),
+k AS (SELECT base.*, whole, part, md5('{seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM base JOIN plan USING (domain, lang, source)),
+c AS (SELECT *, whole + (part > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) <= part)::INT AS copies FROM k)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(copies::BIGINT))::BIGINT AS epoch FROM c
+"""
+
+
+def sharding_sql(limit: int) -> str:
+    return f"""
+WITH base AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+up AS (SELECT *, h >> (60 - d) AS p FROM (SELECT *, unnest(range(61))::INT AS d FROM base)),
+nodes AS (SELECT d, p, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM up GROUP BY d, p HAVING sum(n_bytes) <= {limit} OR min(h) = max(h)),
+f AS (SELECT doc_id, n_bytes, h, min(d) AS d FROM up JOIN nodes USING (d, p) GROUP BY ALL)
+SELECT f.doc_id, f.n_bytes, f.d::BIGINT AS shard_bits, CASE WHEN f.d = 0 THEN '' ELSE lpad(bin(h >> (60 - f.d)), f.d, '0') END AS shard, shard_bytes, shard_rows
+FROM f JOIN nodes ON nodes.d = f.d AND nodes.p = f.h >> (60 - f.d)
+"""
+
+OP1 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(length(x) // 2 - 199)) AS i, x FROM t WHERE length(x) >= 400),
+w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY substr(x, 2 * i + 1, 400)) AS n FROM p),
+g AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM w WHERE n > 1),
+r AS (SELECT doc_id, i, sum(CASE WHEN prev IS NULL OR i > prev + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+s AS (SELECT doc_id, k, min(i) AS lo, max(i) + 200 AS hi FROM r GROUP BY ALL),
+q AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
+c AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last,
+  string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+  FROM q JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN c ON c.doc_id = t.doc_id
+"""
