@@ -1,6 +1,540 @@
-"""Named queries over the driver's tables, and the SQL they are held against."""
+"""Named queries over the driver's tables, and the SQL they are held against.
+
+Each query builds the corpus model from the tables (``sources.corpus``), applies
+one operator and gives plain columns. ``SQL`` has the same in DuckDB's words.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import pagemap, text
+from foliant.operators import collate, entities, layout, mutate, search, stats
+from foliant.plans.search_plan import Planner
+from foliant.sources import bibtex, corpus, texts
+from foliant.sources.corpus import SQL_MODEL, table
+from foliant.streaming import intake
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+HIT = "contains(lower(index_text), '{}')"
+
+
+def query(sql: str | None = None, model: bool = True):
+    """Registers a function under its name; the SQL may use the model's docs, lines and blocks."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = f"WITH {SQL_MODEL.strip()}{sql if sql.lstrip().startswith(',') else ' ' + sql}" if model else sql
+        return f
+
+    return add
+
+
+# --- model and search ------------------------------------------------------------
+
+
+@query("SELECT doc_id, page_num, block_num, line_num, text, block_label FROM lines")
+def lines_from_documents(spark, sf):
+    return corpus.lines(spark, sf).drop("id")
+
+
+@query("SELECT doc_id, page_num, block_num, index_text, block_label FROM blocks")
+def blocks_from_lines(spark, sf):
+    return corpus.blocks(spark, sf).drop("trans")
+
+
+def _found(spark, sf, words: str, **filters):
+    return search.search(corpus.blocks(spark, sf), corpus.documents(spark, sf), corpus.lines(spark, sf), words, **filters)
+
+
+def _bm25(phrases: list[str]) -> str:
+    """CTEs: s (statistics), r (hits with rank) of an AND of phrases over blocks."""
+    counts = ", ".join(f"count(*) FILTER ({HIT.format(p)}) AS n{i}" for i, p in enumerate(phrases))
+    idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
+    f = lambda p: f"len(list_filter(range(1, length(index_text) - {len(p)} + 2), lambda i: substr(lower(index_text), i, {len(p)}) = '{p}'))"
+    score = " + ".join(f"({idf(i)}) * {f(p)} * 2.2 / ({f(p)} + 1.2 * (0.25 + 0.75 * greatest(length(index_text) - 2, 0) / avg_len))" for i, p in enumerate(phrases))
+    hit = " AND ".join(HIT.format(p) for p in phrases)
+    return f""", s AS (SELECT count(*) AS n, avg(greatest(length(index_text) - 2, 0)) AS avg_len, {counts} FROM blocks),
+r AS (SELECT blocks.*, -({score}) AS rank FROM blocks, s WHERE {hit})"""
+
+
+@query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE {HIT.format('hation')}")
+def search_blocks(spark, sf):
+    return _found(spark, sf, "hation").select(search.KEY)
+
+
+@query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE contains({FOLD.format('index_text')}, 'ez')")
+def search_short_word(spark, sf):
+    return _found(spark, sf, "EZ").select(search.KEY)
+
+
+@query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE {HIT.format('of the')}")
+def search_phrase_with_space(spark, sf):
+    return _found(spark, sf, "of the").select(search.KEY)
+
+
+@query(_bm25(["hation"]) + " SELECT doc_id, page_num, block_num, round(rank, 6) AS rank FROM r")
+def search_bm25(spark, sf):
+    return _found(spark, sf, "hation").select(*search.KEY, F.round("rank", 6).alias("rank"))
+
+
+@query(_bm25(["hation"]) + " SELECT doc_id, page_num, block_num FROM r ORDER BY rank, doc_id, page_num, block_num LIMIT 20")
+def search_bm25_topk(spark, sf):
+    return search.page_of(_found(spark, sf, "hation"), 20).select(search.KEY)
+
+
+@query(_bm25(["hation"]) + " SELECT doc_id, count(*) AS hits, round(min(rank), 6) AS best_rank, any_value(title) AS title FROM r JOIN docs ON id = doc_id GROUP BY doc_id")
+def search_grouped(spark, sf):
+    g = search.grouped(_found(spark, sf, "hation"), corpus.documents(spark, sf))
+    return g.select("doc_id", "hits", F.round("best_rank", 6).alias("best_rank"), "title")
+
+
+@query(f"SELECT count(*) AS total, count(DISTINCT doc_id) AS docs FROM blocks WHERE {HIT.format('hation')}")
+def count_hits(spark, sf):
+    return search.count_hits(_found(spark, sf, "hation"))
+
+
+@query(f"SELECT doc_id, page_num, block_num FROM blocks JOIN docs ON id = doc_id WHERE tag = 'primary' AND {HIT.format('hation')}")
+def search_by_source_type(spark, sf):
+    return _found(spark, sf, "hation", source_type="primary").select(search.KEY)
+
+
+@query(f"SELECT doc_id, page_num, block_num FROM blocks JOIN docs ON id = doc_id WHERE substr(bib_date, 1, 4)::INT BETWEEN 1950 AND 1980 AND {HIT.format('hation')}")
+def search_by_year(spark, sf):
+    return _found(spark, sf, "hation", year_from=1950, year_to=1980).select(search.KEY)
+
+
+@query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE block_label IN ('text', 'footer') AND {HIT.format('tion')}")
+def search_label_kept(spark, sf):
+    return _found(spark, sf, "tion", label=["text", "footer"]).select(search.KEY)
+
+
+@query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE block_label <> 'header' AND {HIT.format('tion')}")
+def search_label_dropped(spark, sf):
+    return _found(spark, sf, "tion", exclude=["header"]).select(search.KEY)
+
+
+@query(f"SELECT b.doc_id, b.page_num, b.block_num, l.id AS line_id, l.text AS line_text FROM blocks b JOIN lines l ON l.doc_id = b.doc_id AND l.page_num = b.page_num AND l.block_num = b.block_num AND line_num = 1 WHERE b.doc_id = 24 AND {HIT.format('tion')}")
+def doc_hits(spark, sf):
+    return search.doc_hits(_found(spark, sf, "tion"), corpus.lines(spark, sf), 24).select(*search.KEY, "line_id", "line_text")
+
+
+@query(f"SELECT h.doc_id, h.page_num, h.block_num AS hit_block, b.block_num, b.index_text FROM blocks h JOIN blocks b ON b.doc_id = h.doc_id AND b.page_num = h.page_num AND b.block_num BETWEEN h.block_num - 2 AND h.block_num + 2 WHERE {HIT.format('hation').replace('index_text', 'h.index_text')}")
+def context_window(spark, sf):
+    b = corpus.blocks(spark, sf)
+    return search.context(b, search.with_rank(b, Planner().plan("hation")), 2)
+
+
+@query(_bm25(["hation"]) + " SELECT collection, rn AS turn, doc_id, page_num, block_num FROM (SELECT r.*, collection, row_number() OVER (PARTITION BY collection ORDER BY rank, doc_id, page_num, block_num) AS rn FROM r JOIN docs ON id = doc_id) WHERE rn <= 3")
+def search_across_shelves(spark, sf):
+    d = corpus.documents(spark, sf).select(F.col("id").alias("doc_id"), "collection")
+    return search.interleave(_found(spark, sf, "hation").join(d, "doc_id"), per_shelf=3).select("collection", F.col("turn").cast("long").alias("turn"), *search.KEY)
+
+
+@query(f"SELECT doc_id, page_num, block_num, replace(replace(index_text, '&', '&amp;'), chr(39), '&#x27;') AS marked FROM blocks WHERE {HIT.format('hation')} AND FALSE UNION ALL SELECT doc_id, page_num, block_num, regexp_replace(replace(replace(replace(replace(replace(index_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;'), '(?i)(hation)', '<mark>\\1</mark>', 'g') FROM blocks WHERE {HIT.format('hation')}")
+def highlight_hits(spark, sf):
+    return _found(spark, sf, "hation").select(*search.KEY, text.highlight(F.col("index_text"), ["hation"]).alias("marked"))
+
+
+@query("SELECT id, cite_key, title, author FROM docs WHERE tag = 'secondary' AND (contains(lower(title), 'th') OR contains(lower(author), 'th')) ORDER BY bib_year DESC, id LIMIT 20 OFFSET 20")
+def docs_query_page(spark, sf):
+    return stats.docs_page(corpus.documents(spark, sf), tag="secondary", text="th", sort="bib_year", descending=True, page=2).select("id", "cite_key", "title", "author")
+
+
+@query("SELECT tag, count(*) AS docs FROM docs GROUP BY tag")
+def tag_histogram(spark, sf):
+    return stats.tag_histogram(corpus.documents(spark, sf))
+
+
+@query(
+    """, nb AS (SELECT doc_id, count(*) AS b FROM blocks GROUP BY 1), nl AS (SELECT doc_id, count(*) AS l FROM lines GROUP BY 1)
+SELECT collection, count(*) AS docs, sum(page_count)::BIGINT AS pages, coalesce(sum(b), 0)::BIGINT AS blocks, coalesce(sum(l), 0)::BIGINT AS lines,
+  count(*) FILTER (doc_type = 'ocr') AS ocr_docs, count(*) FILTER (doc_type = 'born-digital') AS born_digital_docs
+FROM docs LEFT JOIN nb ON nb.doc_id = id LEFT JOIN nl ON nl.doc_id = id GROUP BY ROLLUP (collection)"""
+)
+def collection_stats(spark, sf):
+    return stats.collection_stats(corpus.documents(spark, sf), corpus.blocks(spark, sf), corpus.lines(spark, sf), total=True)
+
+
+def _page_states(spark, sf):
+    e = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "error", "error").otherwise("done")
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("int").alias("page_num"), status.alias("status"))
+
+
+@query("SELECT user_id AS doc_id, count(*) FILTER (event_type <> 'error') AS done, count(*) FILTER (event_type = 'error') AS errors, array_to_string(list_sort(list(event_id) FILTER (event_type = 'error')), ',') AS error_pages FROM events GROUP BY user_id", model=False)
+def ocr_state_by_doc(spark, sf):
+    s = stats.page_states(_page_states(spark, sf))
+    return s.select("doc_id", "done", "errors", F.when(F.size("error_pages") > 0, F.array_join("error_pages", ",")).alias("error_pages"))
+
+
+def _search_events(spark, sf):
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        F.col("event_id").alias("id"), k.alias("query"), "ts", (F.col("user_id") % 2).alias("entity_hits"), (F.col("event_id") % 5).alias("total_docs"),
+        (F.col("event_type") == "click").alias("clicked"), (F.col("event_id") % 3 == 0).alias("expanded"),
+    )
+
+
+_EVENTS_SQL = "e AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS query, ts, user_id % 2 AS entity_hits, event_id % 5 AS total_docs, event_type = 'click' AS clicked, event_id % 3 = 0 AS expanded FROM events)"
+
+
+@query(
+    f"""WITH {_EVENTS_SQL}, l AS (SELECT * FROM e ORDER BY id DESC LIMIT 1000),
+a AS (SELECT count(*) AS n, coalesce(avg(clicked::INT), 0) AS ctr, coalesce(avg(clicked::INT) FILTER (entity_hits > 0), 0) AS w, coalesce(avg(clicked::INT) FILTER (entity_hits = 0), 0) AS o,
+  count(*) FILTER (total_docs = 0) AS zero_hit, count(*) FILTER (expanded) AS expanded FROM l)
+SELECT n, round_even(ctr, 4) AS ctr, round_even(w, 4) AS with_entity, round_even(o, 4) AS without_entity, round_even(CASE WHEN o > 0 THEN w / o ELSE 0 END, 4) AS lift, zero_hit, expanded FROM a""",
+    model=False,
+)
+def search_stats(spark, sf):
+    return stats.search_use(_search_events(spark, sf))
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT query, count(*) AS hits, min(ts) AS created_at, max(ts) AS last_seen FROM e WHERE total_docs = 0 GROUP BY query", model=False)
+def search_misses(spark, sf):
+    return stats.search_misses(_search_events(spark, sf))
+
+
+# --- text quality and language ------------------------------------------------------
+
+
+@query(
+    """, f AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_num, line_num) AS rn FROM lines),
+c AS (SELECT doc_id, sum(length(regexp_replace(text, '[^\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]', '', 'g'))) AS cjk, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS latin FROM f WHERE rn <= 400 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN cjk + latin >= 400 AND cjk / (cjk + latin) < 0.02 THEN 'eng' END AS lang FROM c"""
+)
+def detect_language(spark, sf):
+    l = corpus.lines(spark, sf)
+    w = search.Window.partitionBy("doc_id").orderBy("page_num", "block_num", "line_num")
+    f = l.withColumn("rn", F.row_number().over(w)).filter("rn <= 400")
+    n = lambda keep: F.sum(F.length(F.regexp_replace("text", f"[^{keep}]", "")))
+    c = f.groupBy("doc_id").agg(n("㐀-䶿一-鿿").alias("cjk"), n("A-Za-z").alias("latin"))
+    return c.select("doc_id", text.detected_language(F.col("cjk"), F.col("latin")).alias("lang"))
+
+
+@query("SELECT doc_id, page_num, block_num, line_num, CASE WHEN length(trim(text)) = 1 THEN 'single_char' END AS suspect FROM lines")
+def suspect_flags(spark, sf):
+    none = F.lit(None).cast("double")
+    return corpus.lines(spark, sf).select(*search.KEY, "line_num", text.suspect_flags(F.col("text"), F.col("block_label"), none, none, none).alias("suspect"))
+
+
+@query("SELECT id, CASE WHEN id % 5 = 3 THEN 3 WHEN id % 5 = 4 THEN 4 ELSE 3 END AS tri_rows FROM docs")
+def tri_row_mode(spark, sf):
+    return corpus.documents(spark, sf).select("id", text.tri_row_mode(F.col("lang"), (F.col("id") % 5).cast("int")).alias("tri_rows"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[\\pP\\pS\\pZ\\pC]', '', 'g') AS plain FROM documents", model=False)
+def collation_normalise(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalise(F.col("text")).alias("plain"))
+
+
+# --- entities ------------------------------------------------------------------------
+
+NAMES = [(1, "the", ["teh"]), (2, "hation", ["tion"]), (3, "tion", []), (4, "onhand", ["on hand", "the"]), (5, "que", ["qve"]), (6, "ertion", []), (7, "ment", ["ments"]), (8, "aquement", []), (9, "der", ["dem"])]
+_NAMES_SQL = "ent AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {a}::VARCHAR[])" for i, c, a in NAMES) + ") t(id, canonical, aliases))"
+
+
+def _entities(spark):
+    return spark.createDataFrame(NAMES, "id long, canonical string, aliases array<string>")
+
+
+@query(f", {_NAMES_SQL} SELECT DISTINCT id::BIGINT AS entity_id, unnest(list_distinct([canonical] || aliases)) AS name FROM ent")
+def entity_names(spark, sf):
+    return entities.entity_names(_entities(spark))
+
+
+_SURFACES = "sf AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS surface FROM documents)"
+
+
+def _surfaces(spark, sf):
+    return table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("surface")).distinct()
+
+
+_NORM = "regexp_replace({}, '[ \\t\\n\\x0b\\f\\r]+', '', 'g')"
+
+
+@query(f""", {_NAMES_SQL}, {_SURFACES}, a AS (SELECT id, unnest(aliases) AS alias FROM ent),
+n AS (SELECT {_NORM.format("canonical")} AS k, min(id) AS i FROM ent GROUP BY 1), m AS (SELECT {_NORM.format("alias")} AS k, min(id) AS i FROM a GROUP BY 1)
+SELECT surface, coalesce(n.i, m.i)::BIGINT AS entity_id, CASE WHEN n.i IS NOT NULL THEN 'name' WHEN m.i IS NOT NULL THEN 'alias' ELSE 'none' END AS how
+FROM sf LEFT JOIN n ON n.k = {_NORM.format("surface")} LEFT JOIN m ON m.k = {_NORM.format("surface")}""")
+def entity_resolve(spark, sf):
+    return entities.resolve(_surfaces(spark, sf), _entities(spark))
+
+
+_MENTION_SQL = f"""{_NAMES_SQL}, hits AS (SELECT ent.id::BIGINT AS entity_id, canonical AS surface, doc_id, page_num, block_num, row_number() OVER (PARTITION BY doc_id, canonical ORDER BY page_num, block_num) AS rn
+  FROM ent JOIN blocks ON contains({_NORM.format("index_text")}, canonical)), men AS (SELECT * FROM hits WHERE rn <= 20)"""
+
+
+def _mentions(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    names = _entities(spark).select(F.col("id").alias("entity_id"), F.col("canonical").alias("surface"))
+    seeds = docs.join(F.broadcast(names))  # nine names
+    m = entities.anchor_mentions(seeds, corpus.blocks(spark, sf)).filter("page_num IS NOT NULL")
+    return m.join(F.broadcast(names), "surface").withColumn("valid", F.lit(True))
+
+
+@query(f", {_MENTION_SQL} SELECT entity_id, surface, doc_id, page_num, block_num FROM men")
+def mention_anchor(spark, sf):
+    return _mentions(spark, sf).select("entity_id", "surface", "doc_id", "page_num", "block_num")
+
+
+@query(f""", {_MENTION_SQL}, m AS (SELECT DISTINCT entity_id, doc_id, page_num FROM men)
+SELECT a.entity_id, b.entity_id AS other, count(*) AS pages FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.entity_id <> b.entity_id GROUP BY ALL""")
+def entity_neighbors(spark, sf):
+    return entities.neighbours(_mentions(spark, sf))
+
+
+@query(f", {_MENTION_SQL} SELECT ent.id::BIGINT AS entity_id, ent.canonical, count(men.entity_id) AS mentions FROM ent LEFT JOIN men ON men.entity_id = ent.id GROUP BY ALL")
+def entity_mention_counts(spark, sf):
+    return entities.mention_counts(_entities(spark), _mentions(spark, sf))
+
+
+@query(f", {_NAMES_SQL}, a AS (SELECT id, unnest(aliases) AS name FROM ent) SELECT a.id::BIGINT AS alias_of, ent.id::BIGINT AS named, name FROM a JOIN ent ON canonical = name AND a.id <> ent.id")
+def audit_alias_dup(spark, sf):
+    return entities.audit_alias_is_name(_entities(spark))
+
+
+@query(f", {_NAMES_SQL} SELECT i.id::BIGINT AS inner_id, o.id::BIGINT AS outer_id, i.canonical AS inner_name, o.canonical AS outer_name FROM ent i JOIN ent o ON contains(o.canonical, i.canonical) AND length(o.canonical) - length(i.canonical) BETWEEN 1 AND 6")
+def audit_contain(spark, sf):
+    return entities.audit_contained(_entities(spark))
+
+
+@query()
+def audit_repeat(spark, sf):
+    names = _surfaces(spark, sf).select(F.xxhash64("surface").alias("id"), F.col("surface").alias("canonical"))
+    return entities.audit_repeats(names)
+
+
+# --- collation and page maps ------------------------------------------------------------
+
+
+def _transcripts(spark, sf):
+    """Every tenth document as a transcript, its text in pages of 400 characters."""
+    d = table(spark, sf, "documents").filter("doc_id % 10 = 0 AND length(text) BETWEEN 800 AND 6000").select(F.col("doc_id").alias("transcript_id"), "text")
+    p = d.select("transcript_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int")), lambda i: F.substring("text", i * 400 + 1, F.lit(400)))).alias("page_num", "text"))
+    return d, p.withColumn("page_num", F.col("page_num") + 1)
+
+
+_PLAIN = "regexp_replace({}, '[\\pP\\pS\\pZ\\pC]', '', 'g')"
+_ANCHOR_SQL = f"""WITH d AS (SELECT doc_id AS transcript_id, text, {_PLAIN.format("text")} AS plain FROM documents WHERE doc_id % 10 = 0 AND length(text) BETWEEN 800 AND 6000),
+p AS (SELECT transcript_id, (k + 1)::INT AS page_num, {_PLAIN.format("substr(text, k * 400 + 1, 400)")} AS plain FROM (SELECT *, unnest(range((length(text) - 1) // 400 + 1)) AS k FROM d)),
+tg AS (SELECT transcript_id, substr(plain, i + 1, 8) AS g, i FROM (SELECT *, unnest(range(length(plain) - 7)) AS i FROM d WHERE length(plain) >= 8)),
+u AS (SELECT transcript_id, g, min(i) AS pos FROM tg GROUP BY ALL HAVING count(*) = 1),
+pg AS (SELECT transcript_id, page_num, substr(plain, i + 1, 8) AS g FROM (SELECT *, unnest(range(length(plain) - 7)) AS i FROM p WHERE length(plain) >= 8)),
+a AS (SELECT transcript_id, page_num, min(pos)::INT AS pos, count(*) AS hits FROM pg JOIN u USING (transcript_id, g) GROUP BY ALL)"""
+
+
+@query(_ANCHOR_SQL + " SELECT * FROM a", model=False)
+def page_anchor_ngrams(spark, sf):
+    d, p = _transcripts(spark, sf)
+    return collate.page_anchors(p, d)
+
+
+@query()
+def pagemap_ranges(spark, sf):
+    d, p = _transcripts(spark, sf)
+    return collate.page_ranges(collate.page_anchors(p, d), d)
+
+
+def _columns(spark, sf):
+    """Alignments of the first 300 characters of neighbouring documents of a source (a demonstration pairing)."""
+    d = table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("a"))
+    return collate.alignments(d.withColumn("b", F.replace(F.col("a"), F.lit("e"), F.lit("a"))))
+
+
+@query()
+def align_agreement(spark, sf):
+    return collate.agreement(_columns(spark, sf))
+
+
+@query()
+def divergence_clusters(spark, sf):
+    return collate.divergences(_columns(spark, sf)).select("id", "seg", "seg_a", "seg_b", "kind")
+
+
+@query("""SELECT o_orderkey, CASE WHEN x <= 120 THEN (1 + (x - 5) * (99 / 115.0)) ELSE (100 + (x - 120) * (99 / 115.0)) END::DOUBLE AS exact,
+  round_even((CASE WHEN x <= 120 THEN 1 + (x - 5) * (99.0::DOUBLE / 115) ELSE 100 + (x - 120) * (99.0::DOUBLE / 115) END)::DOUBLE, 0)::INT AS printed
+FROM (SELECT o_orderkey, o_orderkey % 300 AS x FROM orders)""".replace("CASE WHEN x <= 120 THEN (1 + (x - 5) * (99 / 115.0)) ELSE (100 + (x - 120) * (99 / 115.0)) END::DOUBLE AS exact,\n  ", ""), model=False)
+def page_number_map(spark, sf):
+    one = spark.createDataFrame([('{"v": 2, "groups": [{"label": "", "anchors": [[1, 5], [100, 120]]}]}',)], "page_map string")
+    maps = F.broadcast(one.select(pagemap.parse(F.col("page_map")).alias("groups")))  # one row
+    pages = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 300).cast("int").alias("pdf"))
+    return pages.join(maps).select("o_orderkey", pagemap.to_printed(F.col("groups"), F.col("pdf")).alias("printed"))
+
+
+# --- layout ---------------------------------------------------------------------------
+
+
+def _boxes(spark, sf):
+    l = table(spark, sf, "lineitem").filter("l_linenumber <= 6").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    x0, y0 = (F.col("l_partkey") % 700).cast("double"), (F.col("l_suppkey") % 900).cast("double")
+    w, h = 20 + F.col("l_quantity") * 4, 10 + F.col("l_linenumber") * 5.0
+    return l.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_num"), F.col("l_linenumber").alias("block_num"), F.array(x0, y0, x0 + w, y0 + h).alias("bbox"), F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
+
+
+def _regions(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    r = F.array(*[F.struct(F.lit(i).alias("region_idx"), F.array(*map(F.lit, b)).alias("bbox"), F.lit(d).alias("direction")) for i, b, d in ((0, (0.0, 0.0, 400.0, 500.0), "h"), (1, (300.0, 200.0, 900.0, 1000.0), "v_rtl"), (2, (0.0, 500.0, 300.0, 1000.0), "v_ltr"))])
+    return o.select("doc_id", F.lit(1).alias("page_num"), F.explode(r).alias("r")).select("doc_id", "page_num", "r.*")
+
+
+_BOX_SQL = """b AS (SELECT l_orderkey AS doc_id, l_linenumber AS block_num, (l_partkey % 700)::DOUBLE AS x0, (l_suppkey % 900)::DOUBLE AS y0,
+  (l_partkey % 700) + 20 + l_quantity * 4 AS x1, (l_suppkey % 900) + 10 + l_linenumber * 5.0 AS y1 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL)),
+r AS (SELECT * FROM (VALUES (0, 0.0, 0.0, 400.0, 500.0, 'h'), (1, 300.0, 200.0, 900.0, 1000.0, 'v_rtl'), (2, 0.0, 500.0, 300.0, 1000.0, 'v_ltr')) t(region_idx, rx0, ry0, rx1, ry1, direction))"""
+_CENTRE = "(x0 + x1) / 2 BETWEEN rx0 AND rx1 AND (y0 + y1) / 2 BETWEEN ry0 AND ry1"
+
+
+@query(f"""WITH {_BOX_SQL} SELECT doc_id, block_num, min(region_idx) AS region_idx FROM b, r
+WHERE ({_CENTRE}) OR greatest(0, least(x1, rx1) - greatest(x0, rx0)) * greatest(0, least(y1, ry1) - greatest(y0, ry0)) / greatest(1e-6, (x1 - x0) * (y1 - y0)) >= 0.5 GROUP BY ALL""", model=False)
+def region_assign(spark, sf):
+    return layout.assign_regions(_boxes(spark, sf), _regions(spark, sf)).select("doc_id", "block_num", "region_idx")
+
+
+@query(f"""WITH {_BOX_SQL}, f AS (SELECT doc_id, block_num, min(region_idx) AS region_idx FROM b, r WHERE {_CENTRE} GROUP BY ALL),
+k AS (SELECT b.*, f.region_idx, CASE direction WHEN 'v_rtl' THEN -(x0 + x1) / 2 WHEN 'v_ltr' THEN (x0 + x1) / 2 WHEN 'h' THEN (y0 + y1) / 2 END AS k1,
+  CASE WHEN direction = 'h' THEN (x0 + x1) / 2 WHEN direction IS NOT NULL THEN (y0 + y1) / 2 END AS k2 FROM b LEFT JOIN f USING (doc_id, block_num) LEFT JOIN r ON r.region_idx = f.region_idx)
+SELECT doc_id, block_num, region_idx, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(region_idx, 99), k1 NULLS LAST, k2 NULLS LAST, block_num) AS new_block FROM k""", model=False)
+def reading_order(spark, sf):
+    return layout.reading_order(_boxes(spark, sf), _regions(spark, sf)).select("doc_id", "block_num", "region_idx", F.col("new_block").cast("long").alias("new_block"))
+
+
+@query(f"""WITH {_BOX_SQL}, n AS (SELECT doc_id, block_num, x0 / 1000 AS a, y0 / 1000 AS t, x1 / 1000 AS c, y1 / 1000 AS d FROM b),
+o AS (SELECT *, greatest(0, least(c, 0.25 + 0.5) - greatest(a, 0.25)) AS iw, greatest(0, least(d, 0.25 + 0.25) - greatest(t, 0.25)) AS ih FROM n)
+SELECT doc_id, block_num FROM o WHERE iw * ih / greatest((c - a) * (d - t), 1e-9) >= 0.3 OR ((a + c) / 2 BETWEEN 0.25 AND 0.75 AND (t + d) / 2 BETWEEN 0.25 AND 0.5 AND iw > 0 AND ih > 0) OR (ih / greatest(d - t, 1e-9) >= 0.5 AND iw > 0)""", model=False)
+def selection_text(spark, sf):
+    return layout.selected(_boxes(spark, sf), 0.25, 0.25, 0.5, 0.25).select("doc_id", "block_num")
+
+
+# --- bibliography -----------------------------------------------------------------------
+
+_KEY_SQL = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"SELECT id, {_KEY_SQL.format('title')} AS title_key FROM docs")
+def title_normalise(spark, sf):
+    return corpus.documents(spark, sf).select("id", text.title_key(F.col("title")).alias("title_key"))
+
+
+@query("""SELECT id, coalesce(nullif(regexp_replace(lower(regexp_split_to_array(author, '[ \t]+')[-1]), '[^a-z]', '', 'g'), ''), 'anon') || bib_year || coalesce(nullif(regexp_replace(lower(regexp_split_to_array(trim(title), '[\\s:,.;]')[1]), '[^a-z0-9]', '', 'g'), ''), 'untitled') AS base FROM docs""")
+def cite_key_base(spark, sf):
+    none = F.lit(None).cast("string")
+    return corpus.documents(spark, sf).select("id", bibtex.cite_key_base(F.col("author"), F.col("bib_year"), none, F.col("title"), none, none).alias("base"))
+
+
+@query("SELECT id, '@misc{' || cite_key || ',' || chr(10) || '  author = {' || author || '},' || chr(10) || '  year = {' || bib_year || '}' || chr(10) || '}' AS entry FROM docs")
+def bibtex_export(spark, sf):
+    d = corpus.documents(spark, sf)
+    f = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (("author", "author"), ("year", "bib_year"))])
+    return d.select("id", bibtex.to_bibtex(F.lit("@misc"), F.col("cite_key"), f).alias("entry"))
+
+
+_MATCH_SQL = f"""d AS (SELECT p_partkey AS id, {_KEY_SQL.format("p_name")} AS dk, {_KEY_SQL.format("regexp_replace(p_brand || '.pdf', '[.][^.]*$', '')")} AS df FROM part),
+e AS (SELECT p_partkey AS entry_id, {_KEY_SQL.format("substr(p_name, 1, 1 + (p_partkey % 9)::INT)")} AS ek FROM part WHERE p_partkey % 40 = 0)"""
+
+
+@query(f"""WITH {_MATCH_SQL}, h AS (SELECT id, entry_id, CASE WHEN dk = ek THEN 1 WHEN df = ek THEN 2 WHEN length(dk) >= 2 AND (contains(dk, ek) OR contains(ek, dk)) THEN 3 WHEN length(df) >= 2 AND (contains(df, ek) OR contains(ek, df)) THEN 4 END AS rank FROM d JOIN e ON ek <> ''),
+g AS (SELECT id, count(*) AS hits, min(entry_id) AS entry_id, min(rank) AS rank FROM h WHERE rank IS NOT NULL GROUP BY id)
+SELECT d.id AS doc_id, CASE WHEN hits IS NULL THEN 'unmatched' WHEN hits = 1 THEN 'matched' ELSE 'ambiguous' END AS status, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN g.entry_id END AS entry_id,
+  CASE WHEN hits = 1 THEN ['exact-title', 'exact-filename', 'substring-title', 'substring-filename'][rank] END AS kind FROM d LEFT JOIN g ON g.id = d.id""", model=False)
+def bib_match(spark, sf):
+    p = table(spark, sf, "part")
+    docs = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat("p_brand", F.lit(".pdf")).alias("filename"))
+    entries = p.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("entry_id"), F.expr("substring(p_name, 1, 1 + cast(p_partkey % 9 AS int))").alias("title"))
+    return bibtex.match_entries(docs, entries)
+
+
+# --- changes --------------------------------------------------------------------------
+
+
+def _tags(how):
+    return lambda spark, sf: corpus.documents(spark, sf).select("id", F.array_join(mutate.set_tags(F.col("source_tags"), ["primary", "new"], how), ",").alias("tags"))
+
+
+QUERIES |= {f"tags_{how}": _tags(how) for how in ("set", "add", "remove")}
+SQL |= {
+    "tags_set": f"WITH {SQL_MODEL.strip()} SELECT id, 'primary,new' AS tags FROM docs",
+    "tags_add": f"WITH {SQL_MODEL.strip()} SELECT id, CASE WHEN tag = 'primary' THEN 'primary,new' ELSE tag || ',primary,new' END AS tags FROM docs",
+    "tags_remove": f"WITH {SQL_MODEL.strip()} SELECT id, tag AS tags FROM docs",
+}
+
+
+@query(", c AS (SELECT id, cite_key, filename FROM docs WHERE id % 4 = 0), h AS (SELECT * FROM docs WHERE id % 2 = 0 AND id % 8 <> 0), n AS (SELECT c.*, row_number() OVER (ORDER BY id) AS rn FROM c WHERE cite_key NOT IN (SELECT cite_key FROM h)) SELECT id, cite_key FROM h UNION ALL SELECT (SELECT max(id) FROM h) + rn, cite_key FROM n")
+def import_merge(spark, sf):
+    d = corpus.documents(spark, sf).select("id", "cite_key", "filename")
+    return mutate.import_documents(d.filter("id % 2 = 0 AND id % 8 <> 0"), d.filter("id % 4 = 0"))[0].select("id", "cite_key")
+
+
+@query("SELECT doc_id, page_num, block_num, '[t] ' || index_text AS old_value, '[t] ' || replace(index_text, 'tion', 'sion') AS new_value FROM blocks WHERE contains(index_text, 'tion')")
+def revision_diff(spark, sf):
+    b = corpus.blocks(spark, sf)
+    return mutate.page_edit_log(b, b.withColumn("index_text", F.replace(F.col("index_text"), F.lit("tion"), F.lit("sion"))), {"index_text": "[t] "})
+
+
+@query("SELECT doc_id, page_num, block_num, line_num, CASE WHEN id % 11 = 0 THEN replace(text, 'e', 'E') ELSE text END AS text FROM lines")
+def edit_lines(spark, sf):
+    l = corpus.lines(spark, sf)
+    return mutate.edit_lines(l, l.filter("id % 11 = 0").select("id", F.replace(F.col("text"), F.lit("e"), F.lit("E")).alias("new_text")))[0].select(*search.KEY, "line_num", "text")
+
+
+@query("SELECT doc_id, page_num, block_num, line_num FROM lines WHERE doc_id % 9 <> 0")
+def remove_documents(spark, sf):
+    ids = corpus.documents(spark, sf).filter("id % 9 = 0").select("id")
+    return mutate.remove_documents({"lines": corpus.lines(spark, sf)}, ids)["lines"].select(*search.KEY, "line_num")
+
+
+@query("SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 3 <> 0 AND NOT (c_custkey % 3 = 1 AND c_custkey IN (SELECT o_custkey FROM orders))", model=False)
+def pending_ocr(spark, sf):
+    c = table(spark, sf, "customer")
+    kind = F.when(F.col("c_custkey") % 3 == 0, "ocr").when(F.col("c_custkey") % 3 == 1, "pdf_native").otherwise("scan")
+    docs = c.select(F.col("c_custkey").alias("id"), kind.alias("doc_type"), F.concat(F.col("c_name"), F.lit(".PDF")).alias("filename"))
+    return stats.pending_ocr(docs, table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"))).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'duplicate' WHEN s_suppkey % 5 = 0 THEN 'failed' WHEN s_suppkey % 3 = 0 THEN 'unstable' ELSE 'new' END AS verdict FROM supplier WHERE s_suppkey % 7 <> 0", model=False)
+def directory_diff(spark, sf):
+    s = table(spark, sf, "supplier")
+    t = F.timestamp_seconds(F.lit(1_700_000_000) - F.when(F.col("s_suppkey") % 3 == 0, 5).otherwise(600))
+    name = F.concat("s_name", F.when(F.col("s_suppkey") % 7 == 0, ".part").otherwise(".pdf"))
+    l = s.select(F.lit("shelf").alias("collection"), name.alias("name"), t.alias("mtime"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("seen_at"), "s_suppkey")
+    docs = l.filter("s_suppkey % 2 = 0").select("collection", F.col("name").alias("filename"))
+    got = intake.scan(l, docs, l.filter("s_suppkey % 5 = 0"))
+    return got.select(F.regexp_replace("name", r"\.pdf$", "").alias("name"), "verdict")
+
+
+@query("SELECT p_name AS filename, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS collections FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1", model=False)
+def cross_shelf_names(spark, sf):
+    d = table(spark, sf, "part").select(F.col("p_name").alias("filename"), F.col("p_brand").alias("collection"))
+    return stats.same_name_elsewhere(d).select("filename", F.array_join("collections", ",").alias("collections"))
+
+
+@query("""WITH t AS (SELECT *, row_number() OVER w AS back, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
+SELECT conv_id, turn, role, text FROM t WHERE back <= 4 AND chars <= 900""".replace("OVER (w ROWS UNBOUNDED PRECEDING)", "OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)"), model=False)
+def chat_tail(spark, sf):
+    return stats.chat_tail(table(spark, sf, "conversations"), 4, 900)
+
+
+@query("SELECT doc_id, count(*) AS missing_rows, sum(length(text))::BIGINT AS missing_chars FROM lines WHERE line_num % 3 <> 0 GROUP BY doc_id")
+def missing_translation(spark, sf):
+    l = corpus.lines(spark, sf).withColumn("trans", F.when(F.col("line_num") % 3 == 0, F.col("text")).otherwise(" "))
+    return stats.missing_translation(l)
+
+
+@query("SELECT doc_id, page_num, block_num, index_text FROM (SELECT b.*, dense_rank() OVER (ORDER BY doc_id) AS dr, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_num) AS rn FROM blocks b) WHERE rn <= 3 AND dr <= 10")
+def wiki_samples(spark, sf):
+    b = corpus.blocks(spark, sf)
+    first = b.select("doc_id").distinct().orderBy("doc_id").limit(10)
+    w = search.Window.partitionBy("doc_id").orderBy("page_num", "block_num")
+    return b.join(first, "doc_id", "left_semi").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("doc_id", "page_num", "block_num", "index_text")
+
+
+@query("SELECT doc_id, '# ' || title || chr(10) || chr(10) || author || chr(10) || chr(10) || string_agg(index_text, chr(10) || chr(10) ORDER BY page_num, block_num) AS markdown FROM blocks JOIN docs ON id = doc_id GROUP BY doc_id, title, author")
+def export_markdown(spark, sf):
+    return texts.export_markdown(corpus.lines(spark, sf), corpus.documents(spark, sf))
