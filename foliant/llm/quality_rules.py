@@ -171,7 +171,8 @@ def quality_rules(
     lab = labels.select(F.col(id_col).cast("long").alias("id"), (F.col("quality") == 1).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("bad"))
     lab = lab.groupBy("id").agg(F.min("good").alias("good"), F.max("bad").alias("bad"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    trusted = texts.join(lab, "id", "left").select("text", (F.col("good") & ~F.col("bad")).alias("trusted"))
+    # Labels grow with the corpus: the same join at every size, not a broadcast while they are few.
+    trusted = texts.join(lab.hint("merge"), "id", "left").select("text", (F.col("good") & ~F.col("bad")).alias("trusted"))
     ratio = log_ratio(gram_counts(trusted))
     scored = materialize(document_scores(docs, id_col, text_col, ratio), "quality-scores")
     cut = best_threshold(scored, lab, F.col("good").cast("int")) if threshold is None else threshold
