@@ -76,9 +76,9 @@ FROM f JOIN nodes ON nodes.d = f.d AND nodes.p = f.h >> (60 - f.d)
 
 OP1 = """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, unnest(range(length(x) // 2 - 199)) AS i, x FROM t WHERE length(x) >= 400),
-w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY substr(x, 2 * i + 1, 400)) AS n FROM p),
-g AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM w WHERE n > 1),
+p AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, unnest(range(length(x) // 2 - 199)) AS i, x FROM t WHERE length(x) >= 400)),
+w AS (SELECT doc_id, i, n FROM p JOIN (SELECT k, count(*) AS n FROM p GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM w),
 r AS (SELECT doc_id, i, sum(CASE WHEN prev IS NULL OR i > prev + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
 s AS (SELECT doc_id, k, min(i) AS lo, max(i) + 200 AS hi FROM r GROUP BY ALL),
 q AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
