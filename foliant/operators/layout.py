@@ -32,7 +32,7 @@ def assign_regions(blocks: DataFrame, regions: DataFrame, least_share: float | N
     hit = centre_in(b, q)
     if least_share is not None:
         hit = hit | (w * h / F.greatest(F.lit(1e-6), (b[2] - b[0]) * (b[3] - b[1])) >= least_share)
-    found = blocks.join(r, key).filter(hit).groupBy(*key, "block_num").agg(F.min("region_idx").alias("region_idx"))
+    found = blocks.filter(F.size("bbox") == 4).join(r, key).filter(hit).groupBy(*key, "block_num").agg(F.min("region_idx").alias("region_idx"))
     return blocks.join(found, [*key, "block_num"], "left" if keep_all else "inner")
 
 
@@ -57,7 +57,7 @@ def selected(blocks: DataFrame, x: float, y: float, w: float, h: float) -> DataF
     iw, ih = overlap(n, sel)
     area = F.greatest((n[2] - n[0]) * (n[3] - n[1]), F.lit(1e-9))
     tall = ih / F.greatest(n[3] - n[1], F.lit(1e-9)) >= 0.5
-    return blocks.filter((iw * ih / area >= 0.30) | (centre_in(n, sel) & (iw > 0) & (ih > 0)) | (tall & (iw > 0)))
+    return blocks.filter((F.size("bbox") == 4) & ((iw * ih / area >= 0.30) | (centre_in(n, sel) & (iw > 0) & (ih > 0)) | (tall & (iw > 0))))
 
 
 def valid_rect(x: Column, y: Column, w: Column, h: Column) -> Column:

@@ -43,13 +43,13 @@ def set_tags(tags: Column, change: list[str], how: str) -> Column:
 
 def edit_lines(lines: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, new_text) -> lines with the texts, their flags cleared; and a log row for each change. Blocks are derived again."""
-    both = lines.join(edits, "id", "left")
-    changed = F.col("new_text").isNotNull() & ~F.col("new_text").eqNullSafe(F.col("text"))
+    both = lines.join(edits, "id", "left").withColumn("_changed", F.col("new_text").isNotNull() & ~F.col("new_text").eqNullSafe(F.col("text")))
+    changed = F.col("_changed")
     log = both.filter(changed).select(*KEY, F.col("text").alias("old_value"), F.col("new_text").alias("new_value"))
     new = both.withColumn("text", F.when(changed, F.col("new_text")).otherwise(F.col("text")))
     if "suspect" in lines.columns:
         new = new.withColumn("suspect", F.when(~changed, F.col("suspect")))
-    return new.drop("new_text"), log
+    return new.drop("new_text", "_changed"), log
 
 
 def page_edit_log(old: DataFrame, new: DataFrame, layers: dict[str, str]) -> DataFrame:
