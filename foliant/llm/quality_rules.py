@@ -4,9 +4,10 @@ The ratio compares two multinomials over hashed one- and two-token grams: one
 counted on trusted documents (labelled good and not toxic), one on the whole
 corpus. A document's score is the mean of ``log p_trusted - log p_corpus`` over
 its grams, so length doesn't matter. Counts cover every document and come to the
-driver only as ``2 * buckets`` numbers. The threshold is the point that best
-separates labelled good from labelled bad documents (or the parameter): a
-histogram of their scores is all that is gathered for it.
+driver only as ``2 * buckets`` numbers. The threshold is a parameter, or else is
+read from a histogram of the scores of labelled documents: the lowest point that
+separates good from bad nearly (within ``TOLERANCE``) as well as the best one, so
+that doubtful documents are kept.
 
 Tokens for the ratio are runs of letters and digits (any non-ASCII byte counts as
 a letter) and runs of other non-space characters, A-Z lower-cased.
@@ -28,6 +29,8 @@ from foliant.llm.common import chunks, grams, lower_table, materialize, prefix_h
 BUCKETS = 1 << 14
 #: Bins of the histogram that the threshold is read from.
 BINS = 4096
+#: What a lower threshold may lose of (share of bad below) - (share of good below).
+TOLERANCE = 0.01
 _SPAN = 16.0  # scores are held to -16 .. 16 in the histogram
 
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter or digit, 2 other
@@ -144,7 +147,7 @@ def document_scores(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarr
 
 
 def best_threshold(scored: DataFrame, labels: DataFrame, good: F.Column) -> float:
-    """Score that separates labelled good from bad best; of equal ones the lowest. Reads one histogram."""
+    """Lowest score that separates labelled good from bad within TOLERANCE of the best. Reads one histogram."""
     bin_ = F.floor((F.greatest(F.lit(-_SPAN), F.least(F.lit(_SPAN), F.col("score"))) + _SPAN) * (BINS / (2 * _SPAN)))
     hist = scored.join(labels, "id").groupBy(bin_.alias("bin"), good.alias("good")).count().collect()
     n = np.zeros((2, BINS + 1))
@@ -154,7 +157,8 @@ def best_threshold(scored: DataFrame, labels: DataFrame, good: F.Column) -> floa
     if not n.sum(1).all():
         return -np.inf
     below = np.cumsum(n, 1) / n.sum(1, keepdims=True)
-    at = int(np.argmax(below[0] - below[1]))
+    apart = below[0] - below[1]
+    at = int(np.argmax(apart >= apart.max() - TOLERANCE))
     return (at + 1) * 2 * _SPAN / BINS - _SPAN
 
 
