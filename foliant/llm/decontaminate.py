@@ -33,7 +33,7 @@ from foliant.llm.common import chunks, mix, strings
 
 #: Classes of item lengths (least bytes, stride of document windows).
 CLASSES = ((64, 32), (32, 12), (16, 4))
-SAMPLED = 6
+SAMPLED = 10
 #: Greatest size of a class's table of item windows, in bytes; beyond it items are taken in blocks.
 TABLE_BYTES = 64 << 20
 
@@ -43,8 +43,8 @@ def normal(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
-def tables_for(recall: float, windows: int, agree: float = 0.6, sampled: int = SAMPLED) -> int:
-    """Tables that find one of ``windows`` windows, whose places agree at a rate, with a chance of ``recall``."""
+def tables_for(recall: float, windows: int, agree: float = 0.75, sampled: int = SAMPLED) -> int:
+    """Tables that find one of ``windows`` windows, whose walks agree in a share ``agree`` of places, with a chance of ``recall``."""
     return max(4, math.ceil(math.log(1 - recall) / (windows * math.log(1 - agree**sampled))))
 
 
@@ -88,7 +88,8 @@ class ItemTable:
         least = min(len(t) for _, t in items)
         self.items, self.stride, self.width = items, stride, least - stride + 1
         steps = max(SAMPLED, int(1.8 * self.width))
-        tables = -(-tables_for(recall, max(1, (least - self.width + 1) // stride)) // walks)
+        windows = (sorted(len(t) for _, t in items)[len(items) // 2] - self.width) // stride + 1
+        tables = -(-tables_for(recall, windows) // walks)
         self.walks = [Walk(steps, tables, seed) for seed in range(walks)]
         buf, off = _padded([t for _, t in items], steps)
         starts = [np.arange(len(t) - self.width + 1) for _, t in items]
@@ -162,9 +163,9 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     max_edits_percent: int = 10,
-    recall: float = 0.95,
+    recall: float = 0.99,
     walks: int = 2,
-    least_share: float = 0.3,
+    least_share: float = 0.5,
 ) -> DataFrame:
     """doc_id, item_id, distance, start, end: each pair of a document and an item found in it, at its best place.
 
