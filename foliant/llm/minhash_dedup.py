@@ -9,10 +9,14 @@
 3. Candidates that the sketch doesn't rule out are confirmed on the full sets of
    words, read from the texts again. Confirmed links give components.
 
-Within a bucket no pairs are enumerated: round one confirms each member against
-its best bucket centre, round two against its other centres, and only members of
-one bucket that are *still in different components* are then compared in full.
-Pairs inside one component need no check, as they can't change the result.
+Within a bucket no pairs are made: round one confirms each member against its
+best bucket centre, round two against its other centres. Members of one bucket
+that are *still in different components* are then held against each other inside
+a task, in blocks of bounded size, by a parity bitmap of their full sets: its XOR
+population count never exceeds the symmetric difference, so it rules out no link,
+and lets few other pairs through to the check on texts. Of many such pairs that
+would join the same two components the closest go first. Pairs inside one
+component need no check, as they can't change the result.
 
 Null or blank texts have an empty set and are linked with nothing; a null id
 gives a row with a null component that is kept. Rows with a repeated id belong
@@ -42,6 +46,10 @@ from foliant.llm.common import (
 from foliant.llm.components import components
 
 ROWS, BANDS, SKETCH_WORDS = 4, 24, 8
+#: Bits of the parity bitmap of a full set.
+PARITY_BITS = 2048
+#: Members of a bucket that a task compares at once.
+BLOCK = 4096
 
 
 @functools.lru_cache(2)
@@ -69,7 +77,7 @@ def shingle_sets(buf, off, k):
 
 
 def _describe(sets: list[np.ndarray], rows: int, bands: int):
-    """Class hash (two words), band keys and odd sketch of each set that isn't empty."""
+    """Class hash (two words), band keys, odd sketch and parity bitmap of each set that isn't empty."""
     k, n = rows * bands, len(sets)
     flat, cut = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
     whole = np.stack([np.add.reduceat(mix(flat ^ np.uint64(c)), cut) for c in (0x51ED270B, 0xA0761D64)], 1)
@@ -82,11 +90,13 @@ def _describe(sets: list[np.ndarray], rows: int, bands: int):
     size = 64 * SKETCH_WORDS
     bit = (mix(low + np.arange(k, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(size)).astype(np.int64)
     odd = np.bincount((np.arange(n)[:, None] * size + bit).ravel(), minlength=n * size).reshape(n, size) & 1
-    return whole.view(np.int64), keys.view(np.int64), np.packbits(odd.astype(np.uint8), 1).view(np.int64)
+    at = np.repeat(np.arange(n) * PARITY_BITS, [len(x) for x in sets]) + (flat % np.uint64(PARITY_BITS)).astype(np.int64)
+    parity = np.bincount(at, minlength=n * PARITY_BITS).reshape(n, PARITY_BITS) & 1
+    return whole.view(np.int64), keys.view(np.int64), np.packbits(odd.astype(np.uint8), 1).view(np.int64), np.packbits(parity.astype(np.uint8), 1)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int, bands: int) -> DataFrame:
-    """id, n_shingles, class hash c0/c1, band keys, sketch words; all but n_shingles null for an empty set."""
+    """id, n_shingles, class hash c0/c1, band keys, sketch words, parity; the rest null for an empty set."""
 
     def run(batches):
         for batch in batches:
@@ -95,18 +105,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows:
             for i, j in chunks(off):
                 sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
                 full = [x for x, s in enumerate(sets) if len(s)]
-                c0, c1, keys, odd = ([None] * len(sets) for _ in range(4))
+                c0, c1, keys, odd, parity = ([None] * len(sets) for _ in range(5))
                 if full:
-                    whole, kk, oo = _describe([sets[x] for x in full], rows, bands)
+                    whole, kk, oo, pp = _describe([sets[x] for x in full], rows, bands)
                     for at, x in enumerate(full):
-                        c0[x], c1[x], keys[x], odd[x] = int(whole[at, 0]), int(whole[at, 1]), kk[at].tolist(), oo[at].tolist()
+                        c0[x], c1[x], keys[x], odd[x], parity[x] = int(whole[at, 0]), int(whole[at, 1]), kk[at].tolist(), oo[at].tolist(), pp[at].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "c0", "c1", "keys", "odd"],
+                    [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
+                    ["id", "n_shingles", "c0", "c1", "keys", "odd", "parity"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, c0 long, c1 long, keys array<long>, odd array<long>"
+        run, "id long, n_shingles long, c0 long, c1 long, keys array<long>, odd array<long>, parity binary"
     )
 
 
@@ -117,9 +127,8 @@ def _word_sets(text: str, k: int) -> set:
     return set(zip(*(w[i:] for i in range(k))))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         last, left = None, set()
@@ -136,7 +145,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shing
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    # Pairs grow with the corpus: a sort-merge join at every size.
+    both = pairs.select("a", "b").hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -148,6 +158,74 @@ def _similar(a: str, b: str, samples: int) -> F.Column:
     return 1 - gone / (2 * samples)
 
 
+def _closest(ids, roots, size, bits, left, right, percent, cap):
+    """Pairs of different roots that the bitmaps allow, the closest ``cap`` for two roots, and whether there are more."""
+    share, got = (100 - percent) / (100 + percent), []
+    for lo in range(0, len(left), 16):
+        i = left[lo : lo + 16]
+        gone = np.bitwise_count(bits[i][:, None, :] ^ bits[right][None]).sum(2, dtype=np.int64)
+        most = share * (size[i][:, None] + size[right][None])
+        ok = (gone <= most + 1e-9) & (roots[i][:, None] != roots[right][None])
+        x, y = np.nonzero(ok)
+        got.append(np.stack([i[x], right[y], (1e6 * gone[x, y] / np.maximum(most[x, y], 1)).astype(np.int64)]))
+    x, y, far = np.concatenate(got, 1) if got else np.zeros((3, 0), np.int64)
+    once = ids[x] < ids[y]
+    swap = ~once & (len(left) != len(right) or (left != right).any())
+    x, y = np.where(swap, y, x)[once | swap], np.where(swap, x, y)[once | swap]
+    far = far[once | swap]
+    lo, hi = np.minimum(roots[x], roots[y]), np.maximum(roots[x], roots[y])
+    order = np.lexsort((ids[y], ids[x], far, hi, lo))
+    x, y, lo, hi = x[order], y[order], lo[order], hi[order]
+    first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(x) else np.zeros(0, np.int64)
+    rank = np.arange(len(x)) - np.repeat(first, np.diff(np.concatenate([first, [len(x)]])))
+    return ids[x[rank < cap]], ids[y[rank < cap]], bool((rank >= cap).any())
+
+
+def compare_open(placed: DataFrame, percent: int, cap: int) -> DataFrame:
+    """(band, key, id, root, n_shingles, parity) of buckets with several roots -> pairs (a, b) to confirm, more."""
+    size = placed.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cells = placed.join(materialize(size, "bucket-sizes"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A member of block k meets all blocks: as the left side of (k, y) for y >= k, as the right side of (x, k) for x < k.
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root", "n_shingles", "parity")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(parts, "band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
+
+    def settle(t: pa.Table) -> pa.RecordBatch:
+        col = lambda k: t.column(k).to_numpy()
+        cell = np.stack([col(k).astype(np.int64) for k in ("band", "key", "x", "y")])
+        cut = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(0), [True]]))
+        ids, roots, size, own = col("id"), col("root"), col("n_shingles"), col("own")
+        bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(ids), -1)
+        out = []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            at = np.arange(lo, hi)
+            left, right = (at, at) if cell[2, lo] == cell[3, lo] else (at[own[at] == cell[2, lo]], at[own[at] == cell[3, lo]])
+            out.append(_closest(ids, roots, size, bits, left, right, percent, cap))
+        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        more = np.concatenate([np.full(len(o[0]), o[2]) for o in out])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            same = np.ones(t.num_rows, bool)
+            for k in ("band", "key", "x", "y"):
+                c = t.column(k).to_numpy()
+                same &= c == c[-1]
+            cut = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0  # the last cell may go on
+            rest = t.slice(cut)
+            if cut:
+                yield settle(t.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield settle(rest)
+
+    return cells.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -167,7 +245,7 @@ def near_duplicates(
     full = sigs.filter("c0 IS NOT NULL AND id IS NOT NULL")
     classes = materialize(full.groupBy("c0", "c1").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "keys", "odd"), "reps")
+    reps = materialize(reps.select("id", "n_shingles", "keys", "odd", "parity"), "reps")
 
     # A centre is the member with the least id after a bandwise exclusive or: as good as random, and a plain minimum.
     flip = lambda c, band: c.bitwiseXOR(F.xxhash64(band).bitwiseAND(F.lit(2**62 - 1)))
@@ -184,8 +262,13 @@ def near_duplicates(
     stars = member.join(buckets, ["band", "key"]).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialize(likely(stars), "stars")
 
+    # Only members of shared buckets are ever confirmed: their texts are taken from the table once.
+    shared = member.join(buckets, ["band", "key"], "left_semi").select(F.col("id").alias("member")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = materialize(texts.join(shared.hint("merge"), F.col("id") == F.col("member"), "left_semi"), "candidate-texts")
+
     best = stars.groupBy("b").agg(F.max(F.struct("sim", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    comp = components(confirm(best, docs, id_col, text_col, shingle, percent))
+    comp = components(confirm(best, texts, shingle, percent))
 
     def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components as yet."""
@@ -196,19 +279,22 @@ def near_duplicates(
         """Components after the pairs that hold up on full sets."""
         if pairs.isEmpty():
             return comp
-        links = confirm(pairs, docs, id_col, text_col, shingle, percent)
+        links = confirm(pairs, texts, shingle, percent)
         return components(links.union(comp.select("node", "root")))
 
     comp = joined(materialize(across(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comp), "pairs-2"), comp)
 
-    # Buckets whose members are still in more than one component: their pairs across components, in full.
-    placed = member.join(buckets, ["band", "key"], "left_semi").join(comp, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
-    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
-    placed = materialize(placed.join(open_, ["band", "key"], "left_semi"), "open-buckets")
-    other = placed.select("band", "key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    rest = placed.withColumnRenamed("id", "a").join(other, ["band", "key"]).filter("a < b AND root <> rb").select("a", "b").distinct()
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = joined(materialize(likely(rest.join(seen, ["a", "b"], "left_anti")).select("a", "b"), "pairs-3"), comp)
+    # Buckets whose members are still in more than one component.
+    cap = 32
+    while True:
+        placed = member.join(buckets, ["band", "key"], "left_semi").join(comp, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
+        open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
+        placed = placed.join(open_, ["band", "key"], "left_semi").join(reps.select("id", "n_shingles", "parity"), "id")
+        rest = materialize(compare_open(materialize(placed, "open-buckets"), percent, cap), "pairs-3")
+        comp = joined(rest, comp)
+        if not rest.filter("more").take(1):
+            break
+        cap *= 64
 
     classes = materialize(
         classes.join(comp, F.col("rep") == F.col("node"), "left").select("c0", "c1", F.coalesce("root", "rep").alias("root")), "class-components"

@@ -100,7 +100,8 @@ def filtered(
         date = F.col("bib_date") if year_source == "date" else F.coalesce("bib_date", "bib_year")
         year = sqlite_year(date)
         d = d.filter(_all([year >= year_from] * (year_from is not None) + [year <= year_to] * (year_to is not None)))
-    hits = hits.join(d.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    if d is not docs:  # blocks go with their documents: no join where none is filtered
+        hits = hits.join(d.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     if doc_id is not None:
         hits = hits.filter(F.col("doc_id") == doc_id)
     if label:
@@ -159,7 +160,8 @@ def name_expansions(names: DataFrame, entities: DataFrame, planner: Planner, que
     return list(dict.fromkeys(found))
 
 
-def search(blocks: DataFrame, docs: DataFrame, lines: DataFrame, query: str, planner: Planner | None = None, names: list[str] | None = None, **filters) -> DataFrame:
-    """Ranked blocks of a query; an empty plan gives no rows."""
+def search(blocks: DataFrame, docs: DataFrame, lines: DataFrame, query: str, planner: Planner | None = None, names: list[str] | None = None, ranked: bool = True, **filters) -> DataFrame:
+    """Blocks of a query, with their rank unless only the set is asked for; an empty plan gives no rows."""
     plan = (planner or Planner()).plan(query, names)
-    return filtered(with_rank(blocks, plan), docs, lines, **filters)
+    hits = with_rank(blocks, plan) if ranked else blocks.filter(matches(plan))
+    return filtered(hits, docs, lines, **filters)

@@ -47,7 +47,7 @@ def lines_from_documents(spark, sf):
 
 @query("SELECT doc_id, page_num, block_num, index_text, block_label FROM blocks")
 def blocks_from_lines(spark, sf):
-    return corpus.blocks(spark, sf).drop("trans")
+    return corpus.blocks_of(corpus.lines(spark, sf)).drop("trans")
 
 
 def _found(spark, sf, words: str, **filters):
@@ -67,17 +67,17 @@ r AS (SELECT blocks.*, -({score}) AS rank FROM blocks, s WHERE {hit})"""
 
 @query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE {HIT.format('hation')}")
 def search_blocks(spark, sf):
-    return _found(spark, sf, "hation").select(search.KEY)
+    return _found(spark, sf, "hation", ranked=False).select(search.KEY)
 
 
 @query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE contains({FOLD.format('index_text')}, 'ez')")
 def search_short_word(spark, sf):
-    return _found(spark, sf, "EZ").select(search.KEY)
+    return _found(spark, sf, "EZ", ranked=False).select(search.KEY)
 
 
 @query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE {HIT.format('of the')}")
 def search_phrase_with_space(spark, sf):
-    return _found(spark, sf, "of the").select(search.KEY)
+    return _found(spark, sf, "of the", ranked=False).select(search.KEY)
 
 
 @query(_bm25(["hation"]) + " SELECT doc_id, page_num, block_num, round(rank, 6) AS rank FROM r")
@@ -98,38 +98,38 @@ def search_grouped(spark, sf):
 
 @query(f"SELECT count(*) AS total, count(DISTINCT doc_id) AS docs FROM blocks WHERE {HIT.format('hation')}")
 def count_hits(spark, sf):
-    return search.count_hits(_found(spark, sf, "hation"))
+    return search.count_hits(_found(spark, sf, "hation", ranked=False))
 
 
 @query(f"SELECT doc_id, page_num, block_num FROM blocks JOIN docs ON id = doc_id WHERE tag = 'primary' AND {HIT.format('hation')}")
 def search_by_source_type(spark, sf):
-    return _found(spark, sf, "hation", source_type="primary").select(search.KEY)
+    return _found(spark, sf, "hation", ranked=False, source_type="primary").select(search.KEY)
 
 
 @query(f"SELECT doc_id, page_num, block_num FROM blocks JOIN docs ON id = doc_id WHERE substr(bib_date, 1, 4)::INT BETWEEN 1950 AND 1980 AND {HIT.format('hation')}")
 def search_by_year(spark, sf):
-    return _found(spark, sf, "hation", year_from=1950, year_to=1980).select(search.KEY)
+    return _found(spark, sf, "hation", ranked=False, year_from=1950, year_to=1980).select(search.KEY)
 
 
 @query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE block_label IN ('text', 'footer') AND {HIT.format('tion')}")
 def search_label_kept(spark, sf):
-    return _found(spark, sf, "tion", label=["text", "footer"]).select(search.KEY)
+    return _found(spark, sf, "tion", ranked=False, label=["text", "footer"]).select(search.KEY)
 
 
 @query(f"SELECT doc_id, page_num, block_num FROM blocks WHERE block_label <> 'header' AND {HIT.format('tion')}")
 def search_label_dropped(spark, sf):
-    return _found(spark, sf, "tion", exclude=["header"]).select(search.KEY)
+    return _found(spark, sf, "tion", ranked=False, exclude=["header"]).select(search.KEY)
 
 
 @query(f"SELECT b.doc_id, b.page_num, b.block_num, l.id AS line_id, l.text AS line_text FROM blocks b JOIN lines l ON l.doc_id = b.doc_id AND l.page_num = b.page_num AND l.block_num = b.block_num AND line_num = 1 WHERE b.doc_id = 24 AND {HIT.format('tion')}")
 def doc_hits(spark, sf):
-    return search.doc_hits(_found(spark, sf, "tion"), corpus.lines(spark, sf), 24).select(*search.KEY, "line_id", "line_text")
+    return search.doc_hits(_found(spark, sf, "tion", ranked=False), corpus.lines(spark, sf), 24).select(*search.KEY, "line_id", "line_text")
 
 
 @query(f"SELECT h.doc_id, h.page_num, h.block_num AS hit_block, b.block_num, b.index_text FROM blocks h JOIN blocks b ON b.doc_id = h.doc_id AND b.page_num = h.page_num AND b.block_num BETWEEN h.block_num - 2 AND h.block_num + 2 WHERE {HIT.format('hation').replace('index_text', 'h.index_text')}")
 def context_window(spark, sf):
     b = corpus.blocks(spark, sf)
-    return search.context(b, search.with_rank(b, Planner().plan("hation")), 2)
+    return search.context(b, b.filter(search.matches(Planner().plan("hation"))), 2)
 
 
 @query(_bm25(["hation"]) + " SELECT collection, rn AS turn, doc_id, page_num, block_num FROM (SELECT r.*, collection, row_number() OVER (PARTITION BY collection ORDER BY rank, doc_id, page_num, block_num) AS rn FROM r JOIN docs ON id = doc_id) WHERE rn <= 3")
@@ -140,7 +140,7 @@ def search_across_shelves(spark, sf):
 
 @query(f"SELECT doc_id, page_num, block_num, replace(replace(index_text, '&', '&amp;'), chr(39), '&#x27;') AS marked FROM blocks WHERE {HIT.format('hation')} AND FALSE UNION ALL SELECT doc_id, page_num, block_num, regexp_replace(replace(replace(replace(replace(replace(index_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;'), '(?i)(hation)', '<mark>\\1</mark>', 'g') FROM blocks WHERE {HIT.format('hation')}")
 def highlight_hits(spark, sf):
-    return _found(spark, sf, "hation").select(*search.KEY, text.highlight(F.col("index_text"), ["hation"]).alias("marked"))
+    return _found(spark, sf, "hation", ranked=False).select(*search.KEY, text.highlight(F.col("index_text"), ["hation"]).alias("marked"))
 
 
 @query("SELECT id, cite_key, title, author FROM docs WHERE tag = 'secondary' AND (contains(lower(title), 'th') OR contains(lower(author), 'th')) ORDER BY bib_year DESC, id LIMIT 20 OFFSET 20")
