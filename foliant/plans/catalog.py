@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import pagemap, text
-from foliant.operators import collate, entities, layout, mutate, search, stats
+from foliant.functions import folds, pagemap, text
+from foliant.operators import collate, entities, layout, mutate, search, side_hits, stats
 from foliant.plans.search_plan import Planner
 from foliant.sources import bibtex, corpus, texts
 from foliant.sources.corpus import SQL_MODEL, table
@@ -538,3 +538,48 @@ def wiki_samples(spark, sf):
 @query("SELECT doc_id, '# ' || title || chr(10) || chr(10) || author || chr(10) || chr(10) || string_agg(index_text, chr(10) || chr(10) ORDER BY page_num, block_num) AS markdown FROM blocks JOIN docs ON id = doc_id GROUP BY doc_id, title, author")
 def export_markdown(spark, sf):
     return texts.export_markdown(corpus.lines(spark, sf), corpus.documents(spark, sf))
+
+
+# --- side hits, batches, states ------------------------------------------------------
+
+
+def _wiki(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select(F.col("page_id").alias("id"), F.col("url").alias("slug"), F.col("url").alias("title"), F.col("html").alias("content"))
+
+
+@query(f"SELECT page_id AS id, url AS slug FROM pages WHERE contains({FOLD.format('url')}, 'tion') OR contains({FOLD.format('html')}, 'tion') ORDER BY page_id LIMIT 10", model=False)
+def wiki_hits(spark, sf):
+    return side_hits.wiki_hits(_wiki(spark, sf), Planner(), "TION").select("id", "slug")
+
+
+@query(f", {_MENTION_SQL}, nm AS (SELECT id, unnest(list_distinct([canonical] || aliases)) AS name FROM ent), own AS (SELECT DISTINCT id FROM nm WHERE contains(name, 'tion')) SELECT ent.id::BIGINT AS entity_id, canonical, count(men.entity_id) AS mentions FROM ent JOIN own USING (id) LEFT JOIN men ON men.entity_id = ent.id GROUP BY ALL")
+def entity_hits(spark, sf):
+    e = _entities(spark)
+    return side_hits.entity_hits(e, entities.entity_names(e), _mentions(spark, sf), Planner(), "tion")
+
+
+@query("SELECT doc_id, page_num, dense_rank() OVER (PARTITION BY doc_id, page_num ORDER BY block_num)::INT AS block_num, line_num, text FROM lines WHERE block_label <> 'header'")
+def dense_blocks(spark, sf):
+    return mutate.dense_blocks(corpus.lines(spark, sf).filter("block_label <> 'header'")).select(*search.KEY, "line_num", "text")
+
+
+@query("SELECT c_custkey AS doc_id, c_nationkey::BIGINT AS base_edits, count(o_orderkey) AS revisions, count(o_orderkey) > c_nationkey AS stale FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey", model=False)
+def stale_pages(spark, sf):
+    status = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").cast("long").alias("base_edits"))
+    return stats.stale(status, table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id")))
+
+
+@query("SELECT * FROM (SELECT doc_id, page_num, block_num, line_num, text, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY block_num, line_num) AS n FROM lines) WHERE n <= 2".replace("SELECT * FROM", "SELECT doc_id, page_num, block_num, line_num, text FROM"))
+def page_openings(spark, sf):
+    w = search.Window.partitionBy("doc_id", "page_num").orderBy("block_num", "line_num")
+    return corpus.lines(spark, sf).withColumn("n", F.row_number().over(w)).filter("n <= 2").select(*search.KEY, "line_num", "text")
+
+
+@query()
+def llm_batches(spark, sf):
+    """Batch number of each line of a page, as it would go to a language model."""
+    row = F.struct("block_num", "line_num", F.length("text").alias("n"))
+    p = corpus.lines(spark, sf).groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    p = p.withColumn("batch", folds.batches(F.transform("rows", lambda r: r["n"])))
+    return p.select("doc_id", "page_num", F.explode(F.arrays_zip("rows", "batch")).alias("x")).select("doc_id", "page_num", "x.rows.block_num", "x.rows.line_num", "x.batch")
