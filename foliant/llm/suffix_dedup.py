@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import chunks, materialize, mix, powers, prefix_hash, span_hash, text_buffer
 from foliant.llm.repeat_filter import filter_bits, maybe_repeated, repeat_filter
 
+#: Bytes of text that are hashed at once: some hundred bytes of working memory for each.
+PART = 1 << 18
 #: Different blocks of one gram that one task may compare.
 HOT = 4096
 _NO_ID = -(2**63)
@@ -83,7 +85,7 @@ def _names(rows: DataFrame, bitmap, width: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             buf, off = text_buffer(batch.column(2))
-            for i, j in chunks(off):
+            for i, j in chunks(off, PART):
                 a, s, e, doc, g, b = anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, gram)
                 hit = np.flatnonzero(maybe_repeated(bitmap.value, g))
                 doc = doc[hit]
@@ -218,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def keys_of(batch):
         buf, off = text_buffer(batch.column(0))
-        got = [anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, gram)[4] for i, j in chunks(off)]
+        got = [anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, gram)[4] for i, j in chunks(off, PART)]
         return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
     bitmap = sc.broadcast(repeat_filter(texts.select("text"), keys_of, bits))
