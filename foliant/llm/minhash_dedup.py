@@ -127,9 +127,8 @@ def _word_sets(text: str, k: int) -> set:
     return set(zip(*(w[i:] for i in range(k))))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         last, left = None, set()
@@ -146,7 +145,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shing
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    # Pairs grow with the corpus: a sort-merge join at every size.
+    both = pairs.select("a", "b").hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -252,6 +252,8 @@ def near_duplicates(
     member = reps.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = member.groupBy("band", "key").agg(F.min(flip(F.col("id"), F.col("band"))).alias("low"), F.count("*").alias("n"))
     buckets = materialize(buckets.filter("n > 1").select("band", "key", flip(F.col("low"), F.col("band")).alias("centre")), "buckets")
+    # Rows of shared buckets only, with their centre; all later steps start from this table.
+    placed = materialize(member.join(buckets.hint("merge"), ["band", "key"]), "shared-buckets")
     floor = percent / 100 - slack
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -259,11 +261,16 @@ def near_duplicates(
         pairs = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
         return pairs.withColumn("sim", _similar("oa", "ob", rows * bands)).filter(F.col("sim") >= floor).drop("oa", "ob")
 
-    stars = member.join(buckets, ["band", "key"]).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    stars = placed.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialize(likely(stars), "stars")
 
+    # Only members of shared buckets are ever confirmed: their texts are taken from the table once.
+    shared = placed.select(F.col("id").alias("member")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = materialize(texts.join(shared.hint("merge"), F.col("id") == F.col("member"), "left_semi"), "candidate-texts")
+
     best = stars.groupBy("b").agg(F.max(F.struct("sim", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    comp = components(confirm(best, docs, id_col, text_col, shingle, percent))
+    comp = components(confirm(best, texts, shingle, percent))
 
     def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components as yet."""
@@ -274,7 +281,7 @@ def near_duplicates(
         """Components after the pairs that hold up on full sets."""
         if pairs.isEmpty():
             return comp
-        links = confirm(pairs, docs, id_col, text_col, shingle, percent)
+        links = confirm(pairs, texts, shingle, percent)
         return components(links.union(comp.select("node", "root")))
 
     comp = joined(materialize(across(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comp), "pairs-2"), comp)
@@ -282,10 +289,10 @@ def near_duplicates(
     # Buckets whose members are still in more than one component.
     cap = 32
     while True:
-        placed = member.join(buckets, ["band", "key"], "left_semi").join(comp, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
-        open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
-        placed = placed.join(open_, ["band", "key"], "left_semi").join(reps.select("id", "n_shingles", "parity"), "id")
-        rest = materialize(compare_open(materialize(placed, "open-buckets"), percent, cap), "pairs-3")
+        rooted = placed.join(comp, F.col("id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
+        open_ = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
+        rooted = rooted.join(open_, ["band", "key"], "left_semi").join(reps.select("id", "n_shingles", "parity"), "id")
+        rest = materialize(compare_open(materialize(rooted, "open-buckets"), percent, cap), "pairs-3")
         comp = joined(rest, comp)
         if not rest.filter("more").take(1):
             break
