@@ -4,9 +4,9 @@ The task: remove each byte covered by a ``width``-byte string that also starts
 anywhere else. Suffix sorting by difference cover does this by sorting the
 suffixes of a *sample* of positions that meets any two equal stretches at the same
 place, naming them, merging the other suffixes by (bytes up to the next sample,
-name) and comparing neighbours. A sample by position modulo three needs some 24
-bytes of shuffle for every byte of text and every level, which no cluster's disks
-have for a large corpus. Here the cover is chosen by content instead:
+name) and comparing neighbours. A sample by position modulo three would need some
+24 bytes of shuffle for every byte of text and every level (an estimate, not
+measured). This is not that method: the cover is chosen by content instead:
 
 1. *Sample.* In each ``width``-byte window the ``gram``-byte string of least hash is
    its anchor (the last of equal ones). Equal windows have equal anchors at equal
