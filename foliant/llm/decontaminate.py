@@ -7,12 +7,13 @@ edit, so their walks differ in few places (Hamming distance).
 
 Benchmark items are small and known; the corpus is not. So items are walked from
 *every* start, and documents only from every ``stride``-th character, with windows
-as long as the smallest item of its class less the stride: whatever the place of a
-passage, one of its starts meets a document window. Keys of a few sampled places
-of a walk are looked up in a table of item keys; the number of tables follows from
-the target recall. A hit must then agree on enough of the whole walk, and is
-confirmed by the exact edit distance of the item to the best-fitting part of the
-text around it.
+of about half of the smallest item of a class or less: a passage has several of them,
+and some have few of its edits. Keys of a few sampled places of a walk are looked up in a
+table of item keys. The number of tables is the least that finds passages of the
+class's shortest items, with as many edits as match, with a chance of ``recall``;
+how far their walks agree is measured on such passages. A hit must then agree on
+enough of the whole walk, and is confirmed by the exact edit distance of the item to
+the best-fitting part of the text around it.
 
 Texts are compared with A-Z lower-cased and white space as single spaces;
 distances are in bytes of UTF-8. An item matches at a distance of up to
@@ -22,6 +23,7 @@ be evidence and match nothing. Null or empty texts and items match nothing.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import chunks, mix, strings
 
-#: Classes of item lengths (least bytes, stride of document windows).
-CLASSES = ((64, 32), (32, 12), (16, 4))
-SAMPLED = 10
+#: Classes of item lengths: least bytes, width and stride of windows, sampled places of a key.
+CLASSES = ((128, 40, 16, 16), (64, 32, 12, 16), (40, 16, 4, 8), (24, 12, 3, 8), (16, 8, 2, 8))
+#: Passages on which the agreement of walks is measured, and their letters.
+TRIALS, LETTERS = 500, np.frombuffer(b"eeeeeetttaaaooiinnsshhrrddlucmwfgypb      ", np.uint8)
 #: Greatest size of a class's table of item windows, in bytes; beyond it items are taken in blocks.
 TABLE_BYTES = 64 << 20
 
@@ -43,18 +46,13 @@ def normal(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
-def tables_for(recall: float, windows: int, agree: float = 0.75, sampled: int = SAMPLED) -> int:
-    """Tables that find one of ``windows`` windows, whose walks agree in a share ``agree`` of places, with a chance of ``recall``."""
-    return max(4, math.ceil(math.log(1 - recall) / (windows * math.log(1 - agree**sampled))))
-
-
 class Walk:
     """``steps`` steps of a walk and the sampled places of its tables."""
 
-    def __init__(self, steps: int, tables: int, seed: int) -> None:
+    def __init__(self, steps: int, tables: int, sampled: int, seed: int) -> None:
         r = np.random.default_rng(seed)
         self.bits = r.integers(0, 2, (steps, 256)).astype(np.int64)
-        self.places = np.sort(np.stack([r.choice(steps, SAMPLED, replace=False) for _ in range(tables)]), 1)
+        self.places = np.sort(np.stack([r.choice(steps, sampled, replace=False) for _ in range(tables)]), 1)
 
     def embed(self, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
         """steps x windows; ``buf`` must have a margin of ``steps`` bytes after each start."""
@@ -81,20 +79,63 @@ def _padded(parts: list[bytes], margin: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bytes(out), np.uint8), off
 
 
+def steps_for(width: int) -> int:
+    return int(1.8 * width)
+
+
+def edited(text: np.ndarray, edits: int, r: np.random.Generator) -> np.ndarray:
+    """The text after so many random substitutions, deletions and insertions."""
+    for _ in range(edits):
+        at, how, letter = r.integers(len(text)), r.integers(3), r.choice(LETTERS)
+        text = np.concatenate([text[:at], [letter] if how else [], text[at + (how < 2) :]]).astype(np.uint8)
+    return text
+
+
+@functools.lru_cache(64)
+def tables_for(at: int, walks: int, recall: float, max_edits_percent: int, least_share: float) -> int:
+    """Tables a walk for class ``at``: passages of its shortest items, with all edits allowed, are found with a chance of ``recall``."""
+    least, width, stride, sampled = CLASSES[at]
+    steps, most = steps_for(width), least * max_edits_percent // 100
+    # one edit more at a slightly greater length can be harder than the least length
+    lengths = [least, *(-(-100 * (most + i) // max_edits_percent) for i in (1, 2) if max_edits_percent)]
+    tables = 1
+    # chance that all sampled places are among those that agree, as they are drawn without replacement
+    hit = np.array([math.comb(n, sampled) / math.comb(steps, sampled) for n in range(steps + 1)])
+    log_miss = np.log1p(-np.minimum(hit, 1 - 1e-9))
+    for length in lengths:
+        r = np.random.default_rng(length)
+        edits = length * max_edits_percent // 100
+        items = [r.choice(LETTERS, length) for _ in range(TRIALS)]
+        texts = [np.concatenate([r.choice(LETTERS, r.integers(stride)), edited(x, edits, r), r.choice(LETTERS, steps + stride + 2 * edits)]) for x in items]
+        starts, windows = np.arange(length - width + 1), np.arange(0, length + stride, stride)
+        (own, off), (buf, first) = (_padded([x.tobytes() for x in y], steps) for y in (items, texts))
+        missed = np.zeros(TRIALS)  # logarithm of the chance that one table of each walk misses the passage
+        for seed in range(walks):
+            walk = Walk(steps, 1, sampled, seed)
+            e = walk.embed(own, (off[:, None] + starts).ravel()).reshape(steps, TRIALS, -1)
+            w = walk.embed(buf, (first[:, None] + windows).ravel()).reshape(steps, TRIALS, -1)
+            for n in range(len(windows)):
+                same = (e == w[:, :, n, None]).sum(0)
+                missed += np.where(same >= least_share * steps, log_miss[same], 0).sum(1)
+        while np.exp(missed * tables).mean() > (1 - recall) / 3:  # a third, as the trials are few
+            tables += 1
+            if tables > 1024:
+                raise ValueError(f"no {recall} recall for items of {length} bytes with {max_edits_percent} % of edits: use more walks or a smaller least_share")
+    return tables
+
+
 class ItemTable:
     """Walks of the items of one class from every start, and their keys."""
 
-    def __init__(self, items: list[tuple[int, bytes]], stride: int, walks: int, recall: float) -> None:
-        least = min(len(t) for _, t in items)
-        self.items, self.stride, self.width = items, stride, least - stride + 1
-        steps = max(SAMPLED, int(1.8 * self.width))
-        windows = (sorted(len(t) for _, t in items)[len(items) // 2] - self.width) // stride + 1
-        tables = -(-tables_for(recall, windows) // walks)
-        self.walks = [Walk(steps, tables, seed) for seed in range(walks)]
+    def __init__(self, items: list[tuple[int, bytes]], at: int, walks: int, tables: int) -> None:
+        _, self.width, self.stride, sampled = CLASSES[at]
+        self.items, steps = items, steps_for(self.width)
+        self.walks = [Walk(steps, tables, sampled, seed) for seed in range(walks)]
         buf, off = _padded([t for _, t in items], steps)
         starts = [np.arange(len(t) - self.width + 1) for _, t in items]
         self.item = np.repeat(np.arange(len(items)), [len(s) for s in starts])
         self.shift = np.concatenate(starts)
+        self.shorter = np.uint64(64 - min(20, max(10, math.ceil(math.log2(16 * len(self.item))))))  # leading bits of keys for the bitmap
         self.found = []
         for walk in self.walks:
             e = walk.embed(buf, off[self.item] + self.shift)
@@ -102,9 +143,9 @@ class ItemTable:
             for t in range(tables):
                 k = walk.keys(e, t)
                 order = np.argsort(k)
-                seen = np.zeros(1 << 20, bool)
-                seen[k >> np.uint64(44)] = True
-                per.append((k[order], order, seen))
+                seen = np.zeros(1 << (64 - int(self.shorter)), bool)
+                seen[k >> self.shorter] = True
+                per.append((k[order], order.astype(np.int32), seen))
             self.found.append((e, per))
 
     def candidates(self, buf: np.ndarray, start: np.ndarray, least_share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +156,7 @@ class ItemTable:
             own = []
             for t, (keys, order, seen) in enumerate(per):
                 k = walk.keys(w, t)
-                hit = np.flatnonzero(seen[k >> np.uint64(44)])
+                hit = np.flatnonzero(seen[k >> self.shorter])
                 lo, hi = np.searchsorted(keys, k[hit], "left"), np.searchsorted(keys, k[hit], "right")
                 n = hi - lo
                 if n.any():
@@ -164,7 +205,7 @@ def contaminated(
     item_text_col: str = "text",
     max_edits_percent: int = 10,
     recall: float = 0.99,
-    walks: int = 2,
+    walks: int = 6,
     least_share: float = 0.5,
 ) -> DataFrame:
     """doc_id, item_id, distance, start, end: each pair of a document and an item found in it, at its best place.
@@ -177,15 +218,18 @@ def contaminated(
     items = sorted((r.i, normal(r.t)) for r in rows.toLocalIterator())
     blocks: list[list[tuple[int, list]]] = [[]]
     room = TABLE_BYTES
-    for at, (least, stride) in enumerate(CLASSES):
+    tables = {}
+    for at, (least, width, *_) in enumerate(CLASSES):
         own = [x for x in items if len(x[1]) >= least and (at == 0 or len(x[1]) < CLASSES[at - 1][0])]
+        if own:
+            tables[at] = tables_for(at, walks, recall, max_edits_percent, least_share)
         for x in own:
-            need = len(x[1]) * (2 * 64 * walks + 16 * 32)
+            need = len(x[1]) * walks * (steps_for(width) + (12 + 16) * tables[at])  # walks, keys and their order, bitmap
             if need > room and blocks[-1]:
                 blocks.append([])
                 room = TABLE_BYTES
-            if not blocks[-1] or blocks[-1][-1][0] != stride:
-                blocks[-1].append((stride, []))
+            if not blocks[-1] or blocks[-1][-1][0] != at:
+                blocks[-1].append((at, []))
             blocks[-1][-1][1].append(x)
             room -= need
     sc = docs.sparkSession.sparkContext
@@ -193,17 +237,17 @@ def contaminated(
     shape = "doc_id long, item_id long, distance long, start long, end long"
     out = None
     for block in blocks:
-        tables = sc.broadcast([ItemTable(own, stride, walks, recall) for stride, own in block])
+        shared = sc.broadcast([ItemTable(own, at, walks, tables[at]) for at, own in block])
 
-        def run(batches, tables=tables):
-            margin = max((len(w.bits) for t in tables.value for w in t.walks), default=1)
+        def run(batches, shared=shared):
+            margin = max((len(w.bits) for t in shared.value for w in t.walks), default=1)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 norm = [normal(t) for t in strings(batch.column(1))]
                 found: dict[tuple, tuple] = {}
                 for i, j in chunks(np.concatenate([[0], np.cumsum([len(x) for x in norm])])):
                     buf, off = _padded(norm[i:j], margin)
-                    for table in tables.value:
+                    for table in shared.value:
                         n = [max(0, (len(x) - table.width) // table.stride + 1) for x in norm[i:j]]
                         doc = np.repeat(np.arange(j - i), n)
                         place = (np.arange(len(doc)) - np.repeat(np.cumsum([0, *n])[:-1], n)) * table.stride

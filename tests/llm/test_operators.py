@@ -338,6 +338,28 @@ def test_contamination_recall(spark, corpus):
     assert {d for d, _ in got - want} <= {d for d, _ in want}
 
 
+def test_contamination_recall_at_every_length(spark):
+    """Passages with all the edits that match (a tenth), by length of the item: the stated recall of 0.99, give or take the sample."""
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("eeeettaaooiinnsshhrrddlucmwfgypb") for _ in range(n))
+    for lengths in ((16, 20, 29, 39, 50, 63), (64, 70, 81, 100, 113), (128, 130, 160, 233)):
+        items, rows = [], []
+        for n in range(40 * len(lengths)):
+            item = text(lengths[n % len(lengths)])
+            part = list(item)
+            for _ in range(len(item) // 10):
+                at, how = r.randrange(len(part)), r.randrange(3)
+                part[at : at + (how < 2)] = [text(1)] if how else []
+            items.append((n, item))
+            rows.append((n, text(r.randrange(99)) + "".join(part) + text(r.randrange(99))))
+        want = {n for (n, item), (_, doc) in zip(items, rows) if best_fit(item.encode(), doc.encode(), len(item) // 10)[0] <= len(item) // 10}
+        assert len(want) == len(rows)
+        found = contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).filter("doc_id = item_id").collect()
+        for at in range(len(lengths)):
+            assert sum(x.doc_id % len(lengths) == at for x in found) >= 38, lengths[at]
+        assert all(x.distance == best_fit(items[x.item_id][1].encode(), rows[x.doc_id][1].encode(), 99)[0] for x in found)
+
+
 def test_contamination_awkward(spark, awkward, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "tiny"), (None, "x" * 90), (4, "word " * 20), (4, "word " * 20)], "item_id long, text string")
     got = contaminated(awkward, bench).collect()
