@@ -316,6 +316,13 @@ def audit_repeat(spark, sf):
 # --- collation and page maps ------------------------------------------------------------
 
 
+def _pages(d, key):
+    """Texts in pages of 400 characters, numbered from 1."""
+    last = F.greatest(F.floor((F.length("text") - 1) / 400), F.lit(0)).cast("int")
+    p = d.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * 400 + 1, F.lit(400)))).alias("page_num", "text"))
+    return p.withColumn("page_num", F.col("page_num") + 1)
+
+
 def _transcripts(spark, sf):
     """Every tenth document as a transcript, its text in pages of 400 characters."""
     d = table(spark, sf, "documents").filter("doc_id % 10 = 0 AND length(text) BETWEEN 800 AND 6000").select(F.col("doc_id").alias("transcript_id"), "text")
@@ -345,8 +352,9 @@ def pagemap_ranges(spark, sf):
 
 
 def _columns(spark, sf):
-    """Alignments of the first 300 characters of neighbouring documents of a source (a demonstration pairing)."""
-    d = table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("a"))
+    """Alignments of every document with a copy whose e are a (a demonstration pairing), page by page; ids are those of pages."""
+    p = _pages(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    d = p.select((F.col("doc_id") * 1_000_000 + F.col("page_num")).alias("id"), F.col("text").alias("a"))
     return collate.alignments(d.withColumn("b", F.replace(F.col("a"), F.lit("e"), F.lit("a"))))
 
 

@@ -5,8 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions.text import normalise
 from foliant.operators import entities, layout, mutate, stats
+from foliant.plans import catalog
 from foliant.streaming import intake
+from tests.conftest import SF
 
 ENT = "id long, canonical string, aliases array<string>, ext_ids map<string,string>"
 
@@ -175,3 +178,9 @@ def test_misses_as_a_stream(spark, tmp_path):
 def test_vanished_files(spark):
     d = spark.createDataFrame([("s", "a", False), ("s", "b", False), ("s", "v", True)], "collection string, filename string, original_virtual boolean")
     assert [r.filename for r in intake.vanished(spark.createDataFrame([("s", "a")], "collection string, name string"), d).collect()] == ["b"]
+
+
+def test_alignment_takes_every_document_whole(spark):
+    got = catalog._columns(spark, SF).filter("ca IS NOT NULL").groupBy(F.expr("id div 1000000").alias("doc_id")).count()
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.length(normalise(F.col("text"))).alias("n")).filter("n > 0")
+    assert {(r.doc_id, r["count"]) for r in got.collect()} == {(r.doc_id, r.n) for r in d.collect()}
