@@ -150,10 +150,10 @@ class ItemTable:
 
     def candidates(self, buf: np.ndarray, start: np.ndarray, least_share: float) -> tuple[np.ndarray, np.ndarray]:
         """(index into start, item window) pairs that share a key and agree on a share of the walk."""
-        got = [np.zeros((2, 0), np.int64)]
+        got, size = [np.zeros(0, np.int64)], len(self.item)  # pairs as one number
         for walk, (e, per) in zip(self.walks, self.found):
             w = walk.embed(buf, start)
-            own = []
+            own = np.zeros(0, np.int64)
             for t, (keys, order, seen) in enumerate(per):
                 k = walk.keys(w, t)
                 hit = np.flatnonzero(seen[k >> self.shorter])
@@ -161,13 +161,11 @@ class ItemTable:
                 n = hi - lo
                 if n.any():
                     at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    own.append(np.stack([np.repeat(hit, n), order[at]]))
-            if own:
-                p = np.unique(np.concatenate(own, 1), axis=1)
-                for lo in range(0, p.shape[1], 1 << 16):
-                    q = p[:, lo : lo + (1 << 16)]
-                    got.append(q[:, (w[:, q[0]] == e[:, q[1]]).mean(0) >= least_share])
-        return tuple(np.unique(np.concatenate(got, 1), axis=1))
+                    own = np.union1d(own, np.repeat(hit, n) * size + order[at])
+            for lo in range(0, len(own), 1 << 16):
+                p = own[lo : lo + (1 << 16)]
+                got.append(p[(w[:, p // size] == e[:, p % size]).mean(0) >= least_share])
+        return np.divmod(np.unique(np.concatenate(got)), size)
 
 
 def best_fit(item: bytes, text: bytes, most: int) -> tuple[int, int]:
