@@ -17,24 +17,30 @@ the best-fitting part of the text around it.
 
 Texts are compared with A-Z lower-cased and white space as single spaces;
 distances are in bytes of UTF-8. An item matches at a distance of up to
-``max_edits_percent`` of its length. Items of less than 16 bytes are too short to
-be evidence and match nothing. Null or empty texts and items match nothing.
+``max_edits_percent`` of its length. Items of less than 16 bytes leave no room for
+windows: they match where they stand exactly, as whole words. Null or empty texts
+and items match nothing. Rows that repeat an id are searched one by one, a null id
+stays null, an empty table gives no rows, and other columns aren't read. A very
+long text is searched in one task, in some twenty bytes of memory for each of its
+own.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import chunks, mix, strings
 
 #: Classes of item lengths: least bytes, width and stride of windows, sampled places of a key.
-CLASSES = ((128, 40, 16, 16), (64, 32, 12, 16), (40, 16, 4, 8), (24, 12, 3, 8), (16, 8, 2, 8))
+CLASSES = ((128, 40, 16, 16), (64, 32, 12, 14), (40, 16, 4, 8), (24, 12, 3, 8), (16, 8, 2, 8))
 #: Passages on which the agreement of walks is measured, and their letters.
 TRIALS, LETTERS = 500, np.frombuffer(b"eeeeeetttaaaooiinnsshhrrddlucmwfgypb      ", np.uint8)
 #: Greatest size of a class's table of item windows, in bytes; beyond it items are taken in blocks.
@@ -66,7 +72,8 @@ class Walk:
     def keys(self, walk: np.ndarray, table: int) -> np.ndarray:
         k = np.full(walk.shape[1], table + 1, np.uint64)
         for p in self.places[table]:
-            k = k * np.uint64(257) + walk[p]
+            k *= np.uint64(257)
+            k += walk[p]
         return mix(k)
 
 
@@ -92,9 +99,9 @@ def edited(text: np.ndarray, edits: int, r: np.random.Generator) -> np.ndarray:
 
 
 @functools.lru_cache(64)
-def tables_for(at: int, walks: int, recall: float, max_edits_percent: int, least_share: float) -> int:
-    """Tables a walk for class ``at``: passages of its shortest items, with all edits allowed, are found with a chance of ``recall``."""
-    least, width, stride, sampled = CLASSES[at]
+def tables_for(at: int, least: int, walks: int, recall: float, max_edits_percent: int, least_share: float) -> int:
+    """Tables a walk for class ``at``: passages of its shortest items (``least`` bytes), with all edits allowed, are found with a chance of ``recall``."""
+    _, width, stride, sampled = CLASSES[at]
     steps, most = steps_for(width), least * max_edits_percent // 100
     # one edit more at a slightly greater length can be harder than the least length
     lengths = [least, *(-(-100 * (most + i) // max_edits_percent) for i in (1, 2) if max_edits_percent)]
@@ -194,33 +201,47 @@ def best_fit(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
-def contaminated(
-    docs: DataFrame,
+def _short(items: list[tuple[int, bytes]]) -> ahocorasick.Automaton | None:
+    """Automaton of items that are too short for windows; bytes stand for themselves."""
+    automaton = ahocorasick.Automaton()
+    for i, t in items:
+        word = t.decode("latin-1")
+        automaton.add_word(word, [*automaton.get(word, []), (i, len(t))])
+    automaton.make_automaton()
+    return automaton if items else None
+
+
+def _stands(text: bytes, start: int, end: int) -> bool:
+    """Whether the bytes start..end are whole words."""
+    inside = lambda c: c >= 128 or chr(c).isalnum()
+    return not (start and inside(text[start - 1]) and inside(text[start])) and not (end < len(text) and inside(text[end]) and inside(text[end - 1]))
+
+
+HITS = "array<struct<item_id:long,distance:long,start:long,end:long>>"
+
+
+def searches(
     benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     max_edits_percent: int = 10,
     recall: float = 0.99,
-    walks: int = 6,
+    walks: int = 3,
     least_share: float = 0.5,
-) -> DataFrame:
-    """doc_id, item_id, distance, start, end: each pair of a document and an item found in it, at its best place.
+) -> list[Callable[[Column], Column]]:
+    """Column functions, text -> hits (each item found, at its best place), one for each block of the benchmark.
 
-    ``start`` (least) and ``end`` are bytes of the normalised text. The benchmark is
-    read to the driver, as it is a fixed set; its tables are checked against
-    TABLE_BYTES, and a larger benchmark is taken in blocks, one pass each.
+    The benchmark is read to the driver, as it is a fixed set; its tables are checked
+    against TABLE_BYTES, and a larger benchmark is taken in blocks.
     """
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
-    items = sorted((r.i, normal(r.t)) for r in rows.toLocalIterator())
+    items = sorted({(r.i, t) for r in rows.toLocalIterator() if (t := normal(r.t))})
     blocks: list[list[tuple[int, list]]] = [[]]
-    room = TABLE_BYTES
-    tables = {}
+    room, tables = TABLE_BYTES, {}
     for at, (least, width, *_) in enumerate(CLASSES):
         own = [x for x in items if len(x[1]) >= least and (at == 0 or len(x[1]) < CLASSES[at - 1][0])]
         if own:
-            tables[at] = tables_for(at, walks, recall, max_edits_percent, least_share)
+            tables[at] = tables_for(at, min(len(t) for _, t in own), walks, recall, max_edits_percent, least_share)
         for x in own:
             need = len(x[1]) * walks * (steps_for(width) + (12 + 16) * tables[at])  # walks, keys and their order, bitmap
             if need > room and blocks[-1]:
@@ -230,39 +251,63 @@ def contaminated(
                 blocks[-1].append((at, []))
             blocks[-1][-1][1].append(x)
             room -= need
-    sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shape = "doc_id long, item_id long, distance long, start long, end long"
-    out = None
-    for block in blocks:
-        shared = sc.broadcast([ItemTable(own, at, walks, tables[at]) for at, own in block])
-
-        def run(batches, shared=shared):
-            margin = max((len(w.bits) for t in shared.value for w in t.walks), default=1)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                norm = [normal(t) for t in strings(batch.column(1))]
-                found: dict[tuple, tuple] = {}
-                for i, j in chunks(np.concatenate([[0], np.cumsum([len(x) for x in norm])])):
-                    buf, off = _padded(norm[i:j], margin)
-                    for table in shared.value:
-                        n = [max(0, (len(x) - table.width) // table.stride + 1) for x in norm[i:j]]
-                        doc = np.repeat(np.arange(j - i), n)
-                        place = (np.arange(len(doc)) - np.repeat(np.cumsum([0, *n])[:-1], n)) * table.stride
-                        at, window = table.candidates(buf, off[doc] + place, least_share)
-                        begins = place[at] - table.shift[window]
-                        spots = {(int(d), int(k), int(b) // 16) for d, k, b in zip(doc[at], table.item[window], begins)}
-                        for d, k, b in sorted(spots):
-                            item_id, item = table.items[k]
-                            most = len(item) * max_edits_percent // 100
-                            lo = max(0, b * 16 - most)
-                            distance, end = best_fit(item, norm[i + d][lo : b * 16 + 16 + len(item) + most], most)
-                            if distance <= most and found.get((i + d, item_id), (most + 1,)) > (distance, lo + end):
-                                found[i + d, item_id] = (distance, lo + end, max(0, lo + end - len(item) - distance))
-                got = [(ids[d], k, v[0], v[2], v[1]) for (d, k), v in sorted(found.items(), key=lambda x: x[0])]
-                cols = list(zip(*got)) if got else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "distance", "start", "end"])
-
-        part = texts.mapInArrow(run, shape)
-        out = part if out is None else out.union(part)
-    return out
+    sc = benchmark.sparkSession.sparkContext
+    short = [x for x in items if len(x[1]) < CLASSES[-1][0]]
+    return [
+        _search(sc.broadcast(([ItemTable(own, at, walks, tables[at]) for at, own in block], short if n == 0 else [])), max_edits_percent, least_share)
+        for n, block in enumerate(blocks)
+    ]
+
+
+def _search(shared, max_edits_percent: int, least_share: float) -> Callable[[Column], Column]:
+    def in_class(table: ItemTable, norm: list[bytes], buf: np.ndarray, off: np.ndarray, found: list[dict]) -> None:
+        n = [max(0, (len(x) - table.width) // table.stride + 1) for x in norm]
+        doc = np.repeat(np.arange(len(norm)), n)
+        place = (np.arange(len(doc)) - np.repeat(np.cumsum([0, *n])[:-1], n)) * table.stride
+        at, window = table.candidates(buf, off[doc] + place, least_share)
+        begins = place[at] - table.shift[window]
+        for d, k, b in sorted({(int(d), int(k), int(b) // 16) for d, k, b in zip(doc[at], table.item[window], begins)}):
+            item_id, item = table.items[k]
+            most = len(item) * max_edits_percent // 100
+            lo = max(0, b * 16 - most)
+            distance, end = best_fit(item, norm[d][lo : b * 16 + 16 + len(item) + most], most)
+            if distance <= most and found[d].get(item_id, (most + 1,)) > (distance, lo + end):
+                found[d][item_id] = (distance, lo + end, max(0, lo + end - len(item) - distance))
+
+    @F.arrow_udf(HITS)
+    def hits(texts: pa.Array) -> pa.Array:
+        tables, items = shared.value
+        short = _short(items)
+        margin = max((len(w.bits) for t in tables for w in t.walks), default=1)
+        norm = [normal(t) for t in strings(texts)]
+        found: list[dict[int, tuple]] = [{} for _ in norm]
+        for i, j in chunks(np.concatenate([[0], np.cumsum([len(x) for x in norm])]).astype(np.int64)):
+            buf, off = _padded(norm[i:j], margin)
+            for table in tables:
+                in_class(table, norm[i:j], buf, off, found[i:j])
+        for text, own in zip(norm, found) if short else ():
+            for last, ids in short.iter(text.decode("latin-1")):
+                for item_id, n in ids:
+                    if _stands(text, last + 1 - n, last + 1):
+                        own.setdefault(item_id, (0, last + 1, last + 1 - n))
+        rows = [[{"item_id": k, "distance": v[0], "start": v[2], "end": v[1]} for k, v in sorted(f.items())] for f in found]
+        return pa.array(rows, pa.list_(pa.struct([(k, pa.int64()) for k in ("item_id", "distance", "start", "end")])))
+
+    return hits
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, item_id, distance, start, end: each pair of a document and an item found in it, at its best place.
+
+    ``start`` (least) and ``end`` are bytes of the normalised text; options as of ``searches``.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    parts = [texts.select("doc_id", F.explode(find(F.col("text"))).alias("hit")).select("doc_id", "hit.*") for find in searches(benchmark, **options)]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found, as they are; each row is judged where it lies."""
+    for find in searches(benchmark, **options):
+        docs = docs.filter(F.size(find(F.col(text_col).cast("string"))) == 0)
+    return docs

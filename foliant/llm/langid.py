@@ -12,17 +12,24 @@ Their hashed counts (``DIMS`` numbers a row) are all that comes to the driver.
 Prediction is one pass over the texts, with weights of fixed size broadcast.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every
-text if no row can be learnt from. Null labels are never learnt. Ties between
-votes go to the larger summed margin, then to the first label in order.
+text if no row can be learnt from. A letter is a character of Unicode's category
+L: fractions, circled digits and Roman number signs are none. Null labels are
+never learnt; of more than ``max_labels`` labels the most frequent are. Ties
+between votes go to the larger summed margin, then to the first label in order.
+
+Each row is predicted from its own text: rows that repeat an id, null ids, and
+columns besides id, text and (when learning) lang don't matter; an empty table
+gives no rows. A very long text is one unit of work of some fifty bytes of memory
+for each of its bytes.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +46,7 @@ FAMILIES = {
     "cjk": "ja ko zh",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MAP = lower_table().copy()
 _MAP[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
@@ -72,9 +79,9 @@ def _features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return grams, 2 * np.searchsorted(places, cut)
 
 
-def _sample(docs: DataFrame, sample_rows: int) -> tuple[np.ndarray, list[str]]:
+def _sample(docs: DataFrame, sample_rows: int, max_labels: int) -> tuple[np.ndarray, list[str]]:
     """Shares of hashed grams and labels of the sample."""
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()}
     if not counts:
         return np.zeros((0, DIMS), np.float32), []
     each = sample_rows / len(counts)
@@ -169,10 +176,10 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000, max_labels: int = 256) -> Model:
     known = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return Model(*_sample(known, sample_rows))
+    return Model(*_sample(known, sample_rows, max_labels))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

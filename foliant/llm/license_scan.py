@@ -7,11 +7,19 @@ over the raw text. What follows a tag is read as a licence expression: the
 shunting-yard method turns ``or``, ``and``, ``with`` and brackets into a
 canonical form and tells whether a reader may choose only open licences.
 
+Only names of licences and exceptions count (``IDENTIFIERS``, ``EXCEPTIONS`` and
+``LicenseRef-`` names): an expression ends at the first word that is neither, so
+that prose after a tag gives no labels. A text is read in time linear in its length.
+
 ``score`` is how openly the text is licensed: the value of the best-valued tag
 expression (1 where its ``or`` / ``and`` structure can be met with known open
-licences, 0.5 where it names unknown ones), else 0.5 for any phrase, else 0.
+licences, 0.5 where it names other ones; ``with`` keeps the value of its left side
+for a known exception), else 0.5 for any phrase, else 0.
 
-Null is the empty text: no words, empty labels, score 0.
+Null is the empty text: no words, empty labels, score 0. Each row is scanned by
+itself: rows that repeat an id and null ids stay as they are, an empty table gives
+no rows, and columns besides id and text aren't read. A very long text is scanned
+in one task, in a few times its own size.
 """
 
 from __future__ import annotations
@@ -27,45 +35,92 @@ from foliant.llm.common import strings
 
 #: Fixed by the contract: phrases of words and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notice phrases that the method adds.
+#: Notice phrases that the method adds: names of licences, and the words with which their texts begin.
 NOTICES = {
     "mit license": "mit",
+    "permission is hereby granted free of charge": "mit",
     "apache license": "apache",
     "bsd license": "bsd",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission to use copy modify and or distribute this software": "isc",
+    "permission to use copy modify and distribute this software": "isc",
     "mozilla public license": "mpl",
+    "source code form is subject to the terms of the mozilla public license": "mpl",
+    "lesser general public license": "lgpl",
+    "library general public license": "lgpl",
+    "affero general public license": "agpl",
+    "eclipse public license": "epl",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "european union public licence": "eupl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "public domain": "public-domain",
     "creative commons zero": "cc0",
+    "creative commons attribution": "cc-by",
+    "proprietary and confidential": "proprietary",
 }
 #: Tags before an expression.
 TAGS = ("spdx-license-identifier:", "licence-identifier:", "license-identifier:")
-#: Identifiers that count as open, without version and suffix.
-OPEN = ("0bsd", "apache", "bsd", "cc-by", "cc-by-sa", "cc0", "gpl", "agpl", "lgpl", "isc", "mit", "mpl", "unlicense", "zlib")
-
-_TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+\-]*")
+#: Identifiers of licences without version and suffix, open ones first.
+OPEN = (
+    "0bsd", "afl", "agpl", "apache", "apsl", "artistic", "blueoak", "bsd", "bsl", "cc-by", "cc-by-sa", "cc0", "cddl", "cecill", "cpl", "ecl", "efl",
+    "epl", "eupl", "fsfap", "ftl", "gfdl", "gpl", "hpnd", "icu", "ijg", "ipl", "isc", "lgpl", "libpng", "lppl", "miros", "mit", "mit-0", "mpl", "ms-pl",
+    "ms-rl", "mulanpsl", "ncsa", "odbl", "ofl", "openssl", "osl", "php", "postgresql", "psf", "python", "qpl", "ruby", "sleepycat", "tcl", "unicode-dfs",
+    "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl",
+)
+IDENTIFIERS = frozenset(OPEN) | {"busl", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "elastic", "json", "none", "noassertion", "proprietary", "sspl"}
+#: Identifiers of exceptions without version.
+EXCEPTIONS = frozenset(
+    {"autoconf-exception", "bison-exception", "bootloader-exception", "classpath-exception", "clisp-exception", "font-exception", "gcc-exception", "libtool-exception", "linux-syscall-note", "llvm-exception", "openjdk-assembly-exception", "openssl-exception", "qt-gpl-exception", "qt-lgpl-exception", "swift-exception", "u-boot-exception", "wxwindows-exception"}
+)
+
+_TOKEN = re.compile(r"[ \t]*(?:(\(|\)|[a-z0-9][a-z0-9.+\-]*)|[^\s()])")
+_VERSION = re.compile(r"-?v?\d[\d.]*(?:-(?:clause|only|or-later))*\+?$|\+$")
+_VARIANT = re.compile(r"-\d-clause(?:-[a-z]+)*$|-(?:only|or-later)$|-[a-z]+$")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def parse(expression: str) -> list[str]:
-    """Postfix form of the longest well-formed start of an expression; [] if there is none."""
-    out, ops, want, depth = [], [], True, 0
-    good: list[str] = []
+def base_name(token: str) -> str:
+    """An identifier without version and variant, as far as that gives a known name."""
+    for _ in range(3):
+        if token in IDENTIFIERS or token in EXCEPTIONS:
+            break
+        token = _VERSION.sub("", token) if _VERSION.search(token) else _VARIANT.sub("", token)
+    return token
+
+
+def is_license(token: str) -> bool:
+    return token.startswith("licenseref-") or base_name(token) in IDENTIFIERS
+
+
+def tokens(text: str, start: int = 0, end: int | None = None):
+    """Brackets and words from a place on, read as they are asked for; anything else ends them."""
+    for m in _TOKEN.finditer(text, start, len(text) if end is None else end):
+        if m[1] is None:
+            return
+        yield m[1]
 
-    def settle(stack):
-        rest = [o for o in reversed(stack) if o != "("]
-        return out + rest
 
-    for token in _TOKEN.findall(expression):
+def parse(found) -> list[str]:
+    """Postfix form of the longest well-formed start of an expression (its tokens); [] if there is none.
+
+    Reads one token more than it uses. What follows ``with`` must be an exception, all other names licences.
+    """
+    out, ops, want, depth = [], [], True, 0
+    good: tuple[int, list[str]] | None = None  # length of the output, and operators that close it
+
+    for token in found:
         if want:
-            if token == "(":
+            if token == "(" and (not ops or ops[-1] != "with"):
                 ops.append(token)
                 depth += 1
-            elif token in _BINDS or token == ")":
-                break
-            else:
+            elif base_name(token) in EXCEPTIONS if ops and ops[-1] == "with" else is_license(token):
                 out.append(token)
                 want = False
+            else:
+                break
         elif token == ")":
             if not depth:
                 break
@@ -81,20 +136,19 @@ def parse(expression: str) -> list[str]:
         else:
             break
         if not want and not depth:
-            good = settle(ops)
-    return good
+            good = len(out), ops[::-1]
+    return out[: good[0]] + good[1] if good else []
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     """Identifiers of an expression and its value: or takes the better side, and the worse, with the left."""
     stack: list[tuple[set[str], float]] = []
     for token in postfix:
-        if token in _BINDS and len(stack) > 1:
+        if token in _BINDS:
             (b, y), (a, x) = stack.pop(), stack.pop()
             stack.append((a | b, {"or": max(x, y), "and": min(x, y), "with": x}[token]))
         else:
-            name = re.sub(r"-?v?\d[\d.]*(-only|-or-later)?\+?$|\+$", "", token)
-            stack.append(({token}, 1.0 if name in OPEN or token in OPEN or name.rsplit("-", 1)[0] in OPEN else 0.5))
+            stack.append(({token}, 1.0 if base_name(token) in OPEN else 0.5))
     return stack[-1] if stack else (set(), 0.0)
 
 
@@ -131,11 +185,13 @@ class Scanner:
                 numbers.append(n)
                 at = p
             places = numbers
-        best = None
+        best, line_end = None, -1
         lower = raw.translate(_ASCII_LOWER).decode("utf-8", "surrogatepass")
         for end, _ in self.tags.iter(lower):
-            line = lower[end + 1 :].split("\n", 1)[0] if len(lower) - end < 500 else lower[end + 1 : lower.find("\n", end) if lower.find("\n", end) >= 0 else None]
-            names, value = evaluate(parse(line))
+            if line_end <= end:
+                at = lower.find("\n", end + 1)
+                line_end = at if at >= 0 else len(lower)
+            names, value = evaluate(parse(tokens(lower, end + 1, line_end)))
             labels |= names
             if names:
                 best = value if best is None else max(best, value)

@@ -4,10 +4,14 @@ Each task hashes its lines into a *once-seen* and a *twice-seen* filter (see
 ``repeat_filter``). Only lines that the merged twice-seen filter may hold are
 shuffled, with their whole keys: a partial minimum and maximum of the ids settles
 exactly which keys repeat and which document keeps its lines. A fuller filter
-lets more lines through to the exact step and never changes a result.
+lets more lines through to the exact step and never changes a result. Texts move
+only where they lose lines: a filter of the documents that do picks them in the
+map, and all other texts go to the result from where they lie.
 
 A null or empty text is one empty line. Rows with the same id are one document.
-A null id counts as the last document of all.
+A null id counts as the last document of all. An empty table gives no rows, and
+columns besides id and text aren't read. A very long text is handled in one task,
+in a few times its own size.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import lower_table, materialize, strings
-from foliant.llm.repeat_filter import filter_bits, maybe_repeated, repeat_filter
+from foliant.llm.repeat_filter import filter_bits, maybe_repeated, repeat_filter, seen
 
 SPACES = b" \t\n\r\x0b\x0c"
 _LOWER = lower_table().tobytes()
@@ -82,6 +86,7 @@ def drop_repeated_lines(
     repeated = found.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last").select("key", "first")
     repeated = materialize(repeated, "repeated-lines")
     drops = found.join(repeated, "key").filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
+    drops = materialize(drops, "dropped-lines")
 
     def rebuild(batches):
         for batch in batches:
@@ -100,9 +105,12 @@ def drop_repeated_lines(
                 gone.append(len(whole) - len(rest))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["id", "text", "n_lines", "n_dropped"])
 
+    touched = seen(drops.select(F.xxhash64("id", "th")), most_bytes=max_filter_bytes)(F.xxhash64("id", "th"))
     drops = drops.withColumnsRenamed({"id": "of", "th": "of_text"})
-    both = texts.join(drops, F.col("id").eqNullSafe(F.col("of")) & F.col("th").eqNullSafe(F.col("of_text")), "left").select("id", "text", "lines")
-    return both.mapInArrow(rebuild, "id long, text string, n_lines long, n_dropped long")
+    both = texts.filter(touched).join(drops.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & F.col("th").eqNullSafe(F.col("of_text")), "left").select("id", "text", "lines")
+    whole = F.coalesce("text", F.lit(""))
+    rest = texts.filter(~touched).select("id", whole.alias("text"), (F.length(whole) - F.length(F.replace(whole, F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return rest.unionAll(both.mapInArrow(rebuild, "id long, text string, n_lines long, n_dropped long"))
 
 
 def line_digest(docs: DataFrame, **options) -> DataFrame:

@@ -20,7 +20,10 @@ component need no check, as they can't change the result.
 
 Null or blank texts have an empty set and are linked with nothing; a null id
 gives a row with a null component that is kept. Rows with a repeated id belong
-to one component by definition.
+to one component by definition: each of their texts is searched, and links of any
+of them hold for all. An empty table gives no rows; columns besides id and text
+aren't read. A very long text is one unit of work of some hundred bytes of memory
+for each of its bytes.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ from foliant.llm.common import (
     words,
 )
 from foliant.llm.components import components
+from foliant.llm.repeat_filter import seen
 
 ROWS, BANDS, SKETCH_WORDS = 4, 24, 8
 #: Bits of the parity bitmap of a full set.
@@ -96,12 +100,11 @@ def _describe(sets: list[np.ndarray], rows: int, bands: int):
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int, bands: int) -> DataFrame:
-    """id, n_shingles, class hash c0/c1, band keys, sketch words, parity; the rest null for an empty set."""
+    """id, hash of the text, n_shingles, class hash c0/c1, band keys, sketch words, parity; the rest null for an empty set."""
 
     def run(batches):
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            ids = batch.column(0)
             for i, j in chunks(off):
                 sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
                 full = [x for x, s in enumerate(sets) if len(s)]
@@ -111,12 +114,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows:
                     for at, x in enumerate(full):
                         c0[x], c1[x], keys[x], odd[x], parity[x] = int(whole[at, 0]), int(whole[at, 1]), kk[at].tolist(), oo[at].tolist(), pp[at].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
-                    ["id", "n_shingles", "c0", "c1", "keys", "odd", "parity"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
+                    ["id", "th", "n_shingles", "c0", "c1", "keys", "odd", "parity"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, c0 long, c1 long, keys array<long>, odd array<long>, parity binary"
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(
+        run, "id long, th long, n_shingles long, c0 long, c1 long, keys array<long>, odd array<long>, parity binary"
     )
 
 
@@ -243,9 +247,18 @@ def near_duplicates(
     """
     sigs = materialize(signatures(docs, id_col, text_col, shingle, rows, bands), "signatures")
     full = sigs.filter("c0 IS NOT NULL AND id IS NOT NULL")
-    classes = materialize(full.groupBy("c0", "c1").agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "n_shingles", "keys", "odd", "parity"), "reps")
+    # A class of equal sets is a node: its least id, or its hash where several texts of that id begin a class.
+    classes = full.groupBy("c0", "c1").agg(F.min(F.struct("id", "th")).alias("rep")).select("c0", "c1", F.col("rep.id").alias("rep"), F.col("rep.th").alias("rep_th"))
+    classes = materialize(classes, "classes")
+    shared = classes.groupBy("rep").count().filter("count > 1").select(F.col("rep").alias("of"))
+    classes = classes.join(shared, F.col("rep") == F.col("of"), "left").withColumn("node", F.when(F.col("of").isNull(), F.col("rep")).otherwise(F.xxhash64("c0", "c1"))).drop("of")
+    classes = materialize(classes, "nodes")
+    reps = full.join(classes.hint("merge"), ["c0", "c1"]).filter("id = rep AND th = rep_th").dropDuplicates(["c0", "c1"])
+    reps = materialize(reps.select(F.col("node").alias("id"), "n_shingles", "keys", "odd", "parity"), "reps")
+    # Links that need no check: the classes of one id.
+    several = full.groupBy("id").agg(F.min(F.struct("c0", "c1")).alias("lo"), F.max(F.struct("c0", "c1")).alias("hi")).filter("lo <> hi").select("id", "lo.c0", "lo.c1")
+    first = several.join(classes.select("c0", "c1", F.col("node").alias("b")), ["c0", "c1"]).select("id", "b")
+    same_id = materialize(full.join(first, "id").join(classes, ["c0", "c1"]).select(F.col("node").alias("a"), "b").filter("a <> b").distinct(), "links-of-an-id")
 
     # A centre is the member with the least id after a bandwise exclusive or: as good as random, and a plain minimum.
     flip = lambda c, band: c.bitwiseXOR(F.xxhash64(band).bitwiseAND(F.lit(2**62 - 1)))
@@ -265,12 +278,16 @@ def near_duplicates(
     stars = materialize(likely(stars), "stars")
 
     # Only members of shared buckets are ever confirmed: their texts are taken from the table once.
-    shared = placed.select(F.col("id").alias("member")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(texts.join(shared.hint("merge"), F.col("id") == F.col("member"), "left_semi"), "candidate-texts")
+    members = placed.select(F.col("id").alias("node")).distinct()
+    members = materialize(classes.join(members, "node").select("node", F.col("rep").alias("of"), F.col("rep_th").alias("of_text")), "members")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    texts = texts.filter(seen(members.select(F.xxhash64("of", "of_text")))(F.xxhash64("id", "th")))
+    texts = texts.join(members.hint("merge"), (F.col("id") == F.col("of")) & (F.col("th") == F.col("of_text"))).dropDuplicates(["id", "th"])
+    texts = materialize(texts.select(F.col("node").alias("id"), "text"), "candidate-texts")
 
     best = stars.groupBy("b").agg(F.max(F.struct("sim", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    comp = components(confirm(best, texts, shingle, percent))
+    comp = components(confirm(best, texts, shingle, percent).union(same_id))
 
     def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components as yet."""
@@ -298,9 +315,9 @@ def near_duplicates(
             break
         cap *= 64
 
-    classes = materialize(
-        classes.join(comp, F.col("rep") == F.col("node"), "left").select("c0", "c1", F.coalesce("root", "rep").alias("root")), "class-components"
-    )
-    found = sigs.join(classes, ["c0", "c1"], "left")
-    component = F.coalesce("root", "id")
+    rooted = classes.join(comp, "node", "left").select("c0", "c1", "rep", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "class-roots")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    found = sigs.join(materialize(rooted.join(least, "root").select("c0", "c1", "component"), "class-components"), ["c0", "c1"], "left")
+    component = F.coalesce("component", "id")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

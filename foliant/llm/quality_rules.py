@@ -13,17 +13,25 @@ Tokens for the ratio are runs of letters and digits (any non-ASCII byte counts a
 a letter) and runs of other non-space characters, A-Z lower-cased.
 
 Null, empty or blank texts have zero words and fail the base rules. Where no
-label exists, or labels have one value only, the ratio rejects nothing.
+label exists, or labels have one value only, the ratio rejects nothing. Rows that
+repeat an id are judged one by one; a label of their id holds for all of them. A
+null id has no label. An empty table gives no rows. Columns besides id and text
+aren't read. A very long text is one unit of work of some fifty bytes of memory
+for each of its bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import chunks, grams, lower_table, materialize, prefix_hash, runs, span_hash, strings, text_buffer, words
+from foliant.llm.repeat_filter import seen
 
 #: Hash buckets of the multinomials.
 BUCKETS = 1 << 14
@@ -54,22 +62,18 @@ def _gram_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(text, trusted) -> bucket, n_corpus, n_trusted."""
+    """(text) -> bucket, n."""
 
     def run(batches):
-        total, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             buf, off = text_buffer(batch.column(0))
-            trusted = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in chunks(off):
-                b, doc = _gram_buckets(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                total += np.bincount(b, minlength=BUCKETS)
-                good += np.bincount(b[trusted[i:j][doc]], minlength=BUCKETS)
+                total += np.bincount(_gram_buckets(buf[off[i] : off[j]], off[i : j + 1] - off[i])[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(good[at])], ["bucket", "n_corpus", "n_trusted"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    parts = texts.mapInArrow(run, "bucket long, n_corpus long, n_trusted long")
-    return parts.groupBy("bucket").agg(F.sum("n_corpus").alias("n_corpus"), F.sum("n_trusted").alias("n_trusted"))
+    return texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def log_ratio(counts: DataFrame) -> np.ndarray:
@@ -115,41 +119,40 @@ def _dup_lines(text: str) -> int:
     return n
 
 
-def document_scores(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray) -> DataFrame:
-    """Base statistics and score of each document."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(ratio)
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
-    def run(batches):
-        lr = table.value
-        for batch in batches:
-            buf, off = text_buffer(batch.column(1))
-            dup = np.fromiter(map(_dup_lines, strings(batch.column(1))), np.int64, len(batch))
-            for i, j in chunks(off):
-                b, o, n = buf[off[i] : off[j]], off[i : j + 1] - off[i], j - i
-                s, e, doc = words(b, o)
-                inside = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
-                chars = np.bincount(doc, weights=inside[e] - inside[s], minlength=n).astype(np.int64)
-                marks = np.concatenate([[0], np.cumsum(_SYMBOL[b])])
-                h = span_hash(prefix_hash(b), s, e)
-                g, gdoc = _gram_buckets(b, o)
-                size = np.bincount(gdoc, minlength=n)
-                score = np.bincount(gdoc, weights=lr[g], minlength=n) / np.maximum(size, 1)
-                cols = [np.bincount(doc, minlength=n), chars, marks[o[1:]] - marks[o[:-1]], dup[i:j], _repeat_words(h, doc, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), *(pa.array(c.astype(np.int64)) for c in cols), pa.array(score)],
-                    ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"],
-                )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
-    )
-
-
-def best_threshold(scored: DataFrame, labels: DataFrame, good: F.Column) -> float:
-    """Lowest score that separates labelled good from bad within TOLERANCE of the best. Reads one histogram."""
+
+def text_stats(spark: SparkSession, ratio: np.ndarray) -> Callable[[Column], Column]:
+    """Base statistics and score of a text, as a struct: a column function, so that rows stay where they are."""
+    table = spark.sparkContext.broadcast(ratio)
+    names = [c.split()[0] for c in STATS.split(", ")]
+
+    @F.arrow_udf(f"struct<{STATS.replace(' ', ':').replace(',:', ',')}>")
+    def stats(texts: pa.Array) -> pa.Array:
+        lr, out = table.value, [[] for _ in names]
+        buf, off = text_buffer(texts)
+        dup = np.fromiter(map(_dup_lines, strings(texts)), np.int64, len(texts))
+        for i, j in chunks(off):
+            b, o, n = buf[off[i] : off[j]], off[i : j + 1] - off[i], j - i
+            s, e, doc = words(b, o)
+            inside = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+            chars = np.bincount(doc, weights=inside[e] - inside[s], minlength=n).astype(np.int64)
+            marks = np.concatenate([[0], np.cumsum(_SYMBOL[b])])
+            h = span_hash(prefix_hash(b), s, e)
+            g, gdoc = _gram_buckets(b, o)
+            score = np.bincount(gdoc, weights=lr[g], minlength=n) / np.maximum(np.bincount(gdoc, minlength=n), 1)
+            for c, x in zip(out, (np.bincount(doc, minlength=n), chars, marks[o[1:]] - marks[o[:-1]], dup[i:j], _repeat_words(h, doc, n), score)):
+                c.append(x)
+        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.float64 if k == "score" else np.int64)) for k, c in zip(names, cols)], names)
+
+    return stats
+
+
+def best_threshold(scored: DataFrame) -> float:
+    """(score, good) -> the lowest score that separates good from bad within TOLERANCE of the best. Reads one histogram."""
     bin_ = F.floor((F.greatest(F.lit(-_SPAN), F.least(F.lit(_SPAN), F.col("score"))) + _SPAN) * (BINS / (2 * _SPAN)))
-    hist = scored.join(labels, "id").groupBy(bin_.alias("bin"), good.alias("good")).count().collect()
+    hist = scored.groupBy(bin_.alias("bin"), F.col("good").cast("int").alias("good")).count().collect()
     n = np.zeros((2, BINS + 1))
     for r in hist:
         if r.good is not None:
@@ -162,7 +165,22 @@ def best_threshold(scored: DataFrame, labels: DataFrame, good: F.Column) -> floa
     return (at + 1) * 2 * _SPAN / BINS - _SPAN
 
 
-def quality_rules(
+class Rules(NamedTuple):
+    """What was learnt from a corpus and its labels: the statistics of a text, and the lowest score that is kept."""
+
+    stats: Callable[[Column], Column]
+    threshold: float
+    min_words: int
+    max_repeat_percent: int
+
+    def base_failed(self, stats: Column) -> Column:
+        return (stats["n_words"] < self.min_words) | (100 * stats["n_repeat_words"] > self.max_repeat_percent * stats["n_words"])
+
+    def kept(self, stats: Column) -> Column:
+        return ~self.base_failed(stats) & (stats["score"] >= F.lit(float(self.threshold)))
+
+
+def learn(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -170,18 +188,41 @@ def quality_rules(
     threshold: float | None = None,
     min_words: int = 10,
     max_repeat_percent: int = 20,
-) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, threshold."""
+) -> Rules:
+    """Both multinomials and the threshold.
+
+    All texts are counted in one pass, where they are. Only texts of labelled
+    documents meet the labels: a filter of bounded size picks them in the map, and
+    an exact join settles which they are.
+    """
     lab = labels.select(F.col(id_col).cast("long").alias("id"), (F.col("quality") == 1).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("bad"))
-    lab = lab.groupBy("id").agg(F.min("good").alias("good"), F.max("bad").alias("bad"))
+    lab = lab.filter("id IS NOT NULL").groupBy("id").agg(F.min("good").alias("good"), F.max("bad").alias("bad"))
+    lab = materialize(lab.filter("good IS NOT NULL"), "labels")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    labelled = seen(lab.select("id"))
     # Labels grow with the corpus: the same join at every size, not a broadcast while they are few.
-    trusted = texts.join(lab.hint("merge"), "id", "left").select("text", (F.col("good") & ~F.col("bad")).alias("trusted"))
-    ratio = log_ratio(gram_counts(trusted))
-    scored = materialize(document_scores(docs, id_col, text_col, ratio), "quality-scores")
-    cut = best_threshold(scored, lab, F.col("good").cast("int")) if threshold is None else threshold
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    known = texts.filter(labelled(F.col("id"))).join(lab.hint("merge"), "id").select("text", "good", (F.col("good") & ~F.col("bad")).alias("trusted"))
+    known = materialize(known, "labelled-texts")
+    trusted = gram_counts(known.filter("trusted").select("text")).withColumnRenamed("n", "n_trusted")
+    corpus = gram_counts(texts.select("text")).withColumnRenamed("n", "n_corpus")
+    stats = text_stats(docs.sparkSession, log_ratio(corpus.join(trusted, "bucket", "left").fillna(0, ["n_trusted"])))
+    if threshold is None:
+        threshold = best_threshold(known.select(stats(F.col("text"))["score"].alias("score"), "good"))
+    return Rules(stats, threshold, min_words, max_repeat_percent)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, threshold of each row; options as of ``learn``."""
+    rules = learn(docs, labels, id_col, text_col, **options)
+    s = F.col("s")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), rules.stats(F.col(text_col).cast("string")).alias("s"))
     return scored.select(
-        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.col("score") >= F.lit(float(cut)))).alias("kept"), "score", F.lit(float(cut)).alias("threshold"),
+        "doc_id", "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words",
+        rules.base_failed(s).alias("base_failed"), rules.kept(s).alias("kept"), "s.score", F.lit(float(rules.threshold)).alias("threshold"),
     )
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that pass, as they are; each row is judged by its own text, where it lies."""
+    rules = learn(docs, labels, id_col, text_col, **options)
+    return docs.filter(rules.kept(rules.stats(F.col(text_col).cast("string"))))

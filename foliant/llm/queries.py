@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from foliant.llm import oracles
+from foliant.llm import oracles, stages
 from foliant.llm.decontaminate import contaminated
 from foliant.llm.langid import fit, identify
 from foliant.llm.license_scan import license_scan
@@ -73,10 +72,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op10."""
+    return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
 
-    return corpus_pipeline.run(spark, sf_dir)
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {
@@ -84,6 +91,7 @@ QUERIES = {
     for f in (
         op1_suffix_array_dedup, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_source_mixing, op6_sharding,
         op7_quality_rules, op8_benchmark_decontamination, op9_line_dedup, op10_license_scan, pipeline,
+        license_base_columns, quality_base_columns,
     )
 }
 SQL = {
@@ -92,4 +100,6 @@ SQL = {
     "op5_source_mixing": oracles.mixing_sql(WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS, SEED),
     "op6_sharding": oracles.sharding_sql(SHARD_BYTES),
     "op9_line_dedup": oracles.OP9,
+    "license_base_columns": oracles.LICENSE_BASE,
+    "quality_base_columns": oracles.QUALITY_BASE,
 }

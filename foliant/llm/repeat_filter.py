@@ -5,6 +5,9 @@ piece by piece, so that no task holds the filters of many. What the merged
 twice-seen filter doesn't hold is surely unique. Its size follows the number of
 keys up to ``most_bytes``; a fuller filter lets more unique keys through, and the
 exact steps behind it sort them out.
+
+``seen`` is the once-seen filter alone, as a condition on a column of hashes: what
+it holds goes to an exact join, all else passes in the map.
 """
 
 from __future__ import annotations
@@ -16,7 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from foliant.llm.common import mix
 
 #: Bytes of a piece of the filters, the unit of merging.
 PIECE = 1 << 13
@@ -84,3 +90,20 @@ def repeat_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarra
     for r in merged.select("piece", "twice").collect():
         out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(r.twice), np.uint8)
     return out
+
+
+def seen(keys: DataFrame, bits_per_key: int = 12, most_bytes: int = 32 << 20) -> Callable[[Column], Column]:
+    """Condition on a long column: true for each of the keys (a table of one long column), seldom for others.
+
+    The filter is broadcast, of ``most_bytes`` at most: a fuller one says yes more often.
+    """
+    hashes = lambda x: mix(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    # a key that is there twice in its task is in the twice-seen filter
+    bitmap = repeat_filter(keys, lambda batch: np.repeat(hashes(batch.column(0)), 2), filter_bits(keys.count(), bits_per_key, most_bytes))
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def holds(c: pa.Array) -> pa.Array:
+        return pa.array(maybe_repeated(shared.value, hashes(c)), pa.bool_())
+
+    return holds
