@@ -1,65 +1,11 @@
-"""The corpus pipeline: five stages, each a table that is written and read again.
+"""The corpus pipeline: five stages, each a table that is written and read again (see ``foliant.llm.stages``).
 
-Every stage but the last returns the columns of ``documents``; the last adds the
-shard of each row. Rows with a null id can't be told apart: a decision on one
-holds for all of them.
+SQL can't express the hashed likelihood ratio and the bit-sampled search; tests
+hold each stage against a plain version.
 """
 
-from __future__ import annotations
+from foliant.llm.stages import STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from foliant.llm.common import materialize
-from foliant.llm.decontaminate import contaminated
-from foliant.llm.minhash_dedup import near_duplicates
-from foliant.llm.mixing import mix_sources
-from foliant.llm.quality_rules import quality_rules
-from foliant.llm.sharding import shard_rows
-
-WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
-SHARD_BYTES = 16 << 20
-
-
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is (left_semi) or isn't (left_anti) in ids: the same sort-merge join at every size."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct().hint("merge")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), how)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
-    verdict = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, verdict.filter("NOT kept"), "left_anti")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates (five-word shingles, 0.8)."""
-    return _only(docs, near_duplicates(docs, shingle=5, percent=80).filter("NOT kept"), "left_anti")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return _only(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by target weights; a document that is taken in two epochs is there twice."""
-    return mix_sources(docs, WEIGHTS, budget_percent=80, max_epochs=2, seed=17).select("row.*")
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with the leading hash bits that are their shard."""
-    return shard_rows(docs, SHARD_BYTES).select("row.*", F.col("shard").alias("shard_prefix"), "shard_bits")
-
-
-STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("decontamination", decontaminate), ("source mixing", mix), ("sharding", shard)]
-#: SQL can't express the hashed likelihood ratio and the bit-sampled search; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
