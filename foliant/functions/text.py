@@ -47,13 +47,13 @@ def suspect_flags(text: Column, label: Column, width: Column, height: Column, pa
 
 
 def highlight(c: Column, terms: list[str]) -> Column:
-    """HTML-escaped text with <mark> around each term, longest first, any case."""
+    """HTML-escaped text with <mark> around each term (a text, or a pattern of the plan), longest first, any case."""
     escaped = c
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         escaped = F.replace(escaped, F.lit(a), F.lit(b))
     if not terms:
         return escaped
-    words = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
+    words = "|".join(re.escape(t) if type(t) is str else t for t in sorted(terms, key=len, reverse=True))
     return F.regexp_replace(escaped, f"(?iu)({words})", "<mark>$1</mark>")
 
 
@@ -92,8 +92,41 @@ def repeats_itself(c: Column) -> Column:
 
 
 def strip_markdown(c: Column) -> Column:
-    """Heading, list and quote marks at the start, emphasis and code marks anywhere."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?m)^\s*(#{1,6}\s+|[-*+]\s+|>\s?)", ""), r"\*\*|__|`", "")
+    """Heading, list, number and quote marks at the start of a line, any run of them; double stars and backticks anywhere."""
+    marks = r"(?m)^[ \t]*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+|>\s+)+"
+    return F.regexp_replace(F.regexp_replace(c, marks, ""), r"\*\*|`", "")
+
+
+def clean_field(c: Column) -> Column:
+    """Trimmed text, null where nothing is left."""
+    return F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+def json_fields(c: Column) -> Column:
+    """A JSON object as a map of texts; null for anything else."""
+    return F.when(F.ltrim(c).startswith("{"), F.from_json(c, "map<string,string>"))
+
+
+def source_flags(tags: Column) -> Column:
+    """is_primary, is_secondary and is_reference of a JSON list of tags; what is no list counts as primary."""
+    own = F.coalesce(F.when(F.ltrim(tags).startswith("["), F.from_json(tags, "array<string>")), F.array(F.lit("primary")))
+    return F.struct(*[F.array_contains(own, t).cast("int").alias(f"is_{t}") for t in ("primary", "secondary", "reference")])
+
+
+def slice_page(c: Column, start: Column, end: Column) -> Column:
+    """Characters start..end (from 0) of the text as it is collated."""
+    return F.substring(normalise(c), start + 1, end - start)
+
+
+def clamp_page(page: Column, page_count: Column) -> Column:
+    """A page number held to 1..page_count."""
+    return F.greatest(F.lit(1), F.least(page, F.greatest(F.coalesce(page_count, F.lit(1)), F.lit(1))))
+
+
+def excerpt(c: Column, most: int = 120) -> Column:
+    """Text with white space collapsed, cut with an ellipsis."""
+    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
 def sqlite_year(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Undirected pairs of characters that recognition takes for each other.
-CONFUSIONS = "己已 己巳 已巳 戊戌 戊戍 戌戍 土士 未末 日曰 甲申 甲由 申由 州洲 干千 崇祟".split()
+CONFUSIONS = ["己已", "己巳", "已巳", "戊戌", "戊戍", "戌戍", "土士", "未末", "日曰", "甲申", "甲由", "申由", "州洲", "干千", "崇祟"]
 #: A starter table of traditional and simplified forms; a deployment passes a fuller one.
 SCRIPTS = "學学 據据 歷历 導导 論论 臺台 灣湾 國国 書书 簡简 筆笔 漢汉 語语 鄉乡 誌志 黃黄 糧粮 跡迹 戶户 萬万 與与 義义 體体 編编 譯译".split()
 
@@ -33,6 +35,13 @@ class ScriptVariants:
     def of(self, word: str) -> list[str]:
         return sorted({"".join(c) for c in product(*(self.table.get(ch, ch) for ch in word))})
 
+    def count(self, word: str) -> int:
+        return math.prod(len(set(self.table.get(ch, ch))) for ch in word)
+
+    def pattern(self, word: str) -> str:
+        """A regular expression for all forms."""
+        return "".join(f"[{t}]" if len(t := self.table.get(ch, ch)) > 1 else re.escape(ch) for ch in word)
+
     def fold(self) -> tuple[str, str]:
         """The two sides of a translate() to the simplified form."""
         return "".join(p[0] for p in self.pairs), "".join(p[1] for p in self.pairs)

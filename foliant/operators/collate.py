@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,49 +17,99 @@ MATCH, MISMATCH, GAP = 2.0, -1.0, -1.5
 LEAST_AGREEMENT, CLUSTER_GAP, ANCHOR, LOW_CONFIDENCE = 0.60, 3, 8, 0.5
 
 
+#: Cells of the score tables that a task holds at once.
+CELLS = 1 << 23
+
+
+def align_many(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Global alignments of pairs of code point arrays, as index pairs with -1 for a gap; of equal steps back, left wins over up over diagonal.
+
+    All pairs go row by row together. A row's steps to the right are a running
+    maximum, as every one of them costs the same.
+    """
+    n, m = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    rows, width, count = int(n.max(initial=0)), int(m.max(initial=0)), len(a)
+    x, y = np.full((count, rows), -1, np.int64), np.full((count, width), -2, np.int64)
+    for k in range(count):
+        x[k, : n[k]], y[k, : m[k]] = a[k], b[k]
+    right = np.arange(width + 1, dtype=np.float32) * np.float32(GAP)
+    score = np.empty((rows + 1, count, width + 1), np.float32)
+    score[0] = right
+    for i in range(rows):
+        step = np.where(x[:, i, None] == y, np.float32(MATCH), np.float32(MISMATCH))
+        score[i + 1, :, 0] = GAP * (i + 1)
+        score[i + 1, :, 1:] = np.maximum(score[i, :, :-1] + step, score[i, :, 1:] + np.float32(GAP))
+        score[i + 1] = np.maximum.accumulate(score[i + 1] - right, 1) + right
+    i, j, k = n.copy(), m.copy(), np.flatnonzero((n > 0) | (m > 0))
+    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(k):
+        p, q = i[k], j[k]
+        here = score[p, k, q]
+        left = (q > 0) & (here == score[p, k, np.maximum(q - 1, 0)] + np.float32(GAP))
+        up = ~left & (p > 0) & (here == score[np.maximum(p - 1, 0), k, q] + np.float32(GAP))
+        i[k] -= ~left
+        j[k] -= ~up
+        steps.append((k, np.where(left, -1, p - 1), np.where(up, -1, q - 1)))
+        k = k[(i[k] > 0) | (j[k] > 0)]
+    if not steps:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * count
+    own, ai, bj = (np.concatenate(s)[::-1] for s in zip(*steps))
+    order = np.argsort(own, kind="stable")
+    cut = np.searchsorted(own[order], np.arange(count + 1))
+    return [(ai[order[lo:hi]], bj[order[lo:hi]]) for lo, hi in zip(cut[:-1], cut[1:])]
+
+
 def align(a: str, b: str) -> list[tuple[int, int]]:
-    """Global alignment as index pairs, -1 for a gap. Scores by anti-diagonals; of equal steps back, left wins over up over diagonal."""
-    n, m = len(a), len(b)
-    x, y = np.array([ord(c) for c in a]), np.array([ord(c) for c in b])
-    score = np.zeros((n + 1, m + 1))
-    score[:, 0], score[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        diag = score[i - 1, j - 1] + np.where(x[i - 1] == y[j - 1], MATCH, MISMATCH)
-        score[i, j] = np.maximum(diag, np.maximum(score[i - 1, j], score[i, j - 1]) + GAP)
-    out, i, j = [], n, m
-    while i or j:
-        here = score[i, j]
-        if j and here == score[i, j - 1] + GAP:
-            j -= 1
-            out.append((-1, j))
-        elif i and here == score[i - 1, j] + GAP:
-            i -= 1
-            out.append((i, -1))
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-    return out[::-1]
+    """One alignment, as index pairs."""
+    ((i, j),) = align_many([_points(a)], [_points(b)])
+    return list(zip(i.tolist(), j.tolist()))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _dealt(df: DataFrame, *key: str) -> DataFrame:
+    """Rows for costly functions dealt evenly to all tasks: their number follows the cluster's and not the size of the texts."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def alignments(pairs: DataFrame) -> DataFrame:
-    """(id, a, b) -> a row for each alignment column: id, col, ca, cb, i, j. Texts are normalised first; pages are independent."""
+    """(id, a, b) -> a row for each alignment column: id, col, ca, cb, i, j. Texts are normalised first; pairs are pages, and independent."""
     p = pairs.select("id", normalise(F.coalesce("a", F.lit(""))).alias("a"), normalise(F.coalesce("b", F.lit(""))).alias("b"))
+    gap = np.uint32(0xFFFFFFFF)
 
-    def run(parts):
-        for pdf in parts:
-            rows = [(r.id, k, None if i < 0 else r.a[i], None if j < 0 else r.b[j], None if i < 0 else i, None if j < 0 else j) for r in pdf.itertuples() for k, (i, j) in enumerate(align(r.a, r.b))]
-            out = pd.DataFrame(rows, columns=["id", "col", "ca", "cb", "i", "j"])
-            yield out.astype({"i": "Int32", "j": "Int32"})
+    def letters(points: np.ndarray, at: np.ndarray) -> pa.Array:
+        own = np.where(at < 0, np.uint32(32), points[np.maximum(at, 0)] if len(points) else gap).astype(np.uint32)
+        text = list(own.tobytes().decode("utf-32-le", "surrogatepass"))
+        return pa.array([None if x < 0 else c for x, c in zip(at.tolist(), text)], pa.string())
 
-    return p.mapInPandas(run, "id long, col int, ca string, cb string, i int, j int")
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            a, b = ([_points(t) for t in batch.column(c).to_pylist()] for c in (1, 2))
+            order = sorted(range(len(ids)), key=lambda k: (len(a[k]), len(b[k])))
+            lo = 0
+            while lo < len(order):
+                hi = lo + 1
+                while hi < len(order) and (hi - lo + 1) * (len(a[order[hi]]) + 1) * (max(len(b[k]) for k in order[lo : hi + 1]) + 1) <= CELLS and hi - lo < 256:
+                    hi += 1
+                some = order[lo:hi]
+                for k, (i, j) in zip(some, align_many([a[k] for k in some], [b[k] for k in some])):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(i), ids[k], np.int64)), pa.array(np.arange(len(i), dtype=np.int32)), letters(a[k], i), letters(b[k], j), *(pa.array(x.astype(np.int32), mask=x < 0) for x in (i, j))],
+                        ["id", "col", "ca", "cb", "i", "j"],
+                    )
+                lo = hi
 
+    return _dealt(p, "id").mapInArrow(run, "id long, col int, ca string, cb string, i int, j int")
 
-def agreement(columns: DataFrame) -> DataFrame:
-    """Share of alignment columns that are equal, and whether the pair is accepted."""
+
+def agreement(columns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Share of alignment columns that are equal, and whether the pair is accepted; two empty texts agree."""
     same = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("int")
-    return columns.groupBy("id").agg((F.sum(same) / F.count("*")).alias("agree")).withColumn("accepted", F.col("agree") >= LEAST_AGREEMENT)
+    found = columns.groupBy("id").agg((F.sum(same) / F.count("*")).alias("agree"))
+    return pairs.select("id").join(found, "id", "left").withColumn("agree", F.coalesce("agree", F.lit(1.0))).withColumn("accepted", F.col("agree") >= LEAST_AGREEMENT)
 
 
 def divergences(columns: DataFrame) -> DataFrame:
@@ -72,29 +125,74 @@ def divergences(columns: DataFrame) -> DataFrame:
     return g.withColumn("kind", kind)
 
 
-def grams(text: Column, k: int = ANCHOR) -> Column:
-    """Positions (from 0) and k-grams of a text, as an array of structs."""
-    chars = F.split(text, "")
-    spots = F.when(F.length(text) >= k, F.sequence(F.lit(0), F.length(text) - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(chars, i + 1, k), "").alias("gram")))
+def gram_names(points: np.ndarray, k: int = ANCHOR) -> np.ndarray:
+    """A 64-bit name for the k characters from each place on."""
+    n = max(0, len(points) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = (out ^ points[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def anchors_of(pages: list[str], text: str) -> list[tuple[int, int]]:
+    """First place and number of each page's grams that stand once in the text; names that meet are compared character by character."""
+    t = _points(text)
+    names, first, n = np.unique(gram_names(t), return_index=True, return_counts=True)
+    names, first = names[n == 1], first[n == 1]
+    out = []
+    for page in pages:
+        p = _points(page)
+        g = gram_names(p)
+        at = np.searchsorted(names, g)
+        own = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == g) if len(names) else at[:0]
+        pos = first[at[own]]
+        same = np.ones(len(own), bool)
+        for i in range(ANCHOR):
+            same &= t[pos + i] == p[own + i]
+        out.append((int(pos[same].min()) if same.any() else -1, int(same.sum())))
+    return out
 
 
 def page_anchors(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """First place and number of a page's grams that are unique in the transcript."""
+    """First place and number of a page's grams that are unique in the transcript: transcript_id, page_num, pos, hits.
+
+    A transcript meets its own pages in one group of a cogroup, so its grams never
+    leave the task and only texts are shuffled, once.
+    """
     plain = lambda t, *key: t.select(*key, normalise(F.col("text")).alias("plain"))
-    t = plain(transcripts, "transcript_id").select("transcript_id", F.explode(grams(F.col("plain"))).alias("g")).select("transcript_id", "g.gram", "g.pos")
-    unique = t.groupBy("transcript_id", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).filter("n = 1").drop("n")
-    p = plain(pages, "transcript_id", "page_num").select("transcript_id", "page_num", F.explode(grams(F.col("plain"))).alias("g")).select("transcript_id", "page_num", "g.gram")
-    return p.join(unique, ["transcript_id", "gram"]).groupBy("transcript_id", "page_num").agg(F.min("pos").alias("pos"), F.count("*").alias("hits"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for text in right["plain"].dropna():
+            found = anchors_of([p or "" for p in left["plain"]], text)
+            rows += [(t, int(n), pos, hits) for t, n, (pos, hits) in zip(left["transcript_id"], left["page_num"], found) if hits]
+        return pd.DataFrame(rows, columns=["transcript_id", "page_num", "pos", "hits"])
+
+    left, right = (_dealt(t, "transcript_id").groupBy("transcript_id") for t in (plain(pages, "transcript_id", "page_num"), plain(transcripts, "transcript_id")))
+    return left.cogroup(right).applyInPandas(run, "transcript_id long, page_num int, pos int, hits long")
 
 
 def longest_rise(pos: list[int]) -> list[int]:
-    """Indices of the longest rising chain: the earliest predecessor of equal ones, the first of equal ends."""
-    best, prev = [1] * len(pos), [-1] * len(pos)
+    """Indices of the longest strictly rising chain: the first of the ends, each with its earliest best predecessor."""
+    # By length of chain: the ends with that length, in order of place, fall in value.
+    best: list[int] = []
+    lows: list[int] = []
+    at_length: list[list[int]] = []
+    prev = [-1] * len(pos)
     for i, p in enumerate(pos):
-        for j in range(i):
-            if pos[j] < p and best[j] >= best[i]:
-                best[i], prev[i] = best[j] + 1, j
+        n = bisect.bisect_left(lows, p)
+        best.append(n)
+        if n:
+            ends = at_length[n - 1]
+            # values fall along ends: the first end below p is the earliest predecessor
+            prev[i] = ends[bisect.bisect_left(ends, True, key=lambda j: pos[j] < p)]
+        if n == len(lows):
+            lows.append(p)
+            at_length.append([i])
+        else:
+            lows[n] = min(lows[n], p)
+            at_length[n].append(i)
     chain, at = [], best.index(max(best)) if pos else -1
     while at >= 0:
         chain.append(at)
@@ -123,3 +221,71 @@ def flag_lines(lines: DataFrame, marked: DataFrame, flag: str = "diff") -> DataF
     flags = F.filter(F.split(F.coalesce("suspect", F.lit("")), ","), lambda f: f != "")
     new = F.when(F.col("_m"), F.array_union(flags, F.array(F.lit(flag)))).otherwise(F.array_except(flags, F.array(F.lit(flag))))
     return lines.join(m, "id", "left").withColumn("suspect", F.nullif(F.array_join(new, ","), F.lit(""))).drop("_m")
+
+
+def usable_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a page that can be collated: vertical text if the page has any, else all that isn't a number, footer, document title or table.
+
+    A page without such a line has no rows.
+    """
+    page = Window.partitionBy("doc_id", "page_num")
+    upright = F.coalesce(F.col("block_label") == "vertical_text", F.lit(False))
+    other = ~F.coalesce(F.col("block_label").isin("number", "footer", "doc_title", "table"), F.lit(False))
+    return lines.withColumn("_up", F.max(upright).over(page)).filter(F.when(F.col("_up"), upright).otherwise(other)).drop("_up")
+
+
+def page_sequence(lines: DataFrame) -> DataFrame:
+    """Text of each page as it is collated, and the end of each line in it: doc_id, page_num, text, ends (array of line_id, end)."""
+    row = F.struct("block_num", "line_num", F.col("id").alias("line_id"), normalise(F.coalesce("text", F.lit(""))).alias("t"))
+    g = usable_lines(lines).groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_id:bigint,end:int>>").alias("ends"))
+    step = lambda s, r: F.struct((s["at"] + F.length(r["t"])).alias("at"), F.concat(s["ends"], F.array(F.struct(r["line_id"].cast("long").alias("line_id"), (s["at"] + F.length(r["t"])).alias("end")))).alias("ends"))
+    return g.select("doc_id", "page_num", F.array_join(F.transform("rows", lambda r: r["t"]), "").alias("text"), F.aggregate("rows", start, step, lambda s: s["ends"]).alias("ends"))
+
+
+def line_ids_at(places: str, ends: str) -> Column:
+    """Ids of the lines that hold the places (array of indices from 0) of a page's sequence, sorted, each once."""
+    at = lambda i: F.try_element_at(F.filter(ends, lambda e: e["end"] > i), F.lit(1))["line_id"]
+    return F.array_sort(F.array_distinct(F.filter(F.transform(places, at), lambda x: x.isNotNull())))
+
+
+def confirmed_pages(transcripts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Transcripts with the number of their pages whose range is confirmed."""
+    n = ranges.filter("confirmed").groupBy("transcript_id").agg(F.count("*").alias("confirmed_pages"))
+    return transcripts.join(n, "transcript_id", "left").fillna(0, ["confirmed_pages"])
+
+
+def propose_ranges(have: DataFrame, found: DataFrame) -> DataFrame:
+    """Ranges of pages that have none yet come in unconfirmed; those that are there stay."""
+    key = ["transcript_id", "page_num"]
+    return have.unionByName(found.join(have.select(key), key, "left_anti").withColumn("confirmed", F.lit(False)), allowMissingColumns=True)
+
+
+def confirm_ranges(have: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Chosen ranges, confirmed, in place of all that their transcripts have."""
+    rest = have.join(chosen.select("transcript_id").distinct(), "transcript_id", "left_anti")
+    return rest.unionByName(chosen.withColumn("confirmed", F.lit(True)), allowMissingColumns=True)
+
+
+def check_pages(candidates: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A run of the page check: candidates (doc_id, page_num, b) against the pages' own sequences.
+
+    Gives the state of each page (done, rejected, unsupported) with its agreement, the
+    divergences of accepted pages with the ids of their lines, and the lines: on
+    accepted pages the ``diff`` flag stands where a line diverges by more than page
+    numbers, and nowhere else, so that running it again changes nothing.
+    """
+    key = ["doc_id", "page_num"]
+    both = candidates.join(page_sequence(lines), key, "left").withColumn("id", F.xxhash64(*key))
+    known = both.filter("text IS NOT NULL").select("id", *key, F.col("text").alias("a"), "b", "ends")
+    columns = alignments(known)
+    agreed = agreement(columns, known)
+    state = F.when(F.col("text").isNull(), "unsupported").when(F.col("accepted"), "done").otherwise("rejected")
+    states = both.join(agreed, "id", "left").select(*key, state.alias("state"), F.bround("agree", 3).alias("agree"))
+    good = known.join(agreed.filter("accepted").select("id"), "id", "left_semi")
+    found = divergences(columns.join(good.select("id"), "id", "left_semi")).join(good.select("id", *key, "ends"), "id")
+    found = found.withColumn("line_ids", line_ids_at("idx_a", "ends")).drop("id", "ends", "idx_a", "idx_b")
+    checked = good.select(*key).distinct()
+    marked = found.filter("kind <> 'pageno'").select(F.explode("line_ids").alias("line_id"))
+    flagged = flag_lines(lines.join(checked, key, "left_semi"), marked)
+    return states, found, lines.join(checked, key, "left_anti").unionByName(flagged)

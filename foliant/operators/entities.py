@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import repeats_itself
+from foliant.sources.scratch import numbered
 
 NORM = r"\s+"
 
@@ -33,15 +34,10 @@ def resolve(surfaces: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def with_new_entities(resolved: DataFrame, first_seen: DataFrame, top_id: int) -> DataFrame:
-    """Surfaces that nothing resolves get ids after ``top_id``, in order of first (doc_id, pos).
-
-    Ids are dealt in ranges: counts by document give each document its first id, so no task sees all new names.
-    """
+    """Surfaces that nothing resolves get ids after ``top_id``, in order of first (doc_id, pos); ranges are numbered each by itself."""
     new = resolved.filter("entity_id IS NULL").join(first_seen, "surface").groupBy("surface").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    per = new.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
-    start = per.select("doc_id", (F.sum("n").over(Window.orderBy("doc_id")) - F.col("n") + top_id).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("at.doc_id").orderBy("at.pos", "surface"))
-    ids = new.select("surface", F.col("at.doc_id").alias("doc_id"), rank.alias("rn")).join(start, "doc_id").select("surface", (F.col("start") + F.col("rn")).alias("new_id"))
+    ids = numbered(new.select("surface", "at.doc_id", "at.pos"), ["doc_id", "pos", "surface"], "new_id")
+    ids = ids.select("surface", (F.col("new_id") + top_id).alias("new_id"))
     return resolved.join(ids, "surface", "left").select("surface", F.coalesce("entity_id", "new_id").alias("entity_id"), "how")
 
 
@@ -82,24 +78,35 @@ def reanchor(mentions: DataFrame, lines: DataFrame) -> DataFrame:
     return mentions.join(first, "id", "left").withColumn("block_num", F.coalesce("found", "block_num")).drop("found")
 
 
+def _bare(c: str) -> Column:
+    return F.regexp_replace(c, NORM, "")
+
+
 def audit_repeats(entities: DataFrame) -> DataFrame:
-    return entities.filter(repeats_itself(F.col("canonical"))).select("id", "canonical")
+    """Names, without white space, in which a stretch of two characters or more stands twice in a row."""
+    return entities.filter(repeats_itself(_bare("canonical"))).select("id", "canonical")
 
 
 def audit_alias_is_name(entities: DataFrame) -> DataFrame:
-    """Aliases that are another entity's canonical name."""
-    a = entities.select(F.col("id").alias("alias_of"), F.explode("aliases").alias("name"))
-    return a.join(entities.select(F.col("id").alias("named"), F.col("canonical").alias("name")), "name").filter("alias_of <> named").select("alias_of", "named", "name")
+    """Aliases that are another entity's canonical name but for white space; of entities with one name the least id counts."""
+    a = entities.select(F.col("id").alias("alias_of"), F.explode("aliases").alias("name")).withColumn("k", _bare("name")).distinct()
+    names = entities.groupBy(_bare("canonical").alias("k")).agg(F.min("id").alias("named"))
+    return a.join(names, "k").filter("alias_of <> named").select("alias_of", "named", "name")
 
 
 def audit_contained(entities: DataFrame) -> DataFrame:
-    """Names inside longer names (2 to 24 characters, 1 to 6 longer); candidates share the inner name's first two characters."""
-    e = entities.select("id", "canonical").filter(F.length("canonical").between(2, 24))
-    inner = e.select(F.col("id").alias("inner_id"), F.col("canonical").alias("inner_name"), F.substring("canonical", 1, 2).alias("g"))
-    spots = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("canonical") - 1), lambda i: F.substring("canonical", i, F.lit(2))))
-    outer = e.select(F.col("id").alias("outer_id"), F.col("canonical").alias("outer_name"), F.explode(spots).alias("g"))
-    longer = (F.length("outer_name") - F.length("inner_name")).between(1, 6)
-    return inner.join(outer, "g").filter(longer & F.contains("outer_name", F.col("inner_name"))).select("inner_id", "outer_id", "inner_name", "outer_name")
+    """Names inside longer names, without white space (2 to 24 characters, at most 6 shorter).
+
+    An outer name is cut into all its parts that are that long, and parts meet names
+    by equality: no start or gram that many names share brings all of them together.
+    """
+    e = entities.select("id", "canonical", _bare("canonical").alias("n"))
+    inner = e.filter(F.length("n").between(2, 24)).select(F.col("id").alias("inner_id"), F.col("canonical").alias("inner_name"), "n")
+    size = F.length("n")
+    sizes = F.sequence(F.greatest(F.lit(2), size - 6), F.least(F.lit(24), size - 1))
+    parts = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring("n", i, k))))
+    outer = e.filter(size.between(3, 30)).select(F.col("id").alias("outer_id"), F.col("canonical").alias("outer_name"), F.explode(F.array_distinct(parts)).alias("n"))
+    return inner.join(outer, "n").select("inner_id", "outer_id", "inner_name", "outer_name")
 
 
 def merge_entity(entities: DataFrame, mentions: DataFrame, src: int, dst: int) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import numbered, written
+
 KEY = ["doc_id", "page_num", "block_num"]
 
 
@@ -95,19 +97,39 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return tables["documents"].select(F.col("id").alias("doc_id"), "cite_key", "filename").join(n, "doc_id", "left").fillna(0, ["base_version"])
 
 
-def import_documents(have: DataFrame, come: DataFrame) -> tuple[DataFrame, DataFrame]:
+def newcomers(have: DataFrame, come: DataFrame) -> DataFrame:
+    """Rows of ``come`` that get in, one after the other in id order: whose cite key or file name is there already stays out.
+
+    Each round lets in the rows that are first of all that are left with their key
+    and with their file name, and drops those that these keep out. Rows that share
+    neither with others, i.e. nearly all, are through after one round.
+    """
+    free = lambda t, taken: t.join(taken.filter("cite_key <> ''").select("cite_key"), "cite_key", "left_anti").join(taken.filter("filename <> ''").select("filename"), "filename", "left_anti")
+    left, taken, done = come.select("id", "cite_key", "filename"), have.select("cite_key", "filename"), None
+    while True:
+        left = written(free(left, taken), "newcomers")
+        firsts = lambda c: left.filter(f"{c} <> ''").groupBy(c).agg(F.min("id").alias(f"_{c}"))  # noqa: E731, B023
+        ranked = left.join(firsts("cite_key"), "cite_key", "left").join(firsts("filename"), "filename", "left")
+        taken = written(ranked.filter("coalesce(_cite_key, id) = id AND coalesce(_filename, id) = id").select("id", "cite_key", "filename"), "let-in")
+        done = taken if done is None else done.union(taken)
+        if not taken.take(1):
+            return come.join(done.select("id"), "id", "left_semi")
+        left = left.join(taken.select("id"), "id", "left_anti")
+
+
+def import_documents(have: DataFrame, come: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """Merged documents and the map old_id -> new_id. A document whose cite key or file name is there is skipped.
 
-    New ids go on from the largest; they follow the order of old ids, by ranges: a
-    sum over counts per 1000 ids gives each range its start.
+    New ids go on from the largest, in the order of old ids. With ``force`` all come
+    in: a file name that is there gets ``_imported`` before its ending.
     """
-    new = come.join(have.select("cite_key"), "cite_key", "left_anti").join(have.select("filename"), "filename", "left_anti")
-    per = new.groupBy(F.floor(F.col("id") / 1000).alias("r")).agg(F.count("*").alias("n"))
-    per = per.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("start"))
+    new = come if force else newcomers(have, come)
+    if force:
+        there = have.filter("filename IS NOT NULL").select(F.col("filename").alias("_there")).distinct()
+        again = F.regexp_replace("filename", r"^(.*?)(\.[^.]*)?$", "$1_imported$2")
+        new = new.join(there, F.col("filename") == F.col("_there"), "left").withColumn("filename", F.when(F.col("_there").isNotNull(), again).otherwise(F.col("filename"))).drop("_there")
     top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rn = F.row_number().over(Window.partitionBy("r").orderBy("id"))
-    ids = new.select("id", F.floor(F.col("id") / 1000).alias("r")).withColumn("rn", rn).join(per, "r").join(F.broadcast(top))
-    ids = ids.select(F.col("id").alias("old_id"), (F.col("top") + F.col("start") + F.col("rn")).alias("new_id"))
+    ids = numbered(new.select("id"), ["id"]).join(F.broadcast(top)).select(F.col("id").alias("old_id"), (F.col("top") + F.col("n")).alias("new_id"))  # one row by construction
     moved = new.join(ids, F.col("id") == F.col("old_id")).withColumn("id", F.col("new_id")).drop("old_id", "new_id")
     return have.unionByName(moved, allowMissingColumns=True), ids
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import ascii_fold, sqlite_year
-from foliant.plans.search_plan import Planner, SearchPlan
+from foliant.plans.search_plan import Pattern, Planner, SearchPlan
 
 K1, B = 1.2, 0.75
 
@@ -29,6 +29,8 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def _holds(phrase: str, columns: list[str]) -> Column:
+    if isinstance(phrase, Pattern):
+        return _any([F.coalesce(F.col(c).rlike(f"(?iu){phrase}"), F.lit(False)) for c in columns])
     return _any([F.coalesce(F.contains(F.lower(F.col(c)), F.lit(phrase.lower())), F.lit(False)) for c in columns])
 
 
@@ -55,7 +57,8 @@ def variant_predicate(planner: Planner, query: str, columns: list[str]) -> Colum
 
 def occurrences(c: Column, phrase: str) -> Column:
     """Overlapping places of a phrase: a look-ahead matches at each of them."""
-    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"(?=\\Q{phrase.lower()}\\E)"))
+    own = f"(?iu)(?={phrase})" if isinstance(phrase, Pattern) else f"(?=\\Q{phrase.lower()}\\E)"
+    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(own))
 
 
 def gram_length(text: str = "index_text", trans: str = "trans") -> Column:

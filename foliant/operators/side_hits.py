@@ -44,17 +44,16 @@ def page_notes(notes: DataFrame) -> DataFrame:
     return n.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda r: r["t"]), "\n").alias("notes"))
 
 
-def filtered_entities(entities: DataFrame, era: str | None = None, scope: str | None = None, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
-    """Entities by substrings of their era and scope and by overlap of their years; with no year at all they drop out of a year filter."""
+def filtered_entities(entities: DataFrame, era: str | None = None, scope: str | None = None, year: int | None = None) -> DataFrame:
+    """Entities by substrings of their era and scope, and by a year inside their bounds; a bound may be missing, but not both."""
     p = lambda k: F.try_element_at("props", F.lit(k))
     e = entities
     if era:
-        e = e.filter(F.contains(F.coalesce(p("era"), p("朝代"), F.lit("")), F.lit(era)))
+        e = e.filter(F.contains(F.coalesce(F.nullif(p("era"), F.lit("")), p("朝代"), F.lit("")), F.lit(era)))
     if scope:
         e = e.filter(F.contains(F.coalesce(p("scope"), F.lit("")), F.lit(scope)))
-    lo, hi = p("year_from").try_cast("int"), p("year_to").try_cast("int")
-    if year_from is not None:
-        e = e.filter(F.coalesce(hi, lo) >= year_from)
-    if year_to is not None:
-        e = e.filter(F.coalesce(lo, hi) <= year_to)
+    if year is not None:
+        lo, hi = p("year_start"), p("year_end")
+        inside = F.coalesce(lo.try_cast("int") <= year, F.lit(True)) & F.coalesce(hi.try_cast("int") >= year, F.lit(True))
+        e = e.filter((lo.isNotNull() | hi.isNotNull()) & inside)
     return e

@@ -44,13 +44,41 @@ def docs_page(docs: DataFrame, tag: str | None = None, text: str | None = None,
     return rows.join(F.broadcast(total))  # one row by construction
 
 
-def search_use(events: DataFrame, last: int = 1000) -> DataFrame:
-    """Click rates of the latest searches, with and without an entity hit, their ratio, zero hits and expansions."""
+def search_use(events: DataFrame, last: int = 2000) -> DataFrame:
+    """Use of the latest searches: how many, without a hit, clicked; click rates over all, with and without an entity hit; the difference of the last two.
+
+    Rates are rounded to four places, and null where there is nothing to count; the difference is one of rounded rates.
+    """
     e = events.orderBy(F.desc("id")).limit(last)
-    rate = lambda c: F.coalesce(F.avg(F.when(c, F.col("clicked").cast("double"))), F.lit(0.0))
-    a = e.agg(F.count("*").alias("n"), rate(F.lit(True)).alias("ctr"), rate(F.col("entity_hits") > 0).alias("with_entity"), rate(F.col("entity_hits") == 0).alias("without_entity"), F.count_if(F.col("total_docs") == 0).alias("zero_hit"), F.count_if(F.col("expanded")).alias("expanded"))
-    lift = F.when(F.col("without_entity") > 0, F.col("with_entity") / F.col("without_entity")).otherwise(0.0)
-    return a.select("n", *[F.bround(c, 4).alias(k) for k, c in (("ctr", F.col("ctr")), ("with_entity", F.col("with_entity")), ("without_entity", F.col("without_entity")), ("lift", lift))], "zero_hit", "expanded")
+    rate = lambda c: F.bround(F.avg(F.when(c, F.col("clicked").cast("double"))), 4)
+    own, none = F.col("entity_hits") > 0, F.col("entity_hits") == 0
+    a = e.agg(
+        F.count("*").alias("searches"), F.count_if(F.col("total_docs") == 0).alias("zero_hit"), F.count_if(F.col("clicked")).alias("clicked"), rate(F.lit(True)).alias("ctr"),
+        F.count_if(own).alias("with_entity"), rate(own).alias("ctr_with_entity"), rate(none).alias("ctr_without_entity"), F.count_if(F.col("expanded")).alias("expanded"),
+    )
+    return a.withColumn("entity_lift", F.bround(F.col("ctr_with_entity") - F.col("ctr_without_entity"), 4))
+
+
+def with_clicks(events: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Search events of which those that ``clicks`` (event_id) names count as clicked; once is enough."""
+    c = clicks.select(F.col("event_id").alias("id")).distinct().withColumn("_c", F.lit(True))
+    return events.join(c, "id", "left").withColumn("clicked", F.coalesce("clicked", F.lit(False)) | F.col("_c").isNotNull()).drop("_c")
+
+
+def retained(events: DataFrame, keep: int = 5000) -> DataFrame:
+    """Events with an id among the last ``keep`` numbers."""
+    top = events.agg(F.max("id").alias("_top"))
+    return events.join(F.broadcast(top)).filter(F.col("id") > F.col("_top") - keep).drop("_top")  # one row by construction
+
+
+def open_items(rows: DataFrame, newest: str, resolved: bool = False, limit: int = 200) -> DataFrame:
+    """Misses or reports: those not yet resolved, or all with these first; newest first; at most 1000."""
+    some = rows if resolved else rows.filter("resolved = 0")
+    return some.orderBy("resolved", F.desc(newest), F.desc("id")).limit(max(1, min(limit, 1000)))
+
+
+def distinct_pages(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "page_num").distinct()
 
 
 def search_misses(events: DataFrame) -> DataFrame:
@@ -83,10 +111,16 @@ def chat_tail(chat: DataFrame, turns: int = 12, most_chars: int = 8000) -> DataF
     return t.filter((F.col("back") <= turns) & (F.col("chars") <= most_chars)).select("conv_id", "turn", "role", "text")
 
 
-def quota_pools(docs: DataFrame, quotas: dict[str, float]) -> dict[int, str]:
-    """Documents, longest first, each to the pool with the least share of its quota. A fold over a job list, on the driver."""
+def quota_pools(docs: DataFrame, quotas: dict[str, float], most_jobs: int = 100_000) -> dict[int, str]:
+    """Documents, longest first, each to the pool with the least share of its quota: a fold over a list of jobs on the driver.
+
+    A longer list than ``most_jobs`` is refused: take the documents of one run.
+    """
+    jobs = docs.orderBy(F.desc("missing_chars"), "doc_id").select("doc_id", "missing_chars").limit(most_jobs + 1).collect()
+    if len(jobs) > most_jobs:
+        raise ValueError(f"over {most_jobs} jobs")
     used, out = dict.fromkeys(quotas, 0.0), {}
-    for r in docs.orderBy(F.desc("missing_chars"), "doc_id").select("doc_id", "missing_chars").toLocalIterator():
+    for r in jobs:
         pool = min(quotas, key=lambda k: (used[k] / quotas[k], k))
         used[pool] += r.missing_chars
         out[r.doc_id] = pool

@@ -6,37 +6,20 @@ one operator and gives plain columns. ``SQL`` has the same in DuckDB's words.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import folds, pagemap, text
-from foliant.operators import collate, entities, layout, mutate, search, side_hits, stats
+from foliant.operators import collate, entities, layout, mutate, pages, search, side_hits, stats
+from foliant.plans.registry import QUERIES, SQL, query
 from foliant.plans.search_plan import Planner
 from foliant.sources import bibtex, corpus, texts
 from foliant.sources.corpus import SQL_MODEL, table
 from foliant.streaming import intake
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 HIT = "contains(lower(index_text), '{}')"
 
 
-def query(sql: str | None = None, model: bool = True):
-    """Registers a function under its name; the SQL may use the model's docs, lines and blocks."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = f"WITH {SQL_MODEL.strip()}{sql if sql.lstrip().startswith(',') else ' ' + sql}" if model else sql
-        return f
-
-    return add
-
-
 # --- model and search ------------------------------------------------------------
 
 
@@ -188,10 +171,10 @@ _EVENTS_SQL = "e AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS
 
 
 @query(
-    f"""WITH {_EVENTS_SQL}, l AS (SELECT * FROM e ORDER BY id DESC LIMIT 1000),
-a AS (SELECT count(*) AS n, coalesce(avg(clicked::INT), 0) AS ctr, coalesce(avg(clicked::INT) FILTER (entity_hits > 0), 0) AS w, coalesce(avg(clicked::INT) FILTER (entity_hits = 0), 0) AS o,
-  count(*) FILTER (total_docs = 0) AS zero_hit, count(*) FILTER (expanded) AS expanded FROM l)
-SELECT n, round_even(ctr, 4) AS ctr, round_even(w, 4) AS with_entity, round_even(o, 4) AS without_entity, round_even(CASE WHEN o > 0 THEN w / o ELSE 0 END, 4) AS lift, zero_hit, expanded FROM a""",
+    f"""WITH {_EVENTS_SQL}, l AS (SELECT * FROM e ORDER BY id DESC LIMIT 2000),
+a AS (SELECT count(*) AS searches, count(*) FILTER (total_docs = 0) AS zero_hit, count(*) FILTER (clicked) AS clicked, round_even(avg(clicked::INT), 4) AS ctr,
+  count(*) FILTER (entity_hits > 0) AS with_entity, round_even(avg(clicked::INT) FILTER (entity_hits > 0), 4) AS ctr_with_entity, round_even(avg(clicked::INT) FILTER (entity_hits = 0), 4) AS ctr_without_entity, count(*) FILTER (expanded) AS expanded FROM l)
+SELECT *, round_even(ctr_with_entity - ctr_without_entity, 4) AS entity_lift FROM a""",
     model=False,
 )
 def search_stats(spark, sf):
@@ -324,14 +307,13 @@ def _pages(d, key):
 
 
 def _transcripts(spark, sf):
-    """Every tenth document as a transcript, its text in pages of 400 characters."""
-    d = table(spark, sf, "documents").filter("doc_id % 10 = 0 AND length(text) BETWEEN 800 AND 6000").select(F.col("doc_id").alias("transcript_id"), "text")
-    p = d.select("transcript_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int")), lambda i: F.substring("text", i * 400 + 1, F.lit(400)))).alias("page_num", "text"))
-    return d, p.withColumn("page_num", F.col("page_num") + 1)
+    """Every document as a transcript, its text in pages of 400 characters."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("transcript_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d, _pages(d, "transcript_id")
 
 
 _PLAIN = "regexp_replace({}, '[\\pP\\pS\\pZ\\pC]', '', 'g')"
-_ANCHOR_SQL = f"""WITH d AS (SELECT doc_id AS transcript_id, text, {_PLAIN.format("text")} AS plain FROM documents WHERE doc_id % 10 = 0 AND length(text) BETWEEN 800 AND 6000),
+_ANCHOR_SQL = f"""WITH d AS (SELECT doc_id AS transcript_id, coalesce(text, '') AS text, {_PLAIN.format("coalesce(text, '')")} AS plain FROM documents),
 p AS (SELECT transcript_id, (k + 1)::INT AS page_num, {_PLAIN.format("substr(text, k * 400 + 1, 400)")} AS plain FROM (SELECT *, unnest(range((length(text) - 1) // 400 + 1)) AS k FROM d)),
 tg AS (SELECT transcript_id, substr(plain, i + 1, 8) AS g, i FROM (SELECT *, unnest(range(length(plain) - 7)) AS i FROM d WHERE length(plain) >= 8)),
 u AS (SELECT transcript_id, g, min(i) AS pos FROM tg GROUP BY ALL HAVING count(*) = 1),
@@ -351,21 +333,22 @@ def pagemap_ranges(spark, sf):
     return collate.page_ranges(collate.page_anchors(p, d), d)
 
 
-def _columns(spark, sf):
-    """Alignments of every document with a copy whose e are a (a demonstration pairing), page by page; ids are those of pages."""
+def _pairs(spark, sf):
+    """Every page of every document with a copy whose e are a (a demonstration pairing); ids are those of pages."""
     p = _pages(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
     d = p.select((F.col("doc_id") * 1_000_000 + F.col("page_num")).alias("id"), F.col("text").alias("a"))
-    return collate.alignments(d.withColumn("b", F.replace(F.col("a"), F.lit("e"), F.lit("a"))))
+    return d.withColumn("b", F.replace(F.col("a"), F.lit("e"), F.lit("a")))
 
 
 @query()
 def align_agreement(spark, sf):
-    return collate.agreement(_columns(spark, sf))
+    pairs = _pairs(spark, sf)
+    return collate.agreement(collate.alignments(pairs), pairs)
 
 
 @query()
 def divergence_clusters(spark, sf):
-    return collate.divergences(_columns(spark, sf)).select("id", "seg", "seg_a", "seg_b", "kind")
+    return collate.divergences(collate.alignments(_pairs(spark, sf))).select("id", "seg", "seg_a", "seg_b", "kind")
 
 
 @query("""SELECT o_orderkey, CASE WHEN x <= 120 THEN (1 + (x - 5) * (99 / 115.0)) ELSE (100 + (x - 120) * (99 / 115.0)) END::DOUBLE AS exact,
@@ -374,15 +357,15 @@ FROM (SELECT o_orderkey, o_orderkey % 300 AS x FROM orders)""".replace("CASE WHE
 def page_number_map(spark, sf):
     one = spark.createDataFrame([('{"v": 2, "groups": [{"label": "", "anchors": [[1, 5], [100, 120]]}]}',)], "page_map string")
     maps = F.broadcast(one.select(pagemap.parse(F.col("page_map")).alias("groups")))  # one row
-    pages = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 300).cast("int").alias("pdf"))
-    return pages.join(maps).select("o_orderkey", pagemap.to_printed(F.col("groups"), F.col("pdf")).alias("printed"))
+    of_order = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 300).cast("int").alias("pdf"))
+    return of_order.join(maps).select("o_orderkey", pagemap.to_printed(F.col("groups"), F.col("pdf")).alias("printed"))
 
 
 # --- layout ---------------------------------------------------------------------------
 
 
 def _boxes(spark, sf):
-    l = table(spark, sf, "lineitem").filter("l_linenumber <= 6").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
     x0, y0 = (F.col("l_partkey") % 700).cast("double"), (F.col("l_suppkey") % 900).cast("double")
     w, h = 20 + F.col("l_quantity") * 4, 10 + F.col("l_linenumber") * 5.0
     return l.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_num"), F.col("l_linenumber").alias("block_num"), F.array(x0, y0, x0 + w, y0 + h).alias("bbox"), F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
@@ -395,7 +378,7 @@ def _regions(spark, sf):
 
 
 _BOX_SQL = """b AS (SELECT l_orderkey AS doc_id, l_linenumber AS block_num, (l_partkey % 700)::DOUBLE AS x0, (l_suppkey % 900)::DOUBLE AS y0,
-  (l_partkey % 700) + 20 + l_quantity * 4 AS x1, (l_suppkey % 900) + 10 + l_linenumber * 5.0 AS y1 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL)),
+  (l_partkey % 700) + 20 + l_quantity * 4 AS x1, (l_suppkey % 900) + 10 + l_linenumber * 5.0 AS y1 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
 r AS (SELECT * FROM (VALUES (0, 0.0, 0.0, 400.0, 500.0, 'h'), (1, 300.0, 200.0, 900.0, 1000.0, 'v_rtl'), (2, 0.0, 500.0, 300.0, 1000.0, 'v_ltr')) t(region_idx, rx0, ry0, rx1, ry1, direction))"""
 _CENTRE = "(x0 + x1) / 2 BETWEEN rx0 AND rx1 AND (y0 + y1) / 2 BETWEEN ry0 AND ry1"
 
@@ -415,10 +398,10 @@ def reading_order(spark, sf):
 
 
 @query(f"""WITH {_BOX_SQL}, n AS (SELECT doc_id, block_num, x0 / 1000 AS a, y0 / 1000 AS t, x1 / 1000 AS c, y1 / 1000 AS d FROM b),
-o AS (SELECT *, greatest(0, least(c, 0.25 + 0.5) - greatest(a, 0.25)) AS iw, greatest(0, least(d, 0.25 + 0.25) - greatest(t, 0.25)) AS ih FROM n)
-SELECT doc_id, block_num FROM o WHERE iw * ih / greatest((c - a) * (d - t), 1e-9) >= 0.3 OR ((a + c) / 2 BETWEEN 0.25 AND 0.75 AND (t + d) / 2 BETWEEN 0.25 AND 0.5 AND iw > 0 AND ih > 0) OR (ih / greatest(d - t, 1e-9) >= 0.5 AND iw > 0)""", model=False)
+o AS (SELECT *, greatest(0, least(c, 0.25 + 0.5) - greatest(a, 0.25)) AS iw, greatest(0, least(d, 0.0625 + 0.25) - greatest(t, 0.0625)) AS ih FROM n)
+SELECT doc_id, block_num FROM o WHERE iw * ih / greatest((c - a) * (d - t), 1e-9) >= 0.3 OR ((a + c) / 2 BETWEEN 0.25 AND 0.75 AND (t + d) / 2 BETWEEN 0.0625 AND 0.3125 AND iw > 0 AND ih > 0) OR (ih / greatest(d - t, 1e-9) >= 0.5 AND iw > 0)""", model=False)
 def selection_text(spark, sf):
-    return layout.selected(_boxes(spark, sf), 0.25, 0.25, 0.5, 0.25).select("doc_id", "block_num")
+    return layout.selected(_boxes(spark, sf), 0.25, 0.0625, 0.5, 0.25).select("doc_id", "block_num")
 
 
 # --- bibliography -----------------------------------------------------------------------
@@ -437,7 +420,7 @@ def cite_key_base(spark, sf):
     return corpus.documents(spark, sf).select("id", bibtex.cite_key_base(F.col("author"), F.col("bib_year"), none, F.col("title"), none, none).alias("base"))
 
 
-@query("SELECT id, '@misc{' || cite_key || ',' || chr(10) || '  author = {' || author || '},' || chr(10) || '  year = {' || bib_year || '}' || chr(10) || '}' AS entry FROM docs")
+@query("SELECT id, '@misc{' || cite_key || ',' || chr(10) || '  author = {' || author || '},' || chr(10) || '  year = {' || bib_year || '}' || chr(10) || '}' || chr(10) AS entry FROM docs")
 def bibtex_export(spark, sf):
     d = corpus.documents(spark, sf)
     f = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (("author", "author"), ("year", "bib_year"))])
@@ -445,7 +428,7 @@ def bibtex_export(spark, sf):
 
 
 _MATCH_SQL = f"""d AS (SELECT p_partkey AS id, {_KEY_SQL.format("p_name")} AS dk, {_KEY_SQL.format("regexp_replace(p_brand || '.pdf', '[.][^.]*$', '')")} AS df FROM part),
-e AS (SELECT p_partkey AS entry_id, {_KEY_SQL.format("substr(p_name, 1, 1 + (p_partkey % 9)::INT)")} AS ek FROM part WHERE p_partkey % 40 = 0)"""
+e AS (SELECT p_partkey AS entry_id, {_KEY_SQL.format("substr(p_name, 1, 1 + (p_partkey % 9)::INT)")} AS ek FROM part)"""
 
 
 @query(f"""WITH {_MATCH_SQL}, h AS (SELECT id, entry_id, CASE WHEN dk = ek THEN 1 WHEN df = ek THEN 2 WHEN length(dk) >= 2 AND (contains(dk, ek) OR contains(ek, dk)) THEN 3 WHEN length(df) >= 2 AND (contains(df, ek) OR contains(ek, df)) THEN 4 END AS rank FROM d JOIN e ON ek <> ''),
@@ -455,7 +438,7 @@ SELECT d.id AS doc_id, CASE WHEN hits IS NULL THEN 'unmatched' WHEN hits = 1 THE
 def bib_match(spark, sf):
     p = table(spark, sf, "part")
     docs = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat("p_brand", F.lit(".pdf")).alias("filename"))
-    entries = p.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("entry_id"), F.expr("substring(p_name, 1, 1 + cast(p_partkey % 9 AS int))").alias("title"))
+    entries = p.select(F.col("p_partkey").alias("entry_id"), F.expr("substring(p_name, 1, 1 + cast(p_partkey % 9 AS int))").alias("title"))
     return bibtex.match_entries(docs, entries)
 
 
@@ -535,12 +518,10 @@ def missing_translation(spark, sf):
     return stats.missing_translation(l)
 
 
-@query("SELECT doc_id, page_num, block_num, index_text FROM (SELECT b.*, dense_rank() OVER (ORDER BY doc_id) AS dr, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_num) AS rn FROM blocks b) WHERE rn <= 3 AND dr <= 10")
+@query("SELECT doc_id, 'block' AS part, rn::INT AS n, substr(index_text, 1, 80) AS text FROM (SELECT b.*, dense_rank() OVER (ORDER BY doc_id) AS dr, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_num) AS rn FROM blocks b) WHERE rn <= 3 AND dr <= 10")
 def wiki_samples(spark, sf):
-    b = corpus.blocks(spark, sf)
-    first = b.select("doc_id").distinct().orderBy("doc_id").limit(10)
-    w = search.Window.partitionBy("doc_id").orderBy("page_num", "block_num")
-    return b.join(first, "doc_id", "left_semi").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("doc_id", "page_num", "block_num", "index_text")
+    cards = spark.createDataFrame([], "doc_id long, kind string, status string, labels array<string>")
+    return pages.wiki_samples(corpus.blocks(spark, sf), cards)
 
 
 @query("SELECT doc_id, '# ' || title || chr(10) || chr(10) || author || chr(10) || chr(10) || string_agg(index_text, chr(10) || chr(10) ORDER BY page_num, block_num) AS markdown FROM blocks JOIN docs ON id = doc_id GROUP BY doc_id, title, author")

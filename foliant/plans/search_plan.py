@@ -6,7 +6,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from foliant.functions.variants import ScriptVariants, confusion_table, forms
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from foliant.functions.variants import MOST_VARIANTS, ScriptVariants, confusion_forms, confusion_table, forms
 
 _SYNTAX = str.maketrans("", "", '"()*:^{}[]')
 _CJK = re.compile("([㐀-鿿豈-﫿]+)")
@@ -17,6 +20,10 @@ def whole_runs(text: str) -> list[str]:
     return [text]
 
 
+class Pattern(str):
+    """A phrase as a regular expression: a class of characters for each that has several forms."""
+
+
 @dataclass(frozen=True)
 class SearchPlan:
     #: AND over groups, OR inside; phrases of three characters or more.
@@ -53,11 +60,34 @@ class Planner:
 
     def plan(self, query: str, names: list[str] | None = None) -> SearchPlan:
         if names:
-            wide = [v for n in [query, *names] if n.strip() for v in self.scripts.of(n.strip())[:32] if len(v) >= 3]
+            wide = [v for n in [query, *names] if len(n.strip()) >= 3 for v in self.spellings(n.strip())]
             if wide:
                 return SearchPlan(any_name=tuple(dict.fromkeys(wide)))
         groups = [(t, tuple(forms(t, self.scripts, self.confusions))) for t in self.tokens(query)]
         return SearchPlan(tuple(g for t, g in groups if len(t) >= 3), tuple(g for t, g in groups if len(t) < 3))
 
+    def spellings(self, word: str) -> list[str]:
+        """All script forms of a word; where they are very many, one pattern that stands for them."""
+        return self.scripts.of(word) if self.scripts.count(word) <= MOST_VARIANTS else [Pattern(self.scripts.pattern(word))]
+
     def highlight_terms(self, query: str) -> list[str]:
-        return sorted({f for t in self.tokens(query) for f in forms(t, self.scripts, self.confusions)}, key=lambda x: (-len(x), x))
+        """All forms of all words, longest first; unlike what is searched for, without a limit."""
+        found: set[str] = set()
+        for t in self.tokens(query):
+            own = self.spellings(t)
+            plain = [w for w in own if not isinstance(w, Pattern)] or [t]
+            found |= {*own, *confusion_forms(plain, self.confusions)}
+        return sorted(found, key=lambda x: (-len(x), x))
+
+    def index_text(self, text: Column) -> Column:
+        """Text as it is indexed: CJK runs cut into words, all parts joined by spaces. A shelf that is searched with a ``cut`` is indexed with it."""
+        cut, run = self.cut, _CJK
+
+        @F.udf("string", useArrow=True)
+        def spaced(t: str):
+            if t is None:
+                return None
+            parts = [(w for w in cut(p) if w.strip()) if i % 2 else [p] for i, p in enumerate(run.split(t)) if p.strip()]
+            return " ".join(w for p in parts for w in p)
+
+        return text if cut is whole_runs else spaced(text)

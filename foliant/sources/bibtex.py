@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.text import title_key
+from foliant.functions.variants import ScriptVariants
 
 ENTRY = "type string, cite_key string, fields array<struct<k:string,v:string>>"
 _HEAD = re.compile(r"@(\w+)\s*([{(])")
@@ -91,32 +95,52 @@ def doc_kind(type_: Column) -> Column:
     return F.when(t.isin(paper), "paper").when(t.isin(book), "book").otherwise("other")
 
 
-_DIGITS, _NUM, _VOL = "零一二三四五六七八九", "[0-9零一二三四五六七八九十百]+", "卷冊册集辑輯篇函帙"
+#: Numerals, their units, marks of a volume and its parts in a set of two or three.
+_DIGITS, _UNITS, _MARKS, _PARTS = "零一二三四五六七八九", {"十": 10, "百": 100}, "卷冊册集辑輯篇函帙", "上中下"
+_NUMERAL = f"[0-9{_DIGITS}{''.join(_UNITS)}]+"
+#: Where a title tells its volume, in order.
+_IN_TITLE = [
+    re.compile(p)
+    for p in (
+        rf"({_NUMERAL})\s*[{_MARKS}]", rf"[{_MARKS}]\s*({_NUMERAL})", rf"[（(]\s*([{_PARTS}])\s*[)）]",
+        rf"[{_MARKS}]\s*([{_PARTS}])|([{_PARTS}])\s*[{_MARKS}]", rf"[（(]\s*({_NUMERAL})\s*[)）]",
+    )
+]
+
+
+def to_number(numeral: str | None) -> int | None:
+    """Digits or Chinese numerals up to hundreds; None for zero or anything else."""
+    if not numeral:
+        return None
+    if numeral.isdigit() and numeral.isascii():
+        return int(numeral) or None
+    total = pending = 0
+    for c in numeral:
+        if c in _UNITS:  # a unit alone counts once
+            total, pending = total + max(pending, 1) * _UNITS[c], 0
+        elif c in _DIGITS:
+            pending = _DIGITS.index(c)
+        else:
+            return None
+    return total + pending or None
+
+
+def volume_of(volume: str | None, number: str | None, title: str | None) -> str:
+    """v1 to v99: the fields first, then the patterns of the title in order; empty for none."""
+    found = [m[0] for raw in (volume, number) if (m := re.search(_NUMERAL, raw or ""))]
+    found += [next(g for g in m.groups() if g) for p in _IN_TITLE if (m := p.search(title or ""))]
+    values = (_PARTS.find(f) + 1 or to_number(f) for f in found)
+    return next((f"v{n}" for n in values if n and n <= 99), "")
 
 
-def chinese_number(c: Column) -> Column:
-    """Digits or Chinese numerals up to hundreds; null for none or zero."""
-    digit = lambda p: F.instr(F.lit(_DIGITS), p) - 1
-    part = lambda pattern: F.regexp_extract(c, pattern, 1)
-    hundreds = F.when(F.contains(c, F.lit("百")), F.when(part("([一-九]?)百") == "", 1).otherwise(digit(part(f"([{_DIGITS}]?)百")))).otherwise(0)
-    tens = F.when(F.contains(c, F.lit("十")), F.when(part(f"([{_DIGITS}]?)十") == "", 1).otherwise(F.greatest(digit(part(f"([{_DIGITS}]?)十")), F.lit(1)))).otherwise(0)
-    ones = F.when(part(f"([{_DIGITS}])$") == "", 0).otherwise(digit(part(f"([{_DIGITS}])$")))
-    value = F.when(c.rlike("^[0-9]{1,9}$"), c.try_cast("int")).when(c.rlike(f"^[{_DIGITS}十百]+$"), hundreds * 100 + tens * 10 + ones)
-    return F.nullif(value, F.lit(0))
+@F.pandas_udf(T.IntegerType())
+def chinese_number(c: pd.Series) -> pd.Series:
+    return c.map(to_number, na_action="ignore").astype("Int32")
 
 
-def volume_token(volume: Column, number: Column, title: Column) -> Column:
-    """v1 to v99: the fields first, then five patterns of the title in order; empty for none."""
-    none = F.lit(None).cast("string")
-    got = lambda c, p, g=1: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, g), F.lit(""))
-    held = lambda n: F.when(n.between(1, 99), F.concat(F.lit("v"), n.cast("string")))
-    part = lambda c: held(F.nullif(F.instr(F.lit("上中下"), c), F.lit(0)))
-    return F.coalesce(
-        held(chinese_number(got(volume, f"({_NUM})"))), held(chinese_number(got(number, f"({_NUM})"))),
-        held(chinese_number(got(title, rf"第?\s*({_NUM})\s*[{_VOL}]"))), held(chinese_number(got(title, rf"[{_VOL}]\s*({_NUM})"))),
-        part(got(title, r"[（(]\s*([上中下])\s*[)）]")), part(got(title, rf"[{_VOL}]\s*([上中下])")), part(got(title, rf"([上中下])\s*[{_VOL}]")),
-        held(chinese_number(got(title, rf"[（(]\s*({_NUM})\s*[)）]"))), none, F.lit(""),
-    )
+@F.pandas_udf(T.StringType())
+def volume_token(volume: pd.Series, number: pd.Series, title: pd.Series) -> pd.Series:
+    return pd.Series([volume_of(*x) for x in zip(volume, number, title)], dtype=object)
 
 
 def slug(c: Column, pinyin: dict[str, str] | None = None) -> Column:
@@ -127,8 +151,12 @@ def slug(c: Column, pinyin: dict[str, str] | None = None) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
+#: What parts authors.
+_AUTHORS = r"\s+and\s+|[;，,]"
+
+
 def surname(author: Column, pinyin: dict[str, str] | None = None) -> Column:
-    first = F.trim(F.split(F.trim(F.coalesce(author, F.lit(""))), r"\s+and\s+|;|，|,")[0])
+    first = F.trim(F.split(F.trim(F.coalesce(author, F.lit(""))), _AUTHORS)[0])
     cjk = first.rlike("[一-鿿]")
     last = F.regexp_replace(F.lower(F.element_at(F.split(first, r"\s+"), -1)), "[^a-z]", "")
     return F.coalesce(F.nullif(F.when(cjk, slug(F.substring(first, 1, 1), pinyin)).otherwise(last), F.lit("")), F.lit("anon"))
@@ -147,24 +175,59 @@ def cite_key_base(author: Column, year: Column, date: Column, title: Column, vol
     return F.concat(surname(author, pinyin), y, title_slug(title, pinyin), F.when(v != "", F.concat(F.lit("-"), v)).otherwise(""))
 
 
-def distinct_cite_keys(docs: DataFrame, key: str = "base", tie: str = "filename") -> DataFrame:
-    """Equal bases of a collection in id order: the base, then b to z, then four digits of the file name's SHA-1."""
-    n = F.row_number().over(Window.partitionBy("collection", key).orderBy("id"))
-    letters = F.substring(F.lit("bcdefghijklmnopqrstuvwxyz"), n - 1, F.lit(1))
-    tail = F.when(n == 1, "").when(n <= 26, letters).otherwise(F.concat(F.lit("-"), F.substring(F.sha1(F.col(tie).cast("binary")), 1, 4)))
-    return docs.withColumn("cite_key", F.concat(F.col(key), tail))
+def _family(key: Column) -> Column:
+    """Keys that can meet by a letter or a file mark at the end are of one family: all but the last letters, or the first two of a key of letters only."""
+    bare = F.regexp_replace(F.regexp_replace(key, "-[0-9a-f]{4}x?$", ""), "[a-z]+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.substring(key, 1, 2))
 
 
-def match_entries(docs: DataFrame, entries: DataFrame) -> DataFrame:
+def next_key(base: str, taken: set[str], file_name: str | None, own: str | None = None) -> str:
+    """The base if it is free (or the row's own key), else with b to z, else with four digits of the file name's SHA-1, else with x."""
+    tries = [base, *(base + c for c in string.ascii_lowercase[1:])]
+    if file_name:
+        tries.append(f"{base}-{hashlib.sha1(file_name.encode()).hexdigest()[:4]}")
+    return next((t for t in tries if t == own or t not in taken), base + "x")
+
+
+def distinct_cite_keys(docs: DataFrame, key: str = "base", tie: str = "filename", existing: DataFrame | None = None) -> DataFrame:
+    """Keys of a collection in id order, none of which an earlier row or ``existing`` (collection, cite_key) has.
+
+    Only keys of one family can meet: a family is one sorted run of a task, of which
+    the task holds the keys and not the rows.
+    """
+    come = docs.select(F.lit(1).alias("turn"), "collection", "id", F.col(key).alias("base"), F.col(tie).alias("tie"))
+    if existing is not None:
+        come = come.union(existing.select(F.lit(0), "collection", F.lit(None).cast(docs.schema["id"].dataType), "cite_key", F.lit(None).cast("string")))
+    parts = come.withColumn("family", _family(F.col("base"))).repartition("collection", "family").sortWithinPartitions("collection", "family", "turn", "id")
+
+    def run(batches):
+        at, taken = None, set()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.collection, r.family) != at:
+                    at, taken = (r.collection, r.family), set()
+                new = next_key(r.base, taken, r.tie) if r.turn else r.base
+                taken.add(new)
+                if r.turn:
+                    out.append((r.id, new))
+            yield pd.DataFrame(out, columns=["_id", "cite_key"])
+
+    keys = parts.mapInPandas(run, f"_id {docs.schema['id'].dataType.simpleString()}, cite_key string")
+    return docs.drop("cite_key").join(keys, F.col("id") == F.col("_id")).drop("_id")
+
+
+def match_entries(docs: DataFrame, entries: DataFrame, simplify: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, status (matched, ambiguous, unmatched), hits, entry and kind of the only hit.
 
     Equal titles or file names join on their keys. Containment joins on a shared
     two-character start of the shorter key, so that no pair of all documents and
     entries is made; a check of the whole key follows.
     """
+    fold = ScriptVariants().fold() if simplify is None else simplify
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
-    keys = docs.select(F.col("id").alias("doc_id"), F.explode(F.array(F.struct(F.lit("title").alias("source"), title_key(F.col("title")).alias("dk")), F.struct(F.lit("filename").alias("source"), title_key(stem).alias("dk")))).alias("x")).select("doc_id", "x.source", "x.dk").filter("dk <> ''")
-    e = entries.select("entry_id", title_key(F.col("title")).alias("ek")).filter("ek <> ''")
+    keys = docs.select(F.col("id").alias("doc_id"), F.explode(F.array(F.struct(F.lit("title").alias("source"), title_key(F.col("title"), fold).alias("dk")), F.struct(F.lit("filename").alias("source"), title_key(stem, fold).alias("dk")))).alias("x")).select("doc_id", "x.source", "x.dk").filter("dk <> ''")
+    e = entries.select("entry_id", title_key(F.col("title"), fold).alias("ek")).filter("ek <> ''")
     exact = keys.join(e, F.col("dk") == F.col("ek")).select("doc_id", "entry_id", F.when(F.col("source") == "title", 1).otherwise(2).alias("rank"))
     pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     long_d, long_e = keys.filter(F.length("dk") >= 2), e
@@ -181,6 +244,11 @@ def match_entries(docs: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def to_bibtex(type_: Column, key: Column, fields: Column) -> Column:
-    """An entry as text; fields keep their order."""
-    rows = F.transform(fields, lambda f: F.concat(F.lit("  "), f["k"], F.lit(" = {"), f["v"], F.lit("}")))
-    return F.concat(type_, F.lit("{"), key, F.lit(",\n"), F.array_join(rows, ",\n"), F.lit("\n}"))
+    """An entry as text; fields keep their order, empty ones are left out. Without type or fields it is a @misc with its title."""
+    key = F.coalesce(F.nullif(key, F.lit("")), F.lit("untitled"))
+    full = F.filter(fields, lambda f: F.coalesce(f["v"], F.lit("")) != "")
+    rows = F.transform(full, lambda f: F.concat(F.lit("  "), f["k"], F.lit(" = {"), f["v"], F.lit("}")))
+    entry = F.concat(type_, F.lit("{"), key, F.lit(",\n"), F.array_join(rows, ",\n"), F.lit("\n}\n"))
+    title = F.coalesce(F.try_element_at(F.filter(fields, lambda f: f["k"] == "title"), F.lit(1))["v"], F.lit(""))
+    bare = F.concat(F.lit("@misc{"), key, F.lit(",\n  title = {"), title, F.lit("},\n}\n"))
+    return F.when((F.coalesce(type_, F.lit("")) != "") & (F.coalesce(F.size(fields), F.lit(0)) > 0), entry).otherwise(bare)

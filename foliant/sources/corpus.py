@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.plans.search_plan import Planner
+
 PER_BLOCK, PER_PAGE = 2, 3
 
 
@@ -50,12 +52,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def blocks_of(lines: DataFrame) -> DataFrame:
-    """Blocks as they are indexed: lines joined by newlines, translations by spaces."""
+def blocks_of(lines: DataFrame, planner: Planner | None = None) -> DataFrame:
+    """Blocks as they are indexed: lines joined by newlines (words cut as the planner cuts those of a query), translations by spaces."""
     row = F.struct("line_num", "text", *(["trans"] if "trans" in lines.columns else []))
     g = lines.groupBy("doc_id", "page_num", "block_num").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("block_label").alias("block_label"))
     trans = F.array_join(F.filter(F.transform("rows", lambda r: r["trans"]), lambda t: F.trim(t) != ""), " ") if "trans" in lines.columns else F.lit(None).cast("string")
-    return g.select("doc_id", "page_num", "block_num", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("index_text"), trans.alias("trans"), "block_label")
+    return g.select("doc_id", "page_num", "block_num", (planner or Planner()).index_text(F.array_join(F.transform("rows", lambda r: r["text"]), "\n")).alias("index_text"), trans.alias("trans"), "block_label")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

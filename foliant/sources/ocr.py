@@ -64,7 +64,7 @@ def grounding(raw: DataFrame, doc_col: str = "doc_id", text_col: str = "markup")
     e = raw.select(F.col(doc_col).alias("doc_id"), F.posexplode(rows).alias("pos", "r"))
     label = F.regexp_replace(F.regexp_extract("r.m", r"!\[([^\]]*)\]", 1), r"\+$", "")
     box = F.transform(F.regexp_extract_all("r.m", F.lit(r"([\d.]+)(?=\s*[,)])"), 1), lambda x: x.cast("double"))
-    text = F.trim(F.regexp_replace("r.t", r"^\s*#{1,6}\s+|\*\*", ""))
+    text = F.regexp_replace(F.regexp_replace("r.t", r"^\s*#{1,6}\s+|\*\*", ""), r"^\s+|\s+$", "")
     return e.select("doc_id", "pos", F.coalesce(F.nullif(label, F.lit("")), F.lit("text")).alias("block_label"), text.alias("text"), F.when(F.col("r.m").isNotNull(), F.slice(box, -4, 4)).alias("bbox"))
 
 

@@ -45,7 +45,7 @@ def vanished(listing: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def watch(listings: DataFrame) -> DataFrame:
-    """Streaming: a file is given out once for each modification time, when two looks have seen it unchanged for long enough."""
+    """Streaming: a file is given out once for each modification time, at the first look that finds it unwritten for long enough."""
 
     def step(key, parts, state: GroupState):
         given = state.get[0] if state.exists else None
@@ -107,3 +107,28 @@ def file_events(spark: SparkSession, folder: str) -> DataFrame:
     """The driver's events as a stream of parquet files."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     return spark.readStream.schema(schema).parquet(folder)
+
+
+def click_log(events: DataFrame, clicks: DataFrame, within: str = "1 hour") -> DataFrame:
+    """Streaming: search events (id, query, ts, ...) with whether a click (event_id, clicked_at) came within the time; each event once."""
+    e = events.withWatermark("ts", "10 minutes")
+    c = clicks.withWatermark("clicked_at", within).select(F.col("event_id").alias("id"), "clicked_at").dropDuplicatesWithinWatermark(["id"])
+    e, c = e.alias("e"), c.alias("c")
+    near = (F.col("e.id") == F.col("c.id")) & (F.col("c.clicked_at") >= F.col("e.ts")) & (F.col("c.clicked_at") <= F.col("e.ts") + F.expr(f"INTERVAL {within}"))
+    return e.join(c, near, "left_outer").select("e.*", F.col("c.clicked_at").isNotNull().alias("clicked"))
+
+
+def keep_status(folder: str):
+    """A ``foreachBatch`` function that writes each batch's summary of verdicts (new, duplicate, unstable, failed) beside its number; a batch that runs twice is written once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        scan_status(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
+
+def scan_status(verdicts: DataFrame) -> DataFrame:
+    """Counts of a look at each collection's folder, and the names that wait or failed."""
+    n = lambda v: F.count_if(F.col("verdict") == v).alias(f"{v}_files")
+    names = lambda v: F.array_sort(F.collect_set(F.when(F.col("verdict") == v, F.col("name")))).alias(f"{v}_names")
+    return verdicts.groupBy("collection").agg(*map(n, ("new", "duplicate", "unstable", "failed")), *map(names, ("unstable", "failed")))

@@ -2,16 +2,16 @@
 
 import pytest
 
-from foliant.plans import catalog
+from foliant.plans import registry, upkeep_catalog  # noqa: F401  the catalogues register their queries
 from tests.conftest import SF, same_rows
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.SQL])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n in registry.SQL])
 def test_query_equals_sql(spark, duck, name):
-    got, want = same_rows(catalog.QUERIES[name](spark, SF), duck.sql(catalog.SQL[name]))
+    got, want = same_rows(registry.QUERIES[name](spark, SF), duck.sql(registry.SQL[name]))
     assert got == want
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.SQL])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.SQL])
 def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    assert registry.QUERIES[name](spark, SF).count() >= 0

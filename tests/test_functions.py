@@ -66,8 +66,8 @@ def test_divergences(spark):
     cols = collate.alignments(pairs).cache()
     kinds = {(r.id, r.kind) for r in collate.divergences(cols).collect()}
     assert kinds == {(1, "substantive"), (2, "pageno")}
-    agree = {r.id: (r.agree, r.accepted) for r in collate.agreement(cols).collect()}
-    assert agree[1] == (0.75, True) and agree[2] == (0.5, False)
+    agree = {r.id: (r.agree, r.accepted) for r in collate.agreement(cols, pairs).collect()}
+    assert agree[1] == (0.75, True) and agree[2] == (0.5, False) and agree[3] == (1.0, True)
 
 
 def test_rising_chain():
@@ -108,6 +108,27 @@ def test_cite_keys(spark):
     d = spark.createDataFrame([(i, "s", "k", f"f{i}") for i in range(28)], "id int, collection string, base string, filename string")
     got = [r.cite_key for r in bibtex.distinct_cite_keys(d).orderBy("id").collect()]
     assert got[:3] == ["k", "kb", "kc"] and got[25] == "kz" and got[26].startswith("k-") and len(set(got)) == 28
+    # keys that meet by a letter at the end, and keys that are there already
+    bases = ["wang2000a", "wang2000a", "wang2000ab", "wang2000ab", "wang2000zoo"]
+    d = spark.createDataFrame([(i, "s", b, f"f{i}") for i, b in enumerate(bases)], "id int, collection string, base string, filename string")
+    have = spark.createDataFrame([("s", "wang2000zoo"), ("t", "wang2000a")], "collection string, cite_key string")
+    assert [r.cite_key for r in bibtex.distinct_cite_keys(d, existing=have).orderBy("id").collect()] == ["wang2000a", "wang2000ab", "wang2000abb", "wang2000abc", "wang2000zoob"]
+
+
+def test_chinese_numbers_and_keys_of_titles(spark):
+    for numeral, want in (("二百", 200), ("四百", 400), ("一百零五", 105), ("十", 10), ("二十三", 23), ("零", None), ("12", 12), ("x", None)):
+        assert bibtex.to_number(numeral) == want
+    d = spark.createDataFrame([(1, "歷史學導論", "a.pdf"), (2, "x", "论语.pdf")], "id int, title string, filename string")
+    e = spark.createDataFrame([(7, "历史学导论"), (8, "論語")], "entry_id int, title string")
+    got = {r.doc_id: (r.status, r.entry_id, r.kind) for r in bibtex.match_entries(d, e).collect()}
+    assert got == {1: ("matched", 7, "exact-title"), 2: ("matched", 8, "exact-filename")}
+    bare = spark.createDataFrame([(None, None, [{"k": "title", "v": "T"}]), ("@book", "k", [{"k": "a", "v": ""}, {"k": "title", "v": "T"}])], bibtex.ENTRY)
+    assert [r.t for r in bare.select(bibtex.to_bibtex(F.col("type"), F.col("cite_key"), F.col("fields")).alias("t")).collect()] == ["@misc{untitled,\n  title = {T},\n}\n", "@book{k,\n  title = {T}\n}\n"]
+
+
+def test_markdown_marks(spark):
+    strip = lambda t: one(spark, t, text.strip_markdown)
+    assert [strip(t) for t in ("1. one", "2) two", "> - three", "# 3. four", "a `b` **c** __d__", "-5")] == ["one", "two", "three", "four", "a b c __d__", "-5"]
 
 
 def test_bib_types(spark):
@@ -122,7 +143,13 @@ def test_batches_and_parts(spark):
     assert "".join(parts) == "x" * 300 + "。" + "y" * 200 + "。" + "z" * 20 + "。" and len(parts) == 2
     assert folds.find_json('say [1, {"a": 2}] end', "[") == '[1,{"a":2}]' and folds.find_json("none", "[") is None
     assert [r["level"] for r in folds.toc_rows('[{"title": "a", "children": [{"title": "b", "page": 3}]}]')] == [1, 2] and folds.toc_rows("{bad") == []
-    assert folds.repair("the hou se of well-\nknown", {"house", "known"}, set(), {"well-known"}) == "the house of well-known"
+    known = {"Рис", "Анализ", "Новиков", "Даурский", "It", "go", "into", "attributes"}, {"В статье", "I t"}, {"Санкт-Петербург", "Новиков-Даурский"}
+    for text, want in (
+        ("Р ис. 1 А нализ", "Рис. 1 Анализ"), ("В статье", "В статье"), ("Санкт- Петербург", "Санкт-Петербург"), ("С анкт-Петербург", "Санкт-Петербург"),
+        ("Н овиков-Даурский", "Новиков-Даурский"), ("go in to", "go in to"), ("attri- butes", "attri- butes"), ("I tx", "I tx"),
+    ):
+        assert folds.repair(text, *known) == want
+    assert folds.repair("А нализ", set(), set(), set()) == "А нализ"
 
 
 def test_ocr_shapes(spark):

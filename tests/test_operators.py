@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.text import normalise
-from foliant.operators import entities, layout, mutate, stats
+from foliant.operators import collate, entities, layout, mutate, stats
 from foliant.plans import catalog
 from foliant.streaming import intake
 from tests.conftest import SF
@@ -181,6 +181,82 @@ def test_vanished_files(spark):
 
 
 def test_alignment_takes_every_document_whole(spark):
-    got = catalog._columns(spark, SF).filter("ca IS NOT NULL").groupBy(F.expr("id div 1000000").alias("doc_id")).count()
+    got = catalog.collate.alignments(catalog._pairs(spark, SF)).filter("ca IS NOT NULL").groupBy(F.expr("id div 1000000").alias("doc_id")).count()
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.length(normalise(F.col("text"))).alias("n")).filter("n > 0")
     assert {(r.doc_id, r["count"]) for r in got.collect()} == {(r.doc_id, r.n) for r in d.collect()}
+
+
+def test_import_lets_in_one_after_the_other(spark):
+    have = spark.createDataFrame([(5, "k0", "f0")], "id long, cite_key string, filename string")
+    come = spark.createDataFrame([(1, "k1", "f1"), (2, "k1", "f2"), (3, None, "f1"), (4, "k2", "f2"), (6, "k0", "f9"), (7, None, None), (8, "", "f0"), (9, "k3", "f3")], "id long, cite_key string, filename string")
+    both, ids = mutate.import_documents(have, come)
+    assert sorted((r.old_id, r.new_id) for r in ids.collect()) == [(1, 6), (4, 7), (7, 8), (9, 9)]
+    assert both.count() == 5
+    forced, ids = mutate.import_documents(have, come.filter("id = 8"), force=True)
+    assert ids.count() == 1 and sorted(r.filename for r in forced.collect()) == ["f0", "f0_imported"]
+
+
+def test_audit_ignores_white_space(spark):
+    e = spark.createDataFrame([(1, "Li  Bai", ["x"]), (2, "other", ["LiBai", "LiBai"]), (3, "Li Bai the poet", [])], "id long, canonical string, aliases array<string>")
+    assert [(r.alias_of, r.named) for r in entities.audit_alias_is_name(e).collect()] == [(2, 1)]
+    assert [(r.inner_id, r.outer_id) for r in entities.audit_contained(e.withColumn("canonical", F.regexp_replace("canonical", " poet", ""))).collect()] == [(1, 3)]
+
+
+def test_numbers_over_ranges(spark):
+    from foliant.sources.scratch import numbered
+
+    d = spark.range(0, 5000, 7).select((F.col("id") * 37 % 5003).alias("id"))
+    got = {r.id: r.n for r in numbered(d, ["id"]).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(got), 1)}
+
+
+def test_quota_refuses_long_lists(spark):
+    with pytest.raises(ValueError):
+        stats.quota_pools(spark.range(4).select(F.col("id").alias("doc_id"), F.lit(1).alias("missing_chars")), {"a": 1.0}, most_jobs=3)
+
+
+def test_purge_is_guarded(spark):
+    from foliant.operators import curation
+
+    d = spark.range(9).select("id", F.lit("s").alias("collection"), F.concat(F.lit("f"), "id").alias("filename"), F.lit(False).alias("original_virtual"))
+    listing = spark.createDataFrame([("s", "f1")], "collection string, name string")
+    with pytest.raises(curation.TooMany):
+        curation.purge_missing({"documents": d}, listing, most=3)
+    assert [r.id for r in curation.purge_missing({"documents": d}, listing, most=8)["documents"].collect()] == [1]
+
+
+def test_metadata_makes_keys_anew(spark):
+    from foliant.operators import curation
+
+    row = "id long, collection string, filename string, cite_key string, title string, author string, lang string, tri_rows int, linked_pdf string, source_tags array<string>, bib_type string, bib_data map<string,string>"
+    d = spark.createDataFrame([(1, "s", "a", "smith1999one", "One", "Smith", "eng", 1, None, ["primary"], "@book", {"author": "Smith", "year": "1999", "title": "One"}), (2, "s", "b", "old", "x", "y", "zh", 1, "files/1/a.pdf", ["primary"], None, {})], row)
+    change = spark.createDataFrame([(1, None, None, "@article"), (2, {"author": "Smith", "year": "1999", "title": "One"}, "", None)], "id long, bib_data map<string,string>, linked_pdf string, bib_type string")
+    got = {r.id: (r.cite_key, r.title, r.bib_type, r.linked_pdf) for r in curation.update_metadata(d, change).collect()}
+    assert got == {1: ("smith1999one", "One", "@article", None), 2: ("smith1999oneb", "One", None, None)}
+
+
+def test_page_check_is_idempotent(spark):
+    l = spark.createDataFrame([(1, 1, 1, 1, 1, "甲乙丙丁戊", "vertical_text", None), (2, 1, 1, 1, 2, "己庚辛壬癸", "vertical_text", "diff,single_char"), (3, 1, 1, 2, 1, "三", "number", None), (4, 1, 2, 1, 1, "x", "table", "diff")], "id long, doc_id int, page_num int, block_num int, line_num int, text string, block_label string, suspect string")
+    c = spark.createDataFrame([(1, 1, "甲乙丙子戊己庚辛壬癸"), (1, 2, "y")], "doc_id int, page_num int, b string")
+    states, found, flagged = collate.check_pages(c, l)
+    assert {(r.page_num, r.state) for r in states.collect()} == {(1, "done"), (2, "unsupported")}
+    assert [list(r.line_ids) for r in found.collect()] == [[1]]
+    flags = {r.id: r.suspect for r in flagged.collect()}
+    assert flags == {1: "diff", 2: "single_char", 3: None, 4: "diff"}
+    assert {r.id: r.suspect for r in collate.check_pages(c, flagged)[2].collect()} == flags
+
+
+def test_long_names_are_searched_in_all_their_forms():
+    from foliant.functions.text import highlight
+    from foliant.plans.search_plan import Pattern, Planner
+
+    name = "國學歷論據導"  # 64 forms
+    assert isinstance(Planner().plan(name, ["another name"]).any_name[0], Pattern) and highlight(F.lit("国学历论据导"), Planner().highlight_terms(name)) is not None
+
+
+def test_long_names_match(spark):
+    from foliant.operators import search
+    from foliant.plans.search_plan import Planner
+
+    b = spark.createDataFrame([(1, "看国学历論据导看"), (2, "国学")], "doc_id int, index_text string").withColumn("trans", F.lit(None).cast("string"))
+    assert [r.doc_id for r in b.filter(search.matches(Planner().plan("國學歷論據導", ["xyz"]))).collect()] == [1]

@@ -26,9 +26,9 @@ def test_side_hits(spark):
 
 
 def test_entity_filters(spark):
-    e = spark.createDataFrame([(1, {"era": "清末", "year_from": "1890", "year_to": "1911"}), (2, {"朝代": "清"}), (3, None)], "id int, props map<string,string>")
+    e = spark.createDataFrame([(1, {"era": "清末", "year_start": "1890", "year_end": "1911"}), (2, {"朝代": "清"}), (3, None)], "id int, props map<string,string>")
     ids = lambda **k: sorted(r.id for r in side_hits.filtered_entities(e, **k).collect())
-    assert ids(era="清") == [1, 2] and ids(year_from=1900, year_to=1950) == [1] and ids(year_from=1912) == [] and ids() == [1, 2, 3]
+    assert ids(era="清") == [1, 2] and ids(year=1900) == [1] and ids(year=1912) == ids(year=1889) == [] and ids() == [1, 2, 3]
 
 
 def test_retries():
