@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import oracles, stages
 from foliant.llm.decontaminate import contaminated
+from foliant.llm.difference_cover import remove_repeats_by_cover
 from foliant.llm.langid import fit, identify
 from foliant.llm.license_scan import license_scan
 from foliant.llm.line_dedup import line_digest
@@ -31,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_digest(_table(spark, sf_dir, "documents"))
+    return repeat_digest(remove_repeats_by_cover(_table(spark, sf_dir, "documents")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

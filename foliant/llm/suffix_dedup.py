@@ -210,22 +210,37 @@ def _cut_out(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64) -> DataFrame:
-    """id, kept (bytes), n_bytes, n_removed, n_spans, spans of each row."""
-    sc = docs.sparkSession.sparkContext
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (a number for null, too), hash of the text, text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def repeated_keys(texts: DataFrame, keys_of_part, share: int):
+    """Broadcast twice-seen filter of the keys that ``keys_of_part`` (bytes, places where texts begin) gives, about one for ``share`` bytes."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = filter_bits(size // (width - gram) * 2 + 1)
 
     def keys_of(batch):
         buf, off = text_buffer(batch.column(0))
-        got = [anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, gram)[4] for i, j in chunks(off, PART)]
+        got = [keys_of_part(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in chunks(off, PART)]
         return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
-    bitmap = sc.broadcast(repeat_filter(texts.select("text"), keys_of, bits))
-    named = materialize(_names(texts, bitmap, width, gram), "anchors")
+    return texts.sparkSession.sparkContext.broadcast(repeat_filter(texts.select("text"), keys_of, filter_bits(size // share + 1)))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64) -> DataFrame:
+    """id, kept (bytes), n_bytes, n_removed, n_spans, spans of each row."""
+    texts = texts_of(docs, id_col, text_col)
+    bitmap = repeated_keys(texts, lambda buf, off: anchors(buf, off, width, gram)[4], (width - gram) // 2)
+    return merged(texts, materialize(_names(texts, bitmap, width, gram), "anchors"), width)
+
+
+def merged(texts: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """What ``remove_repeats`` gives, from named blocks (g, b, id, th, a, s, e).
 
+    Equal windows must be at equal places from equal names ``g``: the windows s..e
+    of a block, around a. Blocks of equal ``b`` (which agree in g) are equal.
+    """
     # Any row of a class of equal blocks stands for it: first() takes all of these from one row.
     rep = [F.first(c).alias(c) for c in ("id", "th", "a", "s", "e")]
     classes = materialize(named.groupBy("g", "b").agg(F.count("*").alias("n"), *rep), "blocks")
@@ -235,7 +250,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ctx = materialize(_contexts(texts.join(todo, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "todo"), width), "open-blocks")
 
     cold = ctx.filter(F.col("members") <= HOT)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = cold.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_compare(width), "id long, th long, s int, e int")
 
     def spread(batches):
@@ -256,7 +271,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return both.mapInArrow(_cut_out(width), shape)
 
 
-def repeat_digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    kept = remove_repeats(docs, **options)
+def repeat_digest(kept: DataFrame) -> DataFrame:
+    """What ``remove_repeats`` gives -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliant.llm import common
 from foliant.llm.components import components
 from foliant.llm.decontaminate import best_fit, contaminated, normal
+from foliant.llm.difference_cover import COVER, PERIOD, TRIPLE, remove_repeats_by_cover
 from foliant.llm.langid import family_of, fit, identify
 from foliant.llm.license_scan import evaluate, license_scan, parse, tokens
 from foliant.llm.line_dedup import drop_repeated_lines, line_digest
@@ -77,11 +78,13 @@ def plain_repeats(texts, width):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("method", [remove_repeats, remove_repeats_by_cover])
+def test_repeats_equal_brute_force(spark, method):
     r = random.Random(3)
     base = "".join(r.choice("abcd é\n") for _ in range(900))
     texts = [base, base[:400] + "X" + base[401:], base[100:350] + base[100:350], "q" * 500, "", None, "short", base[:199], base[:200], "z" + base[300:700]]
-    got = repeat_digest(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    texts += [base[:199] + "é", "y" + base[500:700], "yy" + base[500:701] + "z", base[850:] + base[:150]]  # 199, 200 and 201 bytes, and a seam
+    got = repeat_digest(method(docs(spark, list(enumerate(texts))))).orderBy("doc_id").collect()
     want = plain_repeats([(t or "").encode() for t in texts], 200)
     assert [tuple(g)[1:] for g in got] == want
 
@@ -95,13 +98,19 @@ def test_repeats_hot_grams_go_the_wide_way(spark, monkeypatch):
     want = plain_repeats([t.encode() for t in texts], 200)
     for hot in (4096, 2):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
-        got = repeat_digest(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+        got = repeat_digest(remove_repeats(docs(spark, list(enumerate(texts))))).orderBy("doc_id").collect()
         assert [tuple(g)[1:] for g in got] == want
 
 
-def test_repeats_awkward(awkward, empty):
-    got = remove_repeats(awkward).collect()
-    assert len(got) == 10 and empty is not None and remove_repeats(empty).count() == 0
+def test_cover_has_each_difference_once():
+    d = collections.Counter((a - b) % PERIOD for a in COVER for b in COVER if a != b)
+    assert set(d.values()) == {1} and len(d) == PERIOD - 1 and TRIPLE >= PERIOD
+
+
+@pytest.mark.parametrize("method", [remove_repeats, remove_repeats_by_cover])
+def test_repeats_awkward(awkward, empty, method):
+    got = method(awkward).collect()
+    assert len(got) == 10 and method(empty).count() == 0
     assert [r.n_removed for r in got if r.id == 4] == [len(LONG)] * 2
 
 
