@@ -315,9 +315,12 @@ def near_duplicates(
             break
         cap *= 64
 
-    rooted = classes.join(comp, "node", "left").select("c0", "c1", "rep", F.coalesce("root", "node").alias("root"))
+    rooted = classes.join(comp, "node", "left").select("c0", "c1", "rep", "node", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "class-roots")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    found = sigs.join(materialize(rooted.join(least, "root").select("c0", "c1", "component"), "class-components"), ["c0", "c1"], "left")
+    # A root is the least id of its component but where a node is a hash: there the least id is looked up.
+    hashed = rooted.filter("node <> rep").select("root").distinct()
+    least = materialize(rooted.join(hashed, "root", "left_semi").groupBy("root").agg(F.min("rep").alias("component")), "least-ids")
+    rooted = rooted.join(least, "root", "left").select("c0", "c1", F.coalesce("component", "root").alias("component"))
+    found = sigs.join(materialize(rooted, "class-components"), ["c0", "c1"], "left")
     component = F.coalesce("component", "id")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

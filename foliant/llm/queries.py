@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foliant.llm import oracles, stages
 from foliant.llm.decontaminate import contaminated
-from foliant.llm.difference_cover import remove_repeats_by_cover
 from foliant.llm.langid import fit, identify
 from foliant.llm.license_scan import license_scan
 from foliant.llm.line_dedup import line_digest
@@ -15,7 +14,7 @@ from foliant.llm.minhash_dedup import near_duplicates
 from foliant.llm.mixing import mix_sources
 from foliant.llm.quality_rules import quality_rules
 from foliant.llm.sharding import shard_rows
-from foliant.llm.suffix_dedup import repeat_digest
+from foliant.llm.suffix_dedup import remove_repeats, repeat_digest
 from foliant.llm.token_counts import read_pieces, token_counts
 
 #: Vocabulary of the token counts.
@@ -32,7 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_digest(remove_repeats_by_cover(_table(spark, sf_dir, "documents")))
+    return repeat_digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
