@@ -157,20 +157,24 @@ def anchors_of(pages: list[str], text: str) -> list[tuple[int, int]]:
 def page_anchors(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
     """First place and number of a page's grams that are unique in the transcript: transcript_id, page_num, pos, hits.
 
-    A transcript meets its own pages in one group of a cogroup, so its grams never
-    leave the task and only texts are shuffled, once.
+    A transcript meets its own pages in one row, so its grams never leave the task and
+    only texts are shuffled, once.
     """
-    plain = lambda t, *key: t.select(*key, normalise(F.col("text")).alias("plain"))
+    plain = normalise(F.coalesce("text", F.lit("")))
+    own = pages.groupBy("transcript_id").agg(F.collect_list(F.struct(F.col("page_num").cast("int").alias("page_num"), plain.alias("plain"))).alias("pages"))
+    both = own.join(transcripts.select("transcript_id", plain.alias("text")), "transcript_id").select("transcript_id", "text", "pages")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for text in right["plain"].dropna():
-            found = anchors_of([p or "" for p in left["plain"]], text)
-            rows += [(t, int(n), pos, hits) for t, n, (pos, hits) in zip(left["transcript_id"], left["page_num"], found) if hits]
-        return pd.DataFrame(rows, columns=["transcript_id", "page_num", "pos", "hits"])
-
-    left, right = (_dealt(t, "transcript_id").groupBy("transcript_id") for t in (plain(pages, "transcript_id", "page_num"), plain(transcripts, "transcript_id")))
-    return left.cogroup(right).applyInPandas(run, "transcript_id long, page_num int, pos int, hits long")
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t, text, own in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                found = anchors_of([p["plain"] for p in own], text)
+                rows += [(t, p["page_num"], pos, hits) for p, (pos, hits) in zip(own, found) if hits]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["transcript_id", "page_num", "pos", "hits"])
+
+    return _dealt(both, "transcript_id").mapInArrow(run, "transcript_id long, page_num int, pos int, hits long")
 
 
 def longest_rise(pos: list[int]) -> list[int]:

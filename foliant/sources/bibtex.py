@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -220,26 +221,29 @@ def distinct_cite_keys(docs: DataFrame, key: str = "base", tie: str = "filename"
 def match_entries(docs: DataFrame, entries: DataFrame, simplify: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, status (matched, ambiguous, unmatched), hits, entry and kind of the only hit.
 
-    Equal titles or file names join on their keys. Containment joins on a shared
-    two-character start of the shorter key, so that no pair of all documents and
-    entries is made; a check of the whole key follows.
+    Keys meet once each, however many documents and entries share them: equal ones
+    join, and containment joins on the two-character start of the shorter one, with a
+    check of the whole; so no pair of all documents and entries is made.
     """
     fold = ScriptVariants().fold() if simplify is None else simplify
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
-    keys = docs.select(F.col("id").alias("doc_id"), F.explode(F.array(F.struct(F.lit("title").alias("source"), title_key(F.col("title"), fold).alias("dk")), F.struct(F.lit("filename").alias("source"), title_key(stem, fold).alias("dk")))).alias("x")).select("doc_id", "x.source", "x.dk").filter("dk <> ''")
-    e = entries.select("entry_id", title_key(F.col("title"), fold).alias("ek")).filter("ek <> ''")
-    exact = keys.join(e, F.col("dk") == F.col("ek")).select("doc_id", "entry_id", F.when(F.col("source") == "title", 1).otherwise(2).alias("rank"))
+    both = F.array(F.struct(F.lit(0).alias("by_file"), title_key(F.col("title"), fold).alias("dk")), F.struct(F.lit(1).alias("by_file"), title_key(stem, fold).alias("dk")))
+    keys = docs.select(F.col("id").alias("doc_id"), F.explode(both).alias("x")).select("doc_id", "x.by_file", "x.dk").filter("dk <> ''")
+    named = entries.select("entry_id", title_key(F.col("title"), fold).alias("ek")).filter("ek <> ''").groupBy("ek").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id"))
+    d, e = keys.select("dk").distinct(), named.select("ek")
+    exact = d.join(e, F.col("dk") == F.col("ek")).select("dk", "ek", F.lit(1).alias("turn"))
     pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    long_d, long_e = keys.filter(F.length("dk") >= 2), e
-    in_e = long_d.withColumn("g", F.substring("dk", 1, 2)).join(long_e.withColumn("g", F.explode(pieces("ek"))), "g").filter(F.contains("ek", F.col("dk")))
-    in_d = long_e.withColumn("g", F.substring("ek", 1, 2)).join(long_d.withColumn("g", F.explode(pieces("dk"))), "g").filter(F.contains("dk", F.col("ek")))
-    one = e.filter(F.length("ek") == 1).join(long_d.withColumn("ek1", F.explode(F.array_distinct(F.split("dk", "")))), F.col("ek1") == F.col("ek"))
-    sub = in_e.select("doc_id", "entry_id", "source").union(in_d.select("doc_id", "entry_id", "source")).union(one.select("doc_id", "entry_id", "source"))
-    sub = sub.select("doc_id", "entry_id", F.when(F.col("source") == "title", 3).otherwise(4).alias("rank"))
-    hits = exact.union(sub).groupBy("doc_id", "entry_id").agg(F.min("rank").alias("rank")).groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("entry_id").alias("entry_id"), F.min("rank").alias("rank"))
+    long_d = d.filter(F.length("dk") >= 2)
+    in_e = long_d.withColumn("g", F.substring("dk", 1, 2)).join(e.withColumn("g", F.explode(pieces("ek"))), "g").filter(F.contains("ek", F.col("dk")))
+    in_d = e.withColumn("g", F.substring("ek", 1, 2)).join(long_d.withColumn("g", F.explode(pieces("dk"))), "g").filter(F.contains("dk", F.col("ek")))
+    one = e.filter(F.length("ek") == 1).join(long_d.withColumn("c", F.explode(F.array_distinct(F.split("dk", "")))), F.col("c") == F.col("ek"))
+    met = reduce(DataFrame.union, [x.select("dk", "ek", F.lit(3).alias("turn")) for x in (in_e, in_d, one)], exact)
+    # A document's entries: each key once, however it is met.
+    hits = keys.join(met, "dk").groupBy("doc_id", "ek").agg(F.min(F.col("turn") + F.col("by_file")).alias("rank")).join(named, "ek")
+    hits = hits.groupBy("doc_id").agg(F.sum("n").alias("hits"), F.min("entry_id").alias("entry_id"), F.min("rank").alias("rank"))
     kind = F.element_at(F.array(*map(F.lit, ("exact-title", "exact-filename", "substring-title", "substring-filename"))), F.col("rank"))
-    d = docs.select(F.col("id").alias("doc_id")).join(hits, "doc_id", "left")
     lone = F.col("hits") == 1
+    d = docs.select(F.col("id").alias("doc_id")).join(hits, "doc_id", "left")
     return d.select("doc_id", F.when(F.col("hits").isNull(), "unmatched").when(lone, "matched").otherwise("ambiguous").alias("status"), F.coalesce("hits", F.lit(0)).alias("hits"), F.when(lone, F.col("entry_id")).alias("entry_id"), F.when(lone, kind).alias("kind"))
 
 

@@ -3,14 +3,21 @@
 A block is two lines that aren't blank, a page three blocks; the first block of a
 page is its header and short blocks are footers. Titles, years and
 source tags follow from ids, as the tables have none.
+
+Lines and blocks are taken in once a session and version of the texts, as written
+tables that many tasks can read at once: queries read those, not the texts. A table
+that is overwritten under the same file names must be taken in again (``forget``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.plans.search_plan import Planner
+from foliant.sources.scratch import written
 
 PER_BLOCK, PER_PAGE = 2, 3
 
@@ -32,6 +39,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TAKEN_IN: dict[tuple, DataFrame] = {}
+
+
+def forget() -> None:
+    _TAKEN_IN.clear()
+
+
+def _taken_in(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, name, *sorted(docs.inputFiles()))
+    if key not in _TAKEN_IN:
+        rows, parts = build(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Few large files are read by few tasks: the written table has a file for each task.
+        _TAKEN_IN[key] = written(rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows, name)
+    return _TAKEN_IN[key]
+
+
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, page_num, block_num, block_label, block (array of lines): numbers come from array positions, so nothing is shuffled."""
     rows = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")
@@ -49,7 +73,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _taken_in(spark, sf_dir, "lines", lambda docs: lines_of(docs, "doc_id", "text"))
 
 
 def blocks_of(lines: DataFrame, planner: Planner | None = None) -> DataFrame:
@@ -60,10 +84,14 @@ def blocks_of(lines: DataFrame, planner: Planner | None = None) -> DataFrame:
     return g.select("doc_id", "page_num", "block_num", (planner or Planner()).index_text(F.array_join(F.transform("rows", lambda r: r["text"]), "\n")).alias("index_text"), trans.alias("trans"), "block_label")
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    b = _split(docs, "doc_id", "text")
+    return b.select("doc_id", "page_num", "block_num", F.array_join("block", "\n").alias("index_text"), F.lit(None).cast("string").alias("trans"), "block_label")
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks straight from the texts: the same rows as ``blocks_of(lines(...))``, without its shuffle."""
-    b = _split(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return b.select("doc_id", "page_num", "block_num", F.array_join("block", "\n").alias("index_text"), F.lit(None).cast("string").alias("trans"), "block_label")
+    return _taken_in(spark, sf_dir, "blocks", _blocks)
 
 
 #: The same model for DuckDB.
