@@ -299,8 +299,9 @@ def misses_resolved(spark, sf):
 
 
 @query("""WITH e AS (SELECT s_suppkey AS id, s_name AS canonical FROM supplier), c AS (SELECT o_orderkey AS miss, 'q' || o_orderkey AS q, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 40)::VARCHAR WHEN 1 THEN 'Supplier#' || lpad((o_orderkey % 20)::VARCHAR, 9, '0') ELSE 'new ' || (o_orderkey % 4) END AS want FROM orders WHERE o_orderkey % 50 < 3),
-n AS (SELECT want, row_number() OVER (ORDER BY want) + (SELECT max(id) FROM e) AS id FROM (SELECT DISTINCT want FROM c WHERE want LIKE 'new %')),
-r AS (SELECT c.*, coalesce(n.id, e1.id, e2.id) AS eid FROM c LEFT JOIN n ON n.want = c.want LEFT JOIN e e1 ON e1.id = try_cast(c.want AS BIGINT) LEFT JOIN e e2 ON e2.canonical = c.want),
+m AS (SELECT c.*, coalesce(e1.id, e2.id) AS known FROM c LEFT JOIN e e1 ON e1.id = try_cast(c.want AS BIGINT) LEFT JOIN e e2 ON e2.canonical = c.want),
+n AS (SELECT want, row_number() OVER (ORDER BY want) + (SELECT max(id) FROM e) AS id FROM (SELECT DISTINCT want FROM m WHERE known IS NULL)),
+r AS (SELECT m.*, coalesce(known, n.id) AS eid FROM m LEFT JOIN n ON n.want = m.want),
 a AS (SELECT id, canonical, ['alias ' || (id % 7), 'both'] AS aliases FROM e UNION ALL SELECT id, want, [] FROM n)
 SELECT a.id, a.canonical, array_to_string(aliases || coalesce((SELECT list(DISTINCT q ORDER BY q) FROM r WHERE eid = a.id), []), '|') AS aliases FROM a""", model=False)
 def miss_aliases(spark, sf):
