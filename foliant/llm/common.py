@@ -1,8 +1,9 @@
 """Shared pieces: written tables that cut lineage, and byte-level text helpers.
 
 ``materialize`` writes a table to the folder that the cluster names in
-``spark.checkpoint.dir`` (the session's warehouse folder where it is unset, as
-in tests) and reads it back, so a lost executor costs a re-read only.
+``spark.checkpoint.dir`` and reads it back, so a lost executor costs a re-read only.
+Where it is unset the session's warehouse folder is taken on one machine, as in
+tests; a cluster without it is refused.
 
 The text helpers turn an Arrow string column into one byte buffer, so that a
 task handles about a megabyte of text with a few vector operations. All of them
@@ -12,30 +13,22 @@ treat null as the empty text.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import written
+
 #: Bytes of text that are handled at once inside a task.
 CHUNK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/foliant"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A table written to the shared folder and read back: lineage ends there.
+materialize = written
 
 
 def fold_ascii(c):

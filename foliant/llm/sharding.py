@@ -8,7 +8,8 @@ cells that are still too large are summed again, eight bits deeper.
 
 A shard over the limit is possible in one case only: all its rows have the same
 hash, i.e. one row is larger than the limit or rows repeat an id. Null ids share
-the hash of the empty string; null texts have no bytes.
+the hash of the empty string; null texts have no bytes. An empty table gives no rows.
+Rows are kept whole in a struct, so that no column of theirs clashes with another.
 """
 
 from __future__ import annotations
@@ -61,5 +62,6 @@ def shard_rows(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: st
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, its rows as they were."""
-    sharded.select("row.*", F.concat(F.lit("s"), "shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    """One folder for each shard, its rows as they were, written by one task: a shard is no larger than its limit."""
+    named = sharded.select("row.*", F.concat(F.lit("s"), "shard").alias("shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(path)
