@@ -89,3 +89,31 @@ def test_package_round_trip(spark, tmp_path):
 def test_names_and_config():
     assert package.valid_name("晚清 志") and not any(map(package.valid_name, ["", ".x", "a/b", " a", "a ", "x" * 65]))
     assert package.read_config('{"a": 1, "z": 2}', {"a": 0, "b": 0}) == {"a": 1, "b": 0} and package.read_config("{", {"a": 0}) == {"a": 0}
+
+
+def test_clicks_join_searches_in_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    from foliant.streaming import intake
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    first, last = [(1, "a", at(0)), (2, "b", at(0, 1))], [(3, "c", at(9))]
+    for n, (e, c) in enumerate(((first, [(1, at(0, 10)), (1, at(0, 11))]), (last, [(9, at(9))]))):
+        spark.createDataFrame(e, "id long, query string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        spark.createDataFrame(c, "event_id long, clicked_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+        events = spark.readStream.schema("id long, query string, ts timestamp").parquet(str(tmp_path / "e"))
+        clicks = spark.readStream.schema("event_id long, clicked_at timestamp").parquet(str(tmp_path / "c"))
+        q = intake.click_log(events, clicks).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {r.id: r.clicked for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1] is True and got[2] is False
+
+
+def test_scan_status(spark, tmp_path):
+    from foliant.streaming import intake
+
+    v = spark.createDataFrame([("s", "a", "new"), ("s", "b", "failed"), ("s", "c", "unstable"), ("t", "d", "duplicate")], "collection string, name string, verdict string")
+    intake.keep_status(str(tmp_path / "status"))(v, 0)
+    intake.keep_status(str(tmp_path / "status"))(v, 0)
+    got = {r.collection: (r.new_files, r.failed_files, list(r.failed_names), r.batch) for r in spark.read.parquet(str(tmp_path / "status")).collect()}
+    assert got == {"s": (1, 1, ["b"], 0), "t": (0, 0, [], 0)}
