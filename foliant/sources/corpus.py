@@ -50,8 +50,8 @@ def _taken_in(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Data
     docs = table(spark, sf_dir, "documents")
     key = (spark.sparkContext.applicationId, name, *sorted(docs.inputFiles()))
     if key not in _TAKEN_IN:
-        rows, parts = build(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # Few large files are read by few tasks: the written table has a file for each task.
+        rows, parts = build(docs), spark.sparkContext.defaultParallelism
+        # Few large files are read by few tasks: the written table has a file for each core.
         _TAKEN_IN[key] = written(rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows, name)
     return _TAKEN_IN[key]
 
