@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from foliant.llm import oracles, stages
 from foliant.llm.decontaminate import contaminated
 from foliant.llm.langid import fit, identify
+from foliant.llm.lexical_search import ranked_search
 from foliant.llm.license_scan import license_scan
 from foliant.llm.line_dedup import line_digest
 from foliant.llm.minhash_dedup import near_duplicates
 from foliant.llm.mixing import mix_sources
 from foliant.llm.quality_rules import quality_rules
 from foliant.llm.sharding import shard_rows
+from foliant.llm.source_divergence import source_divergence
 from foliant.llm.suffix_dedup import remove_repeats, repeat_digest
 from foliant.llm.token_counts import read_pieces, token_counts
+from foliant.llm.vector_dedup import similar_vectors
 
 #: Vocabulary of the token counts.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -72,6 +75,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op10."""
     return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -90,7 +105,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_token_counts, op3_language_id, op4_minhash_near_dedup, op5_source_mixing, op6_sharding,
-        op7_quality_rules, op8_benchmark_decontamination, op9_line_dedup, op10_license_scan, pipeline,
+        op7_quality_rules, op8_benchmark_decontamination, op9_line_dedup, op10_license_scan,
+        op11_embedding_near_dedup, op12_ranked_lexical_search, op13_source_divergence_audit, pipeline,
         license_base_columns, quality_base_columns,
     )
 }
@@ -100,6 +116,9 @@ SQL = {
     "op5_source_mixing": oracles.mixing_sql(WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS, SEED),
     "op6_sharding": oracles.sharding_sql(SHARD_BYTES),
     "op9_line_dedup": oracles.OP9,
+    "op11_embedding_near_dedup": oracles.OP11,
+    "op12_ranked_lexical_search": oracles.OP12,
+    "op13_source_divergence_audit": oracles.OP13,
     "license_base_columns": oracles.LICENSE_BASE,
     "quality_base_columns": oracles.QUALITY_BASE,
 }
