@@ -38,6 +38,10 @@ class ScriptVariants:
     def count(self, word: str) -> int:
         return math.prod(len(set(self.table.get(ch, ch))) for ch in word)
 
+    def classes(self, word: str) -> list[str]:
+        """The forms of each character."""
+        return [self.table.get(ch, ch) for ch in word]
+
     def pattern(self, word: str) -> str:
         """A regular expression for all forms."""
         return "".join(f"[{t}]" if len(t := self.table.get(ch, ch)) > 1 else re.escape(ch) for ch in word)

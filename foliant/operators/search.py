@@ -9,6 +9,7 @@ one-row side.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,21 +70,46 @@ def _sum(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, xs)
 
 
-def with_rank(blocks: DataFrame, plan: SearchPlan) -> DataFrame:
-    """Matching blocks with ``rank`` (lower is better); 0 where the plan has no phrase."""
+def _all_of(lists: list[Column]) -> Column:
+    return reduce(F.array_intersect, lists)
+
+
+def _any_of(lists: list[Column]) -> Column:
+    return reduce(F.array_union, lists)
+
+
+def idf(n: int, own: int) -> float:
+    value = math.log((n - own + 0.5) / (own + 0.5))
+    return value if value > 0 else 1e-6
+
+
+def saturated(f: Column, length: Column, average) -> Column:
+    """The part of a phrase's score that its places in a block and the block's length make."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
+
+
+def term_score(phrase: str, average) -> Column:
+    return saturated(occurrences(F.col("index_text"), phrase) + occurrences(F.col("trans"), phrase), gram_length(), average)
+
+
+def with_rank(blocks: DataFrame, plan: SearchPlan, totals: tuple[int, int] | None = None) -> DataFrame:
+    """Matching blocks with ``rank`` (lower is better); 0 where the plan has no phrase.
+
+    Where ``totals`` are given (blocks and their gram lengths, of the whole collection), ``blocks``
+    need only be those that hold some phrase.
+    """
     phrases = plan.scored
     hits = blocks.filter(matches(plan))
     if not phrases:
         return hits.withColumn("rank", F.lit(0.0))
     cols = ["index_text", "trans"]
-    stats = blocks.agg(F.count("*").alias("_n"), F.avg(gram_length()).alias("_len"), *[F.count_if(_holds(p, cols)).alias(f"_n{i}") for i, p in enumerate(phrases)])
+    whole = [F.count("*").alias("_n"), F.avg(gram_length()).alias("_len")] if totals is None else [F.lit(totals[0]).alias("_n"), F.lit(totals[1] / max(1, totals[0])).alias("_len")]
+    stats = blocks.agg(F.count_if(_holds(phrases[0], cols)).alias("_n0"), *whole, *[F.count_if(_holds(p, cols)).alias(f"_n{i + 1}") for i, p in enumerate(phrases[1:])])
     hits = hits.join(F.broadcast(stats))  # one row by construction
-    norm = K1 * (1 - B + B * gram_length() / F.col("_len"))
 
     def score(i: int, p: str) -> Column:
-        f = occurrences(F.col("index_text"), p) + occurrences(F.col("trans"), p)
         idf = F.log((F.col("_n") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
-        return F.when(idf > 0, idf).otherwise(1e-6) * f * (K1 + 1) / (f + norm)
+        return F.when(idf > 0, idf).otherwise(1e-6) * term_score(p, F.col("_len"))
 
     return hits.withColumn("rank", -_sum([score(i, p) for i, p in enumerate(phrases)])).drop("_n", "_len", *[f"_n{i}" for i in range(len(phrases))])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,35 @@ def whole_runs(text: str) -> list[str]:
 class Pattern(str):
     """A phrase as a regular expression: a class of characters for each that has several forms."""
 
+    #: The forms of each character.
+    classes: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, pattern: str, classes: list[str]) -> Pattern:
+        p = cls(pattern)
+        p.classes = tuple(classes)
+        return p
+
+
+#: Grams that may stand at a place of a pattern; a place with more of them isn't looked up.
+MOST_AT_A_PLACE = 64
+
+
+def pattern_grams(phrase: str) -> list[tuple[str, ...]]:
+    """Three-character grams in lower case at each place of a phrase: one, or those that a pattern allows."""
+    if not isinstance(phrase, Pattern):
+        low = phrase.lower()
+        return [(low[i : i + 3],) for i in range(len(low) - 2)]
+    low = [sorted({f.lower() for f in c}) for c in phrase.classes]
+    if any(len(f) > 1 for c in low for f in c):  # a character whose lower case is longer
+        low = [c if all(len(f) == 1 for f in c) else [] for c in low]
+    out = []
+    for i in range(len(low) - 2):
+        n = len(low[i]) * len(low[i + 1]) * len(low[i + 2])
+        if 0 < n <= MOST_AT_A_PLACE:
+            out.append(tuple("".join(x) for x in product(*low[i : i + 3])))
+    return out
+
 
 @dataclass(frozen=True)
 class SearchPlan:
@@ -68,7 +98,7 @@ class Planner:
 
     def spellings(self, word: str) -> list[str]:
         """All script forms of a word; where they are very many, one pattern that stands for them."""
-        return self.scripts.of(word) if self.scripts.count(word) <= MOST_VARIANTS else [Pattern(self.scripts.pattern(word))]
+        return self.scripts.of(word) if self.scripts.count(word) <= MOST_VARIANTS else [Pattern.of(self.scripts.pattern(word), self.scripts.classes(word))]
 
     def highlight_terms(self, query: str) -> list[str]:
         """All forms of all words, longest first; unlike what is searched for, without a limit."""
