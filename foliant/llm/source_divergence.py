@@ -39,7 +39,7 @@ from foliant.llm.common import chunks, materialize, strings, text_buffer
 from foliant.llm.lexical_search import IN_TERM, terms_of
 
 #: Cells of a tile; different (source, term) counts that a task holds.
-TILE, HELD = 1 << 22, 1 << 19
+TILE, HELD = 1 << 19, 1 << 20
 SCALE = 1_000_000_000
 LETTERS = IN_TERM.copy()
 LETTERS[0x30:0x3A] = False
