@@ -234,8 +234,8 @@ def searches(
     The benchmark is read to the driver, as it is a fixed set; its tables are checked
     against TABLE_BYTES, and a larger benchmark is taken in blocks.
     """
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
-    items = sorted({(r.i, t) for r in rows.toLocalIterator() if (t := normal(r.t))})
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).filter("t IS NOT NULL").distinct()
+    items = sorted({(r.i, t) for r in rows.toLocalIterator() if (t := normal(r.t))}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     blocks: list[list[tuple[int, list]]] = [[]]
     room, tables = TABLE_BYTES, {}
     for at, (least, width, *_) in enumerate(CLASSES):
@@ -290,7 +290,7 @@ def _search(shared, max_edits_percent: int, least_share: float) -> Callable[[Col
                 for item_id, n in ids:
                     if _stands(text, last + 1 - n, last + 1):
                         own.setdefault(item_id, (0, last + 1, last + 1 - n))
-        rows = [[{"item_id": k, "distance": v[0], "start": v[2], "end": v[1]} for k, v in sorted(f.items())] for f in found]
+        rows = [[{"item_id": k, "distance": v[0], "start": v[2], "end": v[1]} for k, v in sorted(f.items(), key=lambda x: (x[0] is None, x[0] or 0))] for f in found]
         return pa.array(rows, pa.list_(pa.struct([(k, pa.int64()) for k in ("item_id", "distance", "start", "end")])))
 
     return hits

@@ -6,15 +6,18 @@ one-versus-one as well. Features are hashed two- and three-byte grams of the
 letters of a text (A-Z lower-cased, all else but non-ASCII bytes one space) as
 shares of all its grams, over the whole text.
 
-The machines are fitted on a bounded sample: about ``sample_rows`` labelled
-documents in all, dealt evenly to the languages, chosen by a hash of the id.
-Their hashed counts (``DIMS`` numbers a row) are all that comes to the driver.
-Prediction is one pass over the texts, with weights of fixed size broadcast.
+The machines are fitted on a bounded sample: at most ``sample_rows`` different
+(id, text) pairs of labelled documents, the same number for each label, those of least
+hash. Their hashed counts (``DIMS`` numbers a row) are all that comes to the driver.
+Of over ``WIDTH`` families, or languages of a family, neighbours (by the first
+principal direction of their means) are first told apart as groups, so that the number of
+machines grows as the number of languages, not as its square. Prediction is one
+pass over the texts, with the weights broadcast.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every
 text if no row can be learnt from. A letter is a character of Unicode's category
 L: fractions, circled digits and Roman number signs are none. Null labels are
-never learnt; of more than ``max_labels`` labels the most frequent are. Ties
+never learnt; of more labels than ``sample_rows`` those with the least hashes are. Ties
 between votes go to the larger summed margin, then to the first label in order.
 
 Each row is predicted from its own text: rows that repeat an id, null ids, and
@@ -25,17 +28,19 @@ for each of its bytes.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunks, lower_table, strings, text_buffer
+from foliant.llm.common import chunks, lower_table, materialize, strings, text_buffer
 
-DIMS = 1 << 12
+#: Hashed grams; children of a node of the tree.
+DIMS, WIDTH = 1 << 12, 16
 #: Language code -> family. A code that isn't listed is a family of its own.
 FAMILIES = {
     "romance": "ca es fr gl it oc pt ro",
@@ -79,15 +84,22 @@ def _features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return grams, 2 * np.searchsorted(places, cut)
 
 
-def _sample(docs: DataFrame, sample_rows: int, max_labels: int) -> tuple[np.ndarray, list[str]]:
+def _picked(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """text, lang of the sample: for each label the same number of different rows, ``sample_rows`` in all at most."""
+    rows = docs.withColumn("h", F.xxhash64("id", "text"))
+    counts = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("rows")), "labels")
+    quota = max(1, sample_rows // max(1, counts.count()))
+    # Some four times the quota by share, then the quota by rank: what is ranked doesn't grow with the corpus.
+    unit = F.pmod(F.col("h"), F.lit(1 << 40)) / (1 << 40)
+    drawn = rows.select("lang", "h").join(counts, "lang").filter(unit * F.col("rows") < 4 * quota + 40).select("lang", "h").distinct()
+    least = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("nth") <= quota)
+    least = materialize(least.orderBy("nth", "h").limit(sample_rows).select("lang", "h"), "sample")
+    return rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text"))  # ``sample_rows`` at most
+
+
+def _sample(docs: DataFrame, sample_rows: int) -> tuple[np.ndarray, list[str]]:
     """Shares of hashed grams and labels of the sample."""
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()}
-    if not counts:
-        return np.zeros((0, DIMS), np.float32), []
-    each = sample_rows / len(counts)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    unit = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    picked = docs.filter(unit < F.element_at(share, F.col("lang")))
+    picked = _picked(docs, sample_rows)
 
     def run(batches):
         for batch in batches:
@@ -125,24 +137,43 @@ def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 1e-3) ->
 
 
 class Model:
-    """One machine for each pair of families and each pair of languages of a family."""
+    """A tree of choices: among families, in each among its languages; one machine for each pair of children of a node."""
 
     def __init__(self, x: np.ndarray, labels: list[str]) -> None:
         self.langs = sorted(set(labels))
-        self.families = sorted({family_of(k) for k in self.langs})
+        self.children: dict[str, list[str]] = {}
         self.pairs: list[tuple[str, str, str]] = []
-        scale = 1 / np.sqrt(x.mean(0) + 1e-4) if len(x) else np.ones(DIMS, np.float32)
-        lab, fam = np.array(labels), np.array([family_of(k) for k in labels])
-        machines = []
-        kinds = [("family", fam, self.families)] + [(f, lab, [k for k in self.langs if family_of(k) == f]) for f in self.families]
-        for kind, of, names in kinds:
-            for a, b in itertools.combinations(names, 2):
-                rows = (of == a) | (of == b)
-                w, bias = fit_svm(x[rows] * scale.astype(np.float32), np.where(of[rows] == a, 1, -1).astype(np.float32))
-                machines.append((w * scale, bias))
-                self.pairs.append((kind, a, b))
-        self.weights = np.stack([m[0] for m in machines], 1).astype(np.float32) if machines else np.zeros((DIMS, 0), np.float32)
-        self.bias = np.array([m[1] for m in machines], np.float32)
+        self._x, self._lab = x, np.array(labels)
+        self._scale = 1 / np.sqrt(x.mean(0) + 1e-4) if len(x) else np.ones(DIMS, np.float32)
+        self._machines: list[tuple[np.ndarray, float]] = []
+        families = sorted({family_of(k) for k in self.langs})
+        if families:
+            self._grow("root", [(f"family:{f}", [k for k in self.langs if family_of(k) == f]) for f in families])
+        for f in families:
+            self._grow(f"family:{f}", [(f"lang:{k}", [k]) for k in self.langs if family_of(k) == f])
+        self.weights = np.stack([m[0] for m in self._machines], 1).astype(np.float32) if self._machines else np.zeros((DIMS, 0), np.float32)
+        self.bias = np.array([m[1] for m in self._machines], np.float32)
+        del self._x, self._lab, self._scale, self._machines
+
+    def _grow(self, node: str, groups: list[tuple[str, list[str]]]) -> None:
+        """Children of a node (name, languages), by way of groups of neighbours where they are many, and their machines."""
+        if len(groups) > WIDTH:
+            means = np.stack([self._x[np.isin(self._lab, langs)].mean(0) * self._scale for _, langs in groups])
+            first = np.linalg.svd(means - means.mean(0), full_matrices=False)[2][0]
+            near = [groups[i] for i in np.lexsort((np.arange(len(groups)), means @ first))]
+            cuts = np.linspace(0, len(near), WIDTH + 1).astype(int)
+            parts = [(f"{node}/{i}", near[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            for name, part in parts:
+                if len(part) > 1:
+                    self._grow(name, sorted(part))
+            groups = [(name if len(part) > 1 else part[0][0], [k for _, langs in part for k in langs]) for name, part in parts]
+        self.children[node] = [name for name, _ in groups]
+        for (a, one), (b, two) in itertools.combinations(groups, 2):
+            left = np.isin(self._lab, one)
+            rows = left | np.isin(self._lab, two)
+            w, bias = fit_svm(self._x[rows] * self._scale.astype(np.float32), np.where(left[rows], 1, -1).astype(np.float32))
+            self._machines.append((w * self._scale, bias))
+            self.pairs.append((node, a, b))
 
     def margins(self, grams: np.ndarray, cut: np.ndarray) -> np.ndarray:
         n = np.diff(cut)
@@ -154,32 +185,43 @@ class Model:
                 out[full, p] = np.add.reduceat(w, cut[:-1][full]) / n[full] + self.bias[p]
         return out
 
-    def _choose(self, kind: str, names: list[str], m: np.ndarray) -> tuple[str, float]:
-        """The name with most votes, and the mean chance that its machines give it."""
+    def _choose(self, node: str, m: np.ndarray) -> tuple[str, float]:
+        """The child with most votes, and the mean chance that its machines give it."""
+        names = self.children[node]
         votes = {k: [0, 0.0, 0.0] for k in names}
-        for (own, a, b), x in zip(self.pairs, m):
-            if own == kind:
-                for name, y in ((a, x), (b, -x)):
-                    votes[name][0] += y > 0
-                    votes[name][1] += y
-                    votes[name][2] += 1 / (1 + np.exp(-4 * float(y)))
+        for at in self._own[node]:
+            _, a, b = self.pairs[at]
+            for name, y in ((a, m[at]), (b, -m[at])):
+                votes[name][0] += y > 0
+                votes[name][1] += y
+                votes[name][2] += 1 / (1 + np.exp(-4 * float(y)))
         best = max(names, key=lambda k: (votes[k][0], votes[k][1], -names.index(k)))
         return best, votes[best][2] / max(1, len(names) - 1) if len(names) > 1 else 1.0
 
+    @functools.cached_property
+    def _own(self) -> dict[str, list[int]]:
+        """Machines of each node."""
+        out: dict[str, list[int]] = {node: [] for node in self.children}
+        for at, (node, _, _) in enumerate(self.pairs):
+            out[node].append(at)
+        return out
+
     def predict(self, m: np.ndarray) -> tuple[str, float]:
-        family, p = self._choose("family", self.families, m)
-        lang, q = self._choose(family, [k for k in self.langs if family_of(k) == family], m)
-        return lang, float(p * q)
+        node, score = "root", 1.0
+        while node in self.children:
+            node, p = self._choose(node, m)
+            score *= p
+        return node.removeprefix("lang:"), float(score)
 
 
 def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000, max_labels: int = 256) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000) -> Model:
     known = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return Model(*_sample(known, sample_rows, max_labels))
+    return Model(*_sample(known, sample_rows))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,8 +18,8 @@ and lets few other pairs through to the check on texts. Of many such pairs that
 would join the same two components the closest go first. Pairs inside one
 component need no check, as they can't change the result.
 
-Null or blank texts have an empty set and are linked with nothing; a null id
-gives a row with a null component that is kept. Rows with a repeated id belong
+Null or blank texts have an empty set and are linked with nothing; nor is a row
+with a null id, whatever its text: its component is null, and it is kept. Rows with a repeated id belong
 to one component by definition: each of their texts is searched, and links of any
 of them hold for all. An empty table gives no rows; columns besides id and text
 aren't read. A very long text is one unit of work of some hundred bytes of memory
@@ -322,5 +322,5 @@ def near_duplicates(
     least = materialize(rooted.join(hashed, "root", "left_semi").groupBy("root").agg(F.min("rep").alias("component")), "least-ids")
     rooted = rooted.join(least, "root", "left").select("c0", "c1", F.coalesce("component", "root").alias("component"))
     found = sigs.join(materialize(rooted, "class-components"), ["c0", "c1"], "left")
-    component = F.coalesce("component", "id")
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -6,13 +6,14 @@ import math
 import random
 import re
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import common
 from foliant.llm.components import components
-from foliant.llm.decontaminate import best_fit, contaminated, normal
+from foliant.llm.decontaminate import best_fit, clean, contaminated, normal
 from foliant.llm.difference_cover import COVER, PERIOD, TRIPLE, remove_repeats_by_cover
 from foliant.llm.langid import family_of, fit, identify
 from foliant.llm.license_scan import evaluate, license_scan, parse, tokens
@@ -165,9 +166,54 @@ def test_languages_need_a_letter(spark, corpus):
     assert all(got[i] == ("und", 0.0) for i in (1, 2, 3)) and got[4][0] != "und" and got[5][0] != "und"
 
 
-def test_languages_bound_on_labels(spark, corpus):
+def test_languages_sample_is_bounded(spark, corpus, monkeypatch):
+    """Null ids, copies and many labels: never more rows than asked for, and none of few labels left out."""
+    from foliant.llm import langid
+
+    nulls = docs(spark, [(None, f"text number {i} of no id", "en") for i in range(3000)] + [(None, "the same", "de")] * 3000 + [(7, f"other {i}", "fr") for i in range(50)])
+    known = nulls.select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    got = langid._picked(known, 90).collect()
+    assert collections.Counter(r.lang for r in got) == {"en": 30, "de": 1, "fr": 30}
+    assert sorted(langid._picked(known, 90).collect()) == sorted(got)
+    assert len(langid._picked(known, 2).collect()) == 2
     many = corpus.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("l"), F.col("doc_id"))).otherwise(F.col("lang")))
-    assert len(fit(many, max_labels=4).langs) <= 4
+    model = fit(many)
+    labels = {r.lang for r in many.filter("lang IS NOT NULL AND text IS NOT NULL AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 <> 1").select("lang").collect()}
+    assert set(model.langs) == labels and len(labels) > langid.WIDTH
+    assert len(model.pairs) < langid.WIDTH * len(labels)
+    assert {r.lang_pred for r in identify(many, model).collect()} <= labels | {"und"}
+
+
+def plain_language(model, text):
+    """Features, votes and score, one text at a time."""
+    if not any(unicodedata.category(c)[0] == "L" for c in text or "") or not model.langs:
+        return "und", 0.0
+    b = re.sub(b" +", b" ", bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in text.encode()))
+    grams = []
+    for i in range(len(b) - 2):
+        two = b[i] * 257 + b[i + 1]
+        grams += [(x * 2654435761 % 2**32) >> 20 for x in (two, (two * 263 + b[i + 2] + 99991) % 2**32)]
+    margin = [sum(float(model.weights[g, p]) for g in grams) / len(grams) + float(model.bias[p]) if grams else 0.0 for p in range(len(model.pairs))]
+    node, score = "root", 1.0
+    while node in model.children:
+        votes = {k: [0, 0.0, 0.0] for k in model.children[node]}
+        for (own, a, c), m in zip(model.pairs, margin):
+            if own == node:
+                for k, y in ((a, m), (c, -m)):
+                    votes[k] = [votes[k][0] + (y > 0), votes[k][1] + y, votes[k][2] + 1 / (1 + math.exp(-4 * y))]
+        names = list(votes)
+        score *= votes[(best := max(names, key=lambda k: (votes[k][0], votes[k][1], -names.index(k))))][2] / (len(names) - 1) if len(names) > 1 else 1.0
+        node = best if len(names) > 1 else names[0]
+    return node.removeprefix("lang:"), score
+
+
+def test_languages_equal_brute_force(spark, corpus):
+    model = fit(corpus)
+    rows = [(r.doc_id, r.text) for r in corpus.collect() if len(r.text or "") < 4000][:80] + [(1, "é"), (2, "ab"), (3, "Å b"), (4, None), (5, " . ")]
+    got = identify(docs(spark, rows), model).collect()
+    for (i, text), r in zip(rows, got):
+        lang, score = plain_language(model, text)
+        assert (r.doc_id, r.lang_pred) == (i, lang) and abs(r.score - score) < 1e-4
 
 
 def test_languages_awkward(awkward, empty, corpus):
@@ -229,6 +275,12 @@ def test_near_duplicates_of_every_text_of_an_id(spark):
     assert got == sorted((i, 7 if i == 7 else 0) for i, _ in rows)
 
 
+def test_near_duplicates_null_ids_have_no_component(spark):
+    rows = [(1, "one two three four"), (None, "one two three four"), (None, "one two three four"), (2, "one two three four")]
+    got = near_duplicates(docs(spark, rows), shingle=2).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == [(1, 1, True), (2, 1, False), (None, None, True), (None, None, True)]
+
+
 def test_near_duplicates_awkward(awkward, empty):
     got = near_duplicates(awkward, shingle=2).collect()
     assert len(got) == 10 and all(r.kept for r in got)
@@ -479,6 +531,11 @@ def test_contamination_awkward(spark, awkward, empty):
     assert {(r.doc_id, r.item_id) for r in got} == {(4, 4)}
     assert contaminated(empty, bench).count() == 0
     assert contaminated(awkward, bench.filter("item_id > 9")).count() == 0
+    passage = "a passage of an item that nobody has given a number, which must go all the same"
+    nameless = spark.createDataFrame([(None, passage), (None, "tiny item"), (3, "word " * 20)], "item_id long, text string")
+    some = docs(spark, [(1, f"before it. {passage} and after"), (2, "a tiny item here"), (3, "clean")])
+    assert {(r.doc_id, r.item_id) for r in contaminated(some, nameless).collect()} == {(1, None), (2, None)}
+    assert [r.doc_id for r in clean(some, nameless).collect()] == [3]
 
 
 # --- 9 --------------------------------------------------------------------------
