@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import highlight
 from foliant.operators import search, side_hits
+from foliant.operators.gram_index import GramIndex
 from foliant.plans.search_plan import Planner
 
 
 class Shelf(NamedTuple):
-    """Tables of a collection that a search looks at."""
+    """Tables of a collection that a search looks at; of its blocks, the index or the whole table."""
 
-    blocks: DataFrame
+    blocks: DataFrame | GramIndex
     docs: DataFrame
     lines: DataFrame
     cards: DataFrame
@@ -37,7 +38,7 @@ def page_of_hits(shelf: Shelf, query: str, planner: Planner | None = None, limit
     total = hits.agg(F.count("*").alias("total"))
     page = search.page_of(hits, limit, offset)
     d = shelf.docs.select(F.col("id").alias("doc_id"), "filename", F.coalesce("title", "filename").alias("title"), "cite_key")
-    lines = shelf.lines.join(F.broadcast(page.select(search.KEY)), search.KEY, "left_semi")  # at most ``limit`` rows
+    lines = shelf.lines.join(page.select(search.KEY), search.KEY, "left_semi")
     text = lines.groupBy(search.KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "text"))), lambda r: r["text"]), " ").alias("t"), F.min("id").alias("line_id"))
     rows = page.select(*search.KEY, "rank").join(text, search.KEY).join(d, "doc_id").join(F.broadcast(total))  # one row by construction
     marked = highlight(F.col("t"), planner.highlight_terms(query))
@@ -72,9 +73,8 @@ def hits_in_document(shelf: Shelf, doc_id: int, query: str, planner: Planner | N
     """Hits of one document in reading order: place, first line, marked snippet (80 characters from 30 before the word), total and whether the list is cut."""
     planner = planner or Planner()
     names = search.name_expansions(shelf.names, shelf.entities, planner, query)
-    own = shelf.blocks.filter(F.col("doc_id") == doc_id)
-    plan = planner.plan(query, names)
-    hits = search.doc_hits(own.filter(search.matches(plan)), shelf.lines, doc_id)
+    found = search.search(shelf.blocks, shelf.docs, shelf.lines, query, planner, names, ranked=False, doc_id=doc_id)
+    hits = search.doc_hits(found, shelf.lines, doc_id)
     total = hits.agg(F.count("*").alias("total"))
     t = F.trim("line_text")
     at = F.instr(F.lower(t), query.lower())

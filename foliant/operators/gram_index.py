@@ -56,7 +56,7 @@ FEW = 1 << 20
 MOST_GRAMS = 12
 
 PLACE = ["segment", "part", "no"]
-BLOCK = "doc_id long, page_num int, block_num int, index_text string, trans string, block_label string"
+BLOCK = "doc_id long, page_num int, block_num int, index_text string, trans string, block_label string, labels array<string>"
 BLOCKS_AS_WRITTEN = f"{BLOCK}, no int, run int, length int, segment string, part int"
 GRAMS_AS_WRITTEN = "gram string, part int, run int, n int, nos array<int>, most int, least int, segment string, bucket int"
 #: Numbers of a posting list ascend: written as deltas.
@@ -143,8 +143,10 @@ def grams_folder(segment: dict) -> str:
 def _segment(blocks: DataFrame, root: str) -> dict | None:
     """Writes blocks and their grams; None if there are none."""
     spark, cores = blocks.sparkSession, blocks.sparkSession.sparkContext.defaultParallelism
-    names = [c for c in BLOCK.replace(",", "").split()[::2]]
-    b = blocks.select(*[F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in names])
+    kinds = dict(c.split() for c in BLOCK.split(", "))
+    names = list(kinds)
+    b = blocks.withColumn("labels", F.array("block_label")) if "labels" not in blocks.columns and "block_label" in blocks.columns else blocks
+    b = b.select(*[(F.col(c) if c in b.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
     b = b.withColumn("length", search.gram_length().cast("int"))
     size = b.agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
     if not size.n:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from foliant.functions.text import ascii_fold, sqlite_year
 from foliant.plans.search_plan import Pattern, Planner, SearchPlan
 
+if TYPE_CHECKING:
+    from foliant.operators.gram_index import GramIndex
+
 K1, B = 1.2, 0.75
 
 
@@ -121,7 +125,7 @@ def filtered(
     hits: DataFrame, docs: DataFrame, lines: DataFrame, source_type: str | None = None, doc_id: int | None = None,
     label: list[str] | None = None, exclude: list[str] | None = None, year_from: int | None = None, year_to: int | None = None, year_source: str = "date",
 ) -> DataFrame:
-    """Hits by source type, document, block labels and year. Labels to keep win over labels to drop."""
+    """Hits by source type, document, labels of any line of the block and year. Labels to keep win over labels to drop."""
     d = docs
     if source_type in ("primary", "secondary", "reference"):
         d = d.filter(F.array_contains("source_tags", source_type))
@@ -133,7 +137,12 @@ def filtered(
         hits = hits.join(d.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     if doc_id is not None:
         hits = hits.filter(F.col("doc_id") == doc_id)
-    if label:
+    if "labels" in hits.columns:  # a block that knows the labels of its lines
+        if label:
+            hits = hits.filter(F.exists("labels", lambda x: x.isin(label)))
+        elif exclude:
+            hits = hits.filter(F.exists("labels", lambda x: x.isNull() | ~x.isin(exclude)))
+    elif label:
         hits = hits.join(lines.filter(F.col("block_label").isin(label)).select(KEY), KEY, "left_semi")
     elif exclude:
         hits = hits.join(lines.filter(F.col("block_label").isNull() | ~F.col("block_label").isin(exclude)).select(KEY), KEY, "left_semi")
@@ -189,8 +198,19 @@ def name_expansions(names: DataFrame, entities: DataFrame, planner: Planner, que
     return list(dict.fromkeys(found))
 
 
-def search(blocks: DataFrame, docs: DataFrame, lines: DataFrame, query: str, planner: Planner | None = None, names: list[str] | None = None, ranked: bool = True, **filters) -> DataFrame:
-    """Blocks of a query, with their rank unless only the set is asked for; an empty plan gives no rows."""
+def search(blocks: DataFrame | GramIndex, docs: DataFrame, lines: DataFrame, query: str, planner: Planner | None = None, names: list[str] | None = None, ranked: bool = True, **filters) -> DataFrame:
+    """Blocks of a query, with their rank unless only the set is asked for; an empty plan gives no rows.
+
+    ``blocks`` is an index, of which the grams of the query are read, or a table, which is read whole.
+    """
     plan = (planner or Planner()).plan(query, names)
-    hits = with_rank(blocks, plan) if ranked else blocks.filter(matches(plan))
+    if not isinstance(blocks, DataFrame):
+        hits = blocks.hits(plan, ranked)
+    else:
+        hits = with_rank(blocks, plan) if ranked else blocks.filter(matches(plan))
     return filtered(hits, docs, lines, **filters)
+
+
+def top(index: GramIndex, docs: DataFrame, lines: DataFrame, query: str, k: int, planner: Planner | None = None, names: list[str] | None = None, **filters) -> DataFrame:
+    """KEY of the k best blocks of a query in order, with their place ``nth``, without ranking all."""
+    return index.best((planner or Planner()).plan(query, names), k, lambda hits: filtered(hits, docs, lines, **filters))

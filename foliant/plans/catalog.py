@@ -30,11 +30,11 @@ def lines_from_documents(spark, sf):
 
 @query("SELECT doc_id, page_num, block_num, index_text, block_label FROM blocks")
 def blocks_from_lines(spark, sf):
-    return corpus.blocks_of(corpus.lines(spark, sf)).drop("trans")
+    return corpus.blocks_of(corpus.lines(spark, sf)).drop("trans", "labels")
 
 
 def _found(spark, sf, words: str, **filters):
-    return search.search(corpus.blocks(spark, sf), corpus.documents(spark, sf), corpus.lines(spark, sf), words, **filters)
+    return search.search(corpus.index(spark, sf), corpus.documents(spark, sf), corpus.lines(spark, sf), words, **filters)
 
 
 def _bm25(phrases: list[str]) -> str:
@@ -70,7 +70,7 @@ def search_bm25(spark, sf):
 
 @query(_bm25(["hation"]) + " SELECT doc_id, page_num, block_num FROM r ORDER BY rank, doc_id, page_num, block_num LIMIT 20")
 def search_bm25_topk(spark, sf):
-    return search.page_of(_found(spark, sf, "hation"), 20).select(search.KEY)
+    return search.top(corpus.index(spark, sf), corpus.documents(spark, sf), corpus.lines(spark, sf), "hation", 20).select(search.KEY)
 
 
 @query(_bm25(["hation"]) + " SELECT doc_id, count(*) AS hits, round(min(rank), 6) AS best_rank, any_value(title) AS title FROM r JOIN docs ON id = doc_id GROUP BY doc_id")
@@ -111,8 +111,8 @@ def doc_hits(spark, sf):
 
 @query(f"SELECT h.doc_id, h.page_num, h.block_num AS hit_block, b.block_num, b.index_text FROM blocks h JOIN blocks b ON b.doc_id = h.doc_id AND b.page_num = h.page_num AND b.block_num BETWEEN h.block_num - 2 AND h.block_num + 2 WHERE {HIT.format('hation').replace('index_text', 'h.index_text')}")
 def context_window(spark, sf):
-    b = corpus.blocks(spark, sf)
-    return search.context(b, b.filter(search.matches(Planner().plan("hation"))), 2)
+    index = corpus.index(spark, sf)
+    return search.context(index.blocks(), index.hits(Planner().plan("hation"), ranked=False), 2)
 
 
 @query(_bm25(["hation"]) + " SELECT collection, rn AS turn, doc_id, page_num, block_num FROM (SELECT r.*, collection, row_number() OVER (PARTITION BY collection ORDER BY rank, doc_id, page_num, block_num) AS rn FROM r JOIN docs ON id = doc_id) WHERE rn <= 3")

@@ -100,9 +100,9 @@ def transcript_texts(spark, sf):
     return _documents(spark, sf).select("doc_id", texts.transcript_text(F.col("text")).alias("plain"))
 
 
-@query(", n AS (SELECT DISTINCT doc_id FROM blocks) SELECT id, '---' || chr(10) || 'title: ' || to_json(title) || chr(10) || 'year: ' || to_json(bib_year) || chr(10) || '---' || chr(10) AS head FROM docs WHERE NOT contains(title, '/') AND title IS NOT NULL")
+@query(", n AS (SELECT DISTINCT doc_id FROM blocks) SELECT id, '---' || chr(10) || 'title: ' || replace(to_json(title), chr(92) || '/', '/') || chr(10) || 'year: ' || to_json(bib_year) || chr(10) || '---' || chr(10) AS head FROM docs WHERE title IS NOT NULL")
 def front_matter(spark, sf):
-    d = corpus.documents(spark, sf).filter(~F.contains("title", F.lit("/")))
+    d = corpus.documents(spark, sf).filter("title IS NOT NULL")
     return d.select("id", texts.front_matter({"title": F.col("title"), "note": F.lit(None).cast("string"), "year": F.col("bib_year")}).alias("head"))
 
 
@@ -516,7 +516,7 @@ def _shelf(spark, sf) -> answers.Shelf:
     none = lambda s: spark.createDataFrame([], s)
     e = _entities(spark)
     return answers.Shelf(
-        corpus.blocks(spark, sf), corpus.documents(spark, sf), corpus.lines(spark, sf), none("id long, doc_id long, title string, content string"), _wiki(spark, sf), e, entities.entity_names(e),
+        corpus.index(spark, sf), corpus.documents(spark, sf), corpus.lines(spark, sf), none("id long, doc_id long, title string, content string"), _wiki(spark, sf), e, entities.entity_names(e),
         _mentions(spark, sf), none("id long, doc_id long, note string, clip_text string, updated_at timestamp"),
     )
 

@@ -4,20 +4,22 @@ A block is two lines that aren't blank, a page three blocks; the first block of
 page is its header and short blocks are footers. Titles, years and
 source tags follow from ids, as the tables have none.
 
-Lines and blocks are taken in once a session and version of the texts, as written
-tables that many tasks can read at once: queries read those, not the texts. A table
-that is overwritten under the same file names must be taken in again (``forget``).
+Lines, blocks and the gram index are taken in once a session and version of the texts, as
+written tables that many tasks can read at once: queries read those, not the texts. A
+version is known by the names, lengths and times of its files.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators.gram_index import GramIndex
 from foliant.plans.search_plan import Planner
-from foliant.sources.scratch import written
+from foliant.sources.scratch import folder, stamps, written
 
 PER_BLOCK, PER_PAGE = 2, 3
 
@@ -39,23 +41,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TAKEN_IN: dict[tuple, DataFrame] = {}
+_TAKEN_IN: dict[tuple, DataFrame | GramIndex] = {}
 
 
 def forget() -> None:
     _TAKEN_IN.clear()
 
 
-def _taken_in(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _taken_in(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame | GramIndex]) -> DataFrame | GramIndex:
     docs = table(spark, sf_dir, "documents")
-    key = (spark.sparkContext.applicationId, name, *sorted(docs.inputFiles()))
+    key = (spark.sparkContext.applicationId, name, *stamps(docs))
     if key not in _TAKEN_IN:
-        rows, parts = build(docs), spark.sparkContext.defaultParallelism
-        # Few large files are read by few tasks: the written table has a file for each core.
-        _TAKEN_IN[key] = written(rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows, name)
+        _TAKEN_IN[key] = build(docs)
     return _TAKEN_IN[key]
 
 
+def _spread(rows: DataFrame, name: str) -> DataFrame:
+    """The written table; few large files are read by few tasks, so it has a file for each core."""
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    return written(rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows, name)
+
+
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, page_num, block_num, block_label, block (array of lines): numbers come from array positions, so nothing is shuffled."""
     rows = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")
@@ -73,25 +79,31 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _taken_in(spark, sf_dir, "lines", lambda docs: lines_of(docs, "doc_id", "text"))
+    return _taken_in(spark, sf_dir, "lines", lambda docs: _spread(lines_of(docs, "doc_id", "text"), "lines"))
 
 
 def blocks_of(lines: DataFrame, planner: Planner | None = None) -> DataFrame:
     """Blocks as they are indexed: lines joined by newlines (words cut as the planner cuts those of a query), translations by spaces."""
     row = F.struct("line_num", "text", *(["trans"] if "trans" in lines.columns else []))
-    g = lines.groupBy("doc_id", "page_num", "block_num").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("block_label").alias("block_label"))
+    g = lines.groupBy("doc_id", "page_num", "block_num").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("block_label").alias("block_label"), F.array_distinct(F.transform(F.collect_list(F.struct("block_label")), lambda s: s["block_label"])).alias("labels"))
     trans = F.array_join(F.filter(F.transform("rows", lambda r: r["trans"]), lambda t: F.trim(t) != ""), " ") if "trans" in lines.columns else F.lit(None).cast("string")
-    return g.select("doc_id", "page_num", "block_num", (planner or Planner()).index_text(F.array_join(F.transform("rows", lambda r: r["text"]), "\n")).alias("index_text"), trans.alias("trans"), "block_label")
+    text = (planner or Planner()).index_text(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"))
+    return g.select("doc_id", "page_num", "block_num", text.alias("index_text"), trans.alias("trans"), "block_label", "labels")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
     b = _split(docs, "doc_id", "text")
-    return b.select("doc_id", "page_num", "block_num", F.array_join("block", "\n").alias("index_text"), F.lit(None).cast("string").alias("trans"), "block_label")
+    return b.select("doc_id", "page_num", "block_num", F.array_join("block", "\n").alias("index_text"), F.lit(None).cast("string").alias("trans"), "block_label", F.array("block_label").alias("labels"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks straight from the texts: the same rows as ``blocks_of(lines(...))``, without its shuffle."""
-    return _taken_in(spark, sf_dir, "blocks", _blocks)
+    return _taken_in(spark, sf_dir, "blocks", lambda docs: _spread(_blocks(docs), "blocks"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """The gram index of all blocks."""
+    return _taken_in(spark, sf_dir, "index", lambda docs: GramIndex.built(blocks(spark, sf_dir), f"{folder(spark)}/index-{uuid.uuid4().hex}"))
 
 
 #: The same model for DuckDB.

@@ -16,6 +16,14 @@ def folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/foliant"
 
 
+def stamps(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of each file that a table is read from."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in sorted(df.inputFiles())]
+    found = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    return [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table, written to the shared folder and read back."""
     path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
