@@ -17,8 +17,8 @@ MATCH, MISMATCH, GAP = 2.0, -1.0, -1.5
 LEAST_AGREEMENT, CLUSTER_GAP, ANCHOR, LOW_CONFIDENCE = 0.60, 3, 8, 0.5
 
 
-#: Cells of the score tables that a task holds at once.
-CELLS = 1 << 23
+#: Cells of the score tables that a task holds at once; rows that are kept of a pair with more, a level.
+CELLS, BANDS = 1 << 23, 16
 
 
 def align_many(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -59,6 +59,56 @@ def align_many(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarra
     return [(ai[order[lo:hi]], bj[order[lo:hi]]) for lo, hi in zip(cut[:-1], cut[1:])]
 
 
+def align_long(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """The same alignment of one pair whose table wouldn't fit: rows are kept at the ends of bands only.
+
+    The way back goes through the last band first; each band, as far as the column
+    where the way enters it, is split again until its table has ``cells`` at most. With
+    ``BANDS`` rows kept a level, memory follows the length of b and not the product.
+    """
+    right = np.arange(len(b) + 1, dtype=np.float32) * np.float32(GAP)
+    ai, bj = [], []
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        new = np.empty_like(row)
+        new[0] = GAP * (i + 1)
+        new[1:] = np.maximum(row[:-1] + np.where(a[i] == b[: len(row) - 1], np.float32(MATCH), np.float32(MISMATCH)), row[1:] + np.float32(GAP))
+        return np.maximum.accumulate(new - right[: len(row)]) + right[: len(row)]
+
+    def back(first: int, last: int, row: np.ndarray, q: int) -> int:
+        """The way from (last, q) up to row ``first``, whose scores are ``row``; the column where it comes out."""
+        kept = [row[: q + 1]]
+        small = (last - first) * (q + 1) <= cells or last - first == 1
+        cuts = range(first, last + 1) if small else sorted({first + (last - first) * k // BANDS for k in range(BANDS + 1)})
+        for i in range(first, last if small else cuts[-2]):
+            new = after(kept[-1] if small or i in cuts else new, i)
+            if small or i + 1 in cuts:
+                kept.append(new)
+        if not small:
+            for k in range(len(cuts) - 2, -1, -1):
+                q = back(cuts[k], cuts[k + 1], kept[k], q)
+            return q
+        p = last
+        while p > first:
+            here = kept[p - first][q]
+            if q and here == kept[p - first][q - 1] + np.float32(GAP):
+                q -= 1
+                ai.append(-1)
+                bj.append(q)
+            else:
+                p -= 1
+                up = here == kept[p - first][q] + np.float32(GAP)
+                q -= not up
+                ai.append(p)
+                bj.append(-1 if up else q)
+        return q
+
+    q = back(0, len(a), right, len(b)) if len(a) else len(b)
+    ai += [-1] * q
+    bj += range(q - 1, -1, -1)
+    return np.array(ai[::-1], np.int64), np.array(bj[::-1], np.int64)
+
+
 def align(a: str, b: str) -> list[tuple[int, int]]:
     """One alignment, as index pairs."""
     ((i, j),) = align_many([_points(a)], [_points(b)])
@@ -75,7 +125,7 @@ def _dealt(df: DataFrame, *key: str) -> DataFrame:
 
 
 def alignments(pairs: DataFrame) -> DataFrame:
-    """(id, a, b) -> a row for each alignment column: id, col, ca, cb, i, j. Texts are normalised first; pairs are pages, and independent."""
+    """(id, a, b) -> a row for each alignment column: id, col, ca, cb, i, j. Texts are normalised first; pairs are independent, and of any length."""
     p = pairs.select("id", normalise(F.coalesce("a", F.lit(""))).alias("a"), normalise(F.coalesce("b", F.lit(""))).alias("b"))
     gap = np.uint32(0xFFFFFFFF)
 
@@ -84,6 +134,12 @@ def alignments(pairs: DataFrame) -> DataFrame:
         text = list(own.tobytes().decode("utf-32-le", "surrogatepass"))
         return pa.array([None if x < 0 else c for x, c in zip(at.tolist(), text)], pa.string())
 
+    def columns(own: int, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(i), own, np.int64)), pa.array(np.arange(len(i), dtype=np.int32)), letters(a, i), letters(b, j), *(pa.array(x.astype(np.int32), mask=x < 0) for x in (i, j))],
+            ["id", "col", "ca", "cb", "i", "j"],
+        )
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -91,15 +147,16 @@ def alignments(pairs: DataFrame) -> DataFrame:
             order = sorted(range(len(ids)), key=lambda k: (len(a[k]), len(b[k])))
             lo = 0
             while lo < len(order):
+                if (len(a[order[lo]]) + 1) * (len(b[order[lo]]) + 1) > CELLS:
+                    yield columns(ids[order[lo]], a[order[lo]], b[order[lo]], *align_long(a[order[lo]], b[order[lo]]))
+                    lo += 1
+                    continue
                 hi = lo + 1
                 while hi < len(order) and (hi - lo + 1) * (len(a[order[hi]]) + 1) * (max(len(b[k]) for k in order[lo : hi + 1]) + 1) <= CELLS and hi - lo < 256:
                     hi += 1
                 some = order[lo:hi]
                 for k, (i, j) in zip(some, align_many([a[k] for k in some], [b[k] for k in some])):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(i), ids[k], np.int64)), pa.array(np.arange(len(i), dtype=np.int32)), letters(a[k], i), letters(b[k], j), *(pa.array(x.astype(np.int32), mask=x < 0) for x in (i, j))],
-                        ["id", "col", "ca", "cb", "i", "j"],
-                    )
+                    yield columns(ids[k], a[k], b[k], i, j)
                 lo = hi
 
     return _dealt(p, "id").mapInArrow(run, "id long, col int, ca string, cb string, i int, j int")
