@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.variants import MOST_VARIANTS, ScriptVariants, confusion_forms, confusion_table, forms
+from foliant.functions.segment import Segmenter
+from foliant.functions.variants import MOST_VARIANTS, ScriptVariants, confusion_forms, confusion_table, forms, standard_scripts
 
 _SYNTAX = str.maketrans("", "", '"()*:^{}[]')
 _CJK = re.compile("([㐀-鿿豈-﫿]+)")
@@ -80,6 +84,11 @@ class Planner:
     confusions: dict[str, str] = field(default_factory=confusion_table)
     cut: Callable[[str], list[str]] = whole_runs
 
+    @classmethod
+    def standard(cls, spark: SparkSession, dictionary: DataFrame | None = None) -> Planner:
+        """Full script tables, and words cut by a dictionary (word, freq) where one is given."""
+        return cls(scripts=standard_scripts(spark), cut=Segmenter.of(dictionary) if dictionary is not None else whole_runs)
+
     def tokens(self, query: str) -> list[str]:
         """Words of CJK runs; other runs whole, with their inner and outer spaces."""
         out = []
@@ -111,13 +120,23 @@ class Planner:
 
     def index_text(self, text: Column) -> Column:
         """Text as it is indexed: CJK runs cut into words, all parts joined by spaces. A shelf that is searched with a ``cut`` is indexed with it."""
-        cut, run = self.cut, _CJK
+        if self.cut is whole_runs:
+            return text
+        shared = SparkSession.active().sparkContext.broadcast(cloudpickle.dumps(self.cut))  # a dictionary is checked for its size where it is read
+
+        @F.arrow_udf("string")
+        def spaced(texts: pa.Array) -> pa.Array:
+            cut = _unpacked(shared.value)
+            return pa.array([None if t is None else spaced_text(t, cut) for t in texts.to_pylist()], pa.string())
+
+        return spaced(text)
+
+
+@functools.lru_cache(2)
+def _unpacked(packed: bytes) -> Callable[[str], list[str]]:
+    return cloudpickle.loads(packed)
 
-        @F.udf("string", useArrow=True)
-        def spaced(t: str):
-            if t is None:
-                return None
-            parts = [(w for w in cut(p) if w.strip()) if i % 2 else [p] for i, p in enumerate(run.split(t)) if p.strip()]
-            return " ".join(w for p in parts for w in p)
 
-        return text if cut is whole_runs else spaced(text)
+def spaced_text(text: str, cut: Callable[[str], list[str]]) -> str:
+    parts = [(w for w in cut(p) if w.strip()) if i % 2 else [p] for i, p in enumerate(_CJK.split(text)) if p.strip()]
+    return " ".join(w for p in parts for w in p)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import string
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import title_key
-from foliant.functions.variants import ScriptVariants
+from foliant.functions.variants import sounded, standard_scripts
 
 ENTRY = "type string, cite_key string, fields array<struct<k:string,v:string>>"
 _HEAD = re.compile(r"@(\w+)\s*([{(])")
@@ -145,11 +147,9 @@ def volume_token(volume: pd.Series, number: pd.Series, title: pd.Series) -> pd.S
 
 
 def slug(c: Column, pinyin: dict[str, str] | None = None) -> Column:
-    """Latin letters and digits of a text, lower case; Chinese characters by a pinyin table where one is given."""
+    """Latin letters and digits of a text, lower case; Chinese characters by a table of sounds (``variants.sounds``) where one is given."""
     c = F.coalesce(c, F.lit(""))
-    for ch, sound in (pinyin or {}).items():
-        c = F.replace(c, F.lit(ch), F.lit(sound))
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(sounded(c, pinyin) if pinyin else c), "[^a-z0-9]", "")
 
 
 #: What parts authors.
@@ -182,12 +182,35 @@ def _family(key: Column) -> Column:
     return F.coalesce(F.nullif(bare, F.lit("")), F.substring(key, 1, 2))
 
 
+def _endings() -> Iterator[str]:
+    """aa, ab, ... zz, aaa, ..."""
+    return ("".join(x) for n in itertools.count(2) for x in itertools.product(string.ascii_lowercase, repeat=n))
+
+
+class KeysTaken:
+    """Keys of a family: a new one is its base if that is free (or the row's own key), else with b to z, else with four digits of the file name's SHA-1, else with two letters or more."""
+
+    def __init__(self) -> None:
+        self.taken: set[str] = set()
+        self._further: dict[str, Iterator[str]] = {}
+
+    def add(self, base: str, file_name: str | None, own: str | None = None) -> str:
+        tries = [base] if base not in self._further else []
+        tries += [base + c for c in string.ascii_lowercase[1:]] if base not in self._further else []
+        if file_name:
+            tries.append(f"{base}-{hashlib.sha1(file_name.encode()).hexdigest()[:4]}")
+        new = next((t for t in tries if t == own or t not in self.taken), None)
+        while new is None or (new != own and new in self.taken):  # goes on where the last row of this base stopped
+            new = base + next(self._further.setdefault(base, _endings()))
+        self.taken.add(new)
+        return new
+
+
 def next_key(base: str, taken: set[str], file_name: str | None, own: str | None = None) -> str:
-    """The base if it is free (or the row's own key), else with b to z, else with four digits of the file name's SHA-1, else with x."""
-    tries = [base, *(base + c for c in string.ascii_lowercase[1:])]
-    if file_name:
-        tries.append(f"{base}-{hashlib.sha1(file_name.encode()).hexdigest()[:4]}")
-    return next((t for t in tries if t == own or t not in taken), base + "x")
+    """The key that a row gets beside those taken."""
+    keys = KeysTaken()
+    keys.taken = set(taken)
+    return keys.add(base, file_name, own)
 
 
 def distinct_cite_keys(docs: DataFrame, key: str = "base", tie: str = "filename", existing: DataFrame | None = None) -> DataFrame:
@@ -202,40 +225,49 @@ def distinct_cite_keys(docs: DataFrame, key: str = "base", tie: str = "filename"
     parts = come.withColumn("family", _family(F.col("base"))).repartition("collection", "family").sortWithinPartitions("collection", "family", "turn", "id")
 
     def run(batches):
-        at, taken = None, set()
+        at, taken = None, KeysTaken()
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if (r.collection, r.family) != at:
-                    at, taken = (r.collection, r.family), set()
-                new = next_key(r.base, taken, r.tie) if r.turn else r.base
-                taken.add(new)
+                    at, taken = (r.collection, r.family), KeysTaken()
                 if r.turn:
-                    out.append((r.id, new))
+                    out.append((r.id, taken.add(r.base, r.tie)))
+                else:
+                    taken.taken.add(r.base)
             yield pd.DataFrame(out, columns=["_id", "cite_key"])
 
     keys = parts.mapInPandas(run, f"_id {docs.schema['id'].dataType.simpleString()}, cite_key string")
     return docs.drop("cite_key").join(keys, F.col("id") == F.col("_id")).drop("_id")
 
 
+def _containing(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s) of two characters or more and (l) -> pairs where l holds s: each s meets only the long keys that have its rarest two characters."""
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    held = long.filter(F.length("l") >= 2).select("l", F.explode(pieces("l")).alias("g"))
+    counts = held.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = short.select("s", F.explode(pieces("s")).alias("g")).join(counts, "g", "left").groupBy("s").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    return rarest.join(held, "g").filter(F.contains("l", F.col("s"))).select("s", "l")
+
+
 def match_entries(docs: DataFrame, entries: DataFrame, simplify: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, status (matched, ambiguous, unmatched), hits, entry and kind of the only hit.
 
-    Keys meet once each, however many documents and entries share them: equal ones
-    join, and containment joins on the two-character start of the shorter one, with a
-    check of the whole; so no pair of all documents and entries is made.
+    Both titles are folded to simplified characters by the full table. Keys meet once
+    each, however many documents and entries share them: equal ones join, and
+    containment joins on the rarest two characters of the shorter one, with a check of
+    the whole; so no pair of all documents and entries is made.
     """
-    fold = ScriptVariants().fold() if simplify is None else simplify
+    fold = standard_scripts(docs.sparkSession).fold() if simplify is None else simplify
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
     both = F.array(F.struct(F.lit(0).alias("by_file"), title_key(F.col("title"), fold).alias("dk")), F.struct(F.lit(1).alias("by_file"), title_key(stem, fold).alias("dk")))
     keys = docs.select(F.col("id").alias("doc_id"), F.explode(both).alias("x")).select("doc_id", "x.by_file", "x.dk").filter("dk <> ''")
     named = entries.select("entry_id", title_key(F.col("title"), fold).alias("ek")).filter("ek <> ''").groupBy("ek").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id"))
     d, e = keys.select("dk").distinct(), named.select("ek")
     exact = d.join(e, F.col("dk") == F.col("ek")).select("dk", "ek", F.lit(1).alias("turn"))
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    long_d = d.filter(F.length("dk") >= 2)
-    in_e = long_d.withColumn("g", F.substring("dk", 1, 2)).join(e.withColumn("g", F.explode(pieces("ek"))), "g").filter(F.contains("ek", F.col("dk")))
-    in_d = e.withColumn("g", F.substring("ek", 1, 2)).join(long_d.withColumn("g", F.explode(pieces("dk"))), "g").filter(F.contains("dk", F.col("ek")))
+    long_d, long_e = d.filter(F.length("dk") >= 2), e.filter(F.length("ek") >= 2)
+    in_e = _containing(long_d.toDF("s"), long_e.toDF("l")).toDF("dk", "ek")
+    in_d = _containing(long_e.toDF("s"), long_d.toDF("l")).toDF("ek", "dk")
     one = e.filter(F.length("ek") == 1).join(long_d.withColumn("c", F.explode(F.array_distinct(F.split("dk", "")))), F.col("c") == F.col("ek"))
     met = reduce(DataFrame.union, [x.select("dk", "ek", F.lit(3).alias("turn")) for x in (in_e, in_d, one)], exact)
     # A document's entries: each key once, however it is met.
