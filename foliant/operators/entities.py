@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterable
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import repeats_itself
-from foliant.sources.scratch import numbered
+from foliant.sources.scratch import numbered, written
 
 NORM = r"\s+"
 
@@ -41,14 +48,121 @@ def with_new_entities(resolved: DataFrame, first_seen: DataFrame, top_id: int) -
     return resolved.join(ids, "surface", "left").select("surface", F.coalesce("entity_id", "new_id").alias("entity_id"), "how")
 
 
+#: Pages of a document whose blocks one automaton walks; names of an automaton that goes to all tasks, by characters.
+PAGES_AT_ONCE, MOST_CHARS = 64, 8_000_000
+
+
+def _automaton(surfaces: Iterable[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for s in surfaces:
+        a.add_word(s, s)
+    a.make_automaton()
+    return a
+
+
+def _walk(automaton: ahocorasick.Automaton, text: str | None) -> list[str]:
+    """Surfaces that stand in a text, once each."""
+    return sorted({s for _, s in automaton.iter(text)}) if text and len(automaton) else []
+
+
+def _first(hits: DataFrame, most: int) -> DataFrame:
+    w = Window.partitionBy("doc_id", "s").orderBy("page_num", "block_num")
+    return hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).drop("rn")
+
+
+def places_in_document(seeds: DataFrame, blocks: DataFrame, most: int = 20) -> DataFrame:
+    """(doc_id, s) and blocks -> doc_id, s, page_num, block_num: the first ``most`` blocks of the seed's document that hold it.
+
+    One automaton of a document's seeds walks its blocks once; a long document is
+    dealt in stretches of ``PAGES_AT_ONCE`` pages, each with all its seeds. Texts and
+    seeds are without white space, and seeds of one character are left out.
+    """
+    cell = F.floor(F.col("page_num") / PAGES_AT_ONCE).cast("int").alias("cell")
+    text = blocks.select("doc_id", cell, "page_num", "block_num", F.regexp_replace("index_text", NORM, "").alias("t"))
+    own = seeds.filter(F.length("s") >= 2).select("doc_id", "s").distinct()
+    own = own.join(blocks.select("doc_id", cell).distinct(), "doc_id")
+
+    def walk(seeds: pa.Table, texts: pa.Table) -> pa.Table:
+        if not seeds.num_rows or not texts.num_rows:
+            return shape.empty_table()
+        automaton, found, count = _automaton(seeds.column("s").to_pylist()), [], Counter()
+        texts = texts.sort_by([("page_num", "ascending"), ("block_num", "ascending")])
+        for d, p, b, t in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "page_num", "block_num", "t"))):
+            for s in _walk(automaton, t):
+                count[s] += 1
+                if count[s] <= most:
+                    found.append((d, s, p, b))
+        return pa.table([pa.array(c, k.type) for c, k in zip(zip(*found), shape)], schema=shape) if found else shape.empty_table()
+
+    shape = pa.schema([("doc_id", pa.int64()), ("s", pa.string()), ("page_num", pa.int32()), ("block_num", pa.int32())])
+    hits = own.groupBy("doc_id", "cell").cogroup(text.groupBy("doc_id", "cell")).applyInArrow(walk, "doc_id long, s string, page_num int, block_num int")
+    return _first(hits, most)
+
+
 def anchor_mentions(seeds: DataFrame, blocks: DataFrame, most: int = 20) -> DataFrame:
     """Blocks of the seed's document that hold its surface (two characters or more), the first ``most``; else one row without a block."""
     own = seeds.select("doc_id", "surface", F.regexp_replace("surface", NORM, "").alias("s")).distinct()
-    text = blocks.select("doc_id", "page_num", "block_num", F.regexp_replace("index_text", NORM, "").alias("t"))
-    hit = own.filter(F.length("s") >= 2).join(text, "doc_id").filter(F.contains("t", F.col("s")))
-    w = Window.partitionBy("doc_id", "surface").orderBy("page_num", "block_num")
-    hit = hit.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).select("doc_id", "surface", "page_num", "block_num")
-    return own.select("doc_id", "surface").join(hit, ["doc_id", "surface"], "left")
+    hits = places_in_document(own, blocks, most)
+    return own.join(hits, ["doc_id", "s"], "left").select("doc_id", "surface", "page_num", "block_num")
+
+
+def places_of_names(names: DataFrame, blocks: DataFrame, most: int = 20) -> DataFrame:
+    """(surface) and blocks -> surface, doc_id, page_num, block_num: of each document, the first ``most`` blocks that hold the name (two characters or more).
+
+    All names make one automaton that goes to all tasks, up to ``MOST_CHARS`` characters; more names go
+    by hash into several, each of which walks the blocks once.
+    """
+    own = names.select("surface", F.regexp_replace("surface", NORM, "").alias("s")).filter(F.length("s") >= 2).distinct()
+    rounds = -(-(own.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]) // MOST_CHARS)
+    text, hits = blocks.select("doc_id", "page_num", "block_num", F.regexp_replace("index_text", NORM, "").alias("t")), None
+    for n in range(rounds):
+        part = own.filter(F.pmod(F.xxhash64("s"), F.lit(rounds)) == n) if rounds > 1 else own
+        shared = names.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r.s for r in part.select("s").distinct().collect()]))
+        some = text.select("doc_id", "page_num", "block_num", F.explode(_held(shared)("t")).alias("s"))
+        hits = some if hits is None else hits.unionAll(some)
+    hits = text.select("doc_id", "page_num", "block_num", F.lit("").alias("s")).limit(0) if hits is None else hits
+    return _first(hits, most).join(own, "s").select("surface", "doc_id", "page_num", "block_num")
+
+
+def _held(shared: Broadcast) -> Callable[[str], Column]:
+    @F.arrow_udf("array<string>")
+    def held(texts: pa.Array) -> pa.Array:
+        automaton = _kept_automaton(shared)
+        return pa.array([_walk(automaton, t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return held
+
+
+_KEPT: dict[str, ahocorasick.Automaton] = {}
+
+
+def _kept_automaton(shared: Broadcast) -> ahocorasick.Automaton:
+    """The automaton of a broadcast (name, surfaces), built once a Python worker; only the last one is kept."""
+    name, surfaces = shared.value
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = _automaton(surfaces)
+    return _KEPT[name]
+
+
+def compiled(docs: DataFrame, seeds: DataFrame, entities: DataFrame, mentions: DataFrame, blocks: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Entities and mentions after some documents were compiled anew: their mentions are replaced, those of others stay.
+
+    seeds: doc_id, pos, surface, page_num, block_num, of the documents to compile. Of
+    equal seeds of a document the first counts. Surfaces that no entity has become
+    entities. A seed that knows its block keeps it; others are anchored in the texts,
+    and stay at their page where nothing is found. A document without seeds loses its mentions.
+    """
+    own = written(distinct_seeds(seeds.join(docs.select("doc_id"), "doc_id", "left_semi")), "seeds")
+    top = entities.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    who = written(with_new_entities(resolve(own.select("surface"), entities), own.select("surface", "doc_id", "pos"), top), "resolved")
+    new = who.filter(F.col("entity_id") > top).select(F.col("entity_id").alias("id"), F.col("surface").alias("canonical"))
+    lost = own.filter("coalesce(block_num, 0) = 0").select("doc_id", F.col("norm").alias("s"))
+    hits = places_in_document(lost, blocks, most).select("doc_id", F.col("s").alias("norm"), F.col("page_num").alias("p"), F.col("block_num").alias("b"))
+    rows = own.join(hits, ["doc_id", "norm"], "left").join(who.select("surface", "entity_id"), "surface")
+    rows = rows.select("entity_id", "doc_id", F.coalesce("p", "page_num").alias("page_num"), F.coalesce("b", "block_num").alias("block_num"), "surface", F.lit(True).alias("valid"))
+    rest = mentions.join(docs.select("doc_id"), "doc_id", "left_anti")
+    return entities.unionByName(new, allowMissingColumns=True), rest.unionByName(rows, allowMissingColumns=True)
 
 
 def mention_counts(entities: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from foliant.plans.registry import QUERIES, SQL, query
 from foliant.plans.search_plan import Planner
 from foliant.sources import bibtex, corpus, texts
 from foliant.sources.corpus import SQL_MODEL, table
+from foliant.sources.scratch import numbered
 from foliant.streaming import intake
 
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -221,17 +222,27 @@ def collation_normalise(spark, sf):
 
 # --- entities ------------------------------------------------------------------------
 
-NAMES = [(1, "the", ["teh"]), (2, "hation", ["tion"]), (3, "tion", []), (4, "onhand", ["on hand", "the"]), (5, "que", ["qve"]), (6, "ertion", []), (7, "ment", ["ments"]), (8, "aquement", []), (9, "der", ["dem"])]
-_NAMES_SQL = "ent AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {a}::VARCHAR[])" for i, c, a in NAMES) + ") t(id, canonical, aliases))"
+#: Entities of the tables: words of the documents, numbered in their order; a name cut short and one with a capital are aliases of the longer ones.
+SHORTEST, LONGEST, LEAST_DOCS = 7, 12, 10
+_NAMES_SQL = f"""wd AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents),
+wc AS (SELECT w FROM wd WHERE length(w) BETWEEN {SHORTEST} AND {LONGEST} GROUP BY w HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
+ent AS (SELECT row_number() OVER (ORDER BY w) AS id, w AS canonical, CASE WHEN length(w) > {SHORTEST} THEN [left(w, length(w)::INT - 1), upper(left(w, 1)) || substr(w, 2)] ELSE [] END AS aliases FROM wc)"""
 
 
-def _entities(spark):
-    return spark.createDataFrame(NAMES, "id long, canonical string, aliases array<string>")
+def words_of(spark, sf):
+    """doc_id, w: the words of the documents."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+
+
+def _entities(spark, sf):
+    w = words_of(spark, sf).filter(F.length("w").between(SHORTEST, LONGEST)).groupBy("w").agg(F.count_distinct("doc_id").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    long = F.array(F.expr("left(w, length(w) - 1)"), F.concat(F.upper(F.substring("w", 1, 1)), F.expr("substr(w, 2)")))
+    return numbered(w.select("w"), ["w"], "id").select("id", F.col("w").alias("canonical"), F.when(F.length("w") > SHORTEST, long).otherwise(F.array().cast("array<string>")).alias("aliases"))
 
 
 @query(f", {_NAMES_SQL} SELECT DISTINCT id::BIGINT AS entity_id, unnest(list_distinct([canonical] || aliases)) AS name FROM ent")
 def entity_names(spark, sf):
-    return entities.entity_names(_entities(spark))
+    return entities.entity_names(_entities(spark, sf))
 
 
 _SURFACES = "sf AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS surface FROM documents)"
@@ -249,19 +260,18 @@ n AS (SELECT {_NORM.format("canonical")} AS k, min(id) AS i FROM ent GROUP BY 1)
 SELECT surface, coalesce(n.i, m.i)::BIGINT AS entity_id, CASE WHEN n.i IS NOT NULL THEN 'name' WHEN m.i IS NOT NULL THEN 'alias' ELSE 'none' END AS how
 FROM sf LEFT JOIN n ON n.k = {_NORM.format("surface")} LEFT JOIN m ON m.k = {_NORM.format("surface")}""")
 def entity_resolve(spark, sf):
-    return entities.resolve(_surfaces(spark, sf), _entities(spark))
+    return entities.resolve(_surfaces(spark, sf), _entities(spark, sf))
 
 
-_MENTION_SQL = f"""{_NAMES_SQL}, hits AS (SELECT ent.id::BIGINT AS entity_id, canonical AS surface, doc_id, page_num, block_num, row_number() OVER (PARTITION BY doc_id, canonical ORDER BY page_num, block_num) AS rn
-  FROM ent JOIN blocks ON contains({_NORM.format("index_text")}, canonical)), men AS (SELECT * FROM hits WHERE rn <= 20)"""
+_BARE_SQL = f"bare AS MATERIALIZED (SELECT doc_id, page_num, block_num, {_NORM.format('index_text')} AS t FROM blocks)"
+_MENTION_SQL = f"""{_NAMES_SQL}, {_BARE_SQL}, hits AS (SELECT ent.id::BIGINT AS entity_id, canonical AS surface, doc_id, page_num, block_num, row_number() OVER (PARTITION BY doc_id, canonical ORDER BY page_num, block_num) AS rn
+  FROM ent JOIN bare ON contains(t, canonical)), men AS (SELECT * FROM hits WHERE rn <= 20)"""
 
 
 def _mentions(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id")
-    names = _entities(spark).select(F.col("id").alias("entity_id"), F.col("canonical").alias("surface"))
-    seeds = docs.join(F.broadcast(names))  # nine names
-    m = entities.anchor_mentions(seeds, corpus.blocks(spark, sf)).filter("page_num IS NOT NULL")
-    return m.join(F.broadcast(names), "surface").withColumn("valid", F.lit(True))
+    names = _entities(spark, sf).select(F.col("id").alias("entity_id"), F.col("canonical").alias("surface"))
+    found = entities.places_of_names(names, corpus.blocks(spark, sf))
+    return found.join(names, "surface").withColumn("valid", F.lit(True))
 
 
 @query(f", {_MENTION_SQL} SELECT entity_id, surface, doc_id, page_num, block_num FROM men")
@@ -269,25 +279,52 @@ def mention_anchor(spark, sf):
     return _mentions(spark, sf).select("entity_id", "surface", "doc_id", "page_num", "block_num")
 
 
-@query(f""", {_MENTION_SQL}, m AS (SELECT DISTINCT entity_id, doc_id, page_num FROM men)
-SELECT a.entity_id, b.entity_id AS other, count(*) AS pages FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.entity_id <> b.entity_id GROUP BY ALL""")
+_SEED_SQL = f"""wd AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS surface FROM documents), sd AS (SELECT * FROM wd WHERE length(surface) BETWEEN {SHORTEST} AND {LONGEST}),
+{_BARE_SQL}, hits AS (SELECT sd.doc_id, surface, page_num, block_num, row_number() OVER (PARTITION BY sd.doc_id, surface ORDER BY page_num, block_num) AS rn FROM sd JOIN bare ON bare.doc_id = sd.doc_id AND contains(t, surface))"""
+
+
+@query(f", {_SEED_SQL} SELECT sd.doc_id, sd.surface, page_num, block_num FROM sd LEFT JOIN hits ON hits.doc_id = sd.doc_id AND hits.surface = sd.surface AND rn <= 20 WHERE rn IS NULL OR rn <= 20")
+def mentions_of_seeds(spark, sf):
+    """Each document's own words as its seeds, in lower case: some stand in it only with a capital, and have no place."""
+    seeds = words_of(spark, sf).filter(F.length("w").between(SHORTEST, LONGEST)).select("doc_id", F.col("w").alias("surface"))
+    return entities.anchor_mentions(seeds, corpus.blocks(spark, sf))
+
+
+@query(f""", {_MENTION_SQL}, own AS (SELECT DISTINCT doc_id, w AS surface FROM wd JOIN docs ON docs.id = doc_id AND lang = 'de' WHERE length(w) BETWEEN {SHORTEST} AND {LONGEST}),
+al AS (SELECT alias, min(id) AS i FROM (SELECT id, unnest(aliases) AS alias FROM ent) GROUP BY alias),
+who AS (SELECT surface, coalesce(n.canonical, a.canonical, surface) AS canonical FROM (SELECT DISTINCT surface FROM own) LEFT JOIN ent n ON n.canonical = surface LEFT JOIN al ON alias = surface LEFT JOIN ent a ON a.id = al.i),
+found AS (SELECT own.doc_id, surface, page_num, block_num, row_number() OVER (PARTITION BY own.doc_id, surface ORDER BY page_num, block_num) AS rn FROM own JOIN bare ON bare.doc_id = own.doc_id AND contains(t, surface))
+SELECT canonical, own.doc_id, page_num, block_num, own.surface FROM own JOIN who USING (surface) LEFT JOIN found ON found.doc_id = own.doc_id AND found.surface = own.surface AND rn <= 20
+UNION ALL SELECT surface, doc_id, page_num, block_num, surface FROM men WHERE doc_id NOT IN (SELECT id FROM docs WHERE lang = 'de')""")
+def mentions_compiled(spark, sf):
+    """The German documents compiled anew, with their own words as seeds: their mentions are replaced, and new words become entities."""
+    docs = corpus.documents(spark, sf).filter("lang = 'de'").select(F.col("id").alias("doc_id"))
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "surface")).filter(F.length("surface").between(SHORTEST, LONGEST))
+    none = F.lit(None).cast("int")
+    e, m = entities.compiled(docs, words.withColumns({"page_num": none, "block_num": none}), _entities(spark, sf), _mentions(spark, sf), corpus.blocks(spark, sf))
+    return m.join(e.select(F.col("id").alias("entity_id"), "canonical"), "entity_id").select("canonical", "doc_id", "page_num", "block_num", "surface")
+
+
+@query(f""", {_MENTION_SQL}, m AS (SELECT DISTINCT entity_id, doc_id, page_num FROM men),
+n AS (SELECT a.entity_id, b.entity_id AS other, count(*) AS pages FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.entity_id <> b.entity_id GROUP BY ALL)
+SELECT entity_id, other, pages FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pages DESC, other) AS rn FROM n) WHERE rn <= 30""")
 def entity_neighbors(spark, sf):
     return entities.neighbours(_mentions(spark, sf))
 
 
 @query(f", {_MENTION_SQL} SELECT ent.id::BIGINT AS entity_id, ent.canonical, count(men.entity_id) AS mentions FROM ent LEFT JOIN men ON men.entity_id = ent.id GROUP BY ALL")
 def entity_mention_counts(spark, sf):
-    return entities.mention_counts(_entities(spark), _mentions(spark, sf))
+    return entities.mention_counts(_entities(spark, sf), _mentions(spark, sf))
 
 
 @query(f", {_NAMES_SQL}, a AS (SELECT id, unnest(aliases) AS name FROM ent) SELECT a.id::BIGINT AS alias_of, ent.id::BIGINT AS named, name FROM a JOIN ent ON canonical = name AND a.id <> ent.id")
 def audit_alias_dup(spark, sf):
-    return entities.audit_alias_is_name(_entities(spark))
+    return entities.audit_alias_is_name(_entities(spark, sf))
 
 
 @query(f", {_NAMES_SQL} SELECT i.id::BIGINT AS inner_id, o.id::BIGINT AS outer_id, i.canonical AS inner_name, o.canonical AS outer_name FROM ent i JOIN ent o ON contains(o.canonical, i.canonical) AND length(o.canonical) - length(i.canonical) BETWEEN 1 AND 6")
 def audit_contain(spark, sf):
-    return entities.audit_contained(_entities(spark))
+    return entities.audit_contained(_entities(spark, sf))
 
 
 @query()
@@ -542,9 +579,9 @@ def wiki_hits(spark, sf):
     return side_hits.wiki_hits(_wiki(spark, sf), Planner(), "TION").select("id", "slug")
 
 
-@query(f", {_MENTION_SQL}, nm AS (SELECT id, unnest(list_distinct([canonical] || aliases)) AS name FROM ent), own AS (SELECT DISTINCT id FROM nm WHERE contains(name, 'tion')) SELECT ent.id::BIGINT AS entity_id, canonical, count(men.entity_id) AS mentions FROM ent JOIN own USING (id) LEFT JOIN men ON men.entity_id = ent.id GROUP BY ALL")
+@query(f", {_MENTION_SQL}, nm AS (SELECT id, unnest(list_distinct([canonical] || aliases)) AS name FROM ent), own AS (SELECT DISTINCT id FROM nm WHERE contains(name, 'tion')) SELECT ent.id::BIGINT AS entity_id, canonical, count(men.entity_id) AS mentions FROM ent JOIN own USING (id) LEFT JOIN men ON men.entity_id = ent.id GROUP BY ALL ORDER BY mentions DESC, entity_id LIMIT 10")
 def entity_hits(spark, sf):
-    e = _entities(spark)
+    e = _entities(spark, sf)
     return side_hits.entity_hits(e, entities.entity_names(e), _mentions(spark, sf), Planner(), "tion")
 
 
