@@ -3,8 +3,8 @@
 1. Each task counts its terms by (language, source, term), in numpy, and gives out
    one row for each: the shuffle gets partial counts, never places in texts. A hot
    source is as many rows as it has different terms in a task.
-2. A language keeps the terms that at least ``min_docs`` of its documents hold. The
-   kept terms are dealt by hash into blocks, so that the matrix of a block, sources by
+2. One shuffle by (language, term) adds them up. A language keeps the terms that at least
+   ``min_docs`` of its documents hold. The kept terms are dealt by hash into blocks, so that the matrix of a block, sources by
    terms, has at most ``TILE`` cells.
 3. A block is a dense int64 matrix of counts with one more row for the whole
    language. All pairs of its rows are compared by broadcasting; what leaves the
@@ -80,9 +80,9 @@ class _Counts:
             return None
         self.merge()
         g, h, n, docs = self.parts[0]
-        names = list(self.groups)
+        langs, sources = (pa.array(c, pa.string()) for c in zip(*self.groups))
         words = [self.words[x] for x in h.view(np.uint64).tolist()]
-        out = [pa.array([names[x][0] for x in g], pa.string()), pa.array([names[x][1] for x in g], pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n), pa.array(docs)]
+        out = [langs.take(pa.array(g)), sources.take(pa.array(g)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n), pa.array(docs)]
         self.words, self.parts, self.size = {}, [], 0
         return pa.RecordBatch.from_arrays(out, ["lang", "source", "term", "n", "docs"])
 
@@ -166,17 +166,19 @@ def _tile(cells: pd.DataFrame, groups: pd.DataFrame, top: int) -> pd.DataFrame:
 
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = 3, top: int = 200, tile: int = TILE) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
-    counts = term_counts(docs, text_col, lang_col, source_col).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = materialize(counts, "term-counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs")).filter(F.col("in_docs") >= min_docs).select("lang", "term")
-    kept = materialize(counts.join(kept.hint("merge"), ["lang", "term"], "left_semi"), "kept-terms")
+    # Tasks have summed up what is theirs: one shuffle by language and term brings all of a term together, for its counts, its documents and what is kept.
+    parts = term_counts(docs, text_col, lang_col, source_col).repartition("lang", "term")
+    counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.collect_list(F.struct("source", "n")).alias("cells"))
+    terms = materialize(terms.filter(F.col("in_docs") >= min_docs).select("lang", "term", "cells"), "kept-terms")
+    kept = terms.select("lang", "term", F.explode("cells").alias("c")).select("lang", "term", "c.source", "c.n")
     # One row for each source: its places, and what its language has.
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source")).distinct()
     groups = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
     groups = materialize(groups, "sources")
     langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count("*").alias("sources"))
-    langs = langs.join(kept.groupBy("lang", "term").count().groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    langs = langs.join(terms.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0)))
     langs = materialize(langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("sources") / tile)).cast("int")), "languages")
     rows = groups.join(langs, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lang", "block", "source", "n", "lang_n", "v")
     cells = kept.join(langs.select("lang", "blocks"), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "n")
