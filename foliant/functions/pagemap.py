@@ -7,7 +7,7 @@ nearest slope, and rounded half to even; one anchor is a fixed shift.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPE = "array<struct<label:string,anchors:array<struct<printed:int,pdf:int>>>>"
@@ -71,13 +71,56 @@ def to_pdf(groups: Column, default: Column, printed: Column) -> Column:
 
 
 def with_anchor(groups: Column, label: Column, printed: Column, pdf: Column) -> Column:
-    """Groups with an anchor set: one of the same file page is replaced, a new label starts a group."""
+    """Groups with an anchor set: one of the same printed number is replaced, a new label starts a group."""
     new = F.struct(printed.cast("int").alias("printed"), pdf.cast("int").alias("pdf"))
-    put = lambda g: F.struct(g["label"].alias("label"), F.array_sort(F.concat(F.filter(g["anchors"], lambda a: a["pdf"] != pdf), F.array(new))).alias("anchors"))
+    put = lambda g: F.struct(g["label"].alias("label"), F.array_sort(F.concat(F.filter(g["anchors"], lambda a: a["printed"] != printed), F.array(new))).alias("anchors"))
     changed = F.transform(groups, lambda g: F.when(g["label"] == label, put(g)).otherwise(g))
     return F.when(F.exists(groups, lambda g: g["label"] == label), changed).otherwise(F.concat(groups, F.array(F.struct(label.alias("label"), F.array(new).alias("anchors")))))
 
 
-def without_anchor(groups: Column, label: Column, pdf: Column) -> Column:
-    cut = F.transform(groups, lambda g: F.when(g["label"] == label, F.struct(g["label"].alias("label"), F.filter(g["anchors"], lambda a: a["pdf"] != pdf).alias("anchors"))).otherwise(g))
+def without_anchor(groups: Column, label: Column, printed: Column) -> Column:
+    """Groups without the anchor of a printed number; a group without anchors goes."""
+    cut = F.transform(groups, lambda g: F.when(g["label"] == label, F.struct(g["label"].alias("label"), F.filter(g["anchors"], lambda a: a["printed"] != printed).alias("anchors"))).otherwise(g))
     return F.filter(cut, lambda g: F.size(g["anchors"]) > 0)
+
+
+def default_of(raw: Column) -> Column:
+    """The label of the group that a number belongs to where several have it; empty for a map of one group."""
+    return F.coalesce(F.when(F.get_json_object(raw, "$.v") == "2", F.get_json_object(raw, "$.default")), F.lit(""))
+
+
+def held_default(groups: Column, default: Column) -> Column:
+    """The default if a group has that label, else the label of the first; empty without groups."""
+    first = F.get(groups, 0)["label"]
+    return F.coalesce(F.when(F.exists(groups, lambda g: g["label"] == default), default), first, F.lit(""))
+
+
+def to_raw(groups: Column, default: Column) -> Column:
+    """The JSON form of a map; null without groups."""
+    pairs = F.transform(groups, lambda g: F.struct(g["label"].alias("label"), F.transform(g["anchors"], lambda a: F.array(a["printed"], a["pdf"])).alias("anchors")))
+    return F.when(F.size(groups) > 0, F.to_json(F.struct(F.lit(2).alias("v"), pairs.alias("groups"), held_default(groups, default).alias("default"))))
+
+
+def put_anchors(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Documents (id, page_map) with anchors (doc_id, label, printed, pdf) set; numbers under 1 are left out.
+
+    Of several anchors of one printed number and group the one with the highest file page stands. A
+    document's first map has the first label of these as its default.
+    """
+    good = anchors.filter("printed >= 1 AND pdf >= 1").select("doc_id", F.trim(F.coalesce("label", F.lit(""))).alias("label"), F.col("printed").cast("int").alias("printed"), F.col("pdf").cast("int").alias("pdf"))
+    once = good.groupBy("doc_id", "label", "printed").agg(F.max("pdf").alias("pdf"))
+    new = once.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("label", "printed", "pdf"))).alias("_new"))
+    d = docs.join(new, F.col("id") == F.col("doc_id"), "left").drop("doc_id")
+    put = F.aggregate("_new", parse(F.col("page_map")), lambda groups, a: with_anchor(groups, a["label"], a["printed"], a["pdf"]))
+    had = F.size(parse(F.col("page_map"))) > 0
+    default = F.when(had, default_of(F.col("page_map"))).otherwise(F.get("_new", 0)["label"])
+    return d.withColumn("page_map", F.when(F.col("_new").isNotNull(), to_raw(put, default)).otherwise(F.col("page_map"))).drop("_new")
+
+
+def set_default(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with the default group that ``labels`` (doc_id, label) names, where there is such a group."""
+    new = labels.select(F.col("doc_id").alias("_of"), F.trim(F.coalesce("label", F.lit(""))).alias("_label"))
+    d = docs.join(new, F.col("id") == F.col("_of"), "left")
+    groups = parse(F.col("page_map"))
+    there = F.coalesce(F.exists(groups, lambda g: g["label"] == F.col("_label")), F.lit(False))
+    return d.withColumn("page_map", F.when(there, to_raw(groups, F.col("_label"))).otherwise(F.col("page_map"))).drop("_of", "_label")

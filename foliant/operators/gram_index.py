@@ -31,7 +31,6 @@ into one, and ``upgraded`` rebuilds the grams of segments of an older format.
 from __future__ import annotations
 
 import itertools
-import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
@@ -44,6 +43,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import ascii_fold
 from foliant.operators import search
 from foliant.plans.search_plan import Pattern, SearchPlan, pattern_grams
+from foliant.sources import versions
 from foliant.sources.scratch import written
 
 #: Version of what is written for a block.
@@ -165,17 +165,6 @@ def _segment(blocks: DataFrame, root: str) -> dict | None:
 # --- what a version has ------------------------------------------------------------
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, f"{root}/manifest")
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{root}/manifest/{n}/_SUCCESS")[1]))
-
-
 @dataclass
 class GramIndex:
     """One version of an index. Edits return the next version; a version once opened never changes."""
@@ -201,18 +190,13 @@ class GramIndex:
     @classmethod
     def opened(cls, spark: SparkSession, root: str, version: int | None = None) -> GramIndex:
         """The latest version that was published in full, or a given one."""
-        found = _versions(spark, root)
-        if version is None and not found:
-            raise FileNotFoundError(f"no index in {root}")
-        version = found[-1] if version is None else version
-        told = json.loads(spark.read.text(f"{root}/manifest/v={version:06d}").first().value)
+        version, told = versions.read(spark, root, version)
         return cls(spark, root, version, told["segments"], told["marks"])
 
     def _published(self, segments: list[dict], marks: list[str]) -> GramIndex:
         """The next version; fails if another writer has published it."""
         after = replace(self, version=self.version + 1, segments=segments, marks=marks, _kept={})
-        told = json.dumps({"segments": segments, "marks": marks})
-        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("error").text(f"{self.root}/manifest/v={after.version:06d}")
+        versions.publish(self.spark, self.root, after.version, {"segments": segments, "marks": marks})
         return after
 
     # --- tables

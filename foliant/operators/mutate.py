@@ -63,6 +63,46 @@ def page_edit_log(old: DataFrame, new: DataFrame, layers: dict[str, str]) -> Dat
     return r.select(*KEY, F.concat("x.mark", "x.o").alias("old_value"), F.concat("x.mark", "x.n").alias("new_value"))
 
 
+#: Layers of a page beside its text, with their marks in the log; labels that a page's new blocks don't take over.
+LAYERS, NOT_CARRIED = {"translit": "[转] ", "gloss": "[对] ", "trans": "[译] "}, ["number", "footer", "doc_title"]
+
+
+def edit_pages(lines: DataFrame, new: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages written anew -> lines, and a log row for each change.
+
+    new: doc_id, page_num, pos (1, 2, ...), text[, translit, gloss, trans]; a block each, as one
+    line. ``pages`` (doc_id, page_num) are those to write, where some get no block. Old lines
+    in their order and new blocks meet by position: what is on one side alone is logged
+    as a text that came or went, else each layer that differs is, with its mark. New lines
+    take the label of the page's first text block, and keep the flags (``draft_flags``,
+    a map by layer) of the layers that didn't change.
+    """
+    page = ["doc_id", "page_num"]
+    layers = [c for c in LAYERS if c in lines.columns]
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    cell = lambda c: F.nullif(F.trim(c), F.lit("")) if c in new.columns else F.lit(None).cast("string")
+    new = new.select(*page, F.col("pos").cast("int").alias("pos"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\n+|\n+$", "").alias("text"), *[cell(c).alias(c) for c in layers])
+    pages = (new if pages is None else pages).select(*page).distinct()
+    old = lines.join(pages, page, "left_semi")
+    old = old.withColumn("pos", F.row_number().over(Window.partitionBy(*page).orderBy("block_num", "line_num", "id")))
+    was = old.select(*page, "pos", *[F.col(c).alias(f"_{c}") for c in ("text", *layers)], *([F.col("draft_flags").alias("_flags")] if "draft_flags" in lines.columns else []), F.lit(True).alias("_was"))
+    both = new.withColumn("_is", F.lit(True)).join(was, [*page, "pos"], "full")
+    entry = lambda mark, a, b: F.when(a != b, F.struct(F.concat(F.lit(mark), a).alias("old_value"), F.concat(F.lit(mark), b).alias("new_value")))
+    one_side = F.col("_is").isNull() | F.col("_was").isNull()
+    text = F.struct(blank("_text").alias("old_value"), blank("text").alias("new_value"))
+    changes = F.when(one_side, F.array(text)).otherwise(F.array_compact(F.array(entry("", blank("_text"), blank("text")), *[entry(m, blank(f"_{c}"), blank(c)) for c, m in LAYERS.items() if c in layers])))
+    log = both.select(*page, F.col("pos").alias("block_num"), F.explode(changes).alias("c")).select(*page, "block_num", "c.old_value", "c.new_value")
+    carried = old.filter(F.col("block_label").isNotNull() & ~F.col("block_label").isin(NOT_CARRIED)).groupBy(*page).agg(F.min_by("block_label", "id").alias("block_label"))
+    rows = both.filter("_is").join(carried, page, "left").withColumns({"block_num": F.col("pos"), "line_num": F.lit(1)})
+    if "draft_flags" in lines.columns:
+        kept = F.map_filter("_flags", lambda k, _: ~F.array_contains(F.array_compact(F.array(F.lit(""), *[F.when(blank(f"_{c}") != blank(c), F.lit(c)) for c in layers])), k))
+        rows = rows.withColumn("draft_flags", F.when(F.size(kept) > 0, kept))
+    top = lines.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    rows = numbered(rows, [*page, "pos"], "_n").join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_n")).cast(lines.schema["id"].dataType))  # one row by construction
+    rows = rows.select(*[c for c in lines.columns if c in rows.columns])
+    return lines.join(pages, page, "left_anti").unionByName(rows, allowMissingColumns=True), log
+
+
 def replace_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     """All rows of the pages that ``new`` has, replaced."""
     return old.join(new.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_anti").unionByName(new, allowMissingColumns=True)
@@ -135,8 +175,11 @@ def import_documents(have: DataFrame, come: DataFrame, force: bool = False) -> t
 
 
 def import_children(have: DataFrame, come: DataFrame, ids: DataFrame) -> DataFrame:
-    """Child rows of imported documents, with their new document ids."""
+    """Child rows of imported documents, with their new document ids; ids of their own go on from the largest, in their order."""
     moved = come.join(ids, F.col("doc_id") == F.col("old_id")).withColumn("doc_id", F.col("new_id")).drop("old_id", "new_id")
+    if "id" in come.columns and "id" in have.columns:
+        top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+        moved = numbered(moved, ["id"], "_n").join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_n")).cast(come.schema["id"].dataType)).drop("_n", "_top")  # one row by construction
     return have.unionByName(moved, allowMissingColumns=True)
 
 

@@ -13,8 +13,8 @@ CARD = "entity_source"
 KEYWORD_FIELDS = ("keywords", "keyword", "关键词", "关键字")
 KEYWORD_HEADING = r"(?i)(?:^|\n)\s*(?:关键词|关键字|關鍵詞|key\s*words?)\s*[:：]?\s*([^\n]+)"
 INDEX_HEADING = r"(?i)^\s*(?:索引|index)\s*$"
-#: Lines of an index that are page numbers only; where a term ends; what follows a term.
-NUMBERS_ONLY, TERM_END, AFTER_TERM = r"^[\d\s,，、.·…\-–—]+$", r"[.·…]{2,}|\s{2,}", r"\s*[\d,，、\-–—].*$"
+#: Signs between and after the page numbers of an index entry; dots that lead from a term to its numbers.
+BETWEEN_NUMBERS, LEADERS = ",，、-–—", ".·…"
 _SEED = ["doc_id", "surface", "page_num", "block_num", "source", "turn", "pos"]
 
 
@@ -49,9 +49,11 @@ def index_seeds(blocks: DataFrame) -> DataFrame:
     heading = blocks.filter(F.trim("index_text").rlike(INDEX_HEADING)).groupBy("doc_id").agg(F.min(F.struct("page_num", "block_num")).alias("_from"))
     after = blocks.join(heading, "doc_id").filter(F.struct("page_num", "block_num") > F.col("_from"))
     line = after.select("doc_id", "page_num", "block_num", F.posexplode(F.split("index_text", "\n")).alias("l", "raw")).withColumn("raw", F.trim("raw"))
-    line = line.filter((F.col("raw") != "") & ~F.col("raw").rlike(NUMBERS_ONLY))
-    head = F.regexp_replace(F.split("raw", TERM_END)[0], r"^[ .·…]+|[ .·…]+$", "")
-    term = F.trim(F.regexp_replace(head, AFTER_TERM, ""))
+    signs = "".join(f"\\{c}" for c in BETWEEN_NUMBERS)
+    line = line.filter(~F.col("raw").rlike(rf"^[\d\s{signs}{LEADERS}]*$"))  # what is left has more than numbers
+    gap = rf"[{LEADERS}]{{2}}|\s{{2}}"
+    head = F.btrim(F.regexp_extract("raw", rf"^(?:(?!{gap}).)*", 0), F.lit(f" {LEADERS}"))  # up to where the dots or a gap lead on
+    term = F.trim(F.regexp_extract(head, rf"^[^\d{signs}]*", 0))  # up to its first number
     t = line.withColumn("surface", term).filter(F.length("surface").between(2, 24))
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "block_num", "l"))
     return t.select("doc_id", "surface", "page_num", "block_num", F.lit("text:index").alias("source"), F.lit(2).alias("turn"), pos.alias("pos"))

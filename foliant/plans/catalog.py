@@ -204,10 +204,15 @@ def detect_language(spark, sf):
     return c.select("doc_id", text.detected_language(F.col("cjk"), F.col("latin")).alias("lang"))
 
 
-@query("SELECT doc_id, page_num, block_num, line_num, CASE WHEN length(trim(text)) = 1 THEN 'single_char' END AS suspect FROM lines")
+@query(r"""SELECT doc_id, page_num, block_num, line_num, CASE WHEN trim(t) <> '' THEN nullif(concat_ws(',', CASE WHEN length(trim(t)) = 1 THEN 'single_char' END, CASE WHEN length(regexp_replace(trim(t), '[^\pC]|[\n\t]', '', 'g')) / length(trim(t))::DOUBLE > 0.2 THEN 'weird_chars' END,
+  CASE WHEN block_label = 'text' AND w::DOUBLE / h < 0.45 AND h >= 0.25 * 600 THEN 'label_geom_mismatch' END), '') END AS suspect
+FROM (SELECT *, CASE WHEN id % 11 = 0 THEN substr(text, 1, 3) || repeat(chr(1), 3) ELSE text END AS t, (id // 10000) % 89 + 1 AS w, ((id // 10000) % 53) * 10 + 1 AS h FROM lines)""")
 def suspect_flags(spark, sf):
-    none = F.lit(None).cast("double")
-    return corpus.lines(spark, sf).select(*search.KEY, "line_num", text.suspect_flags(F.col("text"), F.col("block_label"), none, none, none).alias("suspect"))
+    """Lines of which some have control characters, with boxes that follow from their ids."""
+    l = corpus.lines(spark, sf).withColumn("text", F.when(F.col("id") % 11 == 0, F.concat(F.substring("text", 1, 3), F.lit("\x01" * 3))).otherwise(F.col("text")))
+    n = F.floor(F.col("id") / 10000)
+    flags = text.suspect_flags(F.col("text"), F.col("block_label"), (n % 89 + 1).cast("double"), (n % 53 * 10 + 1).cast("double"), F.lit(600.0))
+    return l.select(*search.KEY, "line_num", flags.alias("suspect"))
 
 
 @query("SELECT id, CASE WHEN id % 5 = 3 THEN 3 WHEN id % 5 = 4 THEN 4 ELSE 3 END AS tri_rows FROM docs")

@@ -77,7 +77,11 @@ def plain_text(lines: DataFrame) -> DataFrame:
 
 
 def raw_blocks(words: DataFrame) -> DataFrame:
-    """Extracted text blocks (bbox, text) of pages in order of top, then left edge, white space collapsed."""
+    """Extracted text blocks (bbox, text[, block_label, page_h]) of pages in order of top, then left edge, white space collapsed, with what is suspect about them."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    w = Window.partitionBy("doc_id", "page_num").orderBy(F.col("bbox")[1], F.col("bbox")[0])
-    return words.withColumn("text", text).filter("text <> ''").withColumn("block_num", F.row_number().over(w))
+    w = Window.partitionBy("doc_id", "page_num").orderBy(F.col("bbox")[1], F.col("bbox")[0], F.col("bbox")[3], F.col("bbox")[2], "text")
+    b = words.withColumn("text", text).filter("text <> ''").withColumn("block_num", F.row_number().over(w))
+    label = F.col("block_label") if "block_label" in words.columns else F.lit("text")
+    tall = F.col("page_h") if "page_h" in words.columns else F.lit(None).cast("double")
+    x0, y0, x1, y1 = (F.col("bbox")[i] for i in range(4))
+    return b.withColumn("suspect", suspect_flags(F.col("text"), label, x1 - x0, y1 - y0, tall))

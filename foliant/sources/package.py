@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.mutate import import_children, import_documents, manifest, package
+from foliant.sources.scratch import written
 
 _NAME = re.compile(r"^[^\s/\\.][^/\\]{0,63}$")
 
@@ -30,10 +31,20 @@ def read_package(spark: SparkSession, folder: str, names: list[str]) -> dict[str
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
-def merge_package(have: dict[str, DataFrame], come: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Both collections as one: documents that are there are skipped, the others' rows get their new ids."""
-    docs, ids = import_documents(have["documents"], come["documents"])
-    return {"documents": docs} | {n: import_children(t, come[n], ids) if n in come else t for n, t in have.items() if n != "documents"}
+def merge_package(have: dict[str, DataFrame], come: dict[str, DataFrame], force: bool = False) -> dict[str, DataFrame]:
+    """Both collections as one: documents that are there are skipped (with ``force`` they come in beside them), the others' rows get their new ids. Tables of one side alone are kept."""
+    docs, ids = import_documents(have["documents"], come["documents"], force)
+    ids = written(ids, "new-ids")
+    out = {"documents": docs}
+    for name in dict.fromkeys([*have, *come]):
+        if name != "documents":
+            t = have.get(name)
+            own = come.get(name)
+            if own is None or "doc_id" not in own.columns:
+                out[name] = t if t is not None else own
+            else:
+                out[name] = import_children(own.limit(0) if t is None else t, own, ids)
+    return out
 
 
 def attach_changeset(have: dict[str, DataFrame], come: dict[str, DataFrame]) -> DataFrame:

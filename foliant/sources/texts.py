@@ -39,6 +39,18 @@ def vocabulary(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.text(path).select(F.lit(kind).alias("kind"), F.trim("value").alias("term")).filter("term <> ''").distinct()
 
 
+def import_terms(have: DataFrame, new: DataFrame, kind: str, replace: bool = False) -> DataFrame:
+    """Terms (kind, term) with those of ``new`` (a column of texts, a term a line) added to a kind, or in place of its own; none twice, blank ones not at all.
+
+    Where ``new`` has no term the terms stay as they are, also with ``replace``.
+    """
+    come = new.select(F.explode(F.split(new.columns[0], r"\r\n|\n|\r")).alias("term")).select(F.lit(kind).alias("kind"), F.regexp_replace("term", r"(?U)^\s+|\s+$", "").alias("term")).filter("term <> ''")
+    old = have.select("kind", "term")
+    if replace and come.take(1):
+        old = old.filter(~F.col("kind").eqNullSafe(F.lit(kind)))
+    return old.union(come).distinct()
+
+
 def front_matter(fields: dict[str, Column]) -> Column:
     """Header of an exported file: a JSON value for each field that isn't null."""
     rows = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1))) for k, c in fields.items()]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Fixed values of the folder source.
 EXTENSIONS = ("pdf", "md", "txt", "docx", "epub", "png", "jpg", "jpeg")
@@ -44,42 +46,104 @@ def vanished(listing: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.filter(~F.coalesce("original_virtual", F.lit(False))).join(listing.select("collection", F.col("name").alias("filename")), ["collection", "filename"], "left_anti")
 
 
-def watch(listings: DataFrame) -> DataFrame:
-    """Streaming: a file is given out once for each modification time, at the first look that finds it unwritten for long enough."""
+class _Watched(StatefulProcessor):
+    """A file's last change, and whether it was given out; a timer stands at the time when it has been left alone for long enough."""
+
+    def __init__(self, seconds: int, forget_after: int) -> None:
+        self.seconds, self.forget_after = seconds, forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.file = handle.getValueState("file", "mtime timestamp, size long, given boolean", self.forget_after * 1000)
+
+    def _rows(self, key, mtime, size) -> pd.DataFrame:
+        return pd.DataFrame({"collection": [key[0]], "name": [key[1]], "mtime": [mtime], "size": [size]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = pd.concat(list(rows)).sort_values(["seen_at", "mtime"]).iloc[-1]
+        had = self.file.get() if self.file.exists() else None
+        if had is not None and (had[0], had[1]) == (last["mtime"], last["size"]):
+            return
+        for at in list(self.handle.listTimers()):  # it is written to again: the wait begins anew
+            self.handle.deleteTimer(at)
+        ripe = int(last["mtime"].timestamp() * 1000) + self.seconds * 1000
+        now = ripe <= timerValues.getCurrentProcessingTimeInMs()
+        self.file.update((last["mtime"].to_pydatetime(), int(last["size"]), now))
+        if now:
+            yield self._rows(key, last["mtime"], int(last["size"]))
+        else:
+            self.handle.registerTimer(ripe)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        had = self.file.get() if self.file.exists() else None
+        if had is not None and not had[2]:
+            self.file.update((had[0], had[1], True))
+            yield self._rows(key, had[0], had[1])
+
+    def close(self) -> None:
+        pass
+
+
+#: Seconds after which the state of a key that nothing came for is dropped.
+FORGET_SECONDS = 90 * 24 * 3600
+
 
-    def step(key, parts, state: GroupState):
-        given = state.get[0] if state.exists else None
-        out = []
-        for pdf in parts:
-            for r in pdf.sort_values("seen_at").itertuples():
-                stamp = r.mtime.isoformat()
-                if stamp != given and (r.seen_at - r.mtime).total_seconds() >= STABLE_SECONDS:
-                    given = stamp
-                    out.append((key[0], key[1], r.mtime))
-        if given is not None:
-            state.update((given,))
-        yield pd.DataFrame(out, columns=["collection", "name", "mtime"])
+def _timed(spark: SparkSession) -> None:
+    """Timers and expiry need the state store that keeps keys on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    good = listings.filter(wanted(F.col("name")))
-    return good.groupBy("collection", "name").applyInPandasWithState(step, "collection string, name string, mtime timestamp", "given string", "append", GroupStateTimeout.NoTimeout)
 
+def watch(listings: DataFrame, seconds: int = STABLE_SECONDS, forget_after: int = FORGET_SECONDS) -> DataFrame:
+    """Streaming: a file is given out once for each change of it, when it has been left alone for ``seconds``.
 
-def ocr_queue(requests: DataFrame) -> DataFrame:
-    """Streaming (doc_id, page_num, outcome): state of each page's recognition; errors are tried three times."""
+    A file that is listed once comes out by itself when its time has come: a listing
+    need not repeat it. One that changes while it waits begins its wait anew. A file that failed
+    afterwards is given out again when it has changed, and not before.
+    """
+    _timed(listings.sparkSession)
+    good = listings.filter(wanted(F.col("name"))).select("collection", "name", "size", "mtime", "seen_at")
+    shape = "collection string, name string, mtime timestamp, size long"
+    return good.groupBy("collection", "name").transformWithStateInPandas(_Watched(seconds, forget_after), shape, "append", "ProcessingTime")
 
-    def step(key, parts, state: GroupState):
-        tries, status = tuple(state.get) if state.exists else (0, "queued")
-        for pdf in parts:
+
+def judged(files: DataFrame, docs: DataFrame, failed: DataFrame) -> DataFrame:
+    """Streaming (or not): files given out as new, duplicate or failed, by the documents and failures as they stand when a batch runs."""
+    known = docs.select("collection", F.col("filename").alias("name"), F.lit(True).alias("known")).distinct()
+    bad = failed.groupBy("collection", "name").agg(F.max("mtime").alias("bad_mtime"))
+    x = files.join(known, ["collection", "name"], "left").join(bad, ["collection", "name"], "left")
+    verdict = F.when(F.col("known"), "duplicate").when(F.col("bad_mtime").eqNullSafe(F.col("mtime")), "failed").otherwise("new")
+    return x.select("collection", "name", "mtime", verdict.alias("verdict"))
+
+
+class _Tried(StatefulProcessor):
+    """Tries of a page's recognition; ``changed`` begins anew."""
+
+    def __init__(self, forget_after: int) -> None:
+        self.forget_after = forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.page = handle.getValueState("page", "tries int, status string", self.forget_after * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tries, status = self.page.get() if self.page.exists() else (0, "queued")
+        for pdf in rows:
             for outcome in pdf["outcome"]:
-                if status == "done" or tries >= MOST_TRIES:
-                    break
-                if outcome in ("done", "error"):
-                    tries += 1
-                    status = "done" if outcome == "done" else "error"
-        state.update((tries, status))
+                if outcome == "changed":
+                    tries, status = 0, "queued"
+                elif outcome in ("done", "error") and status != "done" and tries < MOST_TRIES:
+                    tries, status = tries + 1, outcome
+        self.page.update((tries, status))
         yield pd.DataFrame({"doc_id": [key[0]], "page_num": [key[1]], "status": [status], "tries": [tries]})
 
-    return requests.groupBy("doc_id", "page_num").applyInPandasWithState(step, "doc_id long, page_num int, status string, tries int", "tries int, status string", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def ocr_queue(requests: DataFrame, forget_after: int = FORGET_SECONDS) -> DataFrame:
+    """Streaming (doc_id, page_num, outcome): state of each page's recognition; errors are tried three times, until the page has changed; old pages are forgotten."""
+    _timed(requests.sparkSession)
+    shape = "doc_id long, page_num int, status string, tries int"
+    return requests.groupBy("doc_id", "page_num").transformWithStateInPandas(_Tried(forget_after), shape, "update", "ProcessingTime")
 
 
 def pages_to_do(pages: DataFrame, states: DataFrame, resume: bool = True) -> DataFrame:
