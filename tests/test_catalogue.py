@@ -2,7 +2,7 @@
 
 import pytest
 
-from foliant.plans import reading_catalog, registry, text_catalog, upkeep_catalog  # noqa: F401  the catalogues register their queries
+from foliant.plans import reading_catalog, registry, shelf_catalog, text_catalog, upkeep_catalog  # noqa: F401  the catalogues register their queries
 from tests.conftest import SF, same_rows
 
 
