@@ -41,9 +41,12 @@ class Segmenter:
     """Cuts runs; as a function it is the ``cut`` of a search planner."""
 
     def __init__(self, words: Iterable[tuple[str, int]]) -> None:
-        self.freq = {w: max(1, int(n)) for w, n in words}
-        self.total = math.log(sum(self.freq.values()) or 1)
-        self.starts = {w[:i] for w in self.freq for i in range(1, len(w))}
+        freq = {w: max(1, int(n)) for w, n in words}
+        total = math.log(sum(freq.values()) or 1)
+        #: Logarithm of each word's share, and that of a character that is no word.
+        self.weight, self.unknown = {w: math.log(n) - total for w, n in freq.items()}, -total
+        #: Starts of words that go on.
+        self.starts = {w[:i] for w in freq for i in range(1, len(w))}
         self._kept: dict[str, list[str]] = {}
 
     @classmethod
@@ -56,22 +59,24 @@ class Segmenter:
 
     def words(self, run: str) -> list[str]:
         """The cut: words end to end are the run."""
-        n = len(run)
-        best: list[tuple[float, int]] = [(0.0, 0)] * n + [(0.0, n)]
+        n, weight, starts, unknown = len(run), self.weight.get, self.starts, self.unknown
+        score, to = [0.0] * (n + 1), [n] * (n + 1)
         for i in range(n - 1, -1, -1):
-            found = None
-            for end in range(i + 1, n + 1):
+            piece = run[i]
+            own = weight(piece)
+            best, at = (unknown if own is None else own) + score[i + 1], i + 1
+            end = i + 1
+            while piece in starts and end < n:
+                end += 1
                 piece = run[i:end]
-                if piece in self.freq or end == i + 1:
-                    way = (math.log(self.freq.get(piece, 1)) - self.total + best[end][0], end)
-                    found = way if found is None or way > found else found
-                if piece not in self.starts:
-                    break
-            best[i] = found
+                own = weight(piece)
+                if own is not None and own + score[end] >= best:  # of equal ways the longer word
+                    best, at = own + score[end], end
+            score[i], to[i] = best, at
         out, i = [], 0
         while i < n:
-            out.append(run[i : best[i][1]])
-            i = best[i][1]
+            out.append(run[i : to[i]])
+            i = to[i]
         return out
 
     def __call__(self, run: str) -> list[str]:
@@ -83,7 +88,7 @@ class Segmenter:
         return self._kept[run]
 
     def _inside(self, word: str, size: int) -> list[str]:
-        return [p for i in range(len(word) - size + 1) if (p := word[i : i + size]) in self.freq] if len(word) > size else []
+        return [p for i in range(len(word) - size + 1) if (p := word[i : i + size]) in self.weight] if len(word) > size else []
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_kept": {}}

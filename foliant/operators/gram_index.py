@@ -175,7 +175,7 @@ class GramIndex:
     segments: list[dict]
     marks: list[str] = field(default_factory=list)
     _kept: dict = field(default_factory=dict, repr=False)
-    #: Of the last call of ``best``: runs that were read, and runs with any candidate.
+    #: Of the last call of ``best``: runs that were read, and runs that can hold the query at most.
     runs_read: int = 0
     runs_there: int = 0
 
@@ -248,9 +248,14 @@ class GramIndex:
 
     def counts(self, grams: Iterable[str]) -> dict[str, int]:
         """Blocks that hold each gram, marked ones among them; looked up once a version."""
+        return {g: n for g, (n, _) in self._looked_up(grams).items()}
+
+    def _looked_up(self, grams: Iterable[str]) -> dict[str, tuple[int, int]]:
+        """Blocks and runs that hold each gram."""
         known = self._kept.setdefault("counts", {})
         if new := sorted(set(grams) - known.keys()):
-            known |= dict.fromkeys(new, 0) | {r.gram: r.n for r in self.postings(new).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+            found = self.postings(new).groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("runs")).collect()
+            known |= dict.fromkeys(new, (0, 0)) | {r.gram: (r.n, r.runs) for r in found}
         return {g: known[g] for g in grams}
 
     def _places(self, wanted: list[list[Want]], runs: DataFrame | None = None) -> DataFrame:
@@ -290,37 +295,48 @@ class GramIndex:
         """Whether grams alone tell what matches."""
         return not any(isinstance(p, Pattern) or len(p.lower()) != 3 for p in plan.scored)
 
-    def best(self, plan: SearchPlan, k: int, filters=None, first: int = 16) -> DataFrame:
+    def best(self, plan: SearchPlan, k: int, filters=None, first: int = 64) -> DataFrame:
         """KEY of the k best blocks in order, with their place ``nth``: the first rows of ``hits`` by rank and key.
 
-        Runs are read from the highest bound of their scores down, until the k-th score
-        is above all bounds that are left. Where the frequency of a phrase isn't known
-        before texts are read (several phrases, of which one isn't a gram), or no phrase is
-        scored, all hits are ranked. ``filters`` maps blocks to those that may be found.
+        Runs are read from the highest bound of their scores down, ``first`` of them and
+        then twice as many each time, until the k-th score is above all bounds that are
+        left. Where no more than ``first`` runs hold the query, these are read without
+        bounds. Where the frequency of a phrase isn't known before texts are read (several
+        phrases, of which one isn't a gram), or no phrase is scored, all hits are ranked.
+        ``filters`` maps blocks to those that may be found.
         """
         filters = filters or (lambda x: x)
         by = [F.asc("rank"), *search.KEY]
         numbered = lambda rows: self.spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "doc_id long, page_num int, block_num int, nth int")
         self.runs_read = self.runs_there = 0
         known = len(plan.scored) == 1 or self._plain(plan) and not self.marks
-        if plan.empty or not plan.scored or not known or not all(w.places for g in wants(plan) for w in g):
+        wanted, scored = wants(plan), wants(plan, phrases_only=True)
+        if plan.empty or not plan.scored or not known or not all(w.places for g in wanted for w in g):
             rows = filters(self.hits(plan)).orderBy(*by).limit(k).select(*search.KEY).collect()
             return numbered([tuple(r) for r in rows])
         n, length = self.totals()
         if not n:
             return numbered([])
         average = length / n
-        own = {p: self.counts(w.grams())[p.lower()] if self._plain(plan) else 0 for p, w in zip(plan.scored, [w for g in wants(plan, phrases_only=True) for w in g])}
-        weights = {p: 1.0 if len(plan.scored) == 1 else search.idf(n, own[p]) for p in plan.scored}
-        wanted = wants(plan)
-        rows = self.postings(g for group in wanted for w in group for g in w.grams())
-        rows = rows.groupBy("segment", "part", "run").agg(F.collect_list(F.struct("gram", "most", "least")).alias("entries"))
+        # One phrase alone: its frequency changes no order.
+        weights = {w.phrase: 1.0 if len(plan.scored) == 1 else search.idf(n, self.counts(w.grams())[w.phrase.lower()]) for g in scored for w in g}
+
+        def ranked(runs: DataFrame | None) -> list[tuple]:
+            found = self._candidates(wanted, runs)
+            found = found if self._plain(plan) else found.filter(search.matches(plan))
+            score = search._sum([weights[p] * search.term_score(p, average) for p in plan.scored])
+            return [tuple(r) for r in filters(found.withColumn("rank", -score)).orderBy(*by).limit(k).select("rank", *search.KEY).collect()]
+
+        looked_up = self._looked_up({g for group in wanted for w in group for g in w.grams()})
+        self.runs_there = self.runs_read = min(sum(min(sum(looked_up[g][1] for g in p) for p in w.places) for w in group) for group in wanted)
+        if self.runs_there <= first:
+            return numbered([r[1:] for r in ranked(None)])
+        rows = self.postings(looked_up).groupBy("segment", "part", "run").agg(F.collect_list(F.struct("gram", "most", "least")).alias("entries"))
         possible = search._all([search._any([w.present() for w in group]) for group in wanted])
-        bound = search._sum([weights[w.phrase] * w.bound(average) for group in wants(plan, phrases_only=True) for w in group])
+        bound = search._sum([weights[w.phrase] * w.bound(average) for group in scored for w in group])
         bounds = written(rows.filter(possible).select("segment", "part", "run", bound.alias("bound")), "run-bounds")
-        self.runs_there = bounds.count()
         best: list[tuple] = []  # (-score, key), ascending
-        width, after = first, None
+        width, after, self.runs_read = first, None, 0
         while True:
             turn = bounds if after is None else bounds.filter((F.col("bound") < after[0]) | (F.col("bound") == after[0]) & (F.struct("segment", "part", "run") > F.struct(*map(F.lit, after[1:]))))
             runs = turn.orderBy(F.desc("bound"), "segment", "part", "run").limit(width).collect()
@@ -331,11 +347,7 @@ class GramIndex:
             self.runs_read += len(runs)
             after = (runs[-1].bound, runs[-1].segment, runs[-1].part, runs[-1].run)
             these = self.spark.createDataFrame([(r.segment, r.part, r.run) for r in runs], "segment string, part int, run int")
-            found = self._candidates(wanted, these)
-            found = found if self._plain(plan) else found.filter(search.matches(plan))
-            score = search._sum([weights[p] * search.term_score(p, average) for p in plan.scored])
-            top = filters(found.withColumn("rank", -score)).orderBy(*by).limit(k).select("rank", *search.KEY).collect()
-            best = sorted(best + [tuple(r) for r in top])[:k]
+            best = sorted(best + ranked(these))[:k]
             width *= 2
         return numbered([b[1:] for b in best])
 

@@ -228,7 +228,7 @@ def collation_normalise(spark, sf):
 # --- entities ------------------------------------------------------------------------
 
 #: Entities of the tables: words of the documents, numbered in their order; a name cut short and one with a capital are aliases of the longer ones.
-SHORTEST, LONGEST, LEAST_DOCS = 7, 12, 10
+SHORTEST, LONGEST, LEAST_DOCS = 9, 12, 10
 _NAMES_SQL = f"""wd AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents),
 wc AS (SELECT w FROM wd WHERE length(w) BETWEEN {SHORTEST} AND {LONGEST} GROUP BY w HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
 ent AS (SELECT row_number() OVER (ORDER BY w) AS id, w AS canonical, CASE WHEN length(w) > {SHORTEST} THEN [left(w, length(w)::INT - 1), upper(left(w, 1)) || substr(w, 2)] ELSE [] END AS aliases FROM wc)"""
