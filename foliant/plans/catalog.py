@@ -499,10 +499,11 @@ SQL |= {
 }
 
 
-@query(", c AS (SELECT id, cite_key, filename FROM docs WHERE id % 4 = 0), h AS (SELECT * FROM docs WHERE id % 2 = 0 AND id % 8 <> 0), n AS (SELECT c.*, row_number() OVER (ORDER BY id) AS rn FROM c WHERE cite_key NOT IN (SELECT cite_key FROM h)) SELECT id, cite_key FROM h UNION ALL SELECT (SELECT max(id) FROM h) + rn, cite_key FROM n")
+@query(", h AS (SELECT * FROM docs WHERE lang = 'en'), n AS (SELECT docs.*, row_number() OVER (ORDER BY id) AS rn FROM docs WHERE cite_key NOT IN (SELECT cite_key FROM h)) SELECT id, cite_key FROM h UNION ALL SELECT (SELECT max(id) FROM h) + rn, cite_key FROM n")
 def import_merge(spark, sf):
-    d = corpus.documents(spark, sf).select("id", "cite_key", "filename")
-    return mutate.import_documents(d.filter("id % 2 = 0 AND id % 8 <> 0"), d.filter("id % 4 = 0"))[0].select("id", "cite_key")
+    """All documents come to a shelf that has the English ones."""
+    d = corpus.documents(spark, sf)
+    return mutate.import_documents(d.filter("lang = 'en'").select("id", "cite_key", "filename"), d.select("id", "cite_key", "filename"))[0].select("id", "cite_key")
 
 
 @query("SELECT doc_id, page_num, block_num, '[t] ' || index_text AS old_value, '[t] ' || replace(index_text, 'tion', 'sion') AS new_value FROM blocks WHERE contains(index_text, 'tion')")

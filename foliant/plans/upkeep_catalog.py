@@ -48,21 +48,21 @@ def _responses(spark, sf):
     block = lambda label, content: F.struct(F.lit(label).alias("block_label"), content.alias("block_content"), F.array(*[F.lit(float(x)) for x in (0, 0, 100, 20)]).alias("block_bbox"))
     page = F.struct(
         F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"),
-        F.array(block("header", F.col("source")), block("text", F.substring("text", 1, 40)), block("text", F.lit("  ")), block("table", F.to_json(F.struct(F.col("source").alias("html")))), block("text", F.coalesce("lang", F.lit("")))).alias("parsing_res_list"),
+        F.array(block("header", F.col("source")), block("text", F.col("text")), block("text", F.lit("  ")), block("table", F.to_json(F.struct(F.col("source").alias("html")))), block("text", F.coalesce("lang", F.lit("")))).alias("parsing_res_list"),
     )
     shapes = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array(page))).when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.struct(F.array(page).alias("pages")).alias("result")))).otherwise(F.to_json(F.struct(F.array(F.struct(page.alias("prunedResult"))).alias("layoutParsingResults"))))
     return d.select("doc_id", shapes.alias("response"))
 
 
-@query(f"""WITH {_D}, b AS (SELECT doc_id, unnest([trim(substr(text, 1, 40)), source, coalesce(lang, '')]) AS text, unnest([1, 2, 3]) AS i, unnest(['text', 'table', 'text']) AS block_label FROM d)
+@query(f"""WITH {_D}, b AS (SELECT doc_id, unnest([trim(text), source, coalesce(lang, '')]) AS text, unnest([1, 2, 3]) AS i, unnest(['text', 'table', 'text']) AS block_label FROM d)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT AS block_num, text, block_label FROM b WHERE trim(text) <> ''""", model=False)
 def recognised_lines(spark, sf):
     return ocr.lines(ocr.pages(_responses(spark, sf))).select("doc_id", "block_num", "text", "block_label")
 
 
-@query(f"""WITH {_D} SELECT doc_id, 0 AS pos, 'title' AS block_label, source AS text FROM d UNION ALL SELECT doc_id, 1, 'text', trim(substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 30)) FROM d""", model=False)
+@query(f"""WITH {_D} SELECT doc_id, 0 AS pos, 'title' AS block_label, source AS text FROM d UNION ALL SELECT doc_id, 1, 'text', trim(regexp_replace(text, '[^a-z ]', '', 'g')) FROM d""", model=False)
 def grounding_blocks(spark, sf):
-    body = F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 30)
+    body = F.regexp_replace("text", "[^a-z ]", "")
     markup = F.concat(F.lit("![title+](1, 2, 3, 4) ## **"), "source", F.lit("**\n![](10,20,30.5,40) "), body)
     return ocr.grounding(_documents(spark, sf).select("doc_id", markup.alias("markup"))).select("doc_id", "pos", "block_label", "text")
 
@@ -193,10 +193,10 @@ def source_flags(spark, sf):
     return d.select("id", F.inline(F.array(text.source_flags(raw))))
 
 
-@query(f"""WITH {_D} SELECT doc_id, nullif({TRIM.format("' ' || substr(text, 1, doc_id::INT % 5)")}, '') AS field, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM d""", model=False)
+@query(f"""WITH {_D} SELECT doc_id, nullif({TRIM.format("' ' || text")}, '') AS field, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM d""", model=False)
 def clean_fields(spark, sf):
     raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("source"))).otherwise(F.concat(F.lit("["), "source"))
-    return _documents(spark, sf).select("doc_id", text.clean_field(F.concat(F.lit(" "), F.expr("substring(text, 1, cast(doc_id % 5 as int))"))).alias("field"), text.json_fields(raw)["source"].alias("source"))
+    return _documents(spark, sf).select("doc_id", text.clean_field(F.concat(F.lit(" "), "text")).alias("field"), text.json_fields(raw)["source"].alias("source"))
 
 
 @query("SELECT doc_id, page_num, block_num, string_agg(trim(text), ' ' ORDER BY line_num) AS merged FROM lines GROUP BY ALL")
@@ -300,7 +300,7 @@ def misses_resolved(spark, sf):
     return curation.resolve_items(m, c).select("id", "resolved", "note")
 
 
-@query("""WITH e AS (SELECT s_suppkey AS id, s_name AS canonical FROM supplier), c AS (SELECT o_orderkey AS miss, 'q' || o_orderkey AS q, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 40)::VARCHAR WHEN 1 THEN 'Supplier#' || lpad((o_orderkey % 20)::VARCHAR, 9, '0') ELSE 'new ' || (o_orderkey % 4) END AS want FROM orders WHERE o_orderkey % 50 < 3),
+@query("""WITH e AS (SELECT s_suppkey AS id, s_name AS canonical FROM supplier), c AS (SELECT o_orderkey AS miss, 'q' || o_orderkey AS q, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 40)::VARCHAR WHEN 1 THEN 'Supplier#' || lpad((o_orderkey % 20)::VARCHAR, 9, '0') ELSE 'new ' || (o_orderkey % 4) END AS want FROM orders),
 m AS (SELECT c.*, coalesce(e1.id, e2.id) AS known FROM c LEFT JOIN e e1 ON e1.id = try_cast(c.want AS BIGINT) LEFT JOIN e e2 ON e2.canonical = c.want),
 n AS (SELECT want, row_number() OVER (ORDER BY want) + (SELECT max(id) FROM e) AS id FROM (SELECT DISTINCT want FROM m WHERE known IS NULL)),
 r AS (SELECT m.*, coalesce(known, n.id) AS eid FROM m LEFT JOIN n ON n.want = m.want),
@@ -309,7 +309,7 @@ SELECT a.id, a.canonical, array_to_string(aliases || coalesce((SELECT list(DISTI
 def miss_aliases(spark, sf):
     m = _misses(spark, sf)
     want = F.when(F.col("id") % 3 == 0, (F.col("id") % 40).cast("string")).when(F.col("id") % 3 == 1, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 20).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("new "), F.col("id") % 4))
-    e, _, _ = curation.miss_to_alias(_people(spark, sf), m, m.filter("id % 50 < 3").select("id", want.alias("entity")))
+    e, _, _ = curation.miss_to_alias(_people(spark, sf), m, m.select("id", want.alias("entity")))
     return e.select("id", "canonical", F.array_join("aliases", "|").alias("aliases"))
 
 
