@@ -119,7 +119,7 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _dealt(df: DataFrame, *key: str) -> DataFrame:
+def dealt(df: DataFrame, *key: str) -> DataFrame:
     """Rows for costly functions dealt evenly to all tasks: their number follows the cluster's and not the size of the texts."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
@@ -159,7 +159,7 @@ def alignments(pairs: DataFrame) -> DataFrame:
                     yield columns(ids[k], a[k], b[k], i, j)
                 lo = hi
 
-    return _dealt(p, "id").mapInArrow(run, "id long, col int, ca string, cb string, i int, j int")
+    return dealt(p, "id").mapInArrow(run, "id long, col int, ca string, cb string, i int, j int")
 
 
 def agreement(columns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def page_anchors(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["transcript_id", "page_num", "pos", "hits"])
 
-    return _dealt(both, "transcript_id").mapInArrow(run, "transcript_id long, page_num int, pos int, hits long")
+    return dealt(both, "transcript_id").mapInArrow(run, "transcript_id long, page_num int, pos int, hits long")
 
 
 def longest_rise(pos: list[int]) -> list[int]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import variants
 from foliant.functions.segment import Segmenter
+from foliant.operators.collate import dealt
 from foliant.plans.catalog import _MATCH_SQL
 from foliant.plans.registry import query
 from foliant.plans.search_plan import Planner
@@ -69,5 +70,6 @@ def segmented_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose words stand without spaces, cut by a dictionary of the corpus: parts as they are indexed, and a digest of them."""
     planner = Planner(cut=Segmenter.of(dictionary(spark, sf)))
     run = written_as(F.regexp_replace(F.coalesce("text", F.lit("")), " +", ""), SAID)
-    d = table(spark, sf, "documents").select("doc_id", planner.index_text(run).alias("t"))
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    d = d.select("doc_id", planner.index_text(run).alias("t"))
     return d.select("doc_id", F.size(F.split("t", " ")).cast("long").alias("parts"), F.sha2("t", 256).alias("digest"))
