@@ -37,8 +37,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_table(spark, sf_dir, "documents"), read_pieces(VOCABULARY))
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), read_pieces(vocabulary))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
