@@ -57,8 +57,7 @@ def test_index_finds_what_a_scan_finds(index, blocks, name):
     assert rows(index.hits(plan), ranked) == rows(search.with_rank(blocks, plan), ranked)
 
 
-@pytest.mark.parametrize("name", [n for n in PLANS if PLANS[n].scored])
-@pytest.mark.parametrize("k", [3, 1000])
+@pytest.mark.parametrize(("name", "k"), [*((n, 3) for n in PLANS if PLANS[n].scored), ("two", 1000), ("longer", 1000)])
 def test_best_are_the_first_of_all(index, blocks, name, k):
     plan = PLANS[name]
     some = lambda b: b.filter("block_label = 'text'")
