@@ -16,7 +16,7 @@ from foliant.llm.components import components
 from foliant.llm.decontaminate import best_fit, clean, contaminated, normal
 from foliant.llm.difference_cover import COVER, PERIOD, TRIPLE, remove_repeats_by_cover
 from foliant.llm.langid import family_of, fit, identify
-from foliant.llm.license_scan import evaluate, license_scan, parse, tokens
+from foliant.llm.license_scan import BASE, EXCEPTIONS, NOTICES, OPEN, TAGS, base_name, evaluate, is_license, license_scan, parse, tokens
 from foliant.llm.line_dedup import drop_repeated_lines, line_digest
 from foliant.llm.minhash_dedup import near_duplicates
 from foliant.llm.mixing import mix_sources
@@ -603,6 +603,71 @@ def test_license_many_tags_on_one_line_are_read_once(spark):
     assert time.monotonic() - start < 60
 
 
+def plain_expression(toks):
+    """Names and value of the longest start that is an expression, by recursive descent over every start."""
+
+    def atom(i, n):
+        if i < n and toks[i] == "(":
+            got = level(i + 1, n, "or")
+            return (got[0] + 1, *got[1:]) if got and got[0] < n and toks[got[0]] == ")" else None
+        if i < n and is_license(toks[i]):
+            return i + 1, {toks[i]}, 1.0 if base_name(toks[i]) in OPEN else 0.5
+        return None
+
+    def level(i, n, op):
+        below = {"or": "and", "and": "with"}.get(op)
+        left = atom(i, n) if below is None else level(i, n, below)
+        while left and left[0] < n and toks[left[0]] == op:
+            j = left[0] + 1
+            if op == "with":
+                right = (j + 1, {toks[j]}, left[2]) if j < n and base_name(toks[j]) in EXCEPTIONS else None
+            else:
+                right = level(j, n, below)
+            if right is None:
+                return None
+            value = {"or": max, "and": min, "with": lambda x, _: x}[op](left[2], right[2])
+            left = right[0], left[1] | right[1], value
+        return left
+
+    for n in range(len(toks), 0, -1):
+        got = level(0, n, "or")
+        if got and got[0] == n:
+            return got[1:]
+    return set(), 0.0
+
+
+def plain_license(text):
+    """Labels and score, phrase by phrase and tag by tag."""
+    text = text or ""
+    lower = "".join(c.lower() if c.isascii() else c for c in text)
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
+    stands = lambda p: any(words[i : i + len(p)] == p for i in range(len(words)))
+    labels = {v for k, v in (BASE | NOTICES).items() if stands(k.split())}
+    score, values = 0.5 if labels else 0.0, []
+    for tag in TAGS:
+        at = lower.find(tag)
+        while at >= 0:
+            rest, found = lower[at + len(tag) :].split("\n")[0], []
+            while m := re.match(r"[ \t]*([()]|[a-z0-9][a-z0-9.+\-]*)", rest):
+                found.append(m[1])
+                rest = rest[m.end() :]
+            names, value = plain_expression(found)
+            labels |= names
+            values += [value] if names else []
+            at = lower.find(tag, at + 1)
+    return ",".join(sorted(labels)), max(values) if values else score
+
+
+def test_license_labels_equal_brute_force(spark, corpus):
+    r = random.Random(6)
+    pieces = ["mit", "GPL-3.0-only", "apache-2.0", "LicenseRef-x", "sspl-1.0", "or", "AND", "with", "classpath-exception-2.0", "(", ")", "word", ",", "\t", "bsd-3-clause", "cc0-1.0"]
+    made = ["SPDX-License-Identifier: " + " ".join(r.choice(pieces) for _ in range(r.randint(0, 9))) + r.choice(["", "\nlicense-identifier: mit or sspl", " licence-identifier: zlib and json\n and gpl", ". The MIT license"]) for _ in range(600)]
+    made += [f"{a} {b}, {c}!" for a in ("CC-BY", "cc  by", "ccby") for b in ("Public Domain", "public\ndomains") for c in ("all rights reserved", "All-Rights/reserved")]
+    rows = list(enumerate(made + [x.text for x in corpus.collect()] + [None, "", LONG]))
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan(docs(spark, rows)).collect()}
+    assert {i: plain_license(t) for i, t in rows} == got and len({v for v, _ in got.values()}) > 40
+
+
 def test_license_awkward(awkward, empty):
     assert license_scan(awkward).count() == 10 and license_scan(empty).count() == 0
 
