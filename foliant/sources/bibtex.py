@@ -169,11 +169,16 @@ def title_slug(title: Column, pinyin: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.nullif(F.when(t.rlike("[一-鿿]"), slug(F.substring(t, 1, 3), pinyin)).otherwise(word), F.lit("")), F.lit("untitled"))
 
 
+def cite_key_stem(author: Column, year: Column, date: Column, title: Column, pinyin: dict[str, str] | None = None) -> Column:
+    """Surname, year and title word: a key without its volume."""
+    y = F.coalesce(F.nullif(F.trim(year), F.lit("")), F.regexp_extract(F.coalesce(date, F.lit("")), r"(\d{4})", 1))
+    return F.concat(surname(author, pinyin), y, title_slug(title, pinyin))
+
+
 def cite_key_base(author: Column, year: Column, date: Column, title: Column, volume: Column, number: Column, pinyin: dict[str, str] | None = None) -> Column:
     """Surname, year and title word, and the volume after a dash."""
-    y = F.coalesce(F.nullif(F.trim(year), F.lit("")), F.regexp_extract(F.coalesce(date, F.lit("")), r"(\d{4})", 1))
     v = volume_token(volume, number, title)
-    return F.concat(surname(author, pinyin), y, title_slug(title, pinyin), F.when(v != "", F.concat(F.lit("-"), v)).otherwise(""))
+    return F.concat(cite_key_stem(author, year, date, title, pinyin), F.when(v != "", F.concat(F.lit("-"), v)).otherwise(""))
 
 
 def _family(key: Column) -> Column:
