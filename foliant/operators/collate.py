@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import is_page_number, normalise
+from foliant.functions.text import PAGENO_CHARS, normalise
 
 #: Fixed values of the method.
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.5
@@ -19,6 +22,8 @@ LEAST_AGREEMENT, CLUSTER_GAP, ANCHOR, LOW_CONFIDENCE = 0.60, 3, 8, 0.5
 
 #: Cells of the score tables that a task holds at once; rows that are kept of a pair with more, a level.
 CELLS, BANDS = 1 << 23, 16
+#: Diagonals beside those of the corners in a pair's first band, and characters of texts that are compared at once.
+FIRST_BAND, CHARS_AT_ONCE = 8, 1 << 22
 
 
 def align_many(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -51,6 +56,11 @@ def align_many(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarra
         j[k] -= ~up
         steps.append((k, np.where(left, -1, p - 1), np.where(up, -1, q - 1)))
         k = k[(i[k] > 0) | (j[k] > 0)]
+    return _ways(steps, count)
+
+
+def _ways(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]], count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Steps back of all pairs at once -> each pair's way from its start."""
     if not steps:
         return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * count
     own, ai, bj = (np.concatenate(s)[::-1] for s in zip(*steps))
@@ -59,6 +69,103 @@ def align_many(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarra
     return [(ai[order[lo:hi]], bj[order[lo:hi]]) for lo, hi in zip(cut[:-1], cut[1:])]
 
 
+def align_band(a: list[np.ndarray], b: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Scores and alignments of pairs by ways on the diagonals (place in b less place in a) from ``low`` to ``high``, on which each pair begins and ends."""
+    n, m = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    rows, width, count, gap = int(n.max()), high - low + 1, len(a), np.float32(GAP)
+    x, y = np.full((count, rows), -1, np.int64), np.full((count, max(rows, int(m.max())) + width), -2, np.int64)
+    for k in range(count):
+        x[k, : n[k]], y[k, -low : m[k] - low] = a[k], b[k]
+    right = np.arange(width, dtype=np.float32) * gap
+    score = np.full((rows + 1, count, width), -np.inf, np.float32)
+    score[0, :, -low:] = right[: width + low]
+    for i in range(rows):
+        new = score[i] + np.where(x[:, i, None] == y[:, i : i + width], np.float32(MATCH), np.float32(MISMATCH))
+        new[:, :-1] = np.maximum(new[:, :-1], score[i, :, 1:] + gap)
+        score[i + 1] = np.maximum.accumulate(new - right, 1) + right
+    i, q, k = n.copy(), m - n - low, np.flatnonzero((n > 0) | (m > 0))
+    found, steps = score[n, np.arange(count), q], []
+    while len(k):
+        p, c = i[k], q[k]
+        j, here = p + low + c, score[p, k, c]
+        left = (j > 0) & (c > 0) & (here == score[p, k, np.maximum(c - 1, 0)] + gap)
+        up = ~left & (p > 0) & (c + 1 < width) & (here == score[np.maximum(p - 1, 0), k, np.minimum(c + 1, width - 1)] + gap)
+        i[k] -= ~left
+        q[k] += up.astype(np.int64) - left
+        steps.append((k, np.where(left, -1, p - 1), np.where(up, -1, j - 1)))
+        k = k[(i[k] > 0) | (i[k] + low + q[k] > 0)]
+    return found, _ways(steps, count)
+
+
+def _gapless(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Pairs of one length whose unequal places share no character: no other way has as many matches, so that none is as good."""
+    n = np.array([len(x) for x in a], np.int64)
+    even = np.flatnonzero(n == [len(y) for y in b])
+    good = np.zeros(len(a), bool)
+    good[even] = True
+    if n[even].sum():
+        x, y = (np.concatenate([t[k] for k in even]).astype(np.int64) for t in (a, b))
+        at = np.flatnonzero(x != y)
+        own = np.repeat(even, n[even])[at] << 32
+        good[np.intersect1d(own | x[at], own | y[at]) >> 32] = False
+    return good
+
+
+def align_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+    """The alignments of ``align_many``, by groups of pairs of any length: numbers of the pairs, and their ways.
+
+    A way with M matches and G gaps has the score 3 M - (n + m) / 2 - G, and M is at most the
+    number of characters that both texts have. A known way's score so bounds the gaps of
+    all that are as good, and with them their diagonals: a band that has these has all
+    best ways, and the way back is the same as in the whole table. Bands begin narrow, and their score
+    says how wide they must be.
+    """
+    n, m = (np.array([len(x) for x in t], np.int64) for t in (a, b))
+    straight = _gapless(a, b)
+    if straight.any():
+        some = np.flatnonzero(straight).tolist()
+        yield some, [(w := np.arange(n[k]), w) for k in some]
+    rest = np.flatnonzero(~straight).tolist()
+    common = {k: sum((Counter(a[k].tolist()) & Counter(b[k].tolist())).values()) for k in rest}
+    aside = dict.fromkeys(rest, FIRST_BAND)  # diagonals beside those of the corners
+    while rest:
+        rest.sort(key=lambda k: (aside[k], n[k], m[k]))
+        again, lo = [], 0
+        while lo < len(rest):
+            first, hi = rest[lo], lo + 1
+            narrow = lambda some: (min(0, *(int(m[k] - n[k]) for k in some)) - aside[first], max(0, *(int(m[k] - n[k]) for k in some)) + aside[first])  # noqa: E731, B023
+            low, high = narrow([first, first])
+            if (high - low + 1) >= m[first] + 1 or (high - low + 1) * (n[first] + 1) > CELLS:  # no less than the whole table
+                if (n[first] + 1) * (m[first] + 1) > CELLS:
+                    yield [first], [align_long(a[first], b[first])]
+                else:
+                    while hi < len(rest) and hi - lo < 256 and (hi - lo + 1) * (max(n[k] for k in rest[lo : hi + 1]) + 1) * (max(m[k] for k in rest[lo : hi + 1]) + 1) <= CELLS:
+                        hi += 1
+                    yield rest[lo:hi], align_many([a[k] for k in rest[lo:hi]], [b[k] for k in rest[lo:hi]])
+                lo = hi
+                continue
+            while hi < len(rest) and hi - lo < 256 and aside[rest[hi]] == aside[first]:
+                l, h = min(low, int(m[rest[hi]] - n[rest[hi]]) - aside[first]), max(high, int(m[rest[hi]] - n[rest[hi]]) + aside[first])
+                if (hi - lo + 1) * (h - l + 1) * (n[rest[hi]] + 1) > CELLS or h - l > 2 * (high - low):
+                    break
+                low, high, hi = l, h, hi + 1
+            some = rest[lo:hi]
+            scores, ways = align_band([a[k] for k in some], [b[k] for k in some], low, high)
+            done = []
+            for k, score, way in zip(some, scores.tolist(), ways):
+                most = int(3 * common[k] - (n[k] + m[k]) / 2 - score)  # gaps of a best way
+                d = int(m[k] - n[k])
+                if low <= -((most - d) // 2) and (most + d) // 2 <= high:
+                    done.append((k, way))
+                else:
+                    aside[k] = max(2 * aside[k], min((most - abs(d)) // 2, 8 * aside[k]))
+                    again.append(k)
+            if done:
+                yield [k for k, _ in done], [w for _, w in done]
+            lo = hi
+        rest = again
+
+
 def align_long(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """The same alignment of one pair whose table wouldn't fit: rows are kept at the ends of bands only.
 
@@ -124,9 +231,23 @@ def dealt(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
+def _normal(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("id").cast("long").alias("id"), normalise(F.coalesce("a", F.lit(""))).alias("a"), normalise(F.coalesce("b", F.lit(""))).alias("b"))
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
+    """Ids and code points of some pairs at a time, about ``CHARS_AT_ONCE``."""
+    for batch in batches:
+        sizes = np.cumsum([x + y for x, y in zip(*(pc.utf8_length(batch.column(c)).to_pylist() for c in (1, 2)))])
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // CHARS_AT_ONCE)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi > lo:
+                a, b = ([_points(t) for t in batch.column(c).slice(lo, hi - lo).to_pylist()] for c in (1, 2))
+                yield batch.column(0).slice(lo, hi - lo), a, b
+
+
 def alignments(pairs: DataFrame) -> DataFrame:
     """(id, a, b) -> a row for each alignment column: id, col, ca, cb, i, j. Texts are normalised first; pairs are independent, and of any length."""
-    p = pairs.select("id", normalise(F.coalesce("a", F.lit(""))).alias("a"), normalise(F.coalesce("b", F.lit(""))).alias("b"))
     gap = np.uint32(0xFFFFFFFF)
 
     def letters(points: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -141,25 +262,72 @@ def alignments(pairs: DataFrame) -> DataFrame:
         )
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            a, b = ([_points(t) for t in batch.column(c).to_pylist()] for c in (1, 2))
-            order = sorted(range(len(ids)), key=lambda k: (len(a[k]), len(b[k])))
-            lo = 0
-            while lo < len(order):
-                if (len(a[order[lo]]) + 1) * (len(b[order[lo]]) + 1) > CELLS:
-                    yield columns(ids[order[lo]], a[order[lo]], b[order[lo]], *align_long(a[order[lo]], b[order[lo]]))
-                    lo += 1
-                    continue
-                hi = lo + 1
-                while hi < len(order) and (hi - lo + 1) * (len(a[order[hi]]) + 1) * (max(len(b[k]) for k in order[lo : hi + 1]) + 1) <= CELLS and hi - lo < 256:
-                    hi += 1
-                some = order[lo:hi]
-                for k, (i, j) in zip(some, align_many([a[k] for k in some], [b[k] for k in some])):
-                    yield columns(ids[k], a[k], b[k], i, j)
-                lo = hi
+        for ids, a, b in _texts(batches):
+            for some, ways in align_pairs(a, b):
+                for k, (i, j) in zip(some, ways):
+                    yield columns(ids[k].as_py(), a[k], b[k], i, j)
+
+    return _normal(dealt(pairs.select("id", "a", "b"), "id")).mapInArrow(run, "id long, col int, ca string, cb string, i int, j int")
+
+
+def _between(values: pa.Array, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
+
+
+def _side(points: list[np.ndarray], own: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[list[str], pa.Array]:
+    """Texts and places of clusters, which begin at ``first`` among columns (pair, place or -1)."""
+    here = at >= 0
+    start = np.cumsum([0, *(len(p) for p in points)])
+    letters = np.concatenate(points)[start[own[here]] + at[here]].astype(np.uint32) if here.any() else np.zeros(0, np.uint32)
+    text = letters.tobytes().decode("utf-32-le", "surrogatepass")
+    cut = np.concatenate([[0], np.cumsum(here)])[first]
+    bounds = cut.tolist()
+    return [text[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])], _between(pa.array(at[here].astype(np.int32)), cut)
 
-    return dealt(p, "id").mapInArrow(run, "id long, col int, ca string, cb string, i int, j int")
+
+def compared(pairs: DataFrame, clusters: bool = True) -> DataFrame:
+    """(id, a, b) -> a row for each pair: id, same, columns (equal alignment columns, and all), and the clusters of unequal ones as ``divergences`` has them.
+
+    Alignment columns never leave the task: they are as many as the characters of all texts.
+    """
+
+    def run(batches):
+        for ids, a, b in _texts(batches):
+            for some, ways in align_pairs(a, b):
+                n = np.array([len(i) for i, _ in ways])
+                i, j = (np.concatenate(w) for w in zip(*ways))
+                own = np.repeat(np.arange(len(some)), n)
+                x, y = [a[k] for k in some], [b[k] for k in some]
+                u, v = (np.concatenate([*p, np.zeros(1, np.uint32)])[np.cumsum([0, *map(len, p)])[own] + np.maximum(at, 0)] for p, at in ((x, i), (y, j)))
+                bad = (i < 0) | (j < 0) | (u != v)
+                count = np.bincount(own[bad], minlength=len(some))
+                cols = [ids.take(pa.array(some)), pa.array(n - count), pa.array(n)]
+                if clusters:
+                    col = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))[bad]
+                    pair = own[bad]
+                    new = np.ones(len(pair), bool)
+                    new[1:] = (np.diff(pair) > 0) | (np.diff(col) > CLUSTER_GAP)
+                    at = np.flatnonzero(new)
+                    of = np.searchsorted(pair[at], np.arange(len(some) + 1))
+                    seg = np.arange(len(at)) - of[pair[at]]
+                    (ta, ia), (tb, ib) = (_side(p, pair, w[bad], np.append(at, len(pair))) for p, w in ((x, i), (y, j)))
+                    rows = pa.StructArray.from_arrays([pa.array(seg), pa.array(ta, pa.string()), pa.array(tb, pa.string()), ia, ib], ["seg", "seg_a", "seg_b", "idx_a", "idx_b"])
+                    cols.append(_between(rows, of))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "same", "columns", "clusters"][: len(cols)])
+
+    schema = "id long, same long, columns long" + (", clusters array<struct<seg: long, seg_a: string, seg_b: string, idx_a: array<int>, idx_b: array<int>>>" if clusters else "")
+    return _normal(dealt(pairs.select("id", "a", "b"), "id")).mapInArrow(run, schema)
+
+
+def agreed(compared: DataFrame) -> DataFrame:
+    """``agreement`` of compared pairs: id, agree, accepted."""
+    share = F.when(F.col("columns") > 0, F.col("same") / F.col("columns")).otherwise(F.lit(1.0))
+    return compared.select("id", share.alias("agree")).withColumn("accepted", F.col("agree") >= LEAST_AGREEMENT)
+
+
+def clusters(compared: DataFrame) -> DataFrame:
+    """``divergences`` of compared pairs."""
+    return _with_kind(compared.select("id", F.explode("clusters").alias("c")).select("id", "c.*"), lambda c: F.col(c))
 
 
 def agreement(columns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,9 +345,13 @@ def divergences(columns: DataFrame) -> DataFrame:
     g = bad.groupBy("id", "seg").agg(F.array_sort(F.collect_list(F.struct("col", "ca", "cb", "i", "j"))).alias("r"))
     pick = lambda f: F.filter(F.transform("r", lambda r: r[f]), lambda v: v.isNotNull())
     g = g.select("id", "seg", F.array_join(pick("ca"), "").alias("seg_a"), F.array_join(pick("cb"), "").alias("seg_b"), pick("i").alias("idx_a"), pick("j").alias("idx_b"))
-    number = lambda c: (normalise(F.col(c)) == "") | is_page_number(F.col(c))
-    kind = F.when(number("seg_a") & number("seg_b"), "pageno").when(normalise(F.col("seg_a")) == normalise(F.col("seg_b")), "variant").otherwise("substantive")
-    return g.withColumn("kind", kind)
+    return _with_kind(g, lambda c: normalise(F.col(c)))
+
+
+def _with_kind(found: DataFrame, normal: Callable[[str], Column]) -> DataFrame:
+    number = lambda c: normal(c).rlike(f"^[{PAGENO_CHARS}]*$")
+    kind = F.when(number("seg_a") & number("seg_b"), "pageno").when(normal("seg_a") == normal("seg_b"), "variant").otherwise("substantive")
+    return found.withColumn("kind", kind)
 
 
 def gram_names(points: np.ndarray, k: int = ANCHOR) -> np.ndarray:
@@ -339,12 +511,12 @@ def check_pages(candidates: DataFrame, lines: DataFrame) -> tuple[DataFrame, Dat
     key = ["doc_id", "page_num"]
     both = candidates.join(page_sequence(lines), key, "left").withColumn("id", F.xxhash64(*key))
     known = both.filter("text IS NOT NULL").select("id", *key, F.col("text").alias("a"), "b", "ends")
-    columns = alignments(known)
-    agreed = agreement(columns, known)
+    pairs = compared(known)
+    agree = agreed(pairs)
     state = F.when(F.col("text").isNull(), "unsupported").when(F.col("accepted"), "done").otherwise("rejected")
-    states = both.join(agreed, "id", "left").select(*key, state.alias("state"), F.bround("agree", 3).alias("agree"))
-    good = known.join(agreed.filter("accepted").select("id"), "id", "left_semi")
-    found = divergences(columns.join(good.select("id"), "id", "left_semi")).join(good.select("id", *key, "ends"), "id")
+    states = both.join(agree, "id", "left").select(*key, state.alias("state"), F.bround("agree", 3).alias("agree"))
+    good = known.join(agree.filter("accepted").select("id"), "id", "left_semi")
+    found = clusters(pairs.join(good.select("id"), "id", "left_semi")).join(good.select("id", *key, "ends"), "id")
     found = found.withColumn("line_ids", line_ids_at("idx_a", "ends")).drop("id", "ends", "idx_a", "idx_b")
     checked = good.select(*key).distinct()
     marked = found.filter("kind <> 'pageno'").select(F.explode("line_ids").alias("line_id"))
