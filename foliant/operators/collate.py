@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -366,25 +365,26 @@ def gram_names(points: np.ndarray, k: int = ANCHOR) -> np.ndarray:
 
 def anchors_of(pages: list[str], text: str) -> list[tuple[int, int]]:
     """First place and number of each page's grams that stand once in the text; names that meet are compared character by character."""
-    t = _points(text)
+    t, p = _points(text), _points("".join(pages))
     names, first, n = np.unique(gram_names(t), return_index=True, return_counts=True)
     names, first = names[n == 1], first[n == 1]
-    out = []
-    for page in pages:
-        p = _points(page)
-        g = gram_names(p)
-        at = np.searchsorted(names, g)
-        own = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == g) if len(names) else at[:0]
+    g, sizes = gram_names(p), np.array([len(x) for x in pages], np.int64)
+    hits, low = np.zeros(len(pages), np.int64), np.full(len(pages), len(t), np.int64)
+    if len(names) and len(g):
+        of = np.repeat(np.arange(len(pages)), sizes)[: len(g)]
+        at = np.minimum(np.searchsorted(names, g), len(names) - 1)
+        own = np.flatnonzero((names[at] == g) & (np.arange(len(g)) + ANCHOR <= np.cumsum(sizes)[of]))  # of grams that end in their page
         pos = first[at[own]]
         same = np.ones(len(own), bool)
         for i in range(ANCHOR):
             same &= t[pos + i] == p[own + i]
-        out.append((int(pos[same].min()) if same.any() else -1, int(same.sum())))
-    return out
+        hits = np.bincount(of[own[same]], minlength=len(pages))
+        np.minimum.at(low, of[own[same]], pos[same])
+    return [(q if h else -1, h) for q, h in zip(low.tolist(), hits.tolist())]
 
 
-def page_anchors(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """First place and number of a page's grams that are unique in the transcript: transcript_id, page_num, pos, hits.
+def page_anchors(pages: DataFrame, transcripts: DataFrame, with_length: bool = False) -> DataFrame:
+    """First place and number of a page's grams that are unique in the transcript: transcript_id, page_num, pos, hits, and perhaps the transcript's length as len.
 
     A transcript meets its own pages in one row, so its grams never leave the task and
     only texts are shuffled, once.
@@ -398,12 +398,13 @@ def page_anchors(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
             rows = []
             for t, text, own in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 found = anchors_of([p["plain"] for p in own], text)
-                rows += [(t, p["page_num"], pos, hits) for p, (pos, hits) in zip(own, found) if hits]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["transcript_id", "page_num", "pos", "hits"])
+                rows += [(t, p["page_num"], pos, hits, len(text)) for p, (pos, hits) in zip(own, found) if hits]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["transcript_id", "page_num", "pos", "hits", "len"])
 
-    return dealt(both, "transcript_id").mapInArrow(run, "transcript_id long, page_num int, pos int, hits long")
+    found = dealt(both, "transcript_id").mapInArrow(run, "transcript_id long, page_num int, pos int, hits long, len int")
+    return found if with_length else found.drop("len")
 
 
 def longest_rise(pos: list[int]) -> list[int]:
@@ -436,14 +437,17 @@ def longest_rise(pos: list[int]) -> list[int]:
 def page_ranges(anchors: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Character range, confidence and a low flag for the pages of each transcript; a transcript with under two anchored pages has none."""
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_num")
-        return pdf.iloc[longest_rise(pdf["pos"].tolist())] if len(pdf) > 1 else pdf.iloc[:0]
-
-    kept = anchors.groupBy("transcript_id").applyInPandas(chain, anchors.schema)  # a transcript has as many rows as pages
-    length = transcripts.select("transcript_id", F.length(normalise(F.col("text"))).alias("len"))
-    w = Window.partitionBy("transcript_id").orderBy("page_num")
-    r = kept.join(length, "transcript_id").withColumn("char_end", F.coalesce(F.lead("pos").over(w), F.col("len")))
+    @F.arrow_udf("array<int>")
+    def chain(places: pa.Array) -> pa.Array:
+        return pa.array([longest_rise(p) if len(p) > 1 else [] for p in places.to_pylist()], pa.list_(pa.int32()))
+
+    if "len" not in anchors.columns:
+        anchors = anchors.join(transcripts.select("transcript_id", F.length(normalise(F.col("text"))).alias("len")), "transcript_id")
+    # a transcript is one row, with as many places as pages
+    rows = anchors.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "pos", "hits"))).alias("r"), F.first("len").alias("len"))
+    r = rows.select("transcript_id", "r", "len", chain(F.transform("r", lambda x: x["pos"])).alias("at")).select("transcript_id", F.transform("at", lambda i: F.get("r", i)).alias("r"), "len")
+    ends = F.transform("r", lambda x, i: F.struct(x["page_num"].alias("page_num"), x["pos"].alias("pos"), x["hits"].alias("hits"), F.coalesce(F.get("r", i + 1)["pos"], F.col("len")).alias("char_end")))
+    r = r.select("transcript_id", F.explode(ends).alias("x")).select("transcript_id", "x.*")
     conf = F.least(F.lit(1.0), F.col("hits") * ANCHOR / F.greatest(F.col("char_end") - F.col("pos"), F.lit(1)))
     return r.select("transcript_id", "page_num", F.col("pos").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), F.bround(conf, 3).alias("confidence"), (conf < LOW_CONFIDENCE).alias("low"))
 
