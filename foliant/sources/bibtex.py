@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.text import title_key
 from foliant.functions.variants import sounded, standard_scripts
+from foliant.sources.scratch import written
 
 ENTRY = "type string, cite_key string, fields array<struct<k:string,v:string>>"
 _HEAD = re.compile(r"@(\w+)\s*([{(])")
@@ -265,9 +266,12 @@ def match_entries(docs: DataFrame, entries: DataFrame, simplify: tuple[str, str]
     """
     fold = standard_scripts(docs.sparkSession).fold() if simplify is None else simplify
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
-    both = F.array(F.struct(F.lit(0).alias("by_file"), title_key(F.col("title"), fold).alias("dk")), F.struct(F.lit(1).alias("by_file"), title_key(stem, fold).alias("dk")))
-    keys = docs.select(F.col("id").alias("doc_id"), F.explode(both).alias("x")).select("doc_id", "x.by_file", "x.dk").filter("dk <> ''")
-    named = entries.select("entry_id", title_key(F.col("title"), fold).alias("ek")).filter("ek <> ''").groupBy("ek").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id"))
+    keyed = docs.select(F.col("id").alias("doc_id"), title_key(F.col("title"), fold).alias("tk"), title_key(stem, fold).alias("fk"))
+    # What is met is a matter of the two keys: documents that share both are one row until the end.
+    kinds = written(keyed.select("tk", "fk").distinct(), "title-keys")
+    both = F.array(F.struct(F.lit(0).alias("by_file"), F.col("tk").alias("dk")), F.struct(F.lit(1).alias("by_file"), F.col("fk").alias("dk")))
+    keys = kinds.select("tk", "fk", F.explode(both).alias("x")).select("tk", "fk", "x.by_file", "x.dk").filter("dk <> ''")
+    named = written(entries.select("entry_id", title_key(F.col("title"), fold).alias("ek")).filter("ek <> ''").groupBy("ek").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id")), "entry-keys")
     d, e = keys.select("dk").distinct(), named.select("ek")
     exact = d.join(e, F.col("dk") == F.col("ek")).select("dk", "ek", F.lit(1).alias("turn"))
     long_d, long_e = d.filter(F.length("dk") >= 2), e.filter(F.length("ek") >= 2)
@@ -276,11 +280,11 @@ def match_entries(docs: DataFrame, entries: DataFrame, simplify: tuple[str, str]
     one = e.filter(F.length("ek") == 1).join(long_d.withColumn("c", F.explode(F.array_distinct(F.split("dk", "")))), F.col("c") == F.col("ek"))
     met = reduce(DataFrame.union, [x.select("dk", "ek", F.lit(3).alias("turn")) for x in (in_e, in_d, one)], exact)
     # A document's entries: each key once, however it is met.
-    hits = keys.join(met, "dk").groupBy("doc_id", "ek").agg(F.min(F.col("turn") + F.col("by_file")).alias("rank")).join(named, "ek")
-    hits = hits.groupBy("doc_id").agg(F.sum("n").alias("hits"), F.min("entry_id").alias("entry_id"), F.min("rank").alias("rank"))
+    hits = keys.join(met, "dk").groupBy("tk", "fk", "ek").agg(F.min(F.col("turn") + F.col("by_file")).alias("rank")).join(named, "ek")
+    hits = hits.groupBy("tk", "fk").agg(F.sum("n").alias("hits"), F.min("entry_id").alias("entry_id"), F.min("rank").alias("rank"))
     kind = F.element_at(F.array(*map(F.lit, ("exact-title", "exact-filename", "substring-title", "substring-filename"))), F.col("rank"))
     lone = F.col("hits") == 1
-    d = docs.select(F.col("id").alias("doc_id")).join(hits, "doc_id", "left")
+    d = keyed.join(hits, ["tk", "fk"], "left")
     return d.select("doc_id", F.when(F.col("hits").isNull(), "unmatched").when(lone, "matched").otherwise("ambiguous").alias("status"), F.coalesce("hits", F.lit(0)).alias("hits"), F.when(lone, F.col("entry_id")).alias("entry_id"), F.when(lone, kind).alias("kind"))
 
 
