@@ -25,20 +25,43 @@ def centre_in(a: tuple, b: tuple) -> Column:
 
 def assign_regions(blocks: DataFrame, regions: DataFrame, least_share: float | None = 0.5, keep_all: bool = False) -> DataFrame:
     """First region of the page that holds a block's centre, or ``least_share`` of its area; blocks outside go, or stay with null."""
-    key = ["doc_id", "page_num"]
-    r = regions.select(*key, "region_idx", F.col("bbox").alias("rbox"))
-    b, q = box("bbox"), box("rbox")
-    w, h = overlap(b, q)
-    hit = centre_in(b, q)
-    if least_share is not None:
-        hit = hit | (w * h / F.greatest(F.lit(1e-6), (b[2] - b[0]) * (b[3] - b[1])) >= least_share)
-    found = blocks.filter(F.size("bbox") == 4).join(r, key).filter(hit).groupBy(*key, "block_num").agg(F.min("region_idx").alias("region_idx"))
-    return blocks.join(found, [*key, "block_num"], "left" if keep_all else "inner")
+    found = blocks.columns
+    placed = with_regions(blocks, regions).withColumn("region_idx", first_region(least_share)["region_idx"])
+    return (placed if keep_all else placed.filter("region_idx IS NOT NULL")).select(*[c for c in found if c != "region_idx"], "region_idx")
+
+
+def with_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Blocks with the regions of their page as an array, so that they move once to their page and stay there."""
+    direction = F.col("direction") if "direction" in regions.columns else F.lit(None).cast("string")
+    row = F.struct("region_idx", F.col("bbox").alias("rbox"), direction.alias("direction"))
+    own = regions.groupBy("doc_id", "page_num").agg(F.collect_list(row).alias("_regions"))
+    return blocks.join(own, ["doc_id", "page_num"], "left")
+
+
+def first_region(least_share: float | None) -> Column:
+    """region_idx and direction of the first region of ``_regions`` that holds the block, or null."""
+    b = box("bbox")
+
+    def hit(r: Column) -> Column:
+        q = tuple(r["rbox"][i] for i in range(4))
+        if least_share is None:
+            return centre_in(b, q)
+        w, h = overlap(b, q)
+        return centre_in(b, q) | (w * h / F.greatest(F.lit(1e-6), (b[2] - b[0]) * (b[3] - b[1])) >= least_share)
+
+    held = F.transform(F.filter("_regions", hit), lambda r: F.struct(r["region_idx"].alias("region_idx"), r["direction"].alias("direction")))
+    return F.when(F.size("bbox") == 4, F.array_min(held))
 
 
 def reading_order(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """New dense block numbers: regions in turn, inside them by direction; blocks outside any region stay at the end."""
-    placed = assign_regions(blocks, regions, None, keep_all=True).join(regions.select("doc_id", "page_num", "region_idx", "direction"), ["doc_id", "page_num", "region_idx"], "left")
+    return in_order(with_regions(blocks, regions))
+
+
+def in_order(placed: DataFrame) -> DataFrame:
+    """``reading_order`` of blocks that have the regions of their page."""
+    at = first_region(None)
+    placed = placed.withColumns({"region_idx": at["region_idx"], "direction": at["direction"]}).drop("_regions")
     x0, y0, x1, y1 = box("bbox")
     cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
     first = F.when(F.col("direction") == "v_rtl", -cx).when(F.col("direction") == "v_ltr", cx).otherwise(cy)

@@ -10,6 +10,7 @@ from foliant.functions.text import clamp_page, excerpt
 from foliant.operators import layout
 from foliant.operators.mutate import append_blocks, dense_blocks, replace_pages
 from foliant.sources.adapters import blank_rows
+from foliant.sources.scratch import written
 
 KEY = ["doc_id", "page_num", "block_num"]
 
@@ -71,10 +72,10 @@ def recognised_regions(lines: DataFrame, blocks: DataFrame, regions: DataFrame,
     ``blocks`` comes from an adapter over page images (``sources.ocr.lines``): doc_id, page_num,
     block_num, text, bbox.
     """
-    inside = layout.assign_regions(blocks, regions)
-    order = layout.reading_order(inside.drop("region_idx"), regions).withColumn("block_num", F.col("new_block")).drop("new_block", "region_idx", "direction")
+    inside = layout.with_regions(blocks, regions).filter(layout.first_region(0.5)["region_idx"].isNotNull())
+    order = layout.in_order(inside).withColumn("block_num", F.col("new_block")).drop("new_block", "region_idx", "direction")
     new = dense_blocks(order.withColumn("line_num", F.lit(1)))
-    new = new.select(*[c for c in lines.columns if c in new.columns])
+    new = written(new.select(*[c for c in lines.columns if c in new.columns]), "recognised")  # its pages are read before its rows
     return replace_pages(lines, new) if replace else append_blocks(lines, new)
 
 
